@@ -28,7 +28,7 @@ class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
     budget_factor: float = 1.5
     max_repeats: int = 2
-    rows_per_bucket: int = 20_000
+    rows_per_bucket: int = 2_000
     seed: str = "mix"
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.mixing import fair_mix
+from siltstone.llm.packing import pack_documents
 from siltstone.llm.preference import format_preferences
 from siltstone.llm.quality_rules import apply_rules
+from siltstone.llm.secret_scan import KINDS, joined, scan_secrets
+from siltstone.llm.token_files import read_token_files, write_token_files
 from siltstone.session import table
 
 
@@ -16,6 +20,20 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[n(k) for k in KINDS], F.sha2(joined("findings", KINDS[:3]), 256).alias("base_sha256"), joined("findings", KINDS).alias("spans"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), end_id=2))
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), end_id=1, with_ids=False).drop("ids")
+
+
 def op8_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
