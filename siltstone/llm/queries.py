@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.mixing import fair_mix
+from siltstone.llm.near_dedup import NearDedup, near_duplicates
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.preference import format_preferences
 from siltstone.llm.quality_rules import apply_rules
@@ -34,6 +35,10 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), end_id=1, with_ids=False).drop("ids")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(shingle_words=3, percent=85))
+
+
 def op8_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
