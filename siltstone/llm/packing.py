@@ -34,7 +34,7 @@ class Limits:
     tokens: int = 2048
     segments: int = 64
     loss: int = 2048
-    pool: int = 2048
+    pool: int = 512
 
 
 @dataclass
@@ -89,14 +89,14 @@ class VectorPacker:
             grown = max(64, len(self.pieces))
             self.free = list(range(len(self.pieces) + grown - 1, len(self.pieces) - 1, -1))
             self.pieces += [None] * grown
-            self.need = np.vstack([self.need, np.full((grown, 3), np.inf)])
+            self.need = np.vstack([self.need, np.zeros((grown, 3))])
         i = self.free.pop()
         self.pieces[i], self.need[i] = piece, (piece.length, 1, piece.loss)
         self.waiting += 1
 
     def _take(self, i: int) -> Piece:
         piece = self.pieces[i]
-        self.pieces[i], self.need[i] = None, np.inf
+        self.pieces[i], self.need[i] = None, 0
         self.free.append(i)
         self.waiting -= 1
         return piece
@@ -105,14 +105,14 @@ class VectorPacker:
         room, taken = self.top.copy(), []
         weigh = 1 / self.top**2
         while self.waiting and room.min() > 0:
-            fits = (self.need <= room).all(axis=1)
-            if fits.any():
-                i = int(np.argmax(np.where(fits, np.where(np.isinf(self.need), 0, self.need) @ (room * weigh), -1)))
+            product = self.need @ (room * weigh)  # free places have no need and never win
+            fits = np.where((self.need <= room).all(axis=1), product, 0)
+            i = int(fits.argmax())
+            if fits[i] > 0:
                 piece = self._take(i)
             else:  # nothing fits whole: cut what would fit best
-                i = int(np.argmax(np.where(np.isinf(self.need[:, 0]), -1, np.where(np.isinf(self.need), 0, self.need) @ (room * weigh))))
-                piece = self.pieces[i]
-                n = piece.head_within(int(room[0]), int(room[2]))
+                i = int(product.argmax())
+                n = self.pieces[i].head_within(int(room[0]), int(room[2]))
                 if n <= 0:
                     break
                 piece, rest = self._take(i).split(n)
@@ -170,9 +170,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
         def sequences() -> Iterator[list[Piece]]:
             for b in batches:
-                doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for first, group in in_groups(texts):
-                    for doc_id, ids in zip(doc_ids[first : first + len(group)], encoder.encode_many(group), strict=True):
+                for doc_ids, texts in in_groups(b):
+                    for doc_id, ids in zip(doc_ids, encoder.encode_many(texts), strict=True):
                         n = len(ids) // 4 + 1
                         yield from packer.add(Piece(doc_id, ids + end, n, 0, n, 1))
             yield from packer.rest()

@@ -10,9 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # Fixed value: the published splitting pattern of byte-level BPE.
@@ -34,32 +37,47 @@ def tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+class _Known(dict):
+    """Pre-token to ids; what is looked up in vain is noted and gives None."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
+
+
 class CachedTokenizer:
     """encode(text): the text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, max_entries: int = 400_000) -> None:
+    def __init__(self, path: str, max_entries: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_entries, self.cache = Tokenizer.from_file(path), max_entries, {}
+        self.tokenizer, self.max_entries, self.cache = Tokenizer.from_file(path), max_entries, _Known()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how byte-level BPE writes a space
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        spaced = [w for w in new if SPACED_WORD.fullmatch(w)]
-        rest = new
-        if spaced:  # one after the other they split into the same pre-tokens again, so one call encodes them all
-            e = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            words, ids = np.array(e.word_ids), np.array(e.ids, dtype="<u4").tobytes()
-            cuts = (4 * (np.flatnonzero(np.diff(words)) + 1)).tolist()
-            if len(cuts) == len(spaced) - 1:
-                self.cache.update(zip(spaced, map(ids.__getitem__, map(slice, [0, *cuts], [*cuts, len(ids)])), strict=True))
+        # words after a space, one after the other, split into the same pre-tokens again, so one call encodes them all;
+        # the ids that begin with the space show where each starts
+        spaced, rest = [w for w in new if SPACED_WORD.fullmatch(w)], new
+        if spaced:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(starts) == len(spaced):
+                data = ids.tobytes()
+                self.cache.update(zip(spaced, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)])), strict=True))
                 rest = [w for w in new if w not in self.cache]
         if rest:
             self.cache.update(zip(rest, self._whole(rest), strict=True))
@@ -80,16 +98,22 @@ class CachedTokenizer:
                 out[i] = b
             return out
         split = [(SPLIT if ODD.search(t) else LATIN_SPLIT).findall(t) for t in texts]
-        words = set().union(*split)
         if len(self.cache) > self.max_entries:  # the first seen are the common ones
-            self.cache = dict(islice(self.cache.items(), self.max_entries // 3))
-        if new := list(words.difference(self.cache)):
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-
-def open_tokenizer(path: str | None, max_entries: int = 400_000) -> CachedTokenizer:
+            self.cache = _Known(islice(self.cache.items(), self.max_entries // 2))
+        known, get = self.cache, self.cache.__getitem__
+        found = [list(map(get, ws)) for ws in split]
+        if known.new:
+            self._learn(list(dict.fromkeys(known.new)))
+            known.new.clear()
+            for ws, parts in zip(split, found, strict=True):
+                i = -1
+                for _ in range(parts.count(None)):
+                    i = parts.index(None, i + 1)
+                    parts[i] = known[ws[i]]
+        return [b"".join(parts) for parts in found]
+
+
+def open_tokenizer(path: str | None, max_entries: int = 1_200_000) -> CachedTokenizer:
     """The worker's tokenizer for a path; loaded once per worker."""
     key = (tokenizer_path(path), max_entries)
     if key not in _OPEN:
@@ -97,14 +121,10 @@ def open_tokenizer(path: str | None, max_entries: int = 400_000) -> CachedTokeni
     return _OPEN[key]
 
 
-def in_groups(texts: list[str], chars: int = 1_000_000):
-    """(first, texts) runs of about so many characters, so that one call's lists stay small."""
-    first, total, run = 0, 0, []
-    for i, t in enumerate(texts):
-        run.append(t)
-        total += len(t)
-        if total >= chars:
-            yield first, run
-            first, total, run = i + 1, 0, []
-    if run:
-        yield first, run
+def in_groups(batch: pa.RecordBatch, size: int = 50_000) -> Iterator[tuple[list, list[str]]]:
+    """(doc_ids, texts) of a batch (doc_id, text), about so many bytes at a time, so that one call's lists stay small."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
+        yield batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
+        lo = hi
