@@ -13,6 +13,7 @@ from siltstone.llm.packing import pack_documents
 from siltstone.llm.preference import format_preferences
 from siltstone.llm.quality_rules import apply_rules
 from siltstone.llm.secret_scan import KINDS, joined, scan_secrets
+from siltstone.llm.substring_dedup import remove_repeats
 from siltstone.llm.token_files import read_token_files, write_token_files
 from siltstone.session import table
 
@@ -47,5 +48,9 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(table(spark, sf_dir, "conversations"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
