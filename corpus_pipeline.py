@@ -1,8 +1,55 @@
-"""The corpus pipeline (in the making): its stages each call one training-data operator."""
+"""The corpus pipeline: five stages over ``documents``, each by one training-data operator.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, written as Parquet and read again. The first four return the columns of
+documents; the last returns packed pieces (of the columns of :func:`siltstone.llm.packing.pack_documents`, ids included).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siltstone.llm.common import Scratch
+from siltstone.llm.mixing import with_copies
+from siltstone.llm.near_dedup import without_near_duplicates
+from siltstone.llm.packing import pack_documents
+from siltstone.llm.quality_rules import without_rejected
+from siltstone.llm.secret_scan import redact_secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return without_rejected(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return without_near_duplicates(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text."""
+    return redact_secrets(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it."""
+    return with_copies(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences of 2048 tokens, a row for each piece."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("secret scan", secret_scan), ("source mix", source_mix), ("packing", packing)]
+#: SQL can express neither the tokenizer nor the Markov models; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each keeps is written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

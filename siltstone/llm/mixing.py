@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, n_words
@@ -64,13 +64,18 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list, value: st
     return out.join(totals, on=[c for c in same], how="inner").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", *[f"_{k}" for k in [*keys, bucket]])
 
 
+def place(mix: Mix) -> Column:
+    """A row's place in its source's shuffled queue: the md5 of the seed, its doc_id and its text's md5."""
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string"), F.md5("text")))
+
+
 def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, place and taken (size times copies).
 
-    A row's place in its queue is the md5 of the seed, its doc_id and its text's hash; equal rows are interchangeable.
+    Equal rows are interchangeable: what is taken of them is dealt out evenly.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string"), F.md5("text"))).alias("place"))
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(mix).alias("place"))
     sizes = scratch.write(sizes, "sizes")
     n = sizes.count()
     digits = max(1, min(6, len(f"{n // mix.rows_per_bucket:x}")))
@@ -104,3 +109,18 @@ def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     out = out.withColumn("n_taken", F.coalesce("n_taken", F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n_same") - 1).cast("int"))))
     out = out.withColumn("copies", (F.floor(F.col("n_taken") / F.col("n_same")) + F.when(F.col("i") < F.col("n_taken") % F.col("n_same"), 1).otherwise(0)).cast("long"))
     return out.select("doc_id", "source", "place", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def with_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The documents as often as the mix takes them (0 to max_repeats times each), with all their columns.
+
+    Counts are joined on the place of a row in its queue, which equal rows share; what the mix takes of equal rows is
+    spread evenly, rounded up.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    taken = fair_mix(docs, mix).groupBy(F.col("source").alias("_source"), F.col("place").alias("_place")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = scratch.write(taken.filter(F.col("_copies") > 0), "taken")
+    keyed = docs.withColumns({"_own": F.col("source"), "_at": place(mix)})
+    out = keyed.join(taken, (F.col("_at") == F.col("_place")) & F.col("_own").eqNullSafe(F.col("_source")))
+    n = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)

@@ -207,3 +207,13 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (alone | (F.col("doc_id") == component)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
+    """The documents of which one is kept for each group, with all their columns; of rows that share a doc_id and a text
+    one stays."""
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    gone = scratch.write(near_duplicates(docs, p).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    out = docs.join(gone, "doc_id", "left_anti")
+    n, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).head()
+    return (out if n == ids else out.dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -73,6 +73,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, the character classes' counts and (word, count) pairs of common words."""
     listed = ", ".join("'" + w + "'" for w in dict.fromkeys(COMMON_WORDS))
     df = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty().alias("t"))
+    df = df.withColumn("text_hash", F.xxhash64("t"))
     # each class is counted by what its removal leaves, so later patterns read ever shorter strings
     df = df.withColumns({"s": F.regexp_replace("t", "[a-z]+", ""), "w": F.expr(f"filter(split(t, r'{SPACE}'), x -> x <> '')"), "l": F.split("t", "\n")})
     df = df.withColumns({"v": F.regexp_replace("s", SPACE, ""), "n_chars": F.char_length("t").cast("long"), "n_s": F.char_length("s"), "n_words": F.size("w").cast("long")})
@@ -94,7 +95,7 @@ def features(docs: DataFrame) -> DataFrame:
         "other": F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space") - F.col("mark") - F.col("symbol"),
     })
     return df.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines",
+        "doc_id", "lang", "text_hash", "n_words", (F.col("n_chars") - F.col("space")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines",
         F.expr("aggregate(transform(starts, (x, i) -> IF(i < size(starts) - 1, least(3L, starts[i + 1] - x), 3L)), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         F.array(*CLASSES).alias("classes"),
         F.expr("transform(runs, (r, i) -> struct(hits[r] AS word, CAST(IF(i < size(runs) - 1, runs[i + 1], size(hits)) - r AS BIGINT) AS n))").alias("common"),
@@ -145,8 +146,8 @@ def distances(df: DataFrame) -> DataFrame:
     }).drop("cd", "wd", "rq")
 
 
-def apply_rules(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
-    """Per document: doc_id, the base counts, base_failed, kept, class_distance, word_distance.
+def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, text_hash, the base counts, base_failed, kept, class_distance, word_distance.
 
     ``refs`` takes references fitted elsewhere (columns of :func:`references`); by default they are fitted on ``docs``.
     The features are written once to the shared folder, as fitting and judging both read them.
@@ -155,7 +156,24 @@ def apply_rules(docs: DataFrame, rules: QualityRules = QualityRules(), refs: Dat
     judged = judge_base(scratch.write(features(docs), "features"), rules).withColumn("n_chars", F.expr("aggregate(classes, 0L, (a, x) -> a + x)"))
     refs = scratch.write(references(judged, rules), "references") if refs is None else refs
     df = distances(judged.join(refs, "lang", "left"))
-    far = F.coalesce((F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance), F.lit(False)) | F.coalesce(
-        (F.col("n_words") >= rules.min_words_for_histogram) & (F.col("word_distance") > rules.max_word_distance + F.sqrt(rules.word_noise / F.greatest("n_words", F.lit(1)))), F.lit(False)
-    )
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
+    limit = rules.max_word_distance + F.sqrt(rules.word_noise / F.greatest("n_words", F.lit(1)))
+    far = F.coalesce((F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance), F.lit(False))
+    far = far | F.coalesce((F.col("n_words") >= rules.min_words_for_histogram) & (F.col("word_distance") > limit), F.lit(False))
+    return df.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def apply_rules(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
+    """The verdicts of :func:`judge`: doc_id, the base counts, base_failed, kept, class_distance, word_distance."""
+    return judge(docs, rules, refs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def without_rejected(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The documents that the rules keep, with all their columns.
+
+    The verdict is joined on doc_id and the text's hash, so that rows that share an id are judged one by one.
+    """
+    scratch = Scratch(docs.sparkSession, "rejected")
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(text_or_empty())})
+    bad = scratch.write(judge(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct(), "bad")
+    gone = keyed["_id"].eqNullSafe(bad["_bad_id"]) & (keyed["_text"] == bad["_bad_text"])
+    return keyed.join(bad, gone, "left_anti").drop("_id", "_text")

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.metric_search import top_k
 from siltstone.llm.mixing import fair_mix
 from siltstone.llm.near_dedup import NearDedup, near_duplicates
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.preference import format_preferences
+from siltstone.llm.pu_quality import classify
 from siltstone.llm.quality_rules import apply_rules
 from siltstone.llm.secret_scan import KINDS, joined, scan_secrets
 from siltstone.llm.substring_dedup import remove_repeats
@@ -36,10 +38,18 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), end_id=1, with_ids=False).drop("ids")
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(shingle_words=3, percent=85))
 
 
+def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
