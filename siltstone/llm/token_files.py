@@ -7,8 +7,10 @@ Data frames hold whole documents' ids as little-endian unsigned 32-bit integers,
 Index frames follow, with each document's id and number of tokens, and a skippable directory frame that says how many of
 the frames are index frames. A reader fetches the table and the index, then only the frames of the documents asked for.
 
-Writing: documents are range-partitioned and sorted by doc_id, one file for each partition, written under a name of its
-own and moved into place when complete, so a task that runs again replaces its file by an equal one.
+Writing: one file for each partition, sorted by doc_id, written under a name of its own and moved into place when
+complete, so a task that runs again replaces its file by an equal one. Where the input's partitions already hold
+ranges of doc_id that don't overlap, as tables written in order do, they are taken as they are; otherwise documents are
+range-partitioned first. The files' own ranges are checked once more after writing.
 
 Defined edge cases: null and empty texts hold the end id only; a null doc_id sorts first; rows that share a doc_id follow
 each other in order of text; an empty table gives no documents; further columns are ignored.
@@ -37,7 +39,7 @@ SKIPPABLE_SEEK, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Our directory frame is another of the sixteen skippable kinds.
 SKIPPABLE_DIRECTORY = 0x184D2A50
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_tokens", "<u4")])
-MANIFEST = "part int, path string, n_docs long, n_tokens long, n_frames long, n_bytes long"
+MANIFEST = "part int, path string, n_docs long, n_tokens long, n_frames long, n_bytes long, first_id long, last_id long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -157,9 +159,8 @@ def _writer(folder: str, tokenizer: str | None, end_id: int, frame_tokens: int,
         name, own = f"{root}/part-{part:06d}.tokens", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
         out = None
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, group in in_groups(texts):
-                for doc_id, ids in zip(doc_ids[first : first + len(group)], encoder.encode_many(group), strict=True):
+            for doc_ids, texts in in_groups(batch):
+                for doc_id, ids in zip(doc_ids, encoder.encode_many(texts), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
                         out = TokenFileWriter(fs.open_output_stream(own), frame_tokens, level)
@@ -168,23 +169,43 @@ def _writer(folder: str, tokenizer: str | None, end_id: int, frame_tokens: int,
             out.close()
             out.sink.close()
             fs.move(own, name)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (f"{folder}/part-{part:06d}.tokens", pa.string()), (len(out.docs), pa.int64()), (out.n_tokens, pa.int64()), (len(out.table), pa.int64()), (out.n_bytes, pa.int64()))], names=["part", "path", "n_docs", "n_tokens", "n_frames", "n_bytes"])
+            ids = [x[0] if x[1] else None for x in (out.docs[0], out.docs[-1])]
+            row = (part, f"{folder}/part-{part:06d}.tokens", len(out.docs), out.n_tokens, len(out.table), out.n_bytes, *ids)
+            types = (pa.int32(), pa.string(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     return write
 
 
+def _overlap(ranges: DataFrame) -> bool:
+    """Whether any two of the ranges (first_id, last_id; null below all) have more than nothing in common; one row a file."""
+    low = lambda c: F.struct(F.col(c).isNotNull().alias("known"), F.coalesce(F.col(c), F.lit(0)).alias("id"))
+    r = ranges.select(low("first_id").alias("a"), low("last_id").alias("b"))
+    return not r.withColumn("before", F.max("b").over(Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("a") <= F.col("before")).isEmpty()
+
+
 def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder: str | None = None, frame_tokens: int = 16_384, level: int = 1) -> DataFrame:
-    """Writes ``docs`` and returns the manifest: part, path, n_docs, n_tokens, n_frames, n_bytes, start (ids in earlier files).
+    """Writes ``docs`` and returns the manifest: part, path, n_docs, n_tokens, n_frames, n_bytes, first_id, last_id, start
+    (ids in earlier files).
 
     ``folder`` is a URI that driver and executors share; by default a new one below spark.checkpoint.dir.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     folder = folder or scratch.path("files")
     folder = folder if ":/" in folder else f"file://{folder}"
-    dealt = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = scratch.write(dealt.mapInArrow(_writer(folder, tokenizer, end_id, frame_tokens, level), MANIFEST), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    ranges = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("last_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    ordered = not _overlap(scratch.write(ranges.select(F.when(F.col("nulls") == 0, F.col("lo")).alias("first_id"), "last_id"), "ranges"))
+    while True:
+        dealt = docs if ordered else docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text"))
+        dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        to = f"{folder}/{'ordered' if ordered else 'dealt'}"
+        manifest = scratch.write(dealt.mapInArrow(_writer(to, tokenizer, end_id, frame_tokens, level), MANIFEST), "manifest")
+        if not ordered or not _overlap(manifest):
+            break
+        ordered = False
+    order = ("part",) if not ordered else (F.col("first_id").asc_nulls_first(),)
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return scratch.write(manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")), "starts")
 
 
