@@ -1,5 +1,98 @@
-"""DuckDB SQL for the training-data queries that SQL can express."""
+"""DuckDB SQL for the training-data queries that SQL can express on whole tables.
+
+Tokens, Markov models, fitted classifiers and byte-level removal (op2 to op5, op10, pipeline) have none: tests compare
+them with brute-force versions, round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from siltstone.llm.mixing import Mix
+from siltstone.llm.preference import Template
+from siltstone.llm.quality_rules import CLASSES, COMMON_WORDS, QualityRules
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _part(x: str, y: str) -> str:
+    """A bucket's part of twice the divergence."""
+    return f"(CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END + CASE WHEN {y} > 0 THEN {y} * log2(2 * {y} / ({x} + {y})) ELSE 0 END)"
+
+
+def op1(r: QualityRules = QualityRules()) -> str:
+    listed = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON_WORDS))
+    n = lambda kept: f"length(regexp_replace(t, '[^{kept}]', '', 'g'))"
+    distance = " + ".join(_part(f"(b.{c} / greatest(b.n_chars, 1))", f"r.{c}") for c in CLASSES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS w FROM d),
+c AS (SELECT doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, length(t) AS n_chars, {n("a-z")} AS lower, {n("A-Z")} AS upper, {n("0-9")} AS digit, {n(chr(92) + "x20" + chr(92) + "x09-" + chr(92) + "x0D")} AS space,
+  {n("#*$%&|<>")} AS symbol, length(regexp_replace(regexp_replace(t, '[^!-~]', '', 'g'), '[A-Za-z0-9#*$%&|<>]', '', 'g')) AS mark,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM w),
+g AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+b AS (SELECT c.*, n_chars - lower - upper - digit - space - symbol - mark AS other, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  n_words < {r.min_words} OR 100 * coalesce(n_repeat_words, 0) > {r.max_repeat_percent} * n_words AS base_failed FROM c LEFT JOIN rep USING (doc_id)),
+common AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM w) WHERE word IN ({listed}) GROUP BY ALL),
+fine AS (SELECT * FROM b WHERE NOT base_failed AND lang IS NOT NULL AND n_words >= {r.min_words_for_histogram}),
+ref AS (SELECT lang, count(*) AS n_docs, {", ".join(f"avg({c} / n_chars) AS {c}" for c in CLASSES)} FROM fine GROUP BY lang HAVING count(*) >= {r.min_reference_documents}),
+refw AS (SELECT lang, word, sum(n / n_words) / any_value(n_docs) AS q FROM fine JOIN common USING (doc_id) JOIN (SELECT lang, n_docs FROM ref) USING (lang) GROUP BY lang, word),
+rq AS (SELECT lang, sum(q) AS rq FROM refw GROUP BY lang),
+cd AS (SELECT b.doc_id, sqrt(({distance}) / 2) AS class_distance FROM b JOIN ref r USING (lang)),
+hit AS (SELECT b.doc_id, sum({_part("(c.n / b.n_words)", "coalesce(q, 0)")}) AS part, sum(c.n / b.n_words) AS p, sum(coalesce(q, 0)) AS q FROM b JOIN common c USING (doc_id) JOIN ref USING (lang) LEFT JOIN refw ON refw.lang = b.lang AND refw.word = c.word GROUP BY b.doc_id),
+wd AS (SELECT doc_id, sqrt(greatest((coalesce(part, 0) + greatest(rq - coalesce(q, 0), 0) + {_part("greatest(1 - coalesce(p, 0), 0)", "greatest(1 - rq, 0)")}) / 2, 0)) AS word_distance
+  FROM (SELECT b.doc_id, part, p, q, coalesce(rq, 0) AS rq FROM b JOIN ref USING (lang) LEFT JOIN rq USING (lang) LEFT JOIN hit USING (doc_id)))
+SELECT b.doc_id, n_words, CAST(n_chars - space AS BIGINT) AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_chars >= {r.min_chars} AND class_distance > {r.max_class_distance}, FALSE)
+  AND NOT coalesce(n_words >= {r.min_words_for_histogram} AND word_distance > {r.max_word_distance} + sqrt({r.word_noise} / greatest(n_words, 1)), FALSE) AS kept
+FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+
+
+def op6(k: int = 3, percent: int = 85) -> str:
+    gram = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: {gram}) ELSE [array_to_string(w, ' ')] END)) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {percent} * (p.n + q.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)"""
+
+
+OP7 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
+def op8(m: Mix = Mix()) -> str:
+    weights = ", ".join(f"{float(x)}::DOUBLE" for x in m.weights)
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size, md5(concat_ws(':', '{m.seed}', CAST(doc_id AS VARCHAR), md5(text))) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [{weights}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(m.weights)} + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, CAST({m.max_repeats} * source_size AS DOUBLE) AS cap FROM s),
+l AS (SELECT *, ({m.budget_factor}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM c WINDOW f AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, coalesce(least(cap, max(level) FILTER (level * weight <= cap) OVER () * weight), cap) AS target FROM l),
+q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id) AS cumulative FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT *, (CAST(round AS BIGINT) * source_size + cumulative) / target AS finish FROM q, range({m.max_repeats}) r(round) WHERE size > 0 AND target > 0),
+taken AS (SELECT doc_id, source, size FROM copies QUALIFY sum(size) OVER (ORDER BY finish, source IS NULL, source, round, place, doc_id) <= {m.budget_factor} * (SELECT sum(size) FROM d)),
+n AS (SELECT doc_id, source, sum(size) AS taken FROM taken GROUP BY ALL)
+SELECT q.doc_id, q.size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN n ON n.doc_id = q.doc_id AND n.source IS NOT DISTINCT FROM q.source"""
+
+
+def op9(t: Template = Template()) -> str:
+    loss = ", ".join(f"'{r}'" for r in t.loss_roles)
+    return rf"""
+WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+p AS (SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM c GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
+b AS (SELECT p.*, CASE WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS side, pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM p JOIN c ON conv_id IN (chosen_id, rejected_id)),
+e AS (SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM b GROUP BY ALL),
+n AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same), max(pos) + 1) - 1 AS n_common FROM e GROUP BY 1)
+SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen_id, rejected_id, CASE WHEN pos <= n_common THEN 'prompt' ELSE side END AS part, pos, role, '{t.start}' || role || chr(10) || text || '{t.end.strip()}' || chr(10) AS rendered,
+  pos > n_common AND role IN ({loss}) AS loss, n_common FROM b JOIN n USING (pair_id) WHERE pos > n_common OR side = 'chosen'"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_distribution_divergence": op1(), "op6_minhash_near_dedup": op6(), "op7_mtree_top_k": OP7, "op8_weighted_fair_mix": op8(), "op9_preference_format": op9(),
+    }
