@@ -6,9 +6,9 @@ non-empty bin of a random sequence of its own. Bins are grouped into bands, and
 bucket. Documents with equal sets are first merged into one representative, so copies never multiply candidates.
 
 Each bucket gives a star: its smallest document against each other one. Stars are confirmed on full sets, and confirmed
-links are merged into components. Where a bucket then still spans several components, its next members become centres
-in turn, 2, 4, 8, ... at a time, each against the members after it in other components, until no untested pair could
-join two components. So every pair of a bucket is confirmed, refuted or already connected; no bucket is capped.
+links are merged into components. Where a bucket then still spans several components, its other members are compared
+with each other in blocks, which emit links only. So every pair of a bucket is confirmed, refuted or already connected,
+and no bucket is capped.
 
 With b bands of r rows a pair of similarity s shares a bucket with probability 1 - (1 - s^r)^b: 0.999997 at 0.8 and
 above for the default 42 bands of 6.
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch
@@ -162,6 +162,69 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def untested(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, doc_id, component): members that no star has tested against each other, in buckets that still span several
+    components.
+
+    A group of look-alikes fills many buckets with much the same members. Buckets that share members form a cluster; a
+    cluster is one unit if that takes fewer comparisons than its buckets one by one, and otherwise each bucket is a unit.
+    """
+    left = members.filter(F.col("doc_id") != F.col("centre")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    left = left.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).filter(F.col("lo") < F.col("hi"))
+    left = scratch.write(left.join(torn.select("key", "first"), "key"), "left")
+    if left.isEmpty():
+        return left.select(F.col("key").alias("unit"), "doc_id", "component")
+    clusters = connected_components(left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), scratch, "clusters")
+    keys = left.groupBy("key", "first").agg(F.count("*").alias("m")).join(clusters.select(F.col("node").alias("first"), F.col("component").alias("cluster")), "first", "left")
+    keys = keys.select("key", "m", F.coalesce("cluster", "first").alias("cluster"))
+    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg((F.count("*") + 1).alias("n"))
+    joint = keys.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("apart")).join(sizes, "cluster").filter(F.col("n") * F.col("n") <= F.col("apart")).select("cluster", F.lit(True).alias("joint"))
+    unit = F.when(F.col("joint"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("key")).alias("unit")
+    units = scratch.write(keys.join(joint, "cluster", "left").select("key", unit), "unit-keys")
+    return scratch.write(left.join(units, "key").select("unit", "doc_id", "component").distinct(), "units")
+
+
+def links_between(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
+    """Which sets of x and of y overlap enough, as a matrix, from shared shingles a bounded number at a time."""
+    sizes = [np.array([len(s) for s in side]) for side in (x, y)]
+    values, codes, counts = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)  # a shingle of one set alone is in no intersection
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    columns, owner = column[codes], np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes))
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(shared), width):
+        at = (columns >= lo) & (columns < lo + width)
+        m = np.zeros((len(x) + len(y), min(width, len(shared) - lo)), np.float32)
+        m[owner[at], columns[at] - lo] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    return (both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both))
+
+
+def confirm_in_blocks(units: DataFrame, texts: DataFrame, p: NearDedup, block: int = 128) -> DataFrame:
+    """Links (a, b) between different components of each unit. A unit's members are dealt into blocks of about so many;
+    a task compares two blocks at a time by their incidence with shared shingles, and emits links only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(p.shingle_words)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = [batch.column(k)[i].as_py() for k in range(2)]
+                sets = [[shingler(r["text"]) for r in side] for side in sides]
+                ids, parts = ([np.array([r[c] for r in side]) for side in sides] for c in ("doc_id", "component"))
+                good = links_between(*sets, p.percent) & (parts[0][:, None] != parts[1][None])
+                a, b = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][a]), pa.array(ids[1][b])], names=["a", "b"])
+
+    dealt = units.join(units.groupBy("unit").agg(F.count("*").alias("n")), "unit")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)))
+    blocks = dealt.join(texts, "doc_id").groupBy("unit", "block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("rows"))
+    x, y = (blocks.select("unit", F.col("block").alias(f"{n}_block"), F.col("rows").alias(n)) for n in "xy")
+    pairs = x.join(y, "unit").filter(F.col("x_block") <= F.col("y_block")).select("x", "y")
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -175,33 +238,13 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     members = scratch.write(rows.join(stars, "key"), "members")
     pairs = scratch.write(members.filter(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-0")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
+    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     links = scratch.write(confirm(pairs, texts, p), "links-0")
     parts = connected_components(links, scratch, "parts-0")
-    first, step, ranked = 2, 0, None
-    while True:
-        # members that no centre has been, in buckets where they still belong to several components
-        left = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        if step == 0:
-            left = left.filter(F.col("doc_id") != F.col("centre")).select("key", "doc_id", "component")
-        else:
-            left = left.join(ranked.select("key", "doc_id", "rank"), ["key", "doc_id"]).filter(F.col("rank") >= first).select("key", "doc_id", "component", "rank")
-        torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-        left = left.join(torn, "key", "left_semi")
-        if step == 0:  # the order within a bucket is set once, for the few buckets that need it
-            left = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) + 1)
-        left = scratch.write(left, f"left-{step}")
-        if left.isEmpty():
-            break
-        ranked = left if step == 0 else ranked
-        c = left.filter(F.col("rank") < 2 * first).select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        o = left.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        step += 1
-        more = c.join(o, "key").filter((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-        found = scratch.write(confirm(scratch.write(more, f"pairs-{step}"), texts, p), f"links-{step}")
-        links = scratch.write(links.unionByName(found), f"all-links-{step}")
-        parts = connected_components(links, scratch, f"parts-{step}")
-        first *= 2
+    rest = untested(members, parts, scratch)
+    if not rest.isEmpty():
+        found = scratch.write(confirm_in_blocks(rest, texts, p), "links-1")
+        parts = connected_components(links.unionByName(found), scratch, "parts-1")
     scratch.drop("members", "texts")
     out = signed.join(reps, ["h0", "h1"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
