@@ -53,3 +53,15 @@ def text_or_empty(name: str = "text") -> Column:
 def n_words(text: Column) -> Column:
     """Number of words: the text's pieces between white space that are not empty (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table doesn't have, whatever columns it brings."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+        have.add(name.lower())
+    return out

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, n_words
+from siltstone.llm.common import Scratch, fresh, n_words
 
 
 @dataclass(frozen=True)
@@ -118,9 +118,10 @@ def with_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     spread evenly, rounded up.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    taken = fair_mix(docs, mix).groupBy(F.col("source").alias("_source"), F.col("place").alias("_place")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = scratch.write(taken.filter(F.col("_copies") > 0), "taken")
-    keyed = docs.withColumns({"_own": F.col("source"), "_at": place(mix)})
-    out = keyed.join(taken, (F.col("_at") == F.col("_place")) & F.col("_own").eqNullSafe(F.col("_source")))
-    n = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    of, at, copies, rows, own, here, i = fresh(docs, "_source", "_place", "_copies", "_rows", "_own", "_at", "_i")
+    taken = fair_mix(docs, mix).groupBy(F.col("source").alias(of), F.col("place").alias(at)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    taken = scratch.write(taken.filter(F.col(copies) > 0), "taken")
+    keyed = docs.withColumns({own: F.col("source"), here: place(mix)})
+    out = keyed.join(taken, (F.col(here) == F.col(at)) & F.col(own).eqNullSafe(F.col(of)))
+    n = F.ceil(F.col(copies) / F.col(rows)).cast("int")
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)

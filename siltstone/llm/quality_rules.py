@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import SPACE, WORD, Scratch, text_or_empty
+from siltstone.llm.common import SPACE, WORD, Scratch, fresh, text_or_empty
 
 # Common function words of four languages.
 COMMON_WORDS = (
@@ -173,7 +173,8 @@ def without_rejected(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
     The verdict is joined on doc_id and the text's hash, so that rows that share an id are judged one by one.
     """
     scratch = Scratch(docs.sparkSession, "rejected")
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(text_or_empty())})
-    bad = scratch.write(judge(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct(), "bad")
-    gone = keyed["_id"].eqNullSafe(bad["_bad_id"]) & (keyed["_text"] == bad["_bad_text"])
-    return keyed.join(bad, gone, "left_anti").drop("_id", "_text")
+    own_id, own_text, bad_id, bad_text = fresh(docs, "_id", "_text", "_bad_id", "_bad_text")
+    bad = judge(docs, rules).filter(~F.col("kept")).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text)).distinct()
+    bad = scratch.write(bad, "bad")
+    keyed = docs.withColumns({own_id: F.col("doc_id"), own_text: F.xxhash64(text_or_empty())})
+    return keyed.join(bad, F.col(own_id).eqNullSafe(F.col(bad_id)) & (F.col(own_text) == F.col(bad_text)), "left_anti").drop(own_id, own_text)
