@@ -126,8 +126,10 @@ def check_roots(roots: DataFrame, active: DataFrame | None = None, bound: int =
         raise EngineError("coverage_set_empty")
     if n > bound:
         raise EngineError("coverage_set_too_large")
-    both = roots.select("root_id", "path_key", F.lit(True).alias("new")).unionByName(active.select("root_id", "path_key", F.lit(False).alias("new"))) if active is not None else roots.withColumn("new", F.lit(True))
-    if not root_overlaps(both).join(both.filter("new").select("root_id"), (F.col("ancestor_id") == F.col("root_id")) | (F.col("descendant_id") == F.col("root_id")), "left_semi").isEmpty():
+    tagged = lambda df, tag: df.select(F.concat(F.lit(tag), F.col("root_id").cast("string")).alias("root_id"), "path_key")
+    new = tagged(roots, "new ")
+    both = new if active is None else new.unionByName(tagged(active, "active "))
+    if not root_overlaps(both).filter(F.startswith("ancestor_id", F.lit("new ")) | F.startswith("descendant_id", F.lit("new "))).isEmpty():
         raise EngineError("coverage_root_overlap")
     return roots
 

@@ -14,7 +14,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -368,7 +367,6 @@ EXTRACTED = (
     "path string, media string, status string, error_code string, ordinal long, text string, provenance_kind string, source_byte_start long, source_byte_end long, "
     "source_unit_number long, source_cell_reference string, source_fragment_index long, image_format string, pixel_width int, pixel_height int"
 )
-_NAMES = [x.split()[0] for x in EXTRACTED.split(", ")]
 
 
 def _extract(path: str, media: str | None, content: bytes, limits: Limits) -> list[dict]:
@@ -398,17 +396,15 @@ def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Chunks and image facts of files (path, content): a row for each chunk or image, or one that says why there is none.
     A file fails as a whole: no chunk of it appears beside an error."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in EXTRACTED.split(", "))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for path, media, content in batch.itertuples(index=False, name=None) for r in _extract(path, media, bytes(content), limits)]
-            out = pd.DataFrame(rows, columns=_NAMES)
-            for c in ("ordinal", "source_byte_start", "source_byte_end", "source_unit_number", "source_fragment_index"):
-                out[c] = out[c].astype("Int64")
-            for c in ("pixel_width", "pixel_height"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    return files.select("path", media_kind(filename(F.col("path"))).alias("media"), "content").mapInPandas(run, EXTRACTED)
+            for path, media, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_pylist(_extract(path.as_py(), media.as_py(), content.as_py(), limits), schema=schema)
+
+    return files.select("path", media_kind(filename(F.col("path"))).alias("media"), "content").mapInArrow(run, EXTRACTED)
 
 
 def read_files(spark: SparkSession, root: str, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
