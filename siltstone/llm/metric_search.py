@@ -38,7 +38,7 @@ from siltstone.llm.common import Scratch
 @dataclass(frozen=True)
 class MetricSearch:
     k: int = 5
-    page: int = 48
+    page: int = 256
     shard_rows: int = 8192
     query_block: int = 256
 
