@@ -153,3 +153,18 @@ def schedule(events: DataFrame, now_ms: int, scopes: int = 4) -> DataFrame:
 def next_wake(now_ms: int, *times: Column) -> Column:
     """The earliest of deadlines, retries and polls, but no sooner than 50 ms from now."""
     return F.greatest(F.lit(now_ms + 50).cast("long"), F.least(*times))
+
+
+def with_overflow(hints: DataFrame, control: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Hints and, for each overflow or source error (observed_at_unix_ms), a hint that widens every scope."""
+    lost = control.select("observed_at_unix_ms").join(scopes.select("scope_id").distinct())  # few control rows, every scope
+    return hints.select("scope_id", "path", "observed_kind", "observed_at_unix_ms").unionByName(lost.select("scope_id", F.lit(None).cast("string").alias("path"), F.lit("missing").alias("observed_kind"), "observed_at_unix_ms"))
+
+
+def cycle_report(events: DataFrame, now_ms: int) -> DataFrame:
+    """One row on a cycle's events: how many wait, are due, are widened, and when to wake next."""
+    due = F.col("due_at_unix_ms") <= now_ms
+    return events.agg(
+        F.count("*").alias("events"), F.count_if(due).alias("due"), F.count_if(~due).alias("waiting"), F.count_if("widened").alias("widened"), F.count_if(F.col("kind") == "file_delta").alias("file_deltas"),
+        F.greatest(F.lit(now_ms + 50).cast("long"), F.min(F.when(~due, F.col("due_at_unix_ms")))).alias("next_wake_unix_ms"),
+    )
