@@ -141,8 +141,8 @@ def distances(df: DataFrame) -> DataFrame:
     })
     rest = _part("greatest(1 - wd.p, 0D)", "greatest(1 - rq, 0D)")
     return df.withColumns({
-        "class_distance": F.expr("sqrt(greatest(cd / 2, 0D))"),
-        "word_distance": F.expr(f"sqrt(greatest((wd.d + greatest(rq - wd.q, 0D) + {rest}) / 2, 0D))"),
+        "class_distance": F.expr("IF(ref_classes IS NULL, NULL, sqrt(greatest(cd / 2, 0D)))"),
+        "word_distance": F.expr(f"IF(ref_classes IS NULL, NULL, sqrt(greatest((wd.d + greatest(rq - wd.q, 0D) + {rest}) / 2, 0D)))"),
     }).drop("cd", "wd", "rq")
 
 
