@@ -22,6 +22,27 @@ def op1(r: QualityRules = QualityRules()) -> str:
     listed = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON_WORDS))
     n = lambda kept: f"length(regexp_replace(t, '[^{kept}]', '', 'g'))"
     distance = " + ".join(_part(f"(b.{c} / greatest(b.n_chars, 1))", f"r.{c}") for c in CLASSES)
+    whole = f"NOT base_failed AND lang IS NOT NULL AND n_words >= {r.min_words_for_histogram}"
+
+    def far(i: int, limit: str) -> str:
+        return (
+            f"(coalesce(n_chars >= {r.min_chars} AND class_distance{i} > {limit}, FALSE) OR coalesce(n_words >= {r.min_words_for_histogram} "
+            f"AND word_distance{i} > {r.max_word_distance} + sqrt({r.word_noise} / greatest(n_words, 1)), FALSE))"
+        )
+
+    def level(i: int, fine: str) -> str:
+        """References from some documents, and all documents' distances from them."""
+        return f"""
+fine{i} AS ({fine}),
+ref{i} AS (SELECT lang, count(*) AS n_docs, {", ".join(f"avg({c} / n_chars) AS {c}" for c in CLASSES)} FROM fine{i} GROUP BY lang HAVING count(*) >= {r.min_reference_documents}),
+refw{i} AS (SELECT lang, word, sum(n / n_words) / any_value(n_docs) AS q FROM fine{i} JOIN common USING (doc_id) JOIN (SELECT lang, n_docs FROM ref{i}) USING (lang) GROUP BY lang, word),
+rq{i} AS (SELECT lang, sum(q) AS rq FROM refw{i} GROUP BY lang),
+cd{i} AS (SELECT b.doc_id, sqrt(({distance}) / 2) AS class_distance{i} FROM b JOIN ref{i} r USING (lang)),
+hit{i} AS (SELECT b.doc_id, sum({_part("(c.n / b.n_words)", "coalesce(q, 0)")}) AS part, sum(c.n / b.n_words) AS p, sum(coalesce(q, 0)) AS q FROM b JOIN common c USING (doc_id) JOIN ref{i} USING (lang)
+  LEFT JOIN refw{i} w ON w.lang = b.lang AND w.word = c.word GROUP BY b.doc_id),
+wd{i} AS (SELECT doc_id, sqrt(greatest((coalesce(part, 0) + greatest(rq - coalesce(q, 0), 0) + {_part("greatest(1 - coalesce(p, 0), 0)", "greatest(1 - rq, 0)")}) / 2, 0)) AS word_distance{i}
+  FROM (SELECT b.doc_id, part, p, q, coalesce(rq, 0) AS rq FROM b JOIN ref{i} USING (lang) LEFT JOIN rq{i} USING (lang) LEFT JOIN hit{i} USING (doc_id)))"""
+
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORDS}') AS w FROM d),
@@ -33,18 +54,11 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id,
 b AS (SELECT c.*, n_chars - lower - upper - digit - space - symbol - mark AS other, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   n_words < {r.min_words} OR 100 * coalesce(n_repeat_words, 0) > {r.max_repeat_percent} * n_words AS base_failed FROM c LEFT JOIN rep USING (doc_id)),
 common AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM w) WHERE word IN ({listed}) GROUP BY ALL),
-fine AS (SELECT * FROM b WHERE NOT base_failed AND lang IS NOT NULL AND n_words >= {r.min_words_for_histogram}),
-ref AS (SELECT lang, count(*) AS n_docs, {", ".join(f"avg({c} / n_chars) AS {c}" for c in CLASSES)} FROM fine GROUP BY lang HAVING count(*) >= {r.min_reference_documents}),
-refw AS (SELECT lang, word, sum(n / n_words) / any_value(n_docs) AS q FROM fine JOIN common USING (doc_id) JOIN (SELECT lang, n_docs FROM ref) USING (lang) GROUP BY lang, word),
-rq AS (SELECT lang, sum(q) AS rq FROM refw GROUP BY lang),
-cd AS (SELECT b.doc_id, sqrt(({distance}) / 2) AS class_distance FROM b JOIN ref r USING (lang)),
-hit AS (SELECT b.doc_id, sum({_part("(c.n / b.n_words)", "coalesce(q, 0)")}) AS part, sum(c.n / b.n_words) AS p, sum(coalesce(q, 0)) AS q FROM b JOIN common c USING (doc_id) JOIN ref USING (lang) LEFT JOIN refw ON refw.lang = b.lang AND refw.word = c.word GROUP BY b.doc_id),
-wd AS (SELECT doc_id, sqrt(greatest((coalesce(part, 0) + greatest(rq - coalesce(q, 0), 0) + {_part("greatest(1 - coalesce(p, 0), 0)", "greatest(1 - rq, 0)")}) / 2, 0)) AS word_distance
-  FROM (SELECT b.doc_id, part, p, q, coalesce(rq, 0) AS rq FROM b JOIN ref USING (lang) LEFT JOIN rq USING (lang) LEFT JOIN hit USING (doc_id)))
+{level(0, f"SELECT * FROM b WHERE {whole}")},
+{level(1, f"SELECT b.* FROM b LEFT JOIN cd0 USING (doc_id) LEFT JOIN wd0 USING (doc_id) WHERE {whole} AND NOT {far(0, str(r.trim_class_distance))}")}
 SELECT b.doc_id, n_words, CAST(n_chars - space AS BIGINT) AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_chars >= {r.min_chars} AND class_distance > {r.max_class_distance}, FALSE)
-  AND NOT coalesce(n_words >= {r.min_words_for_histogram} AND word_distance > {r.max_word_distance} + sqrt({r.word_noise} / greatest(n_words, 1)), FALSE) AS kept
-FROM b LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+  NOT base_failed AND NOT {far(1, f"{r.max_class_distance} + sqrt({r.class_noise} / greatest(n_chars, 1))")} AS kept
+FROM b LEFT JOIN cd1 USING (doc_id) LEFT JOIN wd1 USING (doc_id)"""
 
 
 def op6(k: int = 3, percent: int = 85) -> str:

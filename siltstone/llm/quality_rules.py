@@ -3,9 +3,9 @@
 Each document gets two histograms: over character classes, and over a language's common words (plus one bucket for all
 other words). Both are compared with the references of the document's language by Jensen-Shannon distance (base 2, so
 0 to 1). References are fitted on the corpus itself: the mean histogram of all documents of a language that pass the
-base rules. A document is rejected when a distance exceeds its threshold; guards leave texts alone that have too few
-characters or words for the histogram to mean anything, and languages with too few documents for a reference. A histogram over n words scatters around its reference by about
-sqrt(1 / n), so the word threshold is max_word_distance + sqrt(word_noise / n_words).
+base rules, then once more without those that lie far from the first mean, as junk would pull it. A document is rejected when a distance exceeds its threshold; guards leave texts alone that have too few
+characters or words for the histogram to mean anything, and languages with too few documents for a reference. A histogram over n items scatters around its reference by about
+sqrt(1 / n), so a threshold is a base value plus sqrt(noise / n), n being the characters or words.
 
 Defined edge cases: a null or empty text has no words and fails the base rules; a null or unknown language without a
 reference is judged by the base rules alone; repeated rows are judged alike; an empty table gives an empty result;
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import SPACE, WORD, Scratch, fresh, text_or_empty
@@ -38,9 +38,11 @@ class QualityRules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_class_distance: float = 0.3
-    max_word_distance: float = 0.18
-    word_noise: float = 4.0
+    max_class_distance: float = 0.18
+    class_noise: float = 0.5
+    max_word_distance: float = 0.2
+    word_noise: float = 8.0
+    trim_class_distance: float = 0.3
     min_chars: int = 200
     min_words_for_histogram: int = 50
     min_reference_documents: int = 20
@@ -146,6 +148,15 @@ def distances(df: DataFrame) -> DataFrame:
     }).drop("cd", "wd", "rq")
 
 
+def far(rules: QualityRules, class_limit: Column | None = None) -> Column:
+    """Whether a distance exceeds its threshold, on texts long enough to tell; false without a reference."""
+    noise = lambda c, n: F.sqrt(F.lit(c) / F.greatest(F.col(n), F.lit(1)))
+    class_limit = rules.max_class_distance + noise(rules.class_noise, "n_chars") if class_limit is None else class_limit
+    by_class = (F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > class_limit)
+    by_word = (F.col("n_words") >= rules.min_words_for_histogram) & (F.col("word_distance") > rules.max_word_distance + noise(rules.word_noise, "n_words"))
+    return F.coalesce(by_class, F.lit(False)) | F.coalesce(by_word, F.lit(False))
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, text_hash, the base counts, base_failed, kept, class_distance, word_distance.
 
@@ -154,12 +165,12 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame
     """
     scratch = Scratch(docs.sparkSession, "quality")
     judged = judge_base(scratch.write(features(docs), "features"), rules).withColumn("n_chars", F.expr("aggregate(classes, 0L, (a, x) -> a + x)"))
-    refs = scratch.write(references(judged, rules), "references") if refs is None else refs
+    if refs is None:
+        first = scratch.write(references(judged, rules), "first-references")
+        near = ~far(rules, F.lit(rules.trim_class_distance))
+        refs = scratch.write(references(distances(judged.join(first, "lang", "left")).filter(near).select(*judged.columns), rules), "references")
     df = distances(judged.join(refs, "lang", "left"))
-    limit = rules.max_word_distance + F.sqrt(rules.word_noise / F.greatest("n_words", F.lit(1)))
-    far = F.coalesce((F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance), F.lit(False))
-    far = far | F.coalesce((F.col("n_words") >= rules.min_words_for_histogram) & (F.col("word_distance") > limit), F.lit(False))
-    return df.withColumn("kept", ~F.col("base_failed") & ~far)
+    return df.withColumn("kept", ~F.col("base_failed") & ~far(rules))
 
 
 def apply_rules(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame | None = None) -> DataFrame:

@@ -46,28 +46,31 @@ def kept_by_rules(rows):
         t = text or ""
         c = base_counts(t)
         info.append((t, lang, c[0], c[0] < RULES.min_words or 100 * c[4] > RULES.max_repeat_percent * c[0]))
-    per = defaultdict(list)
-    for t, lang, n, failed in info:
-        if not failed and lang is not None and n >= RULES.min_words_for_histogram:
-            per[lang].append(t)
-    refs = {}
-    for lang, texts in per.items():
-        if len(texts) >= RULES.min_reference_documents:
-            hc = np.mean([np.array(classes(t)) / len(t) for t in texts], axis=0)
-            hw = defaultdict(float)
-            for t in texts:
-                for k, v in histogram(t).items():
-                    hw[k] += v / len(texts)
-            refs[lang] = dict(enumerate(hc)), dict(hw)
-    out = []
-    for r, (t, lang, n, failed) in zip(rows, info):
-        far = False
-        if not failed and lang in refs:
-            far = len(t) >= RULES.min_chars and distance({k: v / len(t) for k, v in enumerate(classes(t))}, refs[lang][0]) > RULES.max_class_distance
-            far = far or distance(histogram(t), refs[lang][1]) > RULES.max_word_distance + math.sqrt(RULES.word_noise / n)
-        if not failed and not far:
-            out.append(r)
-    return out
+    def fit(chosen):
+        per, refs = defaultdict(list), {}
+        for t, lang, n, failed in chosen:
+            if not failed and lang is not None and n >= RULES.min_words_for_histogram:
+                per[lang].append(t)
+        for lang, texts in per.items():
+            if len(texts) >= RULES.min_reference_documents:
+                hc = np.mean([np.array(classes(t)) / len(t) for t in texts], axis=0)
+                hw = defaultdict(float)
+                for t in texts:
+                    for k, v in histogram(t).items():
+                        hw[k] += v / len(texts)
+                refs[lang] = dict(enumerate(hc)), dict(hw)
+        return refs
+
+    def far(x, refs, limit):
+        t, lang, n, _ = x
+        if lang not in refs or not n:
+            return False
+        by_class = len(t) >= RULES.min_chars and distance({k: v / len(t) for k, v in enumerate(classes(t))}, refs[lang][0]) > limit(len(t))
+        return by_class or n >= RULES.min_words_for_histogram and distance(histogram(t), refs[lang][1]) > RULES.max_word_distance + math.sqrt(RULES.word_noise / n)
+
+    first = fit(info)
+    refs = fit([x for x in info if not far(x, first, lambda n: RULES.trim_class_distance)])
+    return [r for r, x in zip(rows, info) if not x[3] and not far(x, refs, lambda n: RULES.max_class_distance + math.sqrt(RULES.class_noise / n))]
 
 
 def without_near(rows):
