@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class PuQuality:
     threshold: float = 0.7
 
 
-N_SHAPE = 10
+N_SHAPE = 11
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>{}[]\\/=+~^_@")] = True
 _BYTES = np.arange(256)
@@ -55,7 +56,7 @@ def features(text: bytes | None, pairs: int) -> np.ndarray:
         out[:pairs] = np.sqrt(np.bincount(slot, minlength=pairs)[:pairs] / (len(b) - 1))
     words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
     out[pairs : pairs + 6] = _KINDS @ np.bincount(b, minlength=256) / max(1, len(b))
-    out[pairs + 6 :] = (np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), not words)
+    out[pairs + 6 :] = (np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), not words, sum(map(eq, words, words[1:])) / max(1, len(words)))
     return out
 
 
