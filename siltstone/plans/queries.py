@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.functions import text as X
-from siltstone.operators import evaluation, graph, journal, manifest, privacy, relations
+from siltstone.operators import actions, evaluation, graph, journal, manifest, privacy, relations
 from siltstone.operators import search as S
 from siltstone.session import table
 from siltstone.sources import content, listing
@@ -664,6 +664,151 @@ def purge_closure(spark: SparkSession, d: str) -> DataFrame:
     return privacy.impact({"content_chunks": chunks, "locations": locations, "file_relations": pairs}, nodes)
 
 
+# ---- further operators -----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT l_suppkey AS case_id, CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS position, l_returnflag || l_linestatus AS text, l_linenumber AS x, CAST(l_quantity AS BIGINT) AS w FROM lineitem)
+SELECT CAST(case_id AS BIGINT) AS case_id, text, x AS x_ppm, w AS width_ppm, CAST(min(position) AS BIGINT) AS position FROM o GROUP BY ALL"""
+)
+def distinct_observations(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "lineitem").select(
+        long("l_suppkey", "case_id"), (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("position"), F.concat("l_returnflag", "l_linestatus").alias("text"),
+        F.col("l_linenumber").alias("x_ppm"), F.lit(0).alias("y_ppm"), F.col("l_quantity").cast("long").alias("width_ppm"), F.lit(10).alias("height_ppm"),
+    )
+    return evaluation.distinct_observations(o).select("case_id", "text", "x_ppm", "width_ppm", long("position", "position"))
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS plan_id, CAST(floor(o_totalprice) AS BIGINT) % 5 AS request_id, CAST(min(o_orderkey) AS BIGINT) AS sequence FROM orders GROUP BY ALL")
+def idempotent_commands(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "orders").select(long("o_custkey", "plan_id"), (F.floor("o_totalprice").cast("long") % 5).alias("request_id"), long("o_orderkey", "sequence"))
+    return journal.idempotent(c)
+
+
+@query(
+    """WITH old AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT CAST(o.o_custkey AS BIGINT) AS plan_id, CAST(o_orderkey AS BIGINT) AS created_at_unix_ms, CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderkey) + coalesce(n, 0) AS BIGINT) AS sequence
+FROM orders o LEFT JOIN old USING (o_custkey) WHERE o_orderstatus <> 'F'"""
+)
+def next_sequences(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(long("o_custkey", "plan_id"), long("o_orderkey", "created_at_unix_ms"), "o_orderstatus")
+    w = Window.partitionBy("plan_id").orderBy("created_at_unix_ms")
+    old = o.filter("o_orderstatus = 'F'").withColumn("sequence", F.row_number().over(w).cast("long"))
+    return journal.next_sequences(old, o.filter("o_orderstatus <> 'F'").drop("o_orderstatus"))
+
+
+@query(
+    f"""WITH {JOURNAL_SQL},
+e AS (SELECT plan_id, sequence, kind, CASE WHEN kind = 'preview_created' THEN NULL WHEN sequence % 13 = 0 THEN 99 ELSE 1 + sequence // 40 END AS cmd FROM j),
+l AS (SELECT *, lag(cmd) OVER (PARTITION BY plan_id ORDER BY sequence) AS before FROM e),
+c AS (SELECT l.*, CASE WHEN cmd IS NULL OR cmd = 99 THEN NULL ELSE (cmd - 1) * 40 + 2 END AS requested FROM l),
+v AS (SELECT plan_id, sequence, CASE WHEN kind = 'preview_created' THEN NULL WHEN requested IS NULL THEN 'command_missing' WHEN ends_with(kind, '_requested') AND sequence <> requested THEN 'command_sequence_mismatch'
+  WHEN NOT ends_with(kind, '_requested') AND cmd IS DISTINCT FROM before THEN 'command_changed' END AS code FROM c)
+SELECT CAST(plan_id AS BIGINT) AS plan_id, CAST(sequence AS BIGINT) AS sequence, code FROM v WHERE code IS NOT NULL"""
+)
+def command_violations(spark: SparkSession, d: str) -> DataFrame:
+    command = F.when(F.col("event_kind") == "preview_created", F.lit(None)).when(F.col("sequence") % 13 == 0, 99).otherwise(1 + F.floor(F.col("sequence") / 40)).cast("long")
+    e = journal_events(spark, d).withColumn("command_request_id", command)
+    c = e.filter("command_request_id <> 99").select("plan_id", F.col("command_request_id").alias("request_id"), ((F.col("command_request_id") - 1) * 40 + 2).alias("requested_sequence")).distinct()
+    return journal.command_violations(e, c)
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey, l_linenumber, ['queued', 'running', 'interrupted', 'completed', 'failed'][CAST(l_quantity AS INTEGER) % 5 + 1] AS status FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber * 100000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY status) AS sequence, status FROM e),
+t AS (SELECT l_orderkey, arg_min(status, sequence) FILTER (status IN ('completed', 'failed')) AS ended, arg_max(status, sequence) AS latest FROM s GROUP BY 1)
+SELECT CAST(l_orderkey AS BIGINT) AS job_id, coalesce(ended, latest) AS status FROM t"""
+)
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in ("queued", "running", "interrupted", "completed", "failed")]), (F.col("l_quantity").cast("int") % 5 + 1))
+    e = table(spark, d, "lineitem").select(long("l_orderkey", "job_id"), "l_linenumber", status.alias("status"))
+    at = F.row_number().over(Window.partitionBy("job_id", "l_linenumber").orderBy("status"))
+    return manifest.job_state(e.withColumn("sequence", F.col("l_linenumber") * 100_000 + at))
+
+
+@query(
+    """SELECT CASE p_partkey % 3 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'version' ELSE 'screenshot_group' END AS kind, CAST(p_partkey AS BIGINT) AS source_id, CAST(t AS BIGINT) AS target_node_id, CAST(k AS BIGINT) AS keeper_node_id, FALSE AS action_authorized
+FROM part, LATERAL (SELECT p_partkey + 1 AS t, p_partkey + 2 AS k WHERE p_partkey % 3 < 2 UNION ALL SELECT p_partkey + 2, p_partkey + 1 WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + i, NULL FROM range(1, 3) r(i) WHERE p_partkey % 3 = 2)"""
+)
+def cleanup_targets(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 3, F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in relations.INBOX_KINDS]), (k + 1).cast("int"))
+    s = table(spark, d, "part").select(kind.alias("kind"), long("p_partkey", "source_id"), F.when(k < 2, long(n + 1, "x")).alias("left_node_id"), F.when(k < 2, long(n + 2, "x")).alias("right_node_id"), F.when(k == 2, F.array(long(n + 1, "x"), long(n + 2, "x"))).alias("members"))
+    return relations.cleanup_targets(s)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, '/s' || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END || '/' || replace(p_name, ' ', '-') AS source, replace(p_name, ' ', '-') AS name,
+  CASE p_partkey % 4 WHEN 0 THEN upper(replace(p_name, ' ', '-')) WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN p_name || '?' ELSE 'new-' || p_name END AS new_name, p_partkey % 7 = 0 AS taken FROM part)
+SELECT CAST(p_partkey AS BIGINT) AS request_id, '/s' || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END || '/' || new_name AS destination_path, CASE WHEN p_partkey % 4 = 0 THEN 'staged' ELSE 'direct' END AS strategy,
+  CASE WHEN p_partkey % 5 = 0 THEN 'action_source_outside_scope' WHEN p_partkey % 4 = 2 THEN 'action_name_not_portable' WHEN p_partkey % 4 = 1 THEN 'action_name_unchanged' WHEN taken AND p_partkey % 4 <> 0 THEN 'action_destination_exists' END AS error_code FROM r"""
+)
+def rename_previews(spark: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    new = F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, name).when(k % 4 == 2, F.concat("p_name", F.lit("?"))).otherwise(F.concat(F.lit("new-"), "p_name"))
+    r = table(spark, d, "part").select(long("p_partkey", "request_id"), F.lit("/s").alias("scope_root"), F.concat(F.when(k % 5 == 0, "/sx/").otherwise("/s/"), name).alias("source_path"), new.alias("new_name"), F.lit(1).cast("long").alias("size_bytes"), (k % 7 == 0).alias("destination_exists"))
+    return actions.rename_previews(r).select("request_id", "destination_path", "strategy", "error_code")
+
+
+@query("SELECT CAST(arg_max(event_id, (ts, event_id)) AS BIGINT) AS id, CAST(user_id AS BIGINT) AS relation_id FROM events GROUP BY user_id")
+def latest_observations(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "events").select(long("event_id", "id"), long("user_id", "relation_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("observed_at_unix_ms"))
+    return actions.latest_observation(o).select("id", "relation_id")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS group_id, count(*) AS member_count, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_bytes FROM orders GROUP BY 1")
+def group_totals(spark: SparkSession, d: str) -> DataFrame:
+    return actions.group_totals(table(spark, d, "orders").select(long("o_custkey", "group_id"), long(F.round(F.col("o_totalprice") * 100), "size_bytes")))
+
+
+@query("SELECT count(*) AS evaluated, count(*) FILTER (event_type = 'view') AS not_current, count(*) FILTER (event_type = 'error') = 0 AS complete FROM events")
+def inbox_counters(spark: SparkSession, d: str) -> DataFrame:
+    outcome = F.when(F.col("event_type") == "view", "not_current").when(F.col("event_type") == "error", "io_error").otherwise("current")
+    return relations.inbox_counters(table(spark, d, "events").select(outcome.alias("outcome")))
+
+
+@query(
+    "WITH" + PAGES_SQL + """, s AS (SELECT DISTINCT scope_id * 1000 + length(path_key) AS scope_id, regexp_extract(path_key, '^[^/]+/[^/]+') AS root FROM pages_ WHERE node_id % 9 = 0)
+SELECT CAST(s.scope_id AS BIGINT) AS scope_id, path_key AS path, CAST(node_id AS BIGINT) AS observed_at_unix_ms FROM pages_ p JOIN s ON path_key = root OR starts_with(path_key, root || '/')"""
+)
+def hint_routing(spark: SparkSession, d: str) -> DataFrame:
+    p = page_locations(spark, d)
+    scopes = p.filter("node_id % 9 = 0").select((F.col("scope_id") * 1000 + F.char_length("path_key")).alias("scope_id"), F.regexp_extract("path_key", "^[^/]+/[^/]+", 0).alias("path_key")).distinct()
+    return watch.routed(p.select(F.col("path_key").alias("path"), F.col("node_id").alias("observed_at_unix_ms")), scopes).select("scope_id", "path", "observed_at_unix_ms")
+
+
+@query(
+    """SELECT count(*) AS events, count(*) FILTER (due <= 1704500000000) AS due, count(*) FILTER (due > 1704500000000) AS waiting, count(*) FILTER (user_id % 5 = 0) AS widened, count(*) FILTER (event_type <> 'error') AS file_deltas,
+  greatest(1704500000050, min(due) FILTER (due > 1704500000000)) AS next_wake_unix_ms FROM (SELECT user_id, event_type, epoch_us(ts) // 1000 AS due FROM events)"""
+)
+def watch_cycle(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(event_ms().alias("due_at_unix_ms"), (F.col("user_id") % 5 == 0).alias("widened"), F.when(F.col("event_type") == "error", "full_scope").otherwise("file_delta").alias("kind"))
+    return watch.cycle_report(e, 1_704_500_000_000)
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS id, l_suppkey AS path, l_returnflag <> 'R' AS delta FROM lineitem WHERE l_linenumber = 1), m AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS present, 1 + s_nationkey % 2 AS links FROM supplier)
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN delta AND present AND links = 1 THEN 'file_delta' ELSE 'full_scope' END AS kind FROM e LEFT JOIN m ON s_suppkey = path"""
+)
+def watch_deltas(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").filter("l_linenumber = 1").select(long("l_orderkey", "id"), F.lit(1).cast("long").alias("scope_id"), F.col("l_suppkey").cast("string").alias("path"), F.when(F.col("l_returnflag") != "R", "file_delta").otherwise("full_scope").alias("kind"), F.lit(b"i").alias("identity_key"))
+    m = table(spark, d, "supplier").select(F.lit(1).cast("long").alias("scope_id"), F.col("s_suppkey").cast("string").alias("path"), (F.col("s_suppkey") % 2 == 0).alias("present"), (1 + F.col("s_nationkey") % 2).alias("link_count"), F.lit(1).alias("locations"), F.lit(False).alias("scan_running"), F.lit(b"i").alias("identity_key"))
+    return watch.deltas(e, m).select("id", "kind")
+
+
+@query(
+    """WITH n AS (SELECT s_suppkey, s_nationkey, CASE s_suppkey % 4 WHEN 0 THEN NULL ELSE s_nationkey % 3 END AS v FROM supplier)
+SELECT CAST(a.s_suppkey AS BIGINT) AS left_id, CAST(b.s_suppkey AS BIGINT) AS right_id, CASE WHEN a.s_suppkey = b.s_suppkey THEN 'file_relation_same_file_identity' WHEN a.v IS NULL OR b.v IS NULL THEN 'file_version_name_unsupported'
+  WHEN a.s_nationkey <> b.s_nationkey THEN 'file_version_base_mismatch' WHEN a.v = b.v THEN 'file_version_number_equal' END AS code FROM n a JOIN n b ON b.s_suppkey = a.s_suppkey // 2"""
+)
+def version_codes(spark: SparkSession, d: str) -> DataFrame:
+    k, base = F.col("s_suppkey"), F.concat(F.lit("plan"), F.col("s_nationkey").cast("string"))
+    name = F.when(k % 4 == 0, F.concat(base, F.lit("-final.md"))).otherwise(F.concat(base, F.lit("-v"), (F.col("s_nationkey") % 3 + 1).cast("string"), F.lit(".md")))
+    n = table(spark, d, "supplier").select(long("s_suppkey", "id"), P.explicit_version(name).alias("v"))
+    a, b = n.select(F.col("id").alias("left_id"), F.col("v").alias("a"), F.floor(F.col("id") / 2).alias("right_id")), n.select(F.col("id").alias("right_id"), F.col("v").alias("b"))
+    return a.join(b, "right_id").select("left_id", "right_id", relations.version_code(F.col("left_id") == F.col("right_id"), F.col("a"), F.col("b")).alias("code"))
+
+
 # ---- fixtures -----------------------------------------------------------------------------------------------------
 
 
