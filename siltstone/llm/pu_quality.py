@@ -67,7 +67,7 @@ class Model:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x.astype(float) @ self.weights + self.bias, -30, 30)))
 
 
 def risk(out: np.ndarray, sign: int) -> float:
@@ -93,6 +93,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: PuQuality
     return Model(w, b, prior)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that a matrix of features stays small whatever the batch size is."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def held_out(doc_id="doc_id"):
     """Rows that are never learnt from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -111,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, p: PuQuality = PuQuality()) -> Mod
     width = p.pairs
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = [features(t.as_py(), width).astype(np.float16).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["positive", "x"])
 
@@ -132,7 +139,7 @@ def score_documents(docs: DataFrame, model: Model, p: PuQuality = PuQuality()) -
     """Per document: doc_id, score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([features(t.as_py(), p.pairs) for t in b.column(1)]).reshape(-1, p.pairs + N_SHAPE)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(model.scores(x))], names=["doc_id", "score"])
 
