@@ -55,7 +55,7 @@ b AS (SELECT c.*, n_chars - lower - upper - digit - space - symbol - mark AS oth
   n_words < {r.min_words} OR 100 * coalesce(n_repeat_words, 0) > {r.max_repeat_percent} * n_words AS base_failed FROM c LEFT JOIN rep USING (doc_id)),
 common AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM w) WHERE word IN ({listed}) GROUP BY ALL),
 {level(0, f"SELECT * FROM b WHERE {whole}")},
-{level(1, f"SELECT b.* FROM b LEFT JOIN cd0 USING (doc_id) LEFT JOIN wd0 USING (doc_id) WHERE {whole} AND NOT {far(0, str(r.trim_class_distance))}")}
+{level(1, f"SELECT b.* FROM b LEFT JOIN cd0 USING (doc_id) WHERE {whole} AND NOT coalesce(n_chars >= {r.min_chars} AND class_distance0 > {r.trim_class_distance}, FALSE)")}
 SELECT b.doc_id, n_words, CAST(n_chars - space AS BIGINT) AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT {far(1, f"{r.max_class_distance} + sqrt({r.class_noise} / greatest(n_chars, 1))")} AS kept
 FROM b LEFT JOIN cd1 USING (doc_id) LEFT JOIN wd1 USING (doc_id)"""

@@ -3,7 +3,7 @@
 Each document gets two histograms: over character classes, and over a language's common words (plus one bucket for all
 other words). Both are compared with the references of the document's language by Jensen-Shannon distance (base 2, so
 0 to 1). References are fitted on the corpus itself: the mean histogram of all documents of a language that pass the
-base rules, then once more without those that lie far from the first mean, as junk would pull it. A document is rejected when a distance exceeds its threshold; guards leave texts alone that have too few
+base rules, then once more without those whose characters lie far from the first mean, as junk would pull it. A document is rejected when a distance exceeds its threshold; guards leave texts alone that have too few
 characters or words for the histogram to mean anything, and languages with too few documents for a reference. A histogram over n items scatters around its reference by about
 sqrt(1 / n), so a threshold is a base value plus sqrt(noise / n), n being the characters or words.
 
@@ -148,11 +148,10 @@ def distances(df: DataFrame) -> DataFrame:
     }).drop("cd", "wd", "rq")
 
 
-def far(rules: QualityRules, class_limit: Column | None = None) -> Column:
+def far(rules: QualityRules) -> Column:
     """Whether a distance exceeds its threshold, on texts long enough to tell; false without a reference."""
     noise = lambda c, n: F.sqrt(F.lit(c) / F.greatest(F.col(n), F.lit(1)))
-    class_limit = rules.max_class_distance + noise(rules.class_noise, "n_chars") if class_limit is None else class_limit
-    by_class = (F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > class_limit)
+    by_class = (F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > rules.max_class_distance + noise(rules.class_noise, "n_chars"))
     by_word = (F.col("n_words") >= rules.min_words_for_histogram) & (F.col("word_distance") > rules.max_word_distance + noise(rules.word_noise, "n_words"))
     return F.coalesce(by_class, F.lit(False)) | F.coalesce(by_word, F.lit(False))
 
@@ -167,8 +166,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), refs: DataFrame
     judged = judge_base(scratch.write(features(docs), "features"), rules).withColumn("n_chars", F.expr("aggregate(classes, 0L, (a, x) -> a + x)"))
     if refs is None:
         first = scratch.write(references(judged, rules), "first-references")
-        near = ~far(rules, F.lit(rules.trim_class_distance))
-        refs = scratch.write(references(distances(judged.join(first, "lang", "left")).filter(near).select(*judged.columns), rules), "references")
+        junk = F.coalesce((F.col("n_chars") >= rules.min_chars) & (F.col("class_distance") > rules.trim_class_distance), F.lit(False))
+        refs = scratch.write(references(distances(judged.join(first, "lang", "left")).filter(~junk).select(*judged.columns), rules), "references")
     df = distances(judged.join(refs, "lang", "left"))
     return df.withColumn("kept", ~F.col("base_failed") & ~far(rules))
 

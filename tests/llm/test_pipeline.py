@@ -61,16 +61,18 @@ def kept_by_rules(rows):
                 refs[lang] = dict(enumerate(hc)), dict(hw)
         return refs
 
-    def far(x, refs, limit):
+    def class_distance(x, refs):
+        t, lang, _, _ = x
+        return distance({k: v / len(t) for k, v in enumerate(classes(t))}, refs[lang][0]) if lang in refs and len(t) >= RULES.min_chars else 0
+
+    def far(x, refs):
         t, lang, n, _ = x
-        if lang not in refs or not n:
-            return False
-        by_class = len(t) >= RULES.min_chars and distance({k: v / len(t) for k, v in enumerate(classes(t))}, refs[lang][0]) > limit(len(t))
-        return by_class or n >= RULES.min_words_for_histogram and distance(histogram(t), refs[lang][1]) > RULES.max_word_distance + math.sqrt(RULES.word_noise / n)
+        by_word = lang in refs and n >= RULES.min_words_for_histogram and distance(histogram(t), refs[lang][1]) > RULES.max_word_distance + math.sqrt(RULES.word_noise / n)
+        return by_word or class_distance(x, refs) > RULES.max_class_distance + math.sqrt(RULES.class_noise / max(1, len(t)))
 
     first = fit(info)
-    refs = fit([x for x in info if not far(x, first, lambda n: RULES.trim_class_distance)])
-    return [r for r, x in zip(rows, info) if not x[3] and not far(x, refs, lambda n: RULES.max_class_distance + math.sqrt(RULES.class_noise / n))]
+    refs = fit([x for x in info if class_distance(x, first) <= RULES.trim_class_distance])
+    return [r for r, x in zip(rows, info) if not x[3] and not far(x, refs)]
 
 
 def without_near(rows):
