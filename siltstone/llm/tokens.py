@@ -20,9 +20,10 @@ import regex
 
 # Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for Latin texts, words first, in a form that a faster engine takes; ODD finds what it would split otherwise.
-LATIN_SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[sdmt]|ll|ve|re)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-ODD = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: The same for texts up to U+024F, words first, with letters and numbers spelt out for a faster engine.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[sdmt]|ll|ve|re)| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 SPACED_WORD = regex.compile(r" \p{L}+")
 DEFAULT = "byte_bpe_50k.json"
 _OPEN: dict[tuple[str, int], CachedTokenizer] = {}
@@ -97,7 +98,7 @@ class CachedTokenizer:
             for i, b in zip(others, self.encode_many([texts[i] for i in others]), strict=True):
                 out[i] = b
             return out
-        split = [(SPLIT if ODD.search(t) else LATIN_SPLIT).findall(t) for t in texts]
+        split = [(SPLIT if BEYOND_LATIN.search(t) else LATIN_SPLIT).findall(t) for t in texts]
         if len(self.cache) > self.max_entries:  # the first seen are the common ones
             self.cache = _Known(islice(self.cache.items(), self.max_entries // 2))
         known, get = self.cache, self.cache.__getitem__

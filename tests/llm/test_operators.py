@@ -120,6 +120,13 @@ def test_cached_ids_equal_whole_text_ids(rows, plain):
         assert [t.encode(x) for x in texts] == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
 
+def test_every_latin_and_blank_character_splits_alike(plain):
+    t, blanks = tokens.open_tokenizer(None), [*range(0x2000, 0x2070), 0x1680, 0x180E, 0x3000, 0xFEFF, 0x660, 0x300, 0x2160, 0x3007, 0x4E00, 0x1F600]
+    for c in map(chr, [*range(0x300), *blanks]):
+        texts = [f"a{c}b", f"a {c} b", f"{c}{c}x", f" {c}", f"1{c}2{c}\n{c}y"]
+        assert t.encode_many(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts], hex(ord(c))
+
+
 def test_token_files_round_trip(spark, docs, rows, plain):
     for df in (docs, docs.repartitionByRange(3, "doc_id")):
         manifest = token_files.write_token_files(df, frame_tokens=500)
