@@ -55,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit shingle hashes; word hashes are cached up to a bound."""
 
-    def __init__(self, k: int, max_words: int = 500_000) -> None:
+    def __init__(self, k: int, max_words: int = 200_000) -> None:
         self.k, self.max_words, self.words = k, max_words, {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:

@@ -52,7 +52,7 @@ class _Known(dict):
 class CachedTokenizer:
     """encode(text): the text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, max_entries: int = 1_200_000) -> None:
+    def __init__(self, path: str, max_entries: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -114,7 +114,7 @@ class CachedTokenizer:
         return [b"".join(parts) for parts in found]
 
 
-def open_tokenizer(path: str | None, max_entries: int = 1_200_000) -> CachedTokenizer:
+def open_tokenizer(path: str | None, max_entries: int = 700_000) -> CachedTokenizer:
     """The worker's tokenizer for a path; loaded once per worker."""
     key = (tokenizer_path(path), max_entries)
     if key not in _OPEN:
