@@ -20,10 +20,11 @@ import regex
 
 # Fixed value: the published splitting pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for texts up to U+024F, words first, with letters and numbers spelt out for a faster engine.
+#: The same for texts up to U+024F, words first, with letters and numbers spelt out for a faster engine. Its white space
+#: has U+001C to U+001F too, the published pattern's has not, so texts that hold one of them are left to SPLIT.
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN_SPLIT = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[sdmt]|ll|ve|re)| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+BEYOND_LATIN = re.compile("[^\x00-\x1b\x20-\u024f]")
 SPACED_WORD = regex.compile(r" \p{L}+")
 DEFAULT = "byte_bpe_50k.json"
 _OPEN: dict[tuple[str, int], CachedTokenizer] = {}

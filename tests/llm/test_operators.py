@@ -127,6 +127,13 @@ def test_every_latin_and_blank_character_splits_alike(plain):
         assert t.encode_many(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts], hex(ord(c))
 
 
+def test_separators_are_no_white_space_to_the_tokenizer(plain):
+    t = tokens.open_tokenizer(None)
+    for c in map(chr, range(0x300)):
+        texts = [f"\n\n{c}x", f"\n\n{c}!", f"{c}'s", f"a{c}{c}'ll {c}", f" {c} {c}1", f"\n{c}\n{c} \n"]
+        assert t.encode_many(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts], hex(ord(c))
+
+
 def test_token_files_round_trip(spark, docs, rows, plain):
     for df in (docs, docs.repartitionByRange(3, "doc_id")):
         manifest = token_files.write_token_files(df, frame_tokens=500)
