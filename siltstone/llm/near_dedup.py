@@ -14,8 +14,9 @@ With b bands of r rows a pair of similarity s shares a bucket with probability 1
 above for the default 42 bands of 6.
 
 Defined edge cases: null and empty texts, and texts without words, have empty sets and are linked with nothing; a null
-doc_id takes no part and is kept, with a null component; rows that share a doc_id are linked each by its own text; an
-empty table gives an empty result; further columns are ignored.
+doc_id takes no part and is kept, with a null component; rows that share a doc_id are linked and judged each by its own
+text, and of a group's rows with the smallest doc_id those of one text are kept; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch
+from siltstone.llm.common import Scratch, fresh
 from siltstone.llm.components import connected_components
 
 U = np.uint64
@@ -111,17 +112,21 @@ class Signer:
         return mix((mix(signature).reshape(self.bands, self.rows) * self.weights).sum(axis=1, dtype=U) + self.salts)
 
 
-SIGNED = "doc_id long, n_shingles long, h0 long, h1 long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, h0 long, h1 long, bands array<long>"
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("binary"))
 
 
 def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """Per document: doc_id, n_shingles, two hashes of its set, and the band keys (none for an empty set)."""
+    """Per document: doc_id, its text's hash, n_shingles, two hashes of its set, and the band keys (none for an empty set)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(p.shingle_words), Signer(p.bands, p.rows)
         for batch in batches:
             n, h0, h1, keys, ends = [], [], [], [], [0]
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingler(text.as_py())
                 data = s.tobytes()
                 n.append(len(s))
@@ -133,9 +138,9 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             signed = lambda x: pa.array(np.array(x, dtype=U).view(np.int64))
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), signed(h0), signed(h1), bands], names=["doc_id", "n_shingles", "h0", "h1", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n, pa.int64()), signed(h0), signed(h1), bands], names=["doc_id", "text_hash", "n_shingles", "h0", "h1", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
@@ -225,20 +230,34 @@ def confirm_in_blocks(units: DataFrame, texts: DataFrame, p: NearDedup, block: i
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def numbered(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """reps with a number for each set: its representative's doc_id, or a 64-bit hash for further sets of the same doc_id."""
+    n, ids = reps.agg(F.count("*"), F.countDistinct("rep.doc_id")).head()
+    if n == ids:
+        return reps.withColumn("node", F.col("rep.doc_id"))
+    first = reps.groupBy("rep.doc_id").agg(F.min(F.struct("h0", "h1")).alias("first"))
+    own = F.struct("h0", "h1") == F.col("first")
+    node = F.when(own, F.col("doc_id")).otherwise(F.xxhash64(F.lit("node"), "doc_id", "h0", "h1"))
+    return scratch.write(reps.join(first, F.col("rep.doc_id") == F.col("doc_id")).select("h0", "h1", "rep", node.alias("node")), "numbered")
+
+
+def judge(docs: DataFrame, p: NearDedup) -> DataFrame:
+    """Per document: doc_id, text_hash, n_shingles, component_id, kept. Sets are linked by number, see :func:`numbered`."""
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.write(signatures(docs, p), "signed")
     sets = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = scratch.write(sets.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = numbered(scratch.write(sets.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")), "reps"), scratch)
     # one row a set and band; a bucket counts if it holds two representatives
-    own = sets.join(reps.select("h0", "h1", F.col("rep").alias("doc_id")), ["h0", "h1", "doc_id"], "left_semi")
-    rows = own.select("doc_id", F.explode("bands").alias("key"))
+    own = sets.join(reps.select("h0", "h1", "rep.doc_id", "rep.text_hash", "node"), ["h0", "h1", "doc_id", "text_hash"])
+    rows = own.select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
     stars = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter(F.col("centre") < F.col("last")).drop("last")
     members = scratch.write(rows.join(stars, "key"), "members")
     pairs = scratch.write(members.filter(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-0")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = reps.join(wanted, "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select(F.col("node").alias("doc_id"), "text")
+    texts = scratch.write(texts, "texts")
     links = scratch.write(confirm(pairs, texts, p), "links-0")
     parts = connected_components(links, scratch, "parts-0")
     rest = untested(members, parts, scratch)
@@ -246,17 +265,34 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
         found = scratch.write(confirm_in_blocks(rest, texts, p), "links-1")
         parts = connected_components(links.unionByName(found), scratch, "parts-1")
     scratch.drop("members", "texts")
-    out = signed.join(reps, ["h0", "h1"], "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    of_set = reps.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    if reps.filter(F.col("node") != F.col("rep.doc_id")).isEmpty():
+        heads = of_set.select("h0", "h1", "rep", F.col("part").alias("component"), (F.col("node") == F.col("part")).alias("is_head"))
+    else:  # a component's smallest number need not be its smallest doc_id
+        least = of_set.groupBy("part").agg(F.min("rep").alias("least"))
+        heads = of_set.join(least, "part").select("h0", "h1", "rep", F.col("least.doc_id").alias("component"), (F.col("rep") == F.col("least")).alias("is_head"))
+    out = signed.join(heads, ["h0", "h1"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (alone | (F.col("doc_id") == component)).alias("kept"))
+    chosen = F.col("is_head") & (F.struct("doc_id", "text_hash") == F.col("rep"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), (alone | chosen).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    return judge(docs, p).drop("text_hash")
 
 
 def without_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """The documents of which one is kept for each group, with all their columns; of rows that share a doc_id and a text
-    one stays."""
+    one stays, and every row with a null doc_id.
+
+    The verdict is joined on doc_id and the text's hash, so that rows that share an id are judged one by one."""
     scratch = Scratch(docs.sparkSession, "near-kept")
-    gone = scratch.write(near_duplicates(docs, p).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti")
+    own_text, gone_id, gone_text = fresh(docs, "_text", "_gone_id", "_gone_text")
+    gone = judge(docs, p).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)).distinct()
+    gone = scratch.write(gone, "gone")
+    out = docs.withColumn(own_text, text_hash()).join(gone, (F.col("doc_id") == F.col(gone_id)) & (F.col(own_text) == F.col(gone_text)), "left_anti").select(*docs.columns)
     n, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).head()
-    return (out if n == ids else out.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    if n == ids:
+        return out
+    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(out.filter(F.col("doc_id").isNull()))

@@ -313,6 +313,21 @@ def test_without_near_duplicates(docs, empty):
     assert near_dedup.without_near_duplicates(empty).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(100)) for _ in range(3))
+    rows = [(3, f"{a} x"), (5, a), (5, b), (7, b), (9, c), (9, f"{c} x"), (5, b), (None, c), (None, c), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pairs(near_dedup.without_near_duplicates(df), "doc_id", "text")
+    nines = {t for i, t in got if i == 9}
+    assert len(nines) == 1 and nines < {c, f"{c} x"}  # near duplicates under one id: one stays
+    assert got == Counter([(3, f"{a} x"), (5, b), *((9, t) for t in nines), (None, c), (None, c), (None, b)])
+    whole = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert whole == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, False), *[(None, None, True)] * 3])
+    alone = near_dedup.without_near_duplicates(spark.createDataFrame([(1, a), (None, c), (None, c)], "doc_id long, text string"))
+    assert pairs(alone, "doc_id", "text") == Counter([(1, a), (None, c), (None, c)])
+
+
 def test_densification_estimates_similarity():
     s = near_dedup.mix(np.arange(9, dtype=np.uint64) + np.uint64(5))
     signer = near_dedup.Signer(400, 1)
