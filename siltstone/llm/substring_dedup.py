@@ -1,8 +1,8 @@
-"""Suffix-array style dedup of long repeated byte strings: prefix doubling over sampled positions.
+"""Dedup of long repeated byte strings by content-defined anchors and fingerprints, in place of prefix doubling.
 
 Prefix doubling ranks positions by ever longer prefixes of their suffixes and drops a position once its rank is unique or
 its prefix has passed the threshold. Doing so at every byte needs a sort of all positions for each doubling, many times
-the text itself. Here positions enter sparsely and only where still undecided:
+the text itself. Here nothing doubles and no (position, rank) pairs are sorted: positions enter sparsely and only where still undecided:
 
 * A string of ``length`` bytes starting at p is represented by its anchor, the block of ``block`` bytes with the smallest
   hash within it. The anchor depends on the string's bytes alone, so equal strings have equal anchors at equal offsets.
