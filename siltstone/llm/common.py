@@ -46,6 +46,21 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", how: str = "left_semi", salts: int = 64) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, none of them null. ``right`` has each key once and in ``n`` how many rows
+    of ``left`` have it, at most; both are written tables.
+
+    Keys that hold a thousandth of the rows of ``left`` or more, so at most a thousand keys, are known to all tasks; rows
+    with one of them are dealt out over ``salts`` tasks, to each of which the key's one row of ``right`` goes.
+    """
+    least = max(1_000, left.count() // 1_000)
+    hot, salt = fresh(left, "_hot", "_salt")
+    known = F.broadcast(right.filter(F.col(n) >= least).select(*keys, F.lit(True).alias(hot)))
+    dealt = left.join(known, keys, "left").withColumn(salt, F.when(F.col(hot), F.monotonically_increasing_id() % salts).otherwise(0)).drop(hot)
+    copies = F.when(F.col(n) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    return dealt.join(right.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

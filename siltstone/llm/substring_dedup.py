@@ -14,13 +14,17 @@ the text itself. Here nothing doubles and no (position, rank) pairs are sorted:
   ranked. Unique cells drop out; cells whose whole span occurs again are repeated.
 * Rank 3: what is left is ranked start by start by the full ``length`` bytes.
 
-A rank is a class of equal 64-bit fingerprints, grouped by Spark at each level; two different strings share one with a
-probability of 2^-64. Groups are counted by partial aggregates and one member of a class stands for all, so a passage
-that a third of all documents share costs no more than others.
+A rank is a class of equal 64-bit fingerprints of block and string, grouped by Spark at each level; two different strings
+share both with a probability of 2^-128. Groups are counted by partial aggregates and one member of a class stands for
+all; joins on a block, span or string that very many rows have are dealt out over several tasks.
 
-Defined edge cases: null texts are empty; shorter texts than ``length`` lose nothing; a null doc_id is kept as such;
-repeated rows repeat each other's strings and get the same result; an empty table gives an empty result; further columns
-are ignored.
+Passages. A passage that documents share may be of many words and yet shorter than ``length`` bytes, so windows of
+``words`` words are looked up as well, by the same anchors over words instead of bytes, whatever white space parts them.
+A window counts if another document has it, too; nothing is removed for it.
+
+Defined edge cases: null texts are empty; shorter texts than ``length`` lose nothing, and texts of fewer words have no
+passage; a null doc_id is kept as such; repeated rows repeat each other's strings and get the same result, but are one
+document where passages are concerned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch
+from siltstone.llm.common import Scratch, skewed_join
 from siltstone.llm.near_dedup import mix
 
 U = np.uint64
@@ -49,8 +53,16 @@ class SubstringDedup:
     cell: int = 16
 
 
+@dataclass(frozen=True)
+class Passages:
+    """Windows of so many words, and the words of a block that may be their anchor."""
+
+    length: int = 51
+    block: int = 8
+
+
 class Fingerprints:
-    """64-bit fingerprints of byte ranges, from running sums of powers modulo 2^64."""
+    """64-bit fingerprints of ranges of bytes, or of words' hashes, from running sums of powers modulo 2^64."""
 
     def __init__(self, size: int) -> None:
         self.values = mix(np.arange(256, dtype=U) + U(99)) | U(1)
@@ -59,7 +71,7 @@ class Fingerprints:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, U)
-        np.cumsum(self.values[data] * self.powers[: len(data)], dtype=U, out=out[1:])
+        np.cumsum((self.values[data] if data.dtype == np.uint8 else data) * self.powers[: len(data)], dtype=U, out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -80,14 +92,15 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class Sampler:
-    """Rows (document, anchor, lo, hi, fingerprint of the anchor's block, fingerprint of the span) of documents."""
+    """Rows (document, anchor, lo, hi, fingerprint of the anchor's block, fingerprint of the span) of documents, each an
+    array of bytes or of words' hashes."""
 
-    def __init__(self, p: SubstringDedup, size: int = 1 << 20) -> None:
+    def __init__(self, p: SubstringDedup | Passages, size: int = 1 << 20) -> None:
         self.p, self.size = p, size
         self.prints = Fingerprints(size + 2 * p.length)
 
-    def groups(self, texts: Iterable[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-        """Runs of (document, offset, bytes) of bounded total size; long documents come in overlapping slices."""
+    def groups(self, texts: Iterable[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+        """Runs of (document, offset, slice) of bounded total size; long documents come in overlapping slices."""
         run, total = [], 0
         for i, t in enumerate(texts):
             for at in range(0, len(t) - self.p.length + 1, self.size):
@@ -100,10 +113,10 @@ class Sampler:
         if run:
             yield run
 
-    def rows(self, texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    def rows(self, texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         length, block = self.p.length, self.p.block
         for run in self.groups(texts):
-            data = np.frombuffer(b"".join(x[2] for x in run), np.uint8)
+            data = np.concatenate([x[2] for x in run])
             sizes = np.array([len(x[2]) for x in run])
             starts = np.cumsum(sizes) - sizes
             sums = self.prints.sums(data)
@@ -139,7 +152,7 @@ def sampled_rows(keyed: DataFrame, p: SubstringDedup) -> DataFrame:
         sampler = Sampler(p)
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for d, a, lo, hi, block, span in sampler.rows(t.as_py() for t in b.column(2)):
+            for d, a, lo, hi, block, span in sampler.rows(np.frombuffer(t.as_py(), np.uint8) for t in b.column(2)):
                 yield _arrays([x.split()[0] for x in ROWS.split(", ")], [ids[d], hashes[d], a, lo, hi, block, span])
 
     return keyed.mapInArrow(run, ROWS)
@@ -191,11 +204,11 @@ def cells(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataFrame:
     return joined.select("id", "th", "text", "block", "a", "lo", "hi", "undecided").mapInArrow(run, CELLS)
 
 
-STARTS = "id long, th long, at long, undecided long, string long"
+STARTS = "id long, th long, at long, undecided long, block long, string long"
 
 
 def single_starts(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataFrame:
-    """Every start of the rows, with the fingerprint of its full string."""
+    """Every start of the rows, with the fingerprints of its anchor's block and of its full string."""
     size, length = 1 << 20, p.length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +217,25 @@ def single_starts(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataF
             out: list = []
             for i in range(b.num_rows):
                 text = np.frombuffer(b.column(2)[i].as_py(), np.uint8)
-                lo, hi, undecided = (b.column(k)[i].values.to_numpy() for k in range(3, 6))
+                lo, hi, undecided, block = (b.column(k)[i].values.to_numpy() for k in range(3, 7))
                 for at in _slices(lo, size):
                     base = int(lo[at].min())
                     sums = prints.sums(text[base : int(hi[at].max()) + length])
                     n = hi[at] - lo[at] + 1
                     s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n)
                     ones = np.ones(len(s), np.int64)
-                    out.append([ones * b.column(0)[i].as_py(), ones * b.column(1)[i].as_py(), s, np.repeat(undecided[at], n), prints.of(sums, s - base, s + length - base)])
+                    string = prints.of(sums, s - base, s + length - base)
+                    out.append([ones * b.column(0)[i].as_py(), ones * b.column(1)[i].as_py(), s, np.repeat(undecided[at], n), np.repeat(block[at], n), string])
             if out:
                 yield _arrays([x.split()[0] for x in STARTS.split(", ")], [np.concatenate(c) for c in zip(*out, strict=True)])
 
-    joined = texts.join(_per_text(rows, "lo", "hi", "undecided"), ["id", "th"])
-    return joined.select("id", "th", "text", "lo", "hi", "undecided").mapInArrow(run, STARTS)
+    joined = texts.join(_per_text(rows, "lo", "hi", "undecided", "block"), ["id", "th"])
+    return joined.select("id", "th", "text", "lo", "hi", "undecided", "block").mapInArrow(run, STARTS)
+
+
+def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, th, text), once for each text that has one of the rows."""
+    return keyed.join(rows.select("id", "th").distinct(), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
 
 
 def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) -> DataFrame:
@@ -224,32 +243,152 @@ def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) ->
     keyed, interval = _keyed(docs), lambda df: df.select("id", "th", "lo", (F.col("hi") + p.length).alias("hi"))
     # rank 1: blocks that occur more than once
     rows = scratch.write(sampled_rows(keyed, p), "rows")
-    live = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("block")
-    rows = scratch.write(rows.join(live, "block", "left_semi"), "live")
+    blocks = scratch.write(rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "blocks")
+    rows = scratch.write(skewed_join(rows, blocks, ["block"]), "live")
     scratch.drop("rows")
     place = F.min(F.struct("id", "th", "a", "lo", "hi")).alias("r")
     classes = scratch.write(rows.groupBy("block", "span").agg(F.count("*").alias("n"), place), "classes")
-    covered = interval(rows.join(classes.filter(F.col("n") > 1).select("block", "span"), ["block", "span"], "left_semi"))
-    torn = classes.groupBy("block").agg(F.min("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") == 1) & (F.col("c") > 1)).select("block")
-    open_rows = classes.join(torn, "block", "left_semi").select("block", "r.*", (F.col("n") == 1).cast("long").alias("undecided"))
+    covered = scratch.write(interval(skewed_join(rows, classes.filter(F.col("n") > 1).select("block", "span", "n"), ["block", "span"])), "covered")
+    scratch.drop("live", "blocks")
+    torn = classes.groupBy("block").agg(F.min("n").alias("least"), F.count("*").alias("n")).filter((F.col("least") == 1) & (F.col("n") > 1)).drop("least")
+    open_rows = skewed_join(classes, scratch.write(torn, "torn"), ["block"]).select("block", "r.*", (F.col("n") == 1).cast("long").alias("undecided"))
     open_rows = scratch.write(open_rows, "open")
-    texts = keyed.join(open_rows.select("id", "th").distinct(), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
-    texts = scratch.write(texts, "texts")
+    scratch.drop("classes", "torn")
+    texts = scratch.write(texts_of(keyed, open_rows), "texts")
     # rank 2: cells by the bytes that all their strings have in common
     cut = scratch.write(cells(texts, open_rows, p), "cells")
     key = ["block", "q", "core"]
     kinds = cut.groupBy(*key, "span").agg(F.count("*").alias("n"), F.max("undecided").alias("undecided"), F.min(F.struct("id", "th", "lo", "hi")).alias("r"))
     kinds = scratch.write(kinds, "kinds")
-    covered_cells = interval(cut.filter(F.col("undecided") == 1).join(kinds.filter(F.col("n") > 1).select(*key, "span"), [*key, "span"], "left_semi"))
+    twice = kinds.filter((F.col("n") > 1) & (F.col("undecided") == 1)).select(*key, "span", "n")
+    covered_cells = scratch.write(interval(skewed_join(cut.filter(F.col("undecided") == 1), twice, [*key, "span"])), "covered-cells")
+    scratch.drop("cells", "open")
     alone = F.max(((F.col("n") == 1) & (F.col("undecided") == 1)).cast("int"))
-    torn = kinds.groupBy(*key).agg(F.count("*").alias("c"), alone.alias("alone")).filter((F.col("c") > 1) & (F.col("alone") == 1)).select(*key)
-    open_cells = kinds.join(torn, key, "left_semi").select("r.*", ((F.col("n") == 1) & (F.col("undecided") == 1)).cast("long").alias("undecided"))
+    torn = kinds.groupBy(*key).agg(F.count("*").alias("n"), alone.alias("alone")).filter((F.col("n") > 1) & (F.col("alone") == 1)).drop("alone")
+    open_cells = skewed_join(kinds, scratch.write(torn, "torn-cells"), key).select("r.*", ((F.col("n") == 1) & (F.col("undecided") == 1)).cast("long").alias("undecided"), "block")
     # rank 3: whole strings, one by one; a place counts once however many cells it came by
     starts = single_starts(texts, scratch.write(open_cells, "open-cells"), p)
-    starts = scratch.write(starts.groupBy("string", "id", "th", "at").agg(F.max("undecided").alias("undecided")), "starts")
-    twice = starts.groupBy("string").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("string")
-    single = starts.filter(F.col("undecided") == 1).join(twice, "string", "left_semi").select("id", "th", F.col("at").alias("lo"), (F.col("at") + p.length).alias("hi"))
-    return scratch.write(covered.unionByName(covered_cells).unionByName(single), "intervals")
+    starts = scratch.write(starts.groupBy("block", "string", "id", "th", "at").agg(F.max("undecided").alias("undecided")), "starts")
+    scratch.drop("kinds", "torn-cells", "texts")
+    twice = scratch.write(starts.groupBy("block", "string").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "twice")
+    single = skewed_join(starts.filter(F.col("undecided") == 1), twice, ["block", "string"]).select("id", "th", F.col("at").alias("lo"), (F.col("at") + p.length).alias("hi"))
+    out = scratch.write(covered.unionByName(covered_cells).unionByName(single), "intervals")
+    scratch.drop("covered", "covered-cells", "open-cells", "starts", "twice")
+    return out
+
+
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True  # the white space between words
+
+
+class WordHashes:
+    """The hashes of a text's words, from slices of the text that end between words."""
+
+    def __init__(self, size: int = 1 << 20) -> None:
+        self.size, self.prints = size, Fingerprints(size)
+
+    def _of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) >= len(self.prints.powers):  # a longer word than any before
+            self.prints = Fingerprints(2 * len(data))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[data], [True]]).view(np.int8)))
+        return edges[::2], self.prints.of(self.prints.sums(data), edges[::2], edges[1::2])
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        out, run, total = [], [], 0
+        for t in texts:
+            if run and total + len(t) > self.size:
+                out += self._run(run)
+                run, total = [], 0
+            if len(t) > self.size:
+                out.append(self._long(t))
+            else:
+                run.append(t)
+                total += len(t) + 1
+        return out + self._run(run)
+
+    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
+        starts, hashes = self._of(np.frombuffer(b"\n".join(texts), np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(hashes, np.searchsorted(starts, ends)[:-1]) if texts else []
+
+    def _long(self, text: bytes) -> np.ndarray:
+        data, parts, at = np.frombuffer(text, np.uint8), [], 0
+        while at < len(data):
+            end = at + self.size
+            while end < len(data) and not len(blank := np.flatnonzero(BLANK[data[end : end + self.size]])):
+                end += self.size
+            end = end + int(blank[0]) if end < len(data) else len(data)
+            parts.append(self._of(data[at:end])[1])
+            at = end
+        return np.concatenate(parts)
+
+
+WORD_ROWS = "id long, th long, lo long, hi long, block long, span long"
+WINDOWS = "id long, th long, weight long, apart boolean, block long, string long"
+
+
+def word_rows(keyed: DataFrame, p: Passages) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sampler = WordHashes(), Sampler(p, 1 << 17)
+        for b in batches:
+            ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for d, _, lo, hi, block, span in sampler.rows(hashes.many([t.as_py() for t in b.column(2)])):
+                yield _arrays([x.split()[0] for x in WORD_ROWS.split(", ")], [ids[d], ths[d], lo, hi, block, span])
+
+    return keyed.mapInArrow(run, WORD_ROWS)
+
+
+def single_windows(texts: DataFrame, rows: DataFrame, p: Passages) -> DataFrame:
+    """Every window of the rows, with its fingerprint and that of its anchor's block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, prints = WordHashes(), Fingerprints(1 << 17)
+        for b in batches:
+            for i in range(b.num_rows):
+                words = hashes.many([b.column(2)[i].as_py()])[0]
+                lo, hi, weight, block, apart = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(3, 8))
+                out: list = []
+                for at in _slices(lo, 1 << 16):
+                    base = int(lo[at].min())
+                    sums = prints.sums(words[base : int(hi[at].max()) + p.length])
+                    n = hi[at] - lo[at] + 1
+                    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n) - base
+                    out.append([np.repeat(weight[at], n), np.repeat(apart[at], n), np.repeat(block[at], n), prints.of(sums, s, s + p.length)])
+                weight, apart, block, string = (np.concatenate(c) for c in zip(*out, strict=True))
+                ids = [pa.array(np.full(len(weight), b.column(k)[i].as_py())) for k in range(2)]
+                yield _arrays([x.split()[0] for x in WINDOWS.split(", ")], [*ids, weight, pa.array(apart), block, string])
+
+    joined = texts.join(_per_text(rows, "lo", "hi", "weight", "block", "apart"), ["id", "th"])
+    return joined.select("id", "th", "text", "lo", "hi", "weight", "block", "apart").mapInArrow(run, WINDOWS)
+
+
+def shared_windows(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
+    """(id, th, n_shared): how many windows of a document's words some other document has, for documents that have any."""
+    keyed, doc = _keyed(docs), F.xxhash64("id", "th")
+    rows = scratch.write(word_rows(keyed, p), "words")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).filter(F.col("a") < F.col("b"))
+    rows = scratch.write(skewed_join(rows, scratch.write(blocks.select("block", "n"), "word-blocks"), ["block"]), "live-words")
+    scratch.drop("words", "word-blocks")
+    classes = rows.groupBy("block", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("r"), (F.min(doc) < F.max(doc)).alias("apart"))
+    classes = scratch.write(classes, "word-classes")
+    decided = skewed_join(rows, classes.filter("apart").select("block", "span", "n"), ["block", "span"])
+    decided = scratch.write(decided.groupBy("id", "th").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")), "decided")
+    # a class of one document alone: its windows one by one, against one member of each class around an equal block
+    torn = classes.groupBy("block").agg(F.bool_and("apart").alias("all"), F.count("*").alias("n")).filter(~F.col("all") & (F.col("n") > 1)).drop("all")
+    rows = skewed_join(classes, scratch.write(torn, "word-torn"), ["block"]).select("block", "r.*", F.when(F.col("apart"), 0).otherwise(F.col("n")).alias("weight"), "apart")
+    rows = scratch.write(rows, "word-open")
+    scratch.drop("live-words", "word-classes", "word-torn")
+    windows = scratch.write(single_windows(scratch.write(texts_of(keyed, rows), "word-texts"), rows, p), "windows")
+    scratch.drop("word-open", "word-texts")
+    twice = windows.groupBy("block", "string").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b"), F.bool_or("apart").alias("apart"))
+    twice = scratch.write(twice.filter((F.col("n") > 1) & (F.col("apart") | (F.col("a") < F.col("b")))).select("block", "string", "n"), "word-twice")
+    single = skewed_join(windows.filter(F.col("weight") > 0), twice, ["block", "string"]).groupBy("id", "th").agg(F.sum("weight").alias("n"))
+    total = decided.unionByName(single).groupBy("id", "th").agg(F.sum("n").alias("n"))
+    # a row that is there m times has counted m times
+    again = keyed.groupBy("id", "th").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
+    out = scratch.write(total.join(again, ["id", "th"], "left").select("id", "th", F.expr("n div coalesce(m, 1)").alias("n_shared")), "shared")
+    scratch.drop("windows", "word-twice", "decided")
+    return out
 
 
 def merged(intervals: DataFrame) -> DataFrame:
@@ -260,30 +399,32 @@ def merged(intervals: DataFrame) -> DataFrame:
     return runs.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_windows long, shares_passage boolean"
 
 
-def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), with_text: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``with_text`` is off, kept (binary: cut
-    ranges may split characters)."""
+def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), passages: Passages = Passages(), with_text: bool = True) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; n_shared_windows, how many windows of ``passages``
+    words start in it that another document has, too, and shares_passage, whether there are any; and, unless ``with_text``
+    is off, kept (binary: cut ranges may split characters)."""
     scratch = Scratch(docs.sparkSession, "substrings")
     per = _per_text(merged(repeated_intervals(docs, p, scratch)), "lo", "hi")
+    per = per.join(shared_windows(docs, passages, scratch), ["id", "th"], "full")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text, lo, hi in zip(*(b.column(i) for i in range(4)), strict=True):
+            for doc_id, text, lo, hi, shared in zip(*(b.column(i) for i in range(5)), strict=True):
                 t, spans = text.as_py(), sorted(zip(lo.as_py() or (), hi.as_py() or (), strict=True))
                 kept, at = [], 0
                 for s, e in spans:
                     kept.append(t[at:s])
                     at = e
                 k = b"".join([*kept, t[at:]])
-                d = doc_id.as_py()
-                rows.append((None if d == NO_ID else d, len(t), len(t) - len(k), len(spans), hashlib.sha256(k).hexdigest(), *([k] if with_text else [])))
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
+                d, n = doc_id.as_py(), shared.as_py() or 0
+                rows.append((None if d == NO_ID else d, len(t), len(t) - len(k), len(spans), hashlib.sha256(k).hexdigest(), n, n > 0, *([k] if with_text else [])))
+            types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_()] + [pa.binary()] * with_text
             names = [x.split()[0] for x in RESULT.split(", ")] + ["kept"] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
 
-    joined = _keyed(docs).join(per, ["id", "th"], "left").select("id", "text", "lo", "hi")
+    joined = _keyed(docs).join(per, ["id", "th"], "left").select("id", "text", "lo", "hi", "n_shared")
     return joined.mapInArrow(run, RESULT + (", kept binary" if with_text else ""))

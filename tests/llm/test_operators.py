@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import metric_search, mixing, near_dedup, packing, preference, pu_quality, quality_rules, secret_scan, substring_dedup, token_files, tokens
+from siltstone.llm import common, metric_search, mixing, near_dedup, packing, preference, pu_quality, quality_rules, secret_scan, substring_dedup, token_files, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -19,6 +19,18 @@ def pairs(df, *columns):
     return Counter(tuple(r[c] for c in columns) for r in df.collect())
 
 
+# ---- joins
+
+
+def test_joins_of_hot_keys(spark):
+    left = spark.range(6000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 700).alias("k"), "id", F.lit(1).alias("_salt"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 3 = 0")
+    want = Counter(r.id for r in left.filter("k % 3 = 0").collect())
+    for how in ("left_semi", "inner"):
+        out = common.skewed_join(left, right, ["k"], how=how)
+        assert Counter(r.id for r in out.collect()) == want and out.columns[:3] == ["k", "id", "_salt"]
+
+
 # ---- quality rules
 
 
@@ -494,7 +506,7 @@ def test_slices_of_long_documents():
 
     def starts(size):
         out = {}
-        for _, a, lo, hi, block, _ in substring_dedup.Sampler(p, size).rows([text, b"short", text[:100]]):
+        for _, a, lo, hi, block, _ in substring_dedup.Sampler(p, size).rows([np.frombuffer(t, np.uint8) for t in (text, b"short", text[:100])]):
             for x in zip(a, lo, hi, block):
                 for s in range(x[1], x[2] + 1):
                     out.setdefault(s, set()).add((int(x[0]), int(x[3])))
@@ -504,5 +516,44 @@ def test_slices_of_long_documents():
     assert whole == sliced and len(whole) == 3000 - 39
 
 
+def brute_shared(rows, n):
+    """Windows of n words that another document (id and text) has, too."""
+    docs = {(r[0], r[1]): (r[1] or "").encode().split() for r in rows}
+    owners = defaultdict(set)
+    for d, w in docs.items():
+        for i in range(len(w) - n + 1):
+            owners[tuple(w[i : i + n])].add(d)
+    for r in rows:
+        w = docs[r[0], r[1]]
+        yield r[0], sum(len(owners[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1))
+
+
+@pytest.mark.parametrize("length,block", [(51, 8), (12, 3)])
+def test_shared_passages(spark, docs, rows, length, block):
+    got = substring_dedup.remove_repeats(docs, passages=substring_dedup.Passages(length, block), with_text=False)
+    assert pairs(got, "doc_id", "n_shared_windows") == Counter(brute_shared(rows, length))
+    assert got.filter("shares_passage <> (n_shared_windows > 0)").isEmpty()
+
+
+def test_passages_whatever_parts_the_words(spark):
+    rng = random.Random(10)
+    passage = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    lead = lambda: " ".join(f"x{rng.randrange(10**9)}" for _ in range(30))
+    line = "over and over again "
+    rows = [(1, f"{lead()} {' '.join(passage)} {lead()}"), (2, f"{lead()}\n{chr(9).join(passage[:51])}\r\n{lead()}"), (3, f"{lead()} {' '.join(passage[:50])} {lead()}"), (4, line * 200), (5, f"{lead()} {lead()} {lead()}")]
+    got = dict(pairs(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shared_windows"))
+    assert set(got) == set(brute_shared(rows, 51)) and {i for i, n in got if n} == {1, 2}
+
+
+def test_word_hashes_of_long_texts():
+    rng = random.Random(6)
+    text = b"".join(rng.choice([b"a", b"bc", b"d" * 70, b" ", b"\n", b"\x0b\t"]) for _ in range(2000))
+    whole, sliced = substring_dedup.WordHashes(), substring_dedup.WordHashes(50)
+    texts = [text, b"", b" ", text[:49], b"a", text[5:40]]
+    for x, y in zip(whole.many(texts), sliced.many(texts), strict=True):
+        assert (x == y).all()
+    assert [len(x) for x in sliced.many(texts)] == [len(t.split()) for t in texts]
+
+
 def test_nothing_to_remove(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
