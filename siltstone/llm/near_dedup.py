@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, fresh
+from siltstone.llm.common import Scratch, fresh, mix
 from siltstone.llm.components import connected_components
 
 U = np.uint64
@@ -46,13 +46,6 @@ class NearDedup:
     rows: int = 6
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finalizer: every input bit reaches every output bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class Shingler:
     """Sets of 64-bit shingle hashes; word hashes are cached up to a bound."""
 

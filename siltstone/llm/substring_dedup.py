@@ -38,8 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, skewed_join
-from siltstone.llm.near_dedup import mix
+from siltstone.llm.common import Scratch, mix, skewed_join
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1

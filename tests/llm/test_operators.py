@@ -1,6 +1,7 @@
 """Each operator against a brute-force version over unpleasant rows, and on an empty table."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -146,6 +147,25 @@ def test_separators_are_no_white_space_to_the_tokenizer(plain):
         assert t.encode_many(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts], hex(ord(c))
 
 
+def test_short_strings_of_all_classes_split_alike(plain):
+    t = tokens.CachedTokenizer(tokens.tokenizer_path(None), max_entries=3000, chars=4096)
+    alphabet = "as're 1!\n\t\x1e\x85\u01b3\u3000\u4e00\u0660"
+    for n in (1, 2, 3, 4):
+        texts = ["".join(x) for x in itertools.product(alphabet if n < 4 else "sl'v e1\n\x1e\u01b3\u3000", repeat=n)]
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+        got = t.encode_many(texts)
+        assert [x for x, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_long_texts_and_long_words(plain):
+    rng = random.Random(14)
+    t = tokens.CachedTokenizer(tokens.tokenizer_path(None), max_entries=300, chars=1000)
+    words = ["don't", "we'll", "x" * 300, "7" * 270, "naïve", "日本語" * 4, "—", "\x00", "\n\n", "a\x00b", "it's", " ", "'", "''s", "\U0001f600"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "\n", "  "]) for _ in range(n)) for n in (3, 2000, 50, 0, 400)] + ["y" * 9000, " " * 3000]
+    for _ in range(2):
+        assert t.encode_many(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+
+
 def test_token_files_round_trip(spark, docs, rows, plain):
     for df in (docs, docs.repartitionByRange(3, "doc_id")):
         manifest = token_files.write_token_files(df, frame_tokens=500)
