@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in a local run."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -47,14 +50,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", how: str = "left_semi", salts: int = 64) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", how: str = "left_semi", salts: int = 64, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``, none of them null. ``right`` has each key once and in ``n`` how many rows
-    of ``left`` have it, at most; both are written tables.
+    of ``left`` have it, at most. ``right`` is a written table, and so is ``left`` unless ``total``, its number of rows, is given.
 
     Keys that hold a thousandth of the rows of ``left`` or more, so at most a thousand keys, are known to all tasks; rows
     with one of them are dealt out over ``salts`` tasks, to each of which the key's one row of ``right`` goes.
     """
-    least = max(1_000, left.count() // 1_000)
+    least = max(1_000, (left.count() if total is None else total) // 1_000)
     hot, salt = fresh(left, "_hot", "_salt")
     known = F.broadcast(right.filter(F.col(n) >= least).select(*keys, F.lit(True).alias(hot)))
     dealt = left.join(known, keys, "left").withColumn(salt, F.when(F.col(hot), F.monotonically_increasing_id() % salts).otherwise(0)).drop(hot)

@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch
 
 
-def _rewire(edges: DataFrame, small: bool) -> DataFrame:
+def _tie(edges: DataFrame, least: DataFrame, key: str, other: str, hub: int) -> DataFrame:
+    """(u, v): what stands in ``other``, tied to the least of ``key``. Vertices of ``hub`` neighbours or more are a
+    thousand at most and known to all tasks, so no task gets all edges of one."""
+    known = F.broadcast(least.filter(F.col("n") >= hub).select(F.col("x").alias("hx"), F.col("m").alias("hm")))
+    marked = edges.join(known, F.col(key) == F.col("hx"), "left")
+    rest = marked.filter(F.col("hx").isNull()).join(least.filter(F.col("n") < hub), F.col(key) == F.col("x"))
+    tied = lambda df, m: df.select(F.col(other).alias("u"), F.col(m).alias("v"))
+    return tied(marked.filter(F.col("hx").isNotNull()), "hm").unionByName(tied(rest, "m"))
+
+
+def _rewire(edges: DataFrame, small: bool, hub: int) -> DataFrame:
     """edges: (u, v), u > v. Large star: a vertex' larger neighbours are tied to its smallest neighbour or itself.
     Small star: its smaller neighbours, and the vertex, are tied to the smallest."""
     if small:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tied = _tie(edges, least, "u", "v", hub).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
     else:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
-        tied = larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        both = edges.select(F.col("u").alias("x"), "v").unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("v")))
+        least = both.groupBy("x").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "x"))
+        tied = _tie(edges, least, "v", "u", hub)
     return tied.filter(F.col("u") > F.col("v")).distinct()
 
 
@@ -35,5 +44,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before, step = now, step + 1
-        e = scratch.write(_rewire(_rewire(e, small=False), small=True), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        hub = max(1_000, now[0] // 500)  # of so many neighbours there are at most a thousand: each edge has two ends
+        e = scratch.write(_rewire(e, False, hub), f"{name}-{step}-large")
+        e = scratch.write(_rewire(e, True, hub), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}-large")

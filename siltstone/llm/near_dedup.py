@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, fresh, mix
+from siltstone.llm.common import Scratch, fresh, mix, skewed_join
 from siltstone.llm.components import connected_components
 
 U = np.uint64
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b) those whose full sets overlap enough; texts: (doc_id, text as binary)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +156,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     x = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("x"))
-    y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("y"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    y = texts.withColumnRenamed("doc_id", "a").join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").withColumnRenamed("text", "y")
+    both = skewed_join(pairs.join(x, "b"), scratch.write(y, "centres"), ["a"], how="inner", total=pairs.count())
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def untested(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,8 +170,10 @@ def untested(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFram
     """
     left = members.filter(F.col("doc_id") != F.col("centre")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     left = left.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).filter(F.col("lo") < F.col("hi"))
-    left = scratch.write(left.join(torn.select("key", "first"), "key"), "left")
+    left = scratch.write(left, "others")
+    torn = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("lo") < F.col("hi"))
+    left = scratch.write(skewed_join(left, scratch.write(torn.select("key", "first", "n"), "torn"), ["key"], how="inner").drop("n"), "left")
+    scratch.drop("others")
     if left.isEmpty():
         return left.select(F.col("key").alias("unit"), "doc_id", "component")
     clusters = connected_components(left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), scratch, "clusters")
@@ -179,8 +182,8 @@ def untested(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFram
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg((F.count("*") + 1).alias("n"))
     joint = keys.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("apart")).join(sizes, "cluster").filter(F.col("n") * F.col("n") <= F.col("apart")).select("cluster", F.lit(True).alias("joint"))
     unit = F.when(F.col("joint"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("key")).alias("unit")
-    units = scratch.write(keys.join(joint, "cluster", "left").select("key", unit), "unit-keys")
-    return scratch.write(left.join(units, "key").select("unit", "doc_id", "component").distinct(), "units")
+    units = scratch.write(keys.join(joint, "cluster", "left").select("key", unit, F.col("m").alias("n")), "unit-keys")
+    return scratch.write(skewed_join(left, units, ["key"], how="inner").select("unit", "doc_id", "component").distinct(), "units")
 
 
 def links_between(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
@@ -200,9 +203,9 @@ def links_between(x: list[np.ndarray], y: list[np.ndarray], percent: int, width:
     return (both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both))
 
 
-def confirm_in_blocks(units: DataFrame, texts: DataFrame, p: NearDedup, block: int = 128) -> DataFrame:
+def confirm_in_blocks(units: DataFrame, texts: DataFrame, p: NearDedup, scratch: Scratch, block: int = 128) -> DataFrame:
     """Links (a, b) between different components of each unit. A unit's members are dealt into blocks of about so many;
-    a task compares two blocks at a time by their incidence with shared shingles, and emits links only."""
+    each two blocks are one row of their own, compared by their incidence with shared shingles, and emit links only."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(p.shingle_words)
@@ -215,12 +218,14 @@ def confirm_in_blocks(units: DataFrame, texts: DataFrame, p: NearDedup, block: i
                 a, b = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[0][a]), pa.array(ids[1][b])], names=["a", "b"])
 
-    dealt = units.join(units.groupBy("unit").agg(F.count("*").alias("n")), "unit")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)))
-    blocks = dealt.join(texts, "doc_id").groupBy("unit", "block").agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("rows"))
-    x, y = (blocks.select("unit", F.col("block").alias(f"{n}_block"), F.col("rows").alias(n)) for n in "xy")
-    pairs = x.join(y, "unit").filter(F.col("x_block") <= F.col("y_block")).select("x", "y")
-    return pairs.mapInArrow(run, "a long, b long")
+    counts = scratch.write(units.groupBy("unit").agg(F.count("*").alias("n")), "unit-sizes")
+    dealt = skewed_join(units, counts, ["unit"], how="inner").withColumn("n_blocks", F.ceil(F.col("n") / block))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks"))
+    rows = F.collect_list(F.struct("doc_id", "component", "text")).alias("rows")
+    blocks = scratch.write(dealt.join(texts, "doc_id").groupBy("unit", "n_blocks", "block").agg(rows), "blocks")
+    x = blocks.select("unit", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"), F.col("rows").alias("x"))
+    y = blocks.select("unit", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("y"))
+    return x.join(y, ["unit", "i", "j"]).select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def numbered(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -231,43 +236,47 @@ def numbered(reps: DataFrame, scratch: Scratch) -> DataFrame:
     first = reps.groupBy("rep.doc_id").agg(F.min(F.struct("h0", "h1")).alias("first"))
     own = F.struct("h0", "h1") == F.col("first")
     node = F.when(own, F.col("doc_id")).otherwise(F.xxhash64(F.lit("node"), "doc_id", "h0", "h1"))
-    return scratch.write(reps.join(first, F.col("rep.doc_id") == F.col("doc_id")).select("h0", "h1", "rep", node.alias("node")), "numbered")
+    return scratch.write(reps.join(first, F.col("rep.doc_id") == F.col("doc_id")).select("h0", "h1", "rep", "n_rows", node.alias("node")), "numbered")
 
 
 def judge(docs: DataFrame, p: NearDedup) -> DataFrame:
     """Per document: doc_id, text_hash, n_shingles, component_id, kept. Sets are linked by number, see :func:`numbered`."""
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.write(signatures(docs, p), "signed")
-    sets = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = numbered(scratch.write(sets.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")), "reps"), scratch)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    sets = signed.filter(~alone)
+    reps = sets.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n_rows"))
+    reps = numbered(scratch.write(reps, "reps"), scratch)
     # one row a set and band; a bucket counts if it holds two representatives
     own = sets.join(reps.select("h0", "h1", "rep.doc_id", "rep.text_hash", "node"), ["h0", "h1", "doc_id", "text_hash"])
     rows = own.select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter(F.col("centre") < F.col("last")).drop("last")
-    members = scratch.write(rows.join(stars, "key"), "members")
+    rows = scratch.write(rows, "rows")
+    stars = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("centre") < F.col("last")).drop("last")
+    members = scratch.write(skewed_join(rows, scratch.write(stars, "stars"), ["key"], how="inner").drop("n"), "members")
+    scratch.drop("rows")
     pairs = scratch.write(members.filter(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs-0")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = reps.join(wanted, "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select(F.col("node").alias("doc_id"), "text")
     texts = scratch.write(texts, "texts")
-    links = scratch.write(confirm(pairs, texts, p), "links-0")
+    links = scratch.write(confirm(pairs, texts, p, scratch), "links-0")
     parts = connected_components(links, scratch, "parts-0")
     rest = untested(members, parts, scratch)
     if not rest.isEmpty():
-        found = scratch.write(confirm_in_blocks(rest, texts, p), "links-1")
+        found = scratch.write(confirm_in_blocks(rest, texts, p, scratch), "links-1")
         parts = connected_components(links.unionByName(found), scratch, "parts-1")
-    scratch.drop("members", "texts")
+    scratch.drop("members", "texts", "centres", "stars", "blocks", "left")
     of_set = reps.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     if reps.filter(F.col("node") != F.col("rep.doc_id")).isEmpty():
-        heads = of_set.select("h0", "h1", "rep", F.col("part").alias("component"), (F.col("node") == F.col("part")).alias("is_head"))
+        heads = of_set.select("h0", "h1", "rep", "n_rows", F.col("part").alias("component"), (F.col("node") == F.col("part")).alias("is_head"))
     else:  # a component's smallest number need not be its smallest doc_id
         least = of_set.groupBy("part").agg(F.min("rep").alias("least"))
-        heads = of_set.join(least, "part").select("h0", "h1", "rep", F.col("least.doc_id").alias("component"), (F.col("rep") == F.col("least")).alias("is_head"))
-    out = signed.join(heads, ["h0", "h1"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+        heads = of_set.join(least, "part").select("h0", "h1", "rep", "n_rows", F.col("least.doc_id").alias("component"), (F.col("rep") == F.col("least")).alias("is_head"))
+    out = skewed_join(signed.filter(~alone), scratch.write(heads, "heads"), ["h0", "h1"], n="n_rows", how="inner")
     chosen = F.col("is_head") & (F.struct("doc_id", "text_hash") == F.col("rep"))
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), (alone | chosen).alias("kept"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"), chosen.alias("kept"))
+    return out.unionByName(signed.filter(alone).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
