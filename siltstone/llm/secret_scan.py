@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models for tokens that no pattern knows.
 
 Two character Markov models of order one are trained from labelled samples, one of random strings and one of ordinary
-identifiers. A candidate, a long run of key characters that mixes letters and digits, is a secret when its log-likelihood
-ratio per character exceeds a threshold. The models and the samples are small and of fixed size; each task gets a copy.
+identifiers. A candidate, a long run of key characters of which enough are different, is a secret when its log-likelihood
+ratio per character exceeds a threshold, which is higher for runs without a digit, as long words are. The models and the
+samples are small and of fixed size; each task gets a copy.
 
 Spans are (kind, start, end) in code points, end exclusive: ``assign``, ``access`` and ``hex`` by pattern, leftmost and
 non-overlapping per kind, and ``markov`` for candidates that overlap none of them.
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,10 @@ ASSIGN_WORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCI
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])")
+DIGIT = re.compile("[0-9]")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+PLACE = {c: i for i, c in enumerate(ALPHABET)}
 
 # Common parts of identifiers.
 PARTS = (
@@ -56,7 +60,7 @@ class Markov:
 
     def score(self, s: str) -> float:
         """Log-likelihood ratio per character, in nats."""
-        i = [ALPHABET.index(c) for c in s]
+        i = [PLACE[c] for c in s]
         return (float(self.first[i[0]]) + float(self.step[i[:-1], i[1:]].sum())) / len(i)
 
 
@@ -89,21 +93,27 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> Markov:
     return Markov(first[1] - first[0], step[1] - step[0])
 
 
-def find_secrets(text: str, model: Markov, threshold: float) -> list[tuple[str, int, int]]:
+def is_random(run: str, model: Markov, scan: SecretScan) -> bool:
+    """Whether the models take a run for a random string; lines of few characters over and over are none."""
+    return len(set(run)) >= scan.min_distinct and model.score(run) > (scan.threshold if DIGIT.search(run) else scan.threshold_without_digit)
+
+
+def find_secrets(text: str, model: Markov, scan: SecretScan) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of KINDS."""
     found = []
     if ASSIGN_WORD.search(text):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    runs = [m for m in CANDIDATE.finditer(text) if MIXED.match(m[0])]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if runs:
-        base = list(found)
-        for m in runs:
-            a, b = m.span()
-            if all(b <= s or e <= a for _, s, e in base) and model.score(m[0]) > threshold:
-                found.append(("markov", a, b))
+    # of the spans that begin before a run's end, the furthest end tells whether any overlaps the run
+    base = sorted((s, e) for _, s, e in found)
+    starts, furthest = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        before = bisect_left(starts, b)
+        if not (before and furthest[before - 1] > a) and is_random(m[0], model, scan):
+            found.append(("markov", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -121,6 +131,8 @@ def redact(text: str, found: list[tuple[str, int, int]], mask: str) -> str:
 @dataclass(frozen=True)
 class SecretScan:
     threshold: float = 0.5
+    threshold_without_digit: float = 0.75
+    min_distinct: int = 8
     mask: str = "[SECRET]"
     n_samples: int = 4000
 
@@ -135,7 +147,7 @@ def scan_secrets(docs: DataFrame, scan: SecretScan = SecretScan()) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in find_secrets(t.as_py() or "", model, scan.threshold)] for t in batch.column(1)]
+            found = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in find_secrets(t.as_py() or "", model, scan)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "findings"])
 
     df = docs.select("doc_id", "text")
@@ -148,7 +160,7 @@ def redact_secrets(docs: DataFrame, scan: SecretScan = SecretScan()) -> DataFram
 
     @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(lambda t: redact(t, find_secrets(t, model, scan.threshold), scan.mask) if t is not None else None)
+        return texts.map(lambda t: redact(t, find_secrets(t, model, scan), scan.mask) if t is not None else None)
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
