@@ -6,8 +6,9 @@ and R_u over unlabelled documents; when the bracket falls below zero, its gradie
 for non-negative PU learning. The class prior is the share of label 1 among the labelled rows that may be learnt from.
 The logistic loss makes the score an estimate of the probability that a document's label is 1.
 
-Fitting takes bounded samples (``max_positives``, ``max_unlabelled`` documents, by the smallest hashes of their ids), so
-the driver holds a matrix of fixed size at most; scoring covers every document, whole texts, in Arrow batches.
+Fitting takes bounded samples (``max_positives``, ``max_unlabelled`` doc_ids, those of the smallest hashes; rows that share
+a doc_id count once, by their smallest text), so the driver holds a matrix of fixed size at most; scoring covers every
+document, whole texts, in Arrow batches.
 
 Defined edge cases: null and empty texts have features of their own and get a score; documents without a label, language
 or source are scored like others; repeated label rows for a document count once, a document labelled both ways is no
@@ -75,18 +76,22 @@ def risk(out: np.ndarray, sign: int) -> float:
     return float(np.logaddexp(0, -sign * out).mean())
 
 
+def gradient(w: np.ndarray, b: float, positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """The gradient of the risk by weights and bias; where the bracket is below zero, that of its negative alone."""
+    slope = lambda out, sign: -sign / (1 + np.exp(np.clip(sign * out, -30, 30)))
+    op, ou = positive @ w + b, unlabelled @ w + b
+    gp, gu = prior * slope(op, 1) / len(op), slope(ou, -1) / len(ou)
+    gn = -prior * slope(op, -1) / len(op)
+    gp, gu = (gp + gn, gu) if risk(ou, -1) >= prior * risk(op, -1) else (-gn, -gu)
+    return np.concatenate([positive.T @ gp + unlabelled.T @ gu + decay * w, [gp.sum() + gu.sum()]])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: PuQuality = PuQuality()) -> Model:
     """Minimises the non-negative risk by Adam over full batches."""
     w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    slope = lambda out, sign: -sign / (1 + np.exp(np.clip(sign * out, -30, 30)))
     for t in range(1, p.steps + 1):
-        op, ou = positive @ w + b, unlabelled @ w + b
-        negative = risk(ou, -1) - prior * risk(op, -1)
-        gp, gu = prior * slope(op, 1) / len(op), slope(ou, -1) / len(ou)
-        gn = -prior * slope(op, -1) / len(op)
-        gp, gu = (gp + gn, gu) if negative >= 0 else (-gn, -gu)
-        g = np.concatenate([positive.T @ gp + unlabelled.T @ gu + p.decay * w, [gp.sum() + gu.sum()]])
+        g = gradient(w, b, positive, unlabelled, prior, p.decay)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -105,15 +110,27 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def smallest_hashes(ids: DataFrame, n: int, k: int) -> DataFrame:
+    """The k ids (doc_id) of the smallest hashes, of n rows. Where rows are many, only those in the lowest part of the
+    range that holds about twice as many as needed are sorted; should rows repeat so much that it holds too few, all are."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    if n > 4 * k:
+        low = ids.filter(place < int((1 << 63) * (2 * k / n))).distinct()
+        if low.count() >= k:
+            ids = low
+    return ids.distinct().orderBy(place, "doc_id").limit(k)
+
+
 def train(docs: DataFrame, labels: DataFrame, p: PuQuality = PuQuality()) -> Model:
     """Fits on bounded samples of labelled positives and unlabelled documents, none of them held out."""
     scratch = Scratch(docs.sparkSession, "pu")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("q"), F.lit(0))).head()
     prior = min(0.99, max(0.01, ones / n)) if n else 0.5
-    first = lambda df, k: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
-    chosen = first(known.filter("q = 1").select("doc_id"), p.max_positives).withColumn("positive", F.lit(True)).unionByName(
-        first(docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id"), p.max_unlabelled).withColumn("positive", F.lit(False))
+    known = known.filter("q = 1").select("doc_id")
+    others = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
+    chosen = smallest_hashes(known, int(ones), p.max_positives).withColumn("positive", F.lit(True)).unionByName(
+        smallest_hashes(others, others.count(), p.max_unlabelled).withColumn("positive", F.lit(False))
     )  # at most max_positives + max_unlabelled ids
     width = p.pairs
 
@@ -123,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, p: PuQuality = PuQuality()) -> Mod
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["positive", "x"])
 
     chosen = scratch.write(chosen, "chosen")
-    drawn = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    drawn = drawn.groupBy("positive", "doc_id").agg(F.min("text").alias("text")).select("positive", F.col("text").cast("binary").alias("text"))
     rows = scratch.write(drawn.mapInArrow(run, "positive boolean, x binary"), "drawn").toPandas()
     matrix = lambda kind: np.array([np.frombuffer(x, np.float16) for x in rows.x[rows.positive == kind]], np.float32).reshape(-1, width + N_SHAPE)
     positive, unlabelled = matrix(True), matrix(False)
