@@ -93,7 +93,8 @@ def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     budget = F.lit(mix.budget_factor) * F.lit(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0])
     # the bucket where the budget runs out: those before it are taken whole, only its own rows need a running total
     totals = copies.groupBy("finish_bucket").agg(F.sum("size").alias("s"))
-    totals = totals.withColumn("upto", F.sum("s").over(Window.orderBy("finish_bucket")))
+    totals = scratch.write(totals.withColumn("coarse", F.floor(F.col("finish_bucket") / 4096)), "totals")
+    totals = _running(totals, [], "coarse", ["finish_bucket"], "s", "upto")
     cut = totals.filter(F.col("upto") > budget).orderBy("finish_bucket").select("finish_bucket", (F.col("upto") - F.col("s")).alias("before")).head()
     whole = copies.filter(F.col("finish_bucket") < (cut[0] if cut else buckets * 4 + 1))
     taken = whole.select("doc_id", "source", "place", "size")
