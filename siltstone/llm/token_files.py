@@ -3,12 +3,13 @@
 A file is a sequence of zstandard frames and ends with the published seekable layout: a skippable frame that lists every
 frame's compressed size, decompressed size and checksum (the low 32 bits of XXH64 of the decompressed bytes), then the
 number of frames, a descriptor byte and the magic number. Any zstandard decoder reads such a file from front to back.
-Data frames hold whole documents' ids as little-endian unsigned 32-bit integers, documents in ascending doc_id order.
+Data frames hold whole documents' ids as little-endian unsigned 32-bit integers, documents in ascending doc_id order; a
+document beyond ``max_frame`` bytes has frames of its own, as many as it takes.
 Index frames follow, with each document's id and number of tokens, and a skippable directory frame that says how many of
 the frames are index frames. A reader fetches the table and the index, then only the frames of the documents asked for.
 
-Writing: one file for each partition, sorted by doc_id, written under a name of its own and moved into place when
-complete, so a task that runs again replaces its file by an equal one. Where the input's partitions already hold
+Writing: one file for each partition, sorted by doc_id, under a name of each attempt's own. The manifest names the files
+of the attempts that ended; what a lost attempt has left is in no manifest and never read. Where the input's partitions already hold
 ranges of doc_id that don't overlap, as tables written in order do, they are taken as they are; otherwise documents are
 range-partitioned first. The files' own ranges are checked once more after writing.
 
@@ -53,14 +54,20 @@ def filesystem(uri: str):
 class TokenFileWriter:
     """Appends documents; a data frame closes at the first document end at or past ``frame_tokens``."""
 
-    def __init__(self, sink, frame_tokens: int = 16_384, level: int = 1, index_rows: int = 65_536) -> None:
-        self.sink, self.frame_tokens, self.index_rows = sink, frame_tokens, index_rows
+    def __init__(self, sink, frame_tokens: int = 16_384, level: int = 1, index_rows: int = 65_536, max_frame: int = 1 << 28) -> None:
+        self.sink, self.frame_tokens, self.index_rows, self.max_frame = sink, frame_tokens, index_rows, max_frame
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.pending: list[bytes] = []
         self.size, self.table, self.docs, self.n_tokens, self.n_bytes = 0, [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append((doc_id or 0, doc_id is not None, len(ids) // 4))
+        if len(ids) > self.max_frame:
+            self._flush()
+            for i in range(0, len(ids), self.max_frame):
+                self._frame(ids[i : i + self.max_frame])
+            self.n_tokens += len(ids) // 4
+            return
         self.pending.append(ids)
         self.size += len(ids)
         if self.size >= 4 * self.frame_tokens:
@@ -129,9 +136,12 @@ class TokenFile:
         """The ids of the file's row-th document."""
         a, b = int(self.starts[row]), int(self.starts[row + 1])
         k = int(np.searchsorted(self.frame_starts, a, side="right")) - 1
-        self.frames_read += 1
-        at = a - int(self.frame_starts[k])
-        return np.frombuffer(self.frame(k), dtype="<u4")[at : at + b - a]
+        at, parts = a - int(self.frame_starts[k]), []
+        while not parts or self.frame_starts[k] < b:
+            parts.append(np.frombuffer(self.frame(k), dtype="<u4"))
+            self.frames_read += 1
+            k += 1
+        return np.concatenate(parts)[at : at + b - a]
 
     def rows_of(self, doc_id: int) -> range:
         """The rows with a doc_id; rows with a null doc_id come first and are not found by it."""
@@ -141,14 +151,17 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
         """All documents in order, a frame at a time."""
-        row = 0
-        for k in range(self.n_data):
-            data, end, at = memoryview(self.frame(k)), int(self.frame_starts[k + 1]), 0
-            while row < len(self.index) and self.starts[row + 1] <= end:
-                n = 4 * int(self.index["n_tokens"][row])
-                yield (int(self.index["doc_id"][row]) if self.index["known"][row] else None), bytes(data[at : at + n])
-                at += n
-                row += 1
+        k, data, at = -1, b"", 0
+        for doc_id, known, n in self.index.tolist():
+            parts, left = [], 4 * n
+            while left:
+                if at == len(data):
+                    k, at = k + 1, 0
+                    data = self.frame(k)
+                parts.append(data[at : at + left])
+                at += len(parts[-1])
+                left -= len(parts[-1])
+            yield (doc_id if known else None), b"".join(parts)
 
 
 def _writer(folder: str, tokenizer: str | None, end_id: int, frame_tokens: int, level: int):
@@ -156,21 +169,20 @@ def _writer(folder: str, tokenizer: str | None, end_id: int, frame_tokens: int,
         encoder, end = open_tokenizer(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         fs, root = filesystem(folder)
         part = TaskContext.get().partitionId()
-        name, own = f"{root}/part-{part:06d}.tokens", f"{root}/.{part:06d}-{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens"
         out = None
         for batch in batches:
             for doc_ids, texts in in_groups(batch):
                 for doc_id, ids in zip(doc_ids, encoder.encode_many(texts), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
-                        out = TokenFileWriter(fs.open_output_stream(own), frame_tokens, level)
+                        out = TokenFileWriter(fs.open_output_stream(f"{root}/{name}"), frame_tokens, level)
                     out.add(doc_id, ids + end)
         if out is not None:
             out.close()
             out.sink.close()
-            fs.move(own, name)
             ids = [x[0] if x[1] else None for x in (out.docs[0], out.docs[-1])]
-            row = (part, f"{folder}/part-{part:06d}.tokens", len(out.docs), out.n_tokens, len(out.table), out.n_bytes, *ids)
+            row = (part, f"{folder}/{name}", len(out.docs), out.n_tokens, len(out.table), out.n_bytes, *ids)
             types = (pa.int32(), pa.string(), *[pa.int64()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
