@@ -98,8 +98,11 @@ def op9(t: Template = Template()) -> str:
     loss = ", ".join(f"'{r}'" for r in t.loss_roles)
     return rf"""
 WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
-p AS (SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM c GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
-b AS (SELECT p.*, CASE WHEN conv_id = chosen_id THEN 'chosen' ELSE 'rejected' END AS side, pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM p JOIN c ON conv_id IN (chosen_id, rejected_id)),
+a AS (SELECT conv_id, max(pos) AS pos FROM c WHERE role IN ({loss}) GROUP BY 1),
+l AS (SELECT conv_id, pos, text FROM a JOIN c USING (conv_id, pos)),
+s AS (SELECT x.conv_id, x.pos AS swapped, y.text AS instead, y.conv_id AS rejected_id FROM l x JOIN l y ON y.conv_id = xor(x.conv_id, 1)),
+b AS (SELECT conv_id AS pair_id, conv_id AS chosen_id, rejected_id, side, pos, coalesce(role, '') AS role, coalesce(CASE WHEN side = 'rejected' AND pos = swapped THEN instead ELSE text END, '') AS text
+  FROM c JOIN s USING (conv_id), (VALUES ('chosen'), ('rejected')) v(side)),
 e AS (SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM b GROUP BY ALL),
 n AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same), max(pos) + 1) - 1 AS n_common FROM e GROUP BY 1)
 SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen_id, rejected_id, CASE WHEN pos <= n_common THEN 'prompt' ELSE side END AS part, pos, role, '{t.start}' || role || chr(10) || text || '{t.end.strip()}' || chr(10) AS rendered,

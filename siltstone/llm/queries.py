@@ -11,7 +11,7 @@ from siltstone.llm.metric_search import top_k
 from siltstone.llm.mixing import fair_mix
 from siltstone.llm.near_dedup import NearDedup, near_duplicates
 from siltstone.llm.packing import pack_documents
-from siltstone.llm.preference import format_preferences
+from siltstone.llm.preference import format_exchanged
 from siltstone.llm.pu_quality import classify
 from siltstone.llm.quality_rules import apply_rules
 from siltstone.llm.secret_scan import KINDS, joined, scan_secrets
@@ -47,7 +47,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op8_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(table(spark, sf_dir, "conversations"))
+    return format_exchanged(table(spark, sf_dir, "conversations"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -98,16 +99,44 @@ def test_secret_spans(docs, rows):
 def test_markov_separates_held_out_samples():
     model = secret_scan.train(secret_scan.labelled_samples())
     held = secret_scan.labelled_samples(1000, seed=123)
-    right = [(model.score(s) > 0.5) == bool(y) for s, y in held if len(s) >= 20]
+    right = [secret_scan.is_random(s, model, secret_scan.SecretScan()) == bool(y) for s, y in held if len(s) >= 20]
     assert np.mean(right) > 0.98
 
 
+def test_markov_finds_planted_secrets_and_leaves_words(spark):
+    """Recall and precision over runs of 20 to 40 characters set in prose, without any pattern's prefix."""
+    rng, a = random.Random(31), secret_scan.ALPHABET
+    pools = (a[:62], a[:64], a[:62] + "-_", a[:52], a[26:62], a[:26] + a[52:62])
+    words = "the stone by a river that runs under old bridges and through wide gardens of the northern towns".split()
+    rows, planted = [], {}
+    for i in range(600):
+        w = [rng.choice(words) for _ in range(60)]
+        ordinary = ["".join(rng.choice(["lich", "keit", "tion", "ment", "ungs", "heit", "aire", "able"]) for _ in range(6)), "-" * 30, "=" * 24, "src/module/handler/event_queue_service", "CamelCaseHandlerFactoryBuilder2024"]
+        w[10] = rng.choice(ordinary)
+        if i % 2:
+            w[40] = planted[i] = "".join(rng.choice(pools[i // 2 % len(pools)]) for _ in range(rng.randint(20, 40)))
+        rows.append((i, " ".join(w)))
+    text = dict(rows)
+    got = [(r.doc_id, text[r.doc_id][x.start : x.end]) for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.findings if x.kind == "markov"]
+    hit = {i for i, x in got if planted.get(i, "").strip("/=-_+") and x in planted.get(i, "")}
+    assert len(hit) >= 0.98 * len(planted) and len(got) - len(hit) <= 0.01 * len(rows)
+
+
+def test_many_findings_in_one_text():
+    model, scan = secret_scan.train(secret_scan.labelled_samples()), secret_scan.SecretScan()
+    rng = random.Random(7)
+    runs = [("".join(rng.choice("0123456789abcdef") for _ in range(30)), "".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(30))) for _ in range(20_000)]
+    found = secret_scan.find_secrets(" ".join(x for r in runs for x in r), model, scan)
+    kinds = Counter(k for k, _, _ in found)
+    assert kinds["hex"] == 20_000 and kinds["markov"] > 19_900
+
+
 def test_redaction(docs, rows, empty):
     model = secret_scan.train(secret_scan.labelled_samples())
     out = secret_scan.redact_secrets(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     for r in out.collect():
-        assert r.text is None or (not secret_scan.find_secrets(r.text, model, 0.5) and r.n_chars == len(r.text))
+        assert r.text is None or (not secret_scan.find_secrets(r.text, model, secret_scan.SecretScan()) and r.n_chars == len(r.text))
     assert secret_scan.redact("abcdef", [("hex", 1, 3), ("assign", 2, 4)], "*") == "a*ef"
     assert secret_scan.redact_secrets(empty).count() == 0
 
@@ -201,6 +230,22 @@ def test_token_file_reads_only_what_is_asked(spark, docs, rows, plain):
         list(token_files.TokenFile(pa.BufferReader(bytes(raw))).documents())
 
 
+def test_documents_beyond_a_frame():
+    import io
+
+    import pyarrow as pa
+
+    rng, sink = np.random.default_rng(3), io.BytesIO()
+    writer = token_files.TokenFileWriter(sink, frame_tokens=50, index_rows=3, max_frame=400)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in (1, 99, 100, 101, 1000, 7, 250, 3)]
+    for i, d in enumerate(docs):
+        writer.add(i, d.tobytes())
+    writer.close()
+    f = token_files.TokenFile(pa.BufferReader(sink.getvalue()))
+    assert writer.n_tokens == sum(map(len, docs)) and [(i, b) for i, b in f.documents()] == [(i, d.tobytes()) for i, d in enumerate(docs)]
+    assert all((f.ids(i) == d).all() for i, d in enumerate(docs))
+
+
 def test_empty_token_files(spark, empty):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty)).count() == 0
 
@@ -278,6 +323,67 @@ def test_classifier_learns_and_ignores_held_out_labels(spark):
     assert all(abs(again[i] - got[i].score) < 1e-9 for i in again)
 
 
+def brute_features(text, n):
+    """Features of a text by plain counting, with n slots for byte pairs."""
+    b = (text or "").encode()
+    slots, kinds = Counter(((x * 257 + y) * 2654435761 % 2**32) >> (32 - (n - 1).bit_length()) for x, y in zip(b, b[1:])), [0] * 6
+    for x in b:
+        for k, inside in enumerate((65 <= x <= 90, 97 <= x <= 122, 48 <= x <= 57, x <= 32, x in b"#*$%&|<>{}[]\\/=+~^_@", x >= 128)):
+            kinds[k] += inside
+    words, lines = b.split(), [x for x in b.split(b"\n") if x.strip()]
+    shape = [np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), not words, sum(x == y for x, y in zip(words, words[1:])) / max(1, len(words))]
+    return [(slots[i] / (len(b) - 1)) ** 0.5 if slots[i] else 0 for i in range(n)] + [k / max(1, len(b)) for k in kinds] + [float(x) for x in shape]
+
+
+def test_classifier_against_brute_force(spark, docs, rows):
+    """The whole query on one machine: plain features, the documented samples and steps of plain gradient formulas."""
+    label_rows = [(i, int(i % 3 > 0), 0) for i in range(0, 120, 2)] + [(4, 1, 0), (None, 1, 0), (7, None, 0)]
+    labels = spark.createDataFrame(label_rows, "doc_id long, quality int, toxic int")
+    p = pu_quality.PuQuality(pairs=64, steps=25)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    known = {}
+    for i, q, _ in label_rows:
+        if i is not None and q is not None and not held(i):
+            known[i] = min(q, known.get(i, 1))
+    text = {}
+    for i, t, *_ in rows:
+        if i is not None and not held(i):
+            text[i] = min(t or "", text.get(i, t or ""))
+    f16 = lambda ids: np.array([brute_features(text[i], 64) for i in ids]).astype(np.float16).astype(float)
+    prior, xp, xu = sum(known.values()) / len(known), f16([i for i in known if known[i] and i in text]), f16(list(text))
+    w, b, m, v = np.zeros(xp.shape[1]), np.log(prior / (1 - prior)), 0.0, 0.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for t in range(1, p.steps + 1):
+        zp, zu = xp @ w + b, xu @ w + b
+        plus = np.append(xp, np.ones((len(xp), 1)), axis=1).T @ (prior * (sigmoid(zp) - 1)) / len(xp)
+        rest = np.append(xu, np.ones((len(xu), 1)), axis=1).T @ sigmoid(zu) / len(xu) - np.append(xp, np.ones((len(xp), 1)), axis=1).T @ (prior * sigmoid(zp)) / len(xp)
+        bracket = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        g = (plus + rest if bracket >= 0 else -rest) + np.append(p.decay * w, 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    want = Counter((i, held(i), round(float(sigmoid(np.dot(brute_features(t, 64), w) + b)), 3)) for i, t, *_ in rows)
+    got = Counter((r.doc_id, r.held_out, round(r.score, 3)) for r in pu_quality.classify(docs, labels, p).collect())
+    assert sum((want - got).values()) <= 2  # roundings that fall on either side
+
+
+def test_samples_are_those_of_the_smallest_hashes(spark):
+    ids = spark.range(2000).select((F.col("id") % 1500).alias("doc_id"))
+    by = [r.doc_id for r in ids.distinct().orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id").collect()]
+    for k in (10, 600, 5000):
+        assert {r.doc_id for r in pu_quality.smallest_hashes(ids, 2000, k).collect()} == set(by[:k])
+    same = spark.range(5000).select(F.lit(3).alias("doc_id"))
+    assert [r.doc_id for r in pu_quality.smallest_hashes(same, 5000, 10).collect()] == [3]
+
+
+def test_rows_that_share_an_id_count_once_in_training(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * 5) for i in range(30)] + [(2, "text 2 " * 5)] * 500, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    p = pu_quality.PuQuality(pairs=64, steps=20)
+    once = pu_quality.train(df.distinct(), lab, p)
+    assert np.allclose(once.weights, pu_quality.train(df, lab, p).weights)
+
+
 def test_classifier_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in pu_quality.classify(docs, none).collect()} == {0.5}
@@ -370,38 +476,52 @@ def test_densification_estimates_similarity():
 # ---- top-k
 
 
+def brute_top_k(data, k=5, every=50):
+    """Results of rows (id, vector or None), each query against all other rows of as many components."""
+    rows = [(i, [math.floor(256 * x) for x in v]) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, v) in enumerate(rows):
+        if q % every == 0:
+            s = sorted((-sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))[:k]
+            out.update((q, r + 1, i, max(-(2**63), min(-x, 2**63 - 1))) for r, (x, i) in enumerate(s))
+    return out
+
+
 @pytest.mark.parametrize("shard,page", [(64, 8), (1000, 300)])
-def test_exact_top_k(spark, shard, page):
+@pytest.mark.parametrize("size", [1 / 3, 1e6, 1e8])
+def test_exact_top_k(spark, shard, page, size):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=(300, 6)) / 3
+    v = rng.normal(size=(300, 6)) * size
     v[50:120] = v[50]  # a very common vector
-    rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
-    extra = [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1050, [float("nan")] * 6), (None, [0.0] * 6), (1100, []), (1150, [1.0, 2.0])]
-    df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = sorted(tuple(r) for r in metric_search.top_k(df, F.col("id") % 50 == 0, p=metric_search.MetricSearch(shard_rows=shard, page=page, query_block=4)).collect())
-    w = np.floor(v * 256).astype(np.int64)
-    want = []
-    for q in range(0, 300, 50):
-        s = sorted(((-int(w[q] @ w[i]), i) for i in range(300) if i != q))[:5]
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    assert got == sorted(want)
+    data = [(i, [float(x) for x in v[i]]) for i in range(300)]
+    data += [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1050, [float("nan")] * 6), (None, [0.0] * 6), (1100, []), (1150, [1.0, 2.0]), (1151, [3.0, 0.5]), (1200, [7.0]), (100, [size] * 6), (100, [size] * 6), (7, [size] * 6)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("id", F.lit(0))
+    got = metric_search.top_k(df, F.col("vec_id") % 50 == 0, p=metric_search.MetricSearch(shard_rows=shard, page=page, query_block=4))
+    assert pairs(got, "query_id", "rank", "vec_id", "score") == brute_top_k(data)
+
+
+def test_scores_beyond_64_bits(spark):
+    data = [(0, [1e15, 1e15]), (1, [2e15, 1e15]), (2, [-1e15, -1e15]), (3, [1.0, 0.0]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in metric_search.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 4, 0), (0, 4, 2, -(2**63))]
 
 
 def test_bounds_spare_products():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 4)) * 2000
-    v = np.concatenate([c + rng.normal(size=(60, 4)) * 5 for c in centres]).astype(np.int32)
-    tree = metric_search.build_tree(v, np.arange(len(v)), 16)
-    best, products = metric_search.search_tree(tree, v[3], 3, 5)
-    s = v.astype(np.int64) @ v[3].astype(np.int64)
+    v = np.concatenate([c + rng.normal(size=(60, 4)) * 5 for c in centres]).astype(np.int64)
+    tree = metric_search.build_tree(v, np.arange(len(v)), np.arange(len(v)), 16)
+    best, products = metric_search.search_tree(tree, v[3], 3, 5, metric_search.largest(v))
+    s = v @ v[3]
     s[3] = -(2**60)
     assert sorted((x for x, _ in best), reverse=True) == sorted(s.tolist(), reverse=True)[:5] and products < len(v) // 2
 
 
 def test_top_k_of_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in metric_search.top_k(two, F.col("id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
-    assert metric_search.top_k(two.limit(0), F.col("id") % 50 == 0).count() == 0
+    assert [tuple(r) for r in metric_search.top_k(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
+    assert metric_search.top_k(two.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 # ---- mixing
@@ -462,7 +582,8 @@ TURNS = [
 
 def test_preferences(spark):
     df = spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, pos int")
-    got = preference.format_preferences(df).collect()
+    named = spark.createDataFrame([(0, 0, 1), (1, 2, 3), (2, 4, 5)], "pair_id long, chosen_id long, rejected_id long")
+    got = preference.format_preferences(df, named).collect()
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: r.pos):
         by[r.pair_id, r.part].append((r.role, r.rendered, r.loss, r.n_common))
@@ -473,7 +594,23 @@ def test_preferences(spark):
     assert len(by[1, "prompt"]) == 1 and not by[1, "chosen"] and not by[1, "rejected"]
     assert [x[0] for x in by[2, "chosen"]] == [None, "assistant"] and [x[0] for x in by[2, "rejected"]] == ["system"]
     assert {p for p, _ in by} == {0, 1, 2}
-    assert preference.format_preferences(df.limit(0)).count() == 0
+    assert preference.format_preferences(df.limit(0), named).count() == 0
+    turns = preference.numbered_turns(df)
+    many = spark.range(3000).select(F.col("id").alias("pair_id"), F.lit(0).cast("long").alias("chosen_id"), F.lit(1).cast("long").alias("rejected_id"))
+    assert preference.format_preferences(df, many).count() == 3000 * (3 + 1 + 2) and turns.count() == 15  # a conversation of very many pairs
+
+
+def test_exchanged_answers(spark):
+    df = spark.createDataFrame([(*t, 1) for t in TURNS] + [(7, 0, "assistant", "u", 1)], "conv_id long, turn long, role string, text string, pos int")
+    by = defaultdict(list)
+    for r in sorted(preference.format_exchanged(df).collect(), key=lambda r: r.pos):
+        by[r.pair_id, r.part].append((r.rejected_id, r.role, r.rendered, r.loss, r.n_common))
+    say = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert {p for p, _ in by} == {0, 1}  # 2, 3, 5 and 6 have no answer
+    assert [x[2] for x in by[0, "prompt"]] == [say("user", "hi"), say("assistant", "hello"), say("user", "more")] and not any(x[3] for x in by[0, "prompt"])
+    assert by[0, "chosen"] == [(1, "assistant", say("assistant", "good"), True, 3)] and by[0, "rejected"] == [(1, "assistant", say("assistant", "bad"), True, 3)]
+    assert [x[2] for x in by[1, "rejected"]] == [say("assistant", "good"), say("user", "")] and [x[3] for x in by[1, "rejected"]] == [True, False]
+    assert preference.format_exchanged(df.limit(0)).count() == 0
 
 
 def test_pairs_by_opening(spark):

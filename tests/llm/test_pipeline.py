@@ -137,7 +137,7 @@ def test_each_stage(stages):
     assert Counter(r[:2] for r in as_rows(after)) == Counter(distinct) and set(as_rows(after)) <= set(kept) and len(after) < len(before)
     _, before, after, _ = steps[2]
     model = secret_scan.train(secret_scan.labelled_samples())
-    want = Counter((i, None if t is None else secret_scan.redact(t, secret_scan.find_secrets(t, model, 0.5), "[SECRET]"), lang, s) for i, t, lang, s in as_rows(before))
+    want = Counter((i, None if t is None else secret_scan.redact(t, secret_scan.find_secrets(t, model, secret_scan.SecretScan()), "[SECRET]"), lang, s) for i, t, lang, s in as_rows(before))
     assert Counter(as_rows(after)) == want and any("[SECRET]" in (r.text or "") for r in after) and all(r.text is None or r.n_chars == len(r.text) for r in after)
     _, before, after, _ = steps[3]
     assert Counter(as_rows(after)) == +mixed(as_rows(before))
