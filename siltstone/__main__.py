@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from siltstone.engine import Engine
 from siltstone.errors import EngineError
 from siltstone.operators.search import Request
@@ -21,6 +23,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_parser("scope-add").add_argument("root")
     c.add_parser("scan").add_argument("scope", type=int)
     c.add_parser("folder-profile").add_argument("node", type=int)
+    c.add_parser("relation-sources")
+    x = c.add_parser("exclude")
+    x.add_argument("scope", type=int)
+    x.add_argument("path")
+    x.add_argument("revision", type=int)
+    v = c.add_parser("revoke")
+    v.add_argument("scope", type=int)
+    v.add_argument("revision", type=int)
     d = c.add_parser("decide")
     d.add_argument("relation", type=int)
     d.add_argument("decision", choices=("accepted", "rejected"))
@@ -56,6 +66,10 @@ def main(argv: list[str]) -> int:
                 return 0
             case "search":
                 out = e.search(Request(a.query, a.scope, a.folder, a.source or "all", a.extension, a.since, a.before, a.limit))
+            case "exclude":
+                out = e.exclude(a.scope, a.path, a.revision)
+            case "revoke":
+                out = e.revoke(a.scope, a.revision)
             case "scan":
                 out = e.scan(a.scope)
             case "folder-profile":
@@ -68,8 +82,8 @@ def main(argv: list[str]) -> int:
                 out = e.folders()
             case name:
                 out = getattr(e, name.replace("-", "_"))()
-        for row in out.toJSON().take(1000):
-            print(row)
+        for row in out.select(F.to_json(F.struct("*")).alias("row")).toLocalIterator():  # a partition at a time, to its end
+            print(row.row)
         return 0
     except EngineError as error:
         print(error.code, file=sys.stderr)

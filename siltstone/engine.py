@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.functions.paths import filename
-from siltstone.operators import actions, graph, manifest, relations
+from siltstone.operators import actions, graph, manifest, privacy, relations
 from siltstone.operators import search as S
+from siltstone.schemas import SCHEMAS
 from siltstone.sources import content, listing
 from siltstone.sources.warehouse import Warehouse
 
@@ -103,7 +104,20 @@ class Engine:
 
     # ---- questions
 
+    def _policy(self, scope_id: int | None) -> tuple:
+        return actions.policy(self.warehouse.read("authorized_scopes").withColumn("scope_id", F.col("id")), scope_id)
+
     def search(self, request: S.Request) -> DataFrame:
+        """Ranked results under the policy that held when the search began: they are read before the revisions are looked
+        at again, and if any has changed meanwhile the search fails closed."""
+        bound = self._policy(request.scope_id)
+        found = self._search(request)
+        rows = found.collect()  # fifty at most
+        if self._policy(request.scope_id) != bound:
+            raise EngineError("scope_policy_changed")
+        return self.spark.createDataFrame(rows, found.schema)
+
+    def _search(self, request: S.Request) -> DataFrame:
         scope = None
         if request.folder_node_id is not None:
             places = self.present().select("id", "scope_id", "node_id", "path_key", "present", "location_id")
@@ -136,6 +150,49 @@ class Engine:
             data = part if data is None else data.unionByName(part)
         return data.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(wanted, "path").select("scope_id", "node_id", "content")
 
+    def exclude(self, scope_id: int, path: str, expected_revision: int) -> DataFrame:
+        """Excludes a path of a scope: what lies below leaves the manifest, the edges and the extracted text, the scope's
+        policy moves to its next revision, and receipts say how many rows of each table went. Returns the receipts."""
+        scopes = self.warehouse.read("authorized_scopes")
+        raised = privacy.next_revision(scopes.withColumn("scope_id", F.col("id")), scope_id, expected_revision).drop("scope_id")
+        row = scopes.filter(F.col("id") == scope_id).head()
+        if path == row.path_key or not path.startswith(row.path_key.rstrip("/") + "/"):
+            raise EngineError("scope_exclusion_invalid")
+        excluded = self.spark.createDataFrame([(scope_id, "path", path, None, None)], SCHEMAS["scope_exclusions"])
+        self.warehouse.append("scope_exclusions", excluded)
+        return self._purge(raised, scope_id, privacy.excluded_locations(self.warehouse.read("manifest"), excluded), expected_revision + 1)
+
+    def revoke(self, scope_id: int, expected_revision: int) -> DataFrame:
+        """Revokes a scope's grant and purges all that was kept of it. Returns the receipts."""
+        scopes = self.warehouse.read("authorized_scopes")
+        raised = privacy.next_revision(scopes.withColumn("scope_id", F.col("id")), scope_id, expected_revision).drop("scope_id")
+        grants = self.warehouse.read("scope_access_grants").withColumn("state", F.when(F.col("scope_id") == scope_id, "revoked").otherwise(F.col("state")))
+        self.warehouse.replace("scope_access_grants", grants)
+        return self._purge(raised, scope_id, self.warehouse.read("manifest").filter(F.col("scope_id") == scope_id), expected_revision + 1)
+
+    def _purge(self, raised: DataFrame, scope_id: int, gone: DataFrame, revision: int) -> DataFrame:
+        """The new policy is published first, so that searches under way fail; then what it forbids goes."""
+        self.warehouse.replace("authorized_scopes", raised)
+        places = self.warehouse.read("manifest")
+        nodes = privacy.closure(gone, places)
+        tables = {"edges": self.warehouse.read("edges"), "file_relations": self.warehouse.read("file_relations")}
+        counts = {"locations": gone.count(), **{r.table_name: r.purged_rows for r in privacy.impact(tables, nodes).collect()}}
+        if self.warehouse.version("extracted"):
+            text, here = self.extracted(), gone.select("scope_id", F.col("id").alias("location_id"))
+            counts["content_chunks"] = text.join(here, ["scope_id", "location_id"], "left_semi").count()
+            self.warehouse.replace("extracted", text.join(here, ["scope_id", "location_id"], "left_anti"), check=False)
+        for name, kept in privacy.purge(tables, nodes).items():
+            self.warehouse.replace(name, kept)
+        self.warehouse.replace("manifest", places.join(gone.select("scope_id", "id"), ["scope_id", "id"], "left_anti"), check=False)
+        receipts = self.spark.createDataFrame([(scope_id, name, n, revision) for name, n in sorted(counts.items())], SCHEMAS["privacy_receipts"])
+        self.warehouse.append("privacy_receipts", receipts)
+        return receipts
+
+    def relation_sources(self) -> DataFrame:
+        """(scope_id, node_id, size_bytes, code): present files, and why one is not compared with others at all."""
+        files = self.present().filter("kind = 'file'").select("scope_id", "node_id", "size_bytes").distinct()
+        return files.withColumn("code", relations.source_code(F.col("size_bytes")))
+
     def duplicates(self) -> DataFrame:
         return relations.exact_duplicates(self._contents())
 

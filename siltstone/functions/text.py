@@ -114,9 +114,10 @@ def char_error_edits(expected: Column, recognized: Column) -> Column:
 
 
 def token_error_edits(expected: Column, recognized: Column) -> Column:
-    """Levenshtein distance in white-space tokens: each distinct token of the pair stands for one private-use character."""
+    """Levenshtein distance in white-space tokens: each distinct token of the pair stands for one character
+    beyond the basic plane, of which there are a million."""
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     a, b = words(expected), words(recognized)
     known = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.hex(F.lit(0xE000) + F.array_position(known, x))), "UTF-16BE")), "")
+    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, x)), 8, "0")), "UTF-32")), "")
     return F.levenshtein(coded(a), coded(b)).cast("long")

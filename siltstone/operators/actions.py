@@ -76,6 +76,12 @@ def health(spark) -> DataFrame:
     return spark.createDataFrame(states, "component string, state string")
 
 
+def policy(scopes: DataFrame, scope_id: int | None = None) -> tuple:
+    """The policy revisions that a query is bound to: those of its scope, or of all scopes (a few dozen at most)."""
+    rows = scopes if scope_id is None else scopes.filter(F.col("scope_id") == scope_id)
+    return tuple(sorted((r.scope_id, r.policy_revision) for r in rows.select("scope_id", "policy_revision").collect()))
+
+
 def guard_revision(scopes: DataFrame, scope_id: int, bound: int) -> None:
     """Raises if a scope's policy changed since a query bound its revision."""
     row = scopes.filter(F.col("scope_id") == scope_id).select("policy_revision").head()

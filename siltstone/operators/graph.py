@@ -26,9 +26,11 @@ MARKERS = (
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the session names, or in one of its own where it names none."""
+    """Cuts the lineage in the shared folder that the session names, or in a temporary one where a local session names none."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         context.setCheckpointDir(f"{tempfile.gettempdir()}/siltstone-{uuid.uuid4().hex}")
     return df.checkpoint()
 

@@ -24,6 +24,11 @@ def duplicate_code(same_node: Column, left_size: Column, right_size: Column, sam
     )
 
 
+def source_code(size: Column, most: int = MAX_DUPLICATE_BYTES) -> Column:
+    """Why a file is not compared at all; null if it is."""
+    return F.when(size == 0, "file_relation_source_empty").when(size > most, "file_relation_source_too_large")
+
+
 def exact_duplicates(files: DataFrame, content: str = "content") -> DataFrame:
     """(scope_id, left_node_id, right_node_id, size_bytes, members): every copy against the smallest node of its group.
 
@@ -46,14 +51,31 @@ def version_code(same_node: Column, left: Column, right: Column) -> Column:
     )
 
 
+def version_members(files: DataFrame) -> DataFrame:
+    """(scope_id, base, ext, version, class_node_id, node_id): every file with a version number, and the smallest node of
+    the files that share it, which stands for them."""
+    parsed = files.select("scope_id", "node_id", explicit_version(F.col("file_name")).alias("v")).filter(F.col("v").isNotNull()).select("scope_id", "v.base", "v.ext", "v.version", "node_id").distinct()
+    least = parsed.groupBy("scope_id", "base", "ext", "version").agg(F.min("node_id").alias("class_node_id"))
+    return parsed.join(least, ["scope_id", "base", "ext", "version"]).select("scope_id", "base", "ext", "version", "class_node_id", "node_id")
+
+
 def version_pairs(files: DataFrame) -> DataFrame:
-    """Chains of numbered versions: each version number of a (scope, base, extension) with the next higher one, both by
-    their smallest node. ``files``: scope_id, node_id, file_name."""
-    parsed = files.select("scope_id", "node_id", explicit_version(F.col("file_name")).alias("v")).filter(F.col("v").isNotNull())
-    steps = parsed.groupBy("scope_id", "v.base", "v.ext", "v.version").agg(F.min("node_id").alias("older_node_id"))
+    """Numbered versions, each number of a (scope, base, extension) with the next higher one. ``files``: scope_id,
+    node_id, file_name.
+
+    Of n files that share a number and m that share the next, the smallest node of either is paired with all of the
+    other: n + m - 1 pairs, so no file is left without its relation and not all pairs are spelt out."""
+    members = version_members(files)
+    key = ["scope_id", "base", "ext"]
+    steps = members.filter(F.col("node_id") == F.col("class_node_id")).select(*key, "version", F.col("class_node_id").alias("older_node_id"))
     w = Window.partitionBy("scope_id", "base", "ext").orderBy("version")
     chained = steps.withColumns({"newer_node_id": F.lead("older_node_id").over(w), "newer_version": F.lead("version").over(w)}).filter(F.col("newer_node_id").isNotNull())
-    return chained.select("scope_id", "base", "ext", "older_node_id", "newer_node_id", F.col("version").alias("older_version"), "newer_version", F.lit(VERSION).alias("confidence_basis_points"))
+    member = members.select(*key, F.col("version").alias("_version"), "node_id")
+    same = lambda c: [F.col(f"c.{k}") == F.col(f"m.{k}") for k in key] + [F.col(f"c.{c}") == F.col("m._version")]
+    columns = [F.col(f"c.{k}") for k in key], [F.col("c.version").alias("older_version"), F.col("c.newer_version")]
+    newer = chained.alias("c").join(member.alias("m"), same("newer_version")).select(*columns[0], F.col("c.older_node_id"), F.col("m.node_id").alias("newer_node_id"), *columns[1])
+    older = chained.alias("c").join(member.alias("m"), same("version")).select(*columns[0], F.col("m.node_id").alias("older_node_id"), F.col("c.newer_node_id"), *columns[1])
+    return newer.unionByName(older).distinct().select("scope_id", "base", "ext", "older_node_id", "newer_node_id", "older_version", "newer_version", F.lit(VERSION).alias("confidence_basis_points"))
 
 
 def eligible_images(images: DataFrame) -> DataFrame:

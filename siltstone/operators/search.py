@@ -157,9 +157,13 @@ def agent_projection(results: DataFrame, field_bytes: int = 2048, payload_bytes:
     return rows.filter(F.col("payload_bytes") <= payload_bytes)
 
 
-def trigram_index(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(trigram, key): the posting lists."""
-    return corpus.select(F.explode(trigrams(F.col(text))).alias("trigram"), key)
+def trigram_index(corpus: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(trigram, key): the posting lists, or those of a few trigrams (``only``, a column trigram): the others of a text
+    are dropped before they become rows."""
+    if only is None:
+        return corpus.select(F.explode(trigrams(F.col(text))).alias("trigram"), key)
+    wanted = only.agg(F.collect_set("trigram").alias("_wanted"))  # one row
+    return corpus.join(F.broadcast(wanted)).select(F.explode(F.array_intersect("_wanted", trigrams(F.col(text)))).alias("trigram"), key)
 
 
 def search_many(queries: DataFrame, corpus: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:

@@ -179,8 +179,8 @@ SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM q JOIN documents ON con
 def search_many(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     queries = spark.createDataFrame([(1, "nation"), (2, "therhe"), (3, "ouè"), (4, "xyzzyx")], "query_id long, query string")
-    terms = queries.select(F.explode(X.trigrams(F.col("query"))).alias("trigram")).distinct()
-    index = S.trigram_index(docs, "doc_id", "text").join(F.broadcast(terms), "trigram", "left_semi")  # the literal queries' trigrams
+    terms = queries.select(F.explode(X.trigrams(F.col("query"))).alias("trigram")).distinct()  # of four literal queries
+    index = S.trigram_index(docs, "doc_id", "text", terms)
     return S.search_many(queries, docs, index, "doc_id", "text")
 
 
@@ -364,13 +364,44 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS scope_id, 'report-' || CAST(s_nationkey AS VARCHAR) AS base, CAST(s_suppkey * 7 % 23 AS INTEGER) AS v FROM supplier WHERE s_suppkey * 7 % 23 > 0),
 s AS (SELECT scope_id, base, v, min(s_suppkey) AS node FROM n GROUP BY ALL),
-c AS (SELECT scope_id, base, node AS older, v AS older_v, lead(node) OVER w AS newer, lead(v) OVER w AS newer_v FROM s WINDOW w AS (PARTITION BY scope_id, base ORDER BY v))
-SELECT CAST(scope_id AS BIGINT) AS scope_id, base, 'md' AS ext, CAST(older AS BIGINT) AS older_node_id, CAST(newer AS BIGINT) AS newer_node_id, older_v AS older_version, newer_v AS newer_version, 9000 AS confidence_basis_points FROM c WHERE newer IS NOT NULL"""
+c AS (SELECT scope_id, base, node AS older, v AS older_v, lead(node) OVER w AS newer, lead(v) OVER w AS newer_v FROM s WINDOW w AS (PARTITION BY scope_id, base ORDER BY v)),
+l AS (SELECT c.scope_id, c.base, older, n.s_suppkey AS newer, older_v, newer_v FROM c JOIN n ON n.scope_id = c.scope_id AND n.base = c.base AND n.v = newer_v
+  UNION SELECT c.scope_id, c.base, n.s_suppkey, newer, older_v, newer_v FROM c JOIN n ON n.scope_id = c.scope_id AND n.base = c.base AND n.v = older_v WHERE newer IS NOT NULL)
+SELECT CAST(scope_id AS BIGINT) AS scope_id, base, 'md' AS ext, CAST(older AS BIGINT) AS older_node_id, CAST(newer AS BIGINT) AS newer_node_id, older_v AS older_version, newer_v AS newer_version, 9000 AS confidence_basis_points FROM l"""
 )
 def version_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return relations.version_pairs(version_files(spark, d))
+
+
+def version_files(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("s_suppkey") * 7 % 23
     name = F.concat(F.lit("Report-"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "-v").otherwise("_V"), v.cast("string"), F.lit(".MD"))
-    return relations.version_pairs(table(spark, d, "supplier").select(long(F.col("s_nationkey") % 3, "scope_id"), long("s_suppkey", "node_id"), name.alias("file_name")))
+    return table(spark, d, "supplier").select(long(F.col("s_nationkey") % 3, "scope_id"), long("s_suppkey", "node_id"), name.alias("file_name"))
+
+
+@query(
+    """WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS scope_id, 'report-' || CAST(s_nationkey AS VARCHAR) AS base, CAST(s_suppkey * 7 % 23 AS INTEGER) AS v FROM supplier WHERE s_suppkey * 7 % 23 > 0)
+SELECT CAST(scope_id AS BIGINT) AS scope_id, base, 'md' AS ext, v AS version, CAST(min(s_suppkey) OVER (PARTITION BY scope_id, base, v) AS BIGINT) AS class_node_id, CAST(s_suppkey AS BIGINT) AS node_id FROM n"""
+)
+def version_members(spark: SparkSession, d: str) -> DataFrame:
+    return relations.version_members(version_files(spark, d))
+
+
+@query(
+    """SELECT doc_id AS node_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 'file_relation_source_empty' WHEN strlen(text) > 8192 THEN 'file_relation_source_too_large' END AS code FROM documents"""
+)
+def duplicate_codes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(long("doc_id", "node_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size_bytes"))
+    return docs.withColumn("code", relations.source_code(F.col("size_bytes"), 8192))
+
+
+@query(
+    """SELECT doc_id, strlen(text) > 4096 AS failed, CASE WHEN strlen(text) > 4096 THEN 'extraction_output_limit_exceeded' END AS error_code FROM documents WHERE strlen(text) > 0"""
+)
+def chunk_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Texts beyond the limits give a row that says so, and no chunk; the bound on output is lowered so that some are."""
+    chunks = content.chunk_documents(table(spark, d, "documents"), limits=content.Limits(chunk_bytes=1024, overlap_bytes=0, output_bytes=4096))
+    return chunks.groupBy("doc_id").agg(F.max("error_code").alias("error_code")).select("doc_id", F.col("error_code").isNotNull().alias("failed"), "error_code")
 
 
 @query(
@@ -402,13 +433,13 @@ def feedback_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT CASE event_id % 3 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'version' ELSE 'screenshot_group' END AS kind, event_id AS source_id, epoch_us(ts) // 1000 AS seen FROM events WHERE event_id % 400 < 3 AND event_type <> 'error')
+    """WITH s AS (SELECT CASE event_id % 3 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'version' ELSE 'screenshot_group' END AS kind, event_id AS source_id, epoch_us(ts) // 1000 AS seen FROM events WHERE event_type <> 'error')
 SELECT kind, CAST(source_id AS BIGINT) AS source_id, seen AS observed_at_unix_ms, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'exact_duplicate' THEN 0 WHEN 'version' THEN 1 ELSE 2 END, seen DESC, source_id) AS BIGINT) AS position FROM s QUALIFY position <= 20"""
 )
 def inbox_order(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in relations.INBOX_KINDS]), (F.col("event_id") % 3 + 1).cast("int"))
     state = F.when(F.col("event_type") == "error", "rejected").otherwise("suggested")
-    s = table(spark, d, "events").filter("event_id % 400 < 3").select(kind.alias("kind"), long("event_id", "source_id"), event_ms().alias("observed_at_unix_ms"), state.alias("state"))
+    s = table(spark, d, "events").select(kind.alias("kind"), long("event_id", "source_id"), event_ms().alias("observed_at_unix_ms"), state.alias("state"))
     return relations.inbox(s).withColumn("position", F.col("position").cast("long"))
 
 
@@ -526,11 +557,11 @@ def active_grants(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 7)
-SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(l_suppkey AS BIGINT) AS node_id, l_linenumber = 7 OR (l_returnflag <> 'R' AND l_suppkey NOT IN (SELECT l_suppkey FROM d)) AS active FROM lineitem WHERE l_linenumber IN (1, 7)"""
+SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(l_suppkey AS BIGINT) AS node_id, l_linenumber = 7 OR (l_returnflag <> 'R' AND l_suppkey NOT IN (SELECT l_suppkey FROM d)) AS active FROM lineitem"""
 )
 def replace_output(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(long("l_orderkey", "id"), long("l_suppkey", "node_id"), (F.col("l_returnflag") != "R").alias("active"), "l_linenumber")
-    return manifest.replace_output(rows.filter("l_linenumber = 1").drop("l_linenumber"), rows.filter("l_linenumber = 7").drop("l_linenumber"), ["node_id"]).select("id", "node_id", "active")
+    return manifest.replace_output(rows.filter("l_linenumber <> 7").drop("l_linenumber"), rows.filter("l_linenumber = 7").drop("l_linenumber"), ["node_id"]).select("id", "node_id", "active")
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------
@@ -787,11 +818,11 @@ def watch_cycle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT l_orderkey AS id, l_suppkey AS path, l_returnflag <> 'R' AS delta FROM lineitem WHERE l_linenumber = 1), m AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS present, 1 + s_nationkey % 2 AS links FROM supplier)
+    """WITH e AS (SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS id, l_suppkey AS path, l_returnflag <> 'R' AS delta FROM lineitem), m AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS present, 1 + s_nationkey % 2 AS links FROM supplier)
 SELECT CAST(id AS BIGINT) AS id, CASE WHEN delta AND present AND links = 1 THEN 'file_delta' ELSE 'full_scope' END AS kind FROM e LEFT JOIN m ON s_suppkey = path"""
 )
 def watch_deltas(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").filter("l_linenumber = 1").select(long("l_orderkey", "id"), F.lit(1).cast("long").alias("scope_id"), F.col("l_suppkey").cast("string").alias("path"), F.when(F.col("l_returnflag") != "R", "file_delta").otherwise("full_scope").alias("kind"), F.lit(b"i").alias("identity_key"))
+    e = table(spark, d, "lineitem").select((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")).alias("id"), F.lit(1).cast("long").alias("scope_id"), F.col("l_suppkey").cast("string").alias("path"), F.when(F.col("l_returnflag") != "R", "file_delta").otherwise("full_scope").alias("kind"), F.lit(b"i").alias("identity_key"))
     m = table(spark, d, "supplier").select(F.lit(1).cast("long").alias("scope_id"), F.col("s_suppkey").cast("string").alias("path"), (F.col("s_suppkey") % 2 == 0).alias("present"), (1 + F.col("s_nationkey") % 2).alias("link_count"), F.lit(1).alias("locations"), F.lit(False).alias("scan_running"), F.lit(b"i").alias("identity_key"))
     return watch.deltas(e, m).select("id", "kind")
 

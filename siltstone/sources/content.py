@@ -81,17 +81,25 @@ def utf8_chunks(content: bytes, limits: Limits) -> list[tuple[str, int, int]]:
     return [(t, a + shift, b + shift) for t, a, b in split_text(text, limits)]
 
 
-CHUNKS = "doc_id long, ordinal long, text string, byte_start long, byte_end long"
+CHUNKS = "doc_id long, ordinal long, text string, byte_start long, byte_end long, error_code string"
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits(chunks=65_536, output_bytes=64 * 1024 * 1024)) -> DataFrame:
-    """(key, ordinal, text, byte_start, byte_end) of a table of texts; nulls and empty texts give no chunk."""
+    """(key, ordinal, text, byte_start, byte_end, error_code) of a table of texts; nulls and empty texts give no chunk, a
+    text beyond the limits one row with the error's code and nothing else."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def chunks(key: int | None, text: str) -> list[tuple]:
+        try:
+            return [(key, i, *c, None) for i, c in enumerate(split_text(text, limits))]
+        except ExtractionError as e:
+            return [(key, None, None, None, None, e.code)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k.as_py(), i, *c) for k, t in zip(batch.column(0), batch.column(1), strict=True) for i, c in enumerate(split_text(t.as_py() or "", limits))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "ordinal", "text", "byte_start", "byte_end"])
+            rows = [row for k, t in zip(batch.column(0), batch.column(1), strict=True) for row in chunks(k.as_py(), t.as_py() or "")]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, CHUNKS)
 
@@ -402,14 +410,20 @@ def extract(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, media, content in zip(*(batch.column(i) for i in range(3)), strict=True):
-                yield pa.RecordBatch.from_pylist(_extract(path.as_py(), media.as_py(), content.as_py(), limits), schema=schema)
+                if content.is_valid:
+                    rows = _extract(path.as_py(), media.as_py(), content.as_py(), limits)
+                else:  # too large to be read
+                    rows = [{"path": path.as_py(), "media": media.as_py(), "status": "failed", "error_code": "extraction_source_too_large"}]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", media_kind(filename(F.col("path"))).alias("media"), "content").mapInArrow(run, EXTRACTED)
 
 
 def read_files(spark: SparkSession, root: str, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """(path, content) below a root; sizes are checked on metadata before any content is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_bytes).select("path", "content")
+    """(path, content) below a root; content is null, and never read, of files whose size in the metadata exceeds the bound."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    large = files.filter(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= max_bytes).select("path", "content").unionByName(large)
 
 
 def read_evaluation(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -127,10 +127,17 @@ class Coalescer(StatefulProcessor):
         pass
 
 
-def coalesce_stream(hints: DataFrame, w: Watch = Watch(), delay: str = "0 seconds") -> DataFrame:
-    """The streaming form over hints with an event-time column ``observed_at``. The watermark only lets timers fire and
-    bounds state; a late hint still coalesces with what is pending."""
-    stream = hints.withWatermark("observed_at", delay).select("scope_id", F.coalesce("path", F.lit("")).alias("path"), "observed_kind", "observed_at_unix_ms", "observed_at")
+def coalesce_stream(hints: DataFrame, w: Watch = Watch(), delay: str | None = None) -> DataFrame:
+    """The streaming form. Deadlines are kept by the clock, as the hints of running watchers are stamped by it, so no hint
+    is too late to coalesce with what is pending, whatever other scopes have seen meanwhile.
+
+    With ``delay``, deadlines are kept by the event-time column ``observed_at`` instead, to replay recorded hints; Spark
+    then drops hints that are older than the latest by more than the delay.
+    """
+    columns = ["scope_id", F.coalesce("path", F.lit("")).alias("path"), "observed_kind", "observed_at_unix_ms"]
+    if delay is None:
+        return hints.select(*columns).groupBy("scope_id").transformWithStateInPandas(Coalescer(w), EVENTS, "Append", "ProcessingTime")
+    stream = hints.withWatermark("observed_at", delay).select(*columns, "observed_at")
     return stream.groupBy("scope_id").transformWithStateInPandas(Coalescer(w), EVENTS, "Append", "EventTime")
 
 

@@ -154,3 +154,33 @@ def test_observations_and_totals(spark):
     actions.guard_revision(s, 1, 4)
     with pytest.raises(EngineError):
         actions.guard_revision(s, 1, 5)
+
+
+def test_search_fails_closed_and_exclusions_purge(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "private").mkdir(parents=True)
+    (root / "a.md").write_text("visible words")
+    (root / "private" / "b.md").write_text("secret words")
+    e = Engine(spark, f"file://{tmp_path}/warehouse")
+    scope = e.add_scope(str(root))
+    e.scan(scope)
+    e.extract()
+    assert e.search(Request("words")).count() == 2
+    inner = e._search
+
+    def changed(request):
+        out = inner(request)
+        e.exclude(scope, str(root / "private"), 1)
+        return out
+
+    e._search = changed
+    with pytest.raises(EngineError, match="scope_policy_changed"):
+        e.search(Request("words"))
+    e._search = inner
+    assert [os.path.basename(r.display_path) for r in e.search(Request("words")).collect()] == ["a.md"]
+    receipts = {r.table_name: r.purged_rows for r in e.warehouse.read("privacy_receipts").collect()}
+    assert receipts == {"locations": 2, "edges": 2, "file_relations": 0, "content_chunks": 1}
+    with pytest.raises(EngineError, match="scope_policy_changed"):
+        e.revoke(scope, 1)
+    e.revoke(scope, 2)
+    assert e.present().count() == 0 and e.extracted().count() == 0 and e.search(Request("words")).count() == 0

@@ -99,3 +99,9 @@ def test_cell_references(spark):
 def test_case_only(spark):
     df = spark.createDataFrame([("a", "A", True), ("a", "a", False), ("é", "É", False), ("a", "b", False)], "a string, b string, want boolean")
     assert all(r.g == r.want for r in df.select(P.case_only_rename(F.col("a"), F.col("b")).alias("g"), "want").collect())
+
+
+def test_token_edits_of_very_many_tokens(spark):
+    a, b = " ".join(f"a{i}" for i in range(9_000)), " ".join(f"a{i}" if i % 1_000 else "x" for i in range(9_000))
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(X.token_error_edits(F.col("a"), F.col("b")).alias("n")).head().n == 9

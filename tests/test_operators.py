@@ -144,7 +144,8 @@ def test_duplicate_codes_in_order(spark):
 
 def test_versions_chain(spark):
     f = spark.createDataFrame([(1, 1, "plan-v1.md"), (1, 2, "Plan_V2.MD"), (1, 3, "plan.v5.md"), (1, 4, "plan-v2.md"), (1, 5, "other-v3.md"), (1, 6, "plan-v3.txt"), (1, 7, "plan-final.md"), (2, 8, "plan-v4.md")], "scope_id long, node_id long, file_name string")
-    assert rows(relations.version_pairs(f), "older_node_id", "newer_node_id", "older_version", "newer_version") == [(1, 2, 1, 2), (2, 3, 2, 5)]
+    assert rows(relations.version_pairs(f), "older_node_id", "newer_node_id", "older_version", "newer_version") == [(1, 2, 1, 2), (1, 4, 1, 2), (2, 3, 2, 5), (4, 3, 2, 5)]
+    assert rows(relations.version_members(f), "class_node_id", "node_id", "version") == [(1, 1, 1), (2, 2, 2), (2, 4, 2), (3, 3, 5), (5, 5, 3), (6, 6, 3), (8, 8, 4)]
 
 
 def test_review_groups_anchor_at_their_first(spark):

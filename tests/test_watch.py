@@ -1,5 +1,7 @@
 """Change hints: the state machine, its batch fold, its stream and the schedule."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(W.HINTS).option("maxFilesPerTrigger", 1).parquet(str(source)).withColumn("observed_at", F.timestamp_millis("observed_at_unix_ms"))
-        q = W.coalesce_stream(stream, SMALL).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out))
+        q = W.coalesce_stream(stream, SMALL, "0 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out))
         assert q.awaitTermination(180)
     finally:
         spark.conf.unset(provider)
@@ -62,6 +64,29 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert got == want
 
 
+def test_late_hints_of_a_stream_coalesce(spark, tmp_path):
+    source, out, wide = tmp_path / "in", tmp_path / "out", W.Watch(window_ms=20_000, max_age_ms=120_000)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source.mkdir()
+    q = W.coalesce_stream(spark.readStream.schema(W.HINTS).parquet(str(source)), wide).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start(str(out))
+    try:
+        now = int(time.time() * 1000)
+        for i, row in enumerate([(1, "/a", "file", now), (2, "/b", "file", now + 900), (1, "/a", "file", now - 500)]):
+            spark.createDataFrame([row], W.HINTS).coalesce(1).write.mode("append").parquet(str(source))
+            end = time.time() + 60
+            while sum(p["numInputRows"] for p in q.recentProgress) <= i and time.time() < end:
+                time.sleep(0.2)
+        end, got = time.time() + 90, []
+        while len(got) < 2 and time.time() < end:
+            time.sleep(1)
+            got = spark.read.schema(W.EVENTS).parquet(str(out)).collect() if out.exists() else []
+    finally:
+        q.stop()
+        spark.conf.unset(provider)
+    assert sorted((r.scope_id, r.hints) for r in got) == [(1, 2), (2, 1)]
+
+
 def test_deltas_need_a_plain_known_file(spark):
     e = spark.createDataFrame([(1, "/a", "file_delta", b"i"), (1, "/b", "file_delta", b"i"), (1, "/c", "file_delta", b"x"), (1, "/d", "file_delta", b"i"), (1, "/a", "full_scope", b"i")], "scope_id long, path string, kind string, identity_key binary")
     m = spark.createDataFrame([(1, "/a", True, 1, 1, False, b"i"), (1, "/b", True, 2, 1, False, b"i"), (1, "/c", True, 1, 1, False, b"i")], "scope_id long, path string, present boolean, link_count int, locations int, scan_running boolean, identity_key binary")
