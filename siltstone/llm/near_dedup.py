@@ -180,9 +180,12 @@ def untested(members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFram
     keys = left.groupBy("key", "first").agg(F.count("*").alias("m")).join(clusters.select(F.col("node").alias("first"), F.col("component").alias("cluster")), "first", "left")
     keys = keys.select("key", "m", F.coalesce("cluster", "first").alias("cluster"))
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg((F.count("*") + 1).alias("n"))
-    joint = keys.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("apart")).join(sizes, "cluster").filter(F.col("n") * F.col("n") <= F.col("apart")).select("cluster", F.lit(True).alias("joint"))
+    keys = scratch.write(keys, "keys")
+    apart = keys.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("apart"), F.count("*").alias("n_keys")).join(sizes, "cluster", "left")
+    joint = scratch.write(apart.select("cluster", "n_keys", F.coalesce(F.col("n") * F.col("n") <= F.col("apart"), F.lit(False)).alias("joint")), "joint")
     unit = F.when(F.col("joint"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("key")).alias("unit")
-    units = scratch.write(keys.join(joint, "cluster", "left").select("key", unit, F.col("m").alias("n")), "unit-keys")
+    units = skewed_join(keys, joint, ["cluster"], n="n_keys", how="inner").select("key", unit, F.col("m").alias("n"))
+    units = scratch.write(units, "unit-keys")
     return scratch.write(skewed_join(left, units, ["key"], how="inner").select("unit", "doc_id", "component").distinct(), "units")
 
 
