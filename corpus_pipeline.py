@@ -2,6 +2,9 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. The first four return the columns of
 documents; the last returns packed pieces (of the columns of :func:`siltstone.llm.packing.pack_documents`, ids included).
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows and columns of any further names,
+which pass through the first four; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -17,27 +20,34 @@ from siltstone.llm.secret_scan import redact_secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts fail the base rules and go; a null or rare language is
+    judged by the base rules alone; repeated rows share one fate; further columns, whatever their names, stay as they are."""
     return without_rejected(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more. Texts without words and
+    rows with a null doc_id stay; of rows that share doc_id and text one stays; rows that share a doc_id alone are judged
+    each by its own text; further columns stay as they are."""
     return without_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text."""
+    """Secrets are masked in the text, and n_chars follows it. Null and empty texts stay as they are; no row goes; repeated rows
+    give equal rows; further columns stay as they are."""
     return redact_secrets(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it."""
+    """Each document comes as often as the mix takes it, 0 to 2 times. Null and empty texts have no words and are never taken; a
+    null source is a source of its own; repeated rows share what is taken of them, rounded up; ties go by shuffled place,
+    then doc_id; further columns stay as they are."""
     return with_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of 2048 tokens, a row for each piece."""
+    """Packed sequences of 2048 tokens, a row for each piece. Null and empty texts hold the end id alone; a null doc_id is
+    carried as it is; repeated rows are packed one by one; further columns are ignored."""
     return pack_documents(docs)
 
 
