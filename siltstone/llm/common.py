@@ -55,12 +55,15 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n"
     many rows of ``left`` have the key, at most. ``right`` is a written table, and so is ``left`` unless ``total``, its number of rows, is given.
 
     Keys that hold a thousandth of the rows of ``left`` or more, so at most a thousand keys, are known to all tasks; rows
-    with one of them are dealt out over ``salts`` tasks, to each of which the key's rows of ``right`` go.
+    with one of them are dealt out over ``salts`` tasks, to each of which the key's rows of ``right`` go. A task that
+    runs again after a lost executor must deal its rows as before: rows of a written table go by their place, which stays the
+    same, all others by their values, as a shuffle may bring them in another order.
     """
     least = max(1_000, (left.count() if total is None else total) // 1_000)
     hot, salt = fresh(left, "_hot", "_salt")
     known = F.broadcast(right.filter(F.col(n) >= least).select(*keys, F.lit(True).alias(hot)).distinct())
-    dealt = left.join(known, keys, "left").withColumn(salt, F.when(F.col(hot), F.monotonically_increasing_id() % salts).otherwise(0)).drop(hot)
+    place = F.monotonically_increasing_id() if total is None else F.xxhash64(*left.columns)
+    dealt = left.join(known, keys, "left").withColumn(salt, F.when(F.col(hot), F.pmod(place, F.lit(salts))).otherwise(0)).drop(hot)
     copies = F.when(F.col(n) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
     return dealt.join(right.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)
 

@@ -28,8 +28,8 @@ def test_joins_of_hot_keys(spark):
     left = spark.range(6000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 700).alias("k"), "id", F.lit(1).alias("_salt"))
     right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k % 3 = 0")
     want = Counter(r.id for r in left.filter("k % 3 = 0").collect())
-    for how in ("left_semi", "inner"):
-        out = common.skewed_join(left, right, ["k"], how=how)
+    for how, total in (("left_semi", None), ("inner", None), ("inner", 6000)):
+        out = common.skewed_join(left, right, ["k"], how=how, total=total)
         assert Counter(r.id for r in out.collect()) == want and out.columns[:3] == ["k", "id", "_salt"]
 
 
