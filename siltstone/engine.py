@@ -120,7 +120,7 @@ class Engine:
     def _search(self, request: S.Request) -> DataFrame:
         scope = None
         if request.folder_node_id is not None:
-            places = self.present().select("id", "scope_id", "node_id", "path_key", "present", "location_id")
+            places = self.present().select("id", "scope_id", "node_id", "kind", "path_key", "present", "location_id")
             scope = graph.subtree(self.warehouse.read("edges"), places, request.scope_id, request.folder_node_id).select("node_id").distinct()
         return S.search(request, self.present(), self.chunks(), scope)
 
@@ -228,10 +228,12 @@ class Engine:
         return relations.inbox(r.join(state, "entity_id").select("kind", F.col("id").alias("source_id"), "observed_at_unix_ms", "state"))
 
     def stats(self) -> DataFrame:
-        m = self.manifest()
-        nodes = m.filter("present").select("node_id", "kind").distinct()
-        scans = self.warehouse.read("authorized_scopes").select(F.lit("completed").alias("status"))
-        return manifest.manifest_stats(self.warehouse.read("authorized_scopes"), nodes, m, self.warehouse.read("scan_issues"), scans)
+        """Counts over the scopes whose grant is active."""
+        m, grants = self.manifest(), self.warehouse.read("scope_access_grants")
+        granted = lambda name, scope: manifest.with_active_grant(self.warehouse.read(name).withColumn("scope_id", F.col(scope)), grants)
+        nodes, scopes = m.filter("present").select("node_id", "kind").distinct(), granted("authorized_scopes", "id")
+        scans = scopes.select(F.lit("completed").alias("status"))
+        return manifest.manifest_stats(scopes, nodes, m, granted("scan_issues", "scan_id"), scans)
 
     def health(self) -> DataFrame:
         return actions.health(self.spark)

@@ -104,9 +104,9 @@ def case_only_rename(a: Column, b: Column) -> Column:
 
 def cell_reference_valid(ref: Column) -> Column:
     """A1 to XFD1048576, without leading zeros."""
-    letters = F.regexp_extract(ref, "^([A-Z]{1,3})[1-9][0-9]{0,6}$", 1)
+    letters = F.regexp_extract(ref, r"^([A-Z]{1,3})[1-9][0-9]{0,6}\z", 1)
     column = F.aggregate(F.split(letters, ""), F.lit(0), lambda a, x: a * 26 + F.when(x == "", F.lit(0)).otherwise(F.ascii(x) - 64))
-    row = F.regexp_extract(ref, "^[A-Z]{1,3}([1-9][0-9]{0,6})$", 1)
+    row = F.regexp_extract(ref, r"^[A-Z]{1,3}([1-9][0-9]{0,6})\z", 1)
     return (letters != "") & (column <= 16_384) & (F.coalesce(row.try_cast("int"), F.lit(0)).between(1, 1_048_576))
 
 

@@ -101,11 +101,11 @@ def sha256_hex(c: Column) -> Column:
 
 def identifier_valid(c: Column) -> Column:
     """1 to 128 of letters, digits, dot, underscore and hyphen."""
-    return c.rlike("^[A-Za-z0-9._-]{1,128}$")
+    return c.rlike(r"^[A-Za-z0-9._-]{1,128}\z")
 
 
 def sha256_valid(c: Column) -> Column:
-    return c.rlike("^[0-9a-f]{64}$")
+    return c.rlike(r"^[0-9a-f]{64}\z")
 
 
 def char_error_edits(expected: Column, recognized: Column) -> Column:

@@ -66,6 +66,12 @@ def latency_report(runs: DataFrame, value: str, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count(value).alias("n"), nearest_rank(value, 50).alias("p50"), nearest_rank(value, 95).alias("p95"), F.coalesce(F.max(value), F.lit(0)).alias("max"))
 
 
+def attempt_latencies(runs: DataFrame, value: str, completed: Column, *keys: str) -> DataFrame:
+    """The report of all attempts and, apart from it, that of the completed ones; ``measure`` tells them apart."""
+    reports = [latency_report(df, value, *keys).withColumn("measure", F.lit(name)) for name, df in (("attempts", runs), ("completed", runs.filter(completed)))]
+    return reports[0].unionByName(reports[1])
+
+
 def box_valid(x: Column, y: Column, width: Column, height: Column) -> Column:
     """Of positive size and inside the unit square, in parts per million."""
     return (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= 1_000_000) & (y + height <= 1_000_000)

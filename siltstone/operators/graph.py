@@ -53,9 +53,10 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def subtree(edges: DataFrame, locations: DataFrame, scope_id: int, folder_node_id: int) -> DataFrame:
     """Present locations of a scope whose node descends from the folder and whose own path lies under the folder's: a
-    hard link elsewhere does not leak in."""
+    hard link elsewhere does not leak in. The node must be a present folder of the scope; locations come without those
+    whose grant is not active or which are excluded, so a folder of these is none either."""
     here = locations.filter(F.col("present") & (F.col("scope_id") == scope_id))
-    folder = here.filter(F.col("node_id") == folder_node_id).select(F.col("path_key").alias("_root"))
+    folder = here.filter((F.col("node_id") == folder_node_id) & (F.col("kind") == "folder")).select(F.col("path_key").alias("_root"))
     if folder.isEmpty():
         raise EngineError("search_folder_invalid")
     roots = here.filter(F.col("node_id") == folder_node_id).select("node_id")

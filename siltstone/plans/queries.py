@@ -840,6 +840,127 @@ def version_codes(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "right_id").select("left_id", "right_id", relations.version_code(F.col("left_id") == F.col("right_id"), F.col("a"), F.col("b")).alias("code"))
 
 
+# ---- fences, previews, forms --------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT CAST(o_orderkey + 1000000000 AS BIGINT) AS node_id, '/3/' || o_custkey || '/' || o_orderkey AS path_key FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 AND o_orderkey % 10 <> 0
+UNION ALL SELECT c_custkey + 1000, '/3/' || c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 103, '/3'"""
+)
+def location_fence(spark: SparkSession, d: str) -> DataFrame:
+    """A folder's subtree where each tenth file lies elsewhere, linked into the folder by its node alone."""
+    edges, _ = tree(spark, d)
+    customers, o = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    place = lambda df, node, kind, path: df.select(long(node, "node_id"), F.lit(kind).alias("kind"), path.alias("path_key"), F.lit(1).cast("long").alias("scope_id"), F.lit(True).alias("present"))
+    under = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("/x/"), F.col("o_orderkey"))).otherwise(F.concat(F.lit("/"), "c_nationkey", F.lit("/"), "o_custkey", F.lit("/"), "o_orderkey"))
+    files = place(o.join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("o_orderkey") + 1_000_000_000, "file", under)
+    folders = place(customers, F.col("c_custkey") + 1000, "folder", F.concat(F.lit("/"), "c_nationkey", F.lit("/"), "c_custkey"))
+    tops = place(table(spark, d, "nation"), F.col("n_nationkey") + 100, "folder", F.concat(F.lit("/"), "n_nationkey"))
+    return graph.subtree(edges, files.unionByName(folders).unionByName(tops), 1, 103).select("node_id", "path_key")
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def recent_events(spark: SparkSession, d: str) -> DataFrame:
+    return actions.recent(table(spark, d, "events").select(long("event_id", "id"), "event_type"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'exact_duplicate' WHEN 1 THEN 'version' ELSE 'screenshot_group' END AS kind, p_partkey AS t, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_partkey ELSE p_partkey + 4 END AS k FROM part),
+o AS (SELECT p_partkey AS node_id, p_size FROM part WHERE p_partkey % 7 <> 0)
+SELECT CAST(id AS BIGINT) AS source_id, CASE WHEN a.node_id IS NULL OR (k IS NOT NULL AND b.node_id IS NULL) THEN 'cleanup_source_not_current' WHEN (kind = 'screenshot_group') = (k IS NOT NULL) THEN 'cleanup_keeper_invalid'
+  WHEN t = k THEN 'cleanup_keeper_is_target' WHEN kind = 'exact_duplicate' AND a.p_size <> b.p_size THEN 'file_relation_content_differs' END AS error_code, FALSE AS action_authorized
+FROM c LEFT JOIN o a ON a.node_id = t LEFT JOIN o b ON b.node_id = k"""
+)
+def cleanup_previews(spark: SparkSession, d: str) -> DataFrame:
+    part, n = table(spark, d, "part"), F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in relations.INBOX_KINDS]), (n % 3 + 1).cast("int"))
+    choices = part.select(kind.alias("kind"), long(n, "source_id"), long(n, "target_node_id"), F.when(n % 5 == 1, long(n, "k")).when(n % 5 != 0, long(n + 4, "k")).alias("keeper_node_id"))
+    seen = part.filter(n % 7 != 0).select(long(n, "node_id"), F.sha2(F.col("p_size").cast("string"), 256).alias("sha256"), long("p_size", "size_bytes"))
+    return actions.cleanup_previews(choices, seen).select("source_id", "error_code", "action_authorized")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS selection_id, '/all/' || n_regionkey || '/' || n_name AS path_key, 'inode' AS identity_kind FROM nation")
+def exclusion_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch that keeps all rules comes back whole; the faults of others are tested with their codes."""
+    path = F.concat(F.lit("/all/"), "n_regionkey", F.lit("/"), "n_name")
+    return actions.check_exclusions(table(spark, d, "nation").select(long("n_nationkey", "selection_id"), path.alias("path_key"), F.lit("inode").alias("identity_kind")), "/all")
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey, o_orderstatus <> 'P' AS present, o_orderpriority LIKE '1%' AS folder FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2)
+SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 2) AS scopes, count(*) FILTER (present) AS nodes, count(*) FILTER (present AND NOT folder) AS files, count(*) FILTER (present AND folder) AS folders, count(*) FILTER (present) AS active_locations,
+  (SELECT count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2) AS issues, (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2 AND c_mktsegment = 'BUILDING') AS completed_scans FROM l"""
+)
+def granted_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest counts over the scopes (nations) with an active grant (region 2)."""
+    grants = table(spark, d, "nation").select(long("n_nationkey", "scope_id"), F.when(F.col("n_regionkey") == 2, "active").otherwise("revoked").alias("state"))
+    granted = lambda df: manifest.with_active_grant(df, grants)
+    customers = table(spark, d, "customer")
+    places = granted(table(spark, d, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select(long("c_nationkey", "scope_id"), long("o_orderkey", "node_id"), F.when(F.startswith("o_orderpriority", F.lit("1")), "folder").otherwise("file").alias("kind"), (F.col("o_orderstatus") != "P").alias("present")))
+    issues = granted(table(spark, d, "supplier").select(long("s_nationkey", "scope_id")))
+    scans = granted(customers.select(long("c_nationkey", "scope_id"), F.when(F.col("c_mktsegment") == "BUILDING", "completed").otherwise("running").alias("status")))
+    return manifest.manifest_stats(granted(grants), places.filter("present").select("node_id", "kind").distinct(), places, issues, scans).drop("ready")
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(coalesce(text, ''))) AS nfc_sha256, CASE WHEN strlen(text) <= 500 THEN text ELSE substr(text, 1, list_max(list_filter(range(0, 501), lambda i: strlen(substr(text, 1, i)) <= 500))) END AS first_bytes FROM documents")
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Normalization form C of whole texts, and the longest prefix of 500 bytes that ends between characters."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", X.sha256_hex(X.nfc(F.coalesce("text", F.lit("")))).alias("nfc_sha256"), X.truncate_utf8(F.col("text"), 500).alias("first_bytes"))
+
+
+VALUES_SQL = "v AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN sha256(p_name) WHEN 3 THEN upper(sha256(p_name)) WHEN 4 THEN sha256(p_name) || chr(10) ELSE replace(p_type, ' ', '.') END AS v FROM part)"
+
+
+@query("WITH " + VALUES_SQL + " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, regexp_full_match(v, '[A-Za-z0-9._-]{1,128}') AS is_identifier, regexp_full_match(v, '[0-9a-f]{64}') AS is_sha256 FROM v")
+def valid_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    k, sha = F.col("p_partkey"), F.sha2("p_name", 256)
+    v = F.when(k % 6 == 0, F.col("p_brand")).when(k % 6 == 1, F.replace("p_name", F.lit(" "), F.lit("_"))).when(k % 6 == 2, sha).when(k % 6 == 3, F.upper(sha)).when(k % 6 == 4, F.concat(sha, F.lit("\n"))).otherwise(F.replace("p_type", F.lit(" "), F.lit(".")))
+    return table(spark, d, "part").select(long("p_partkey", "p_partkey"), X.identifier_valid(v).alias("is_identifier"), X.sha256_valid(v).alias("is_sha256"))
+
+
+@query(
+    """WITH e AS (SELECT event_type, CAST(round(value * 1000) AS BIGINT) AS us, user_id % 4 <> 0 AS done FROM events), r AS (SELECT 'attempts' AS measure, * FROM e UNION ALL SELECT 'completed', * FROM e WHERE done)
+SELECT measure, event_type, count(*) AS n, quantile_disc(us, 0.5) AS p50, quantile_disc(us, 0.95) AS p95, max(us) AS max FROM r GROUP BY ALL"""
+)
+def attempt_latencies(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", long(F.round(F.col("value") * 1000), "elapsed_us"), (F.col("user_id") % 4 != 0).alias("done"))
+    return evaluation.attempt_latencies(e, "elapsed_us", F.col("done"), "event_type")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS id, c_custkey % 97 * 1000 AS due, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 89 * 100 END AS put_off, c_custkey % 11 = 0 AS active FROM customer),
+r AS (SELECT *, due <= 50000 AND NOT active AS ready, row_number() OVER (PARTITION BY due <= 50000 AND NOT active ORDER BY put_off IS NULL, coalesce(put_off, due), id) AS i FROM p)
+SELECT CAST(id AS BIGINT) AS scope_id, ready AND i <= 4 AS scheduled, CAST(CASE WHEN NOT ready THEN due WHEN i <= 4 THEN 350000 ELSE 51000 END AS BIGINT) AS due_at_unix_ms, CAST(CASE WHEN ready AND i > 4 THEN coalesce(put_off, due) WHEN NOT ready AND NOT active THEN put_off END AS BIGINT) AS deferred_due_at_unix_ms FROM r"""
+)
+def watch_polls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    polls = table(spark, d, "customer").select(long(k, "scope_id"), long(k % 97 * 1000, "due_at_unix_ms"), F.when(k % 3 == 0, long(k % 89 * 100, "x")).alias("deferred_due_at_unix_ms"), (k % 11 == 0).alias("active"))
+    return watch.poll_schedule(polls, 50_000)
+
+
+@query(
+    """WITH e AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS seen, user_id % 10 AS size, event_type FROM events), s AS (SELECT *, CASE WHEN id % 5 <> 0 THEN size END AS now_size, CASE WHEN id % 5 <> 0 THEN id % 7 <> 0 END AS is_file FROM e)
+SELECT CAST(id AS BIGINT) AS scope_id, CASE WHEN id % 5 = 0 OR id % 4 = 0 THEN 'stabilizing' ELSE 'reconciling' END AS status, CASE WHEN id % 5 = 0 OR id % 4 = 0 THEN least(1705000001000, seen + 300000) ELSE seen + 1000 END AS due_at_unix_ms,
+  CASE WHEN id % 5 = 0 OR id % 4 = 0 THEN CAST(2 AS BIGINT) ELSE 1 END AS hints, CASE WHEN (id % 5 = 0 OR id % 4 = 0) AND (1705000001000 > seen + 300000 OR NOT coalesce(is_file, FALSE)) THEN 'full_scope' ELSE 'file_delta' END AS kind FROM s"""
+)
+def watch_recheck(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose path is gone (each fifth) or whose size has changed (each fourth) stabilize anew."""
+    i, at = F.col("event_id"), event_ms()
+    e = table(spark, d, "events")
+    look = lambda size: [size.alias("size_bytes"), at.alias("modified_unix_ns"), F.lit(b"i").alias("identity_key")]
+    events = e.select(long(i, "scope_id"), F.lit("/f").alias("path"), at.alias("first_at_unix_ms"), at.alias("last_at_unix_ms"), (at + 1000).alias("due_at_unix_ms"), F.lit(1).cast("long").alias("hints"), F.lit("file_delta").alias("kind"), F.lit(False).alias("widened"), *look(long(F.col("user_id") % 10, "s")))
+    found = e.filter(i % 5 != 0).select(long(i, "scope_id"), F.lit("/f").alias("path"), F.when(i % 7 == 0, "folder").otherwise("file").alias("observed_kind"), *look(long(F.col("user_id") % 10 + (i % 4 == 0).cast("long"), "s")))
+    return watch.recheck(events, found, 1_705_000_000_000).select("scope_id", "status", "due_at_unix_ms", "hints", "kind")
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, CAST(CASE event_type WHEN 'error' THEN 1030000 WHEN 'view' THEN 1001000 WHEN 'click' THEN 1000050 END AS BIGINT) AS retry_at_unix_ms FROM events")
+def watch_retries(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    outcome = F.when(kind == "error", "error").when(kind == "view", "contention").when(kind == "click", "active").otherwise("completed")
+    return table(spark, d, "events").select(long("event_id", "event_id"), watch.retry_at(outcome, 1_000_000).alias("retry_at_unix_ms"))
+
+
 # ---- fixtures -----------------------------------------------------------------------------------------------------
 
 

@@ -23,6 +23,10 @@ HINTS = "scope_id long, path string, observed_kind string, observed_at_unix_ms l
 EVENTS = "scope_id long, first_at_unix_ms long, last_at_unix_ms long, due_at_unix_ms long, hints long, kind string, widened boolean"
 
 
+# Milliseconds until an event or scope is looked at again.
+RETRY_MS = {"active": 50, "contention": 1_000, "deferred": 1_000, "error": 30_000}
+
+
 @dataclass(frozen=True)
 class Watch:
     window_ms: int = 1_000
@@ -157,6 +161,50 @@ def schedule(events: DataFrame, now_ms: int, scopes: int = 4) -> DataFrame:
     return due.orderBy(reconciling, "due_at_unix_ms", "scope_id").limit(scopes)
 
 
+def poll_schedule(polls: DataFrame, now_ms: int, scopes: int = 4, poll_ms: int = 300_000) -> DataFrame:
+    """What a cycle does with the polls of its scopes (scope_id, due_at_unix_ms, deferred_due_at_unix_ms or null, active).
+
+    Due scopes without an active event go in order: those put off before by their first deadline, the others by their
+    own, ties by id. The first few are scheduled and polled again after the interval; the rest are put off, keep their first
+    deadline and come back in a second. A scope with an active event is put off no longer; nothing else changes.
+    """
+    deferred, due = F.col("deferred_due_at_unix_ms"), (F.col("due_at_unix_ms") <= now_ms) & ~F.col("active")
+    order = [deferred.isNull().cast("int"), F.coalesce(deferred, "due_at_unix_ms"), F.col("scope_id")]
+    first = polls.filter(due).orderBy(*order).limit(scopes).select("scope_id", F.lit(True).alias("_first"))  # a few rows
+    taken, waits = F.col("_first").isNotNull(), due & F.col("_first").isNull()
+    at = F.when(taken, F.lit(now_ms + poll_ms).cast("long")).when(waits, F.lit(now_ms + RETRY_MS["deferred"]).cast("long")).otherwise(F.col("due_at_unix_ms"))
+    kept = F.when(waits, F.coalesce(deferred, "due_at_unix_ms")).when(~taken & ~F.col("active"), deferred)
+    return polls.join(F.broadcast(first), "scope_id", "left").select("scope_id", taken.alias("scheduled"), at.alias("due_at_unix_ms"), kept.alias("deferred_due_at_unix_ms"))
+
+
+def retry_at(outcome: Column, now_ms: int) -> Column:
+    """When an event or a scope is looked at again after an outcome of RETRY_MS; null for any other."""
+    times = [x for name, ms in RETRY_MS.items() for x in (F.lit(name), F.lit(now_ms + ms).cast("long"))]
+    return F.try_element_at(F.create_map(*times), outcome)
+
+
+def recheck(events: DataFrame, found: DataFrame, now_ms: int, w: Watch = Watch()) -> DataFrame:
+    """Due events whose file has changed since the last hint stabilize anew; the others go on to be reconciled.
+
+    ``events``: those of EVENTS and path, size_bytes, modified_unix_ns, identity_key as last observed; ``found``:
+    scope_id, path, observed_kind and the same three, as they are now; a path that isn't found is missing. A change counts as
+    a hint of now: the deadline moves, the count grows, and a file keeps the event's kind while all else widens it.
+    """
+    snapshot = ("size_bytes", "modified_unix_ns", "identity_key")
+    now = found.select("scope_id", "path", F.col("observed_kind").alias("_kind"), *[F.col(c).alias(f"_{c}") for c in snapshot])
+    j = events.join(now, ["scope_id", "path"], "left")
+    changed = ~F.col(snapshot[0]).eqNullSafe(F.col(f"_{snapshot[0]}"))
+    for c in snapshot[1:]:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    late = F.lit(now_ms + w.window_ms) > F.col("first_at_unix_ms") + w.max_age_ms
+    values = {
+        "last_at_unix_ms": F.lit(now_ms).cast("long"), "due_at_unix_ms": F.least(F.lit(now_ms + w.window_ms).cast("long"), F.col("first_at_unix_ms") + w.max_age_ms),
+        "hints": F.col("hints") + 1, "kind": F.when(late | ~F.col("_kind").eqNullSafe("file"), "full_scope").otherwise(F.col("kind")), "widened": late, **{c: F.col(f"_{c}") for c in snapshot},
+    }
+    columns = [F.when(changed, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in events.columns]
+    return j.select(*columns, F.when(changed, "stabilizing").otherwise("reconciling").alias("status"))
+
+
 def next_wake(now_ms: int, *times: Column) -> Column:
     """The earliest of deadlines, retries and polls, but no sooner than 50 ms from now."""
     return F.greatest(F.lit(now_ms + 50).cast("long"), F.least(*times))

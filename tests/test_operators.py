@@ -112,9 +112,10 @@ def test_cycles_end(spark):
 
 def test_subtree_is_fenced_by_path(spark):
     edges = spark.createDataFrame([(1, 2, 1, "located_in", True)], EDGES)
-    places = spark.createDataFrame([(1, 1, 1, "/a", True), (2, 1, 2, "/a/x", True), (3, 1, 2, "/b/x", True), (4, 1, 2, "/a/gone", False)], "id long, scope_id long, node_id long, path_key string, present boolean")
+    places = spark.createDataFrame([(1, 1, 1, "folder", "/a", True), (2, 1, 2, "file", "/a/x", True), (3, 1, 2, "file", "/b/x", True), (4, 1, 2, "file", "/a/gone", False)], "id long, scope_id long, node_id long, kind string, path_key string, present boolean")
     assert rows(graph.subtree(edges, places, 1, 1), "id") == [1, 2]
-    assert code(lambda: graph.subtree(edges, places, 1, 9)) == "search_folder_invalid"
+    for node in (9, 2):  # unknown, no folder
+        assert code(lambda: graph.subtree(edges, places, 1, node)) == "search_folder_invalid"
 
 
 def test_roots(spark):

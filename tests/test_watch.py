@@ -99,6 +99,26 @@ def test_schedule_and_wake(spark):
     assert spark.range(1).select(W.next_wake(1000, F.lit(1010), F.lit(5000)).alias("t")).head().t == 1050
 
 
+def test_polls_put_off_keep_their_first_deadline(spark):
+    p = spark.createDataFrame([(i, 100 + i, None, False) for i in range(5)] + [(7, 150, 90, False), (8, 100, 50, True), (9, 900, None, False)], "scope_id long, due_at_unix_ms long, deferred_due_at_unix_ms long, active boolean")
+    got = {r.scope_id: tuple(r)[1:] for r in W.poll_schedule(p, 200, scopes=3, poll_ms=5000).collect()}
+    assert got == {7: (True, 5200, None), 0: (True, 5200, None), 1: (True, 5200, None), 2: (False, 1200, 102), 3: (False, 1200, 103), 4: (False, 1200, 104), 8: (False, 100, None), 9: (False, 900, None)}
+    times = spark.range(1).select(*[W.retry_at(F.lit(x), 10).alias(x) for x in ("active", "contention", "error", "completed")]).head()
+    assert tuple(times) == (60, 1010, 30_010, None)
+
+
+def test_changed_snapshots_stabilize_anew(spark):
+    e = [(i, "/a", 0, 0, 1000, 1, "file_delta", False, 5, 1, b"i") for i in range(4)] + [(4, "/a", -9000, 0, 1000, 1, "file_delta", False, 5, 1, b"i"), (5, "/a", 0, 0, 1000, 1, "full_scope", False, None, None, None)]
+    f = [(0, "/a", "file", 5, 1, b"i"), (1, "/a", "file", 6, 1, b"i"), (2, "/a", "folder", 5, 1, b"j"), (4, "/a", "file", 6, 1, b"i")]
+    events = spark.createDataFrame(e, W.EVENTS.replace("scope_id long", "scope_id long, path string") + ", size_bytes long, modified_unix_ns long, identity_key binary")
+    found = spark.createDataFrame(f, "scope_id long, path string, observed_kind string, size_bytes long, modified_unix_ns long, identity_key binary")
+    got = {r.scope_id: (r.status, r.due_at_unix_ms, r.hints, r.kind, r.size_bytes) for r in W.recheck(events, found, 1000, SMALL).collect()}
+    assert got == {
+        0: ("reconciling", 1000, 1, "file_delta", 5), 1: ("stabilizing", 2000, 2, "file_delta", 6), 2: ("stabilizing", 2000, 2, "full_scope", 5), 3: ("stabilizing", 2000, 2, "full_scope", None),
+        4: ("stabilizing", -4000, 2, "full_scope", 6), 5: ("reconciling", 1000, 1, "full_scope", None),
+    }
+
+
 @pytest.mark.parametrize("at,due", [(0, 1000), (4600, 5000)])
 def test_deadline(at, due):
     assert W.Pending(0, at, 1, "file_delta", "/a").due(SMALL) == due
