@@ -9,6 +9,8 @@ from __future__ import annotations
 from siltstone.llm.mixing import Mix
 from siltstone.llm.preference import Template
 from siltstone.llm.quality_rules import CLASSES, COMMON_WORDS, QualityRules
+from siltstone.llm.source_audit import Audit
+from siltstone.llm.url_filters import BLANK, HINT, LOWER, REFRESH_URL, RULES, TAG, UNREAD, UPPER, attribute
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -109,7 +111,65 @@ SELECT CAST(pair_id AS BIGINT) AS pair_id, chosen_id, rejected_id, CASE WHEN pos
   pos > n_common AND role IN ({loss}) AS loss, n_common FROM b JOIN n USING (pair_id) WHERE pos > n_common OR side = 'chosen'"""
 
 
+def op11() -> str:
+    """Edges, aliases and verdicts of whole pages; components by reaching outwards from each end of an edge."""
+    q = lambda x: x.replace("'", "''")
+    value = lambda name: f"trim(regexp_replace(regexp_extract(tag, '{q(attribute(name))}', 1), '^[\"'']|[\"'']$', '', 'g'), chr(32) || chr(9) || chr(10) || chr(12) || chr(13))"
+    after = lambda u: f"CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
+    host = lambda u: f"translate(regexp_extract({after(u)}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
+    path = lambda u: f"regexp_extract({after(u)}, '^[^/?#]*([^?#]*)', 1)"
+    scheme = lambda u: f"translate(split_part({u}, '://', 1), '{UPPER}', '{LOWER}')"
+    rest = lambda u: f"regexp_extract({after(u)}, '^[^/?#]*([^#]*)', 1)"
+    vertex = lambda u: f"CASE WHEN contains({u}, '://') THEN {scheme(u)} || '://' || {host(u)} || CASE WHEN starts_with({rest(u)}, '/') THEN '' ELSE '/' END || {rest(u)} END"
+    dots, last_dots = r"/\.\.?(/|$)", r"/\.\.?$"
+    plain = lambda x: f"CASE WHEN regexp_matches({x}, '{dots}') THEN list_reduce(string_split({x}, '/'), lambda a, s: CASE s WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || s END) || CASE WHEN regexp_matches({x}, '{last_dots}') THEN '/' ELSE '' END ELSE {x} END"
+    fits = " UNION ALL ".join(f"SELECT {len(r.text)}, {r.action == 'allow'}, '{r.text}', '{r.action}', '{r.host}', '{r.path}'" for r in RULES)
+    ruled = lambda h, p: f"(SELECT max({{'length': f.length, 'allows': f.allows, 'rule': f.rule, 'action': f.action}}) FROM fits f WHERE ({h} = f.host OR ends_with({h}, '.' || f.host)) AND starts_with({p}, f.path))"
+    return rf"""
+WITH RECURSIVE fits(length, allows, rule, action, host, path) AS ({fits}),
+t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{q(UNREAD)}', ' ', 'g'), '{q(TAG)}')) AS tag FROM pages WHERE contains(url, '://') AND regexp_matches(html, '{HINT}')),
+r AS (SELECT url, replace(CASE WHEN lower(tag[2]) = 'l' THEN CASE WHEN contains(' ' || regexp_replace(lower({value('rel')}), '[{BLANK}]+', ' ', 'g') || ' ', ' canonical ') THEN {value('href')} END
+  WHEN lower({value('http-equiv')}) = 'refresh' THEN trim(regexp_extract({value('content')}, '{q(REFRESH_URL)}', 1)) END, '&amp;', '&') AS ref FROM t),
+b AS (SELECT url, ref, {scheme('url')} || '://' || {host('url')} AS site, CASE WHEN {path('url')} = '' THEN '/' ELSE {path('url')} END AS path, regexp_extract(ref, '^[^?#]*') AS own, regexp_extract(ref, '^[^?#]*([?#].*)?$', 1) AS beyond FROM r WHERE ref IS NOT NULL),
+n AS (SELECT url, CASE WHEN ref = '' OR starts_with(ref, '#') THEN NULL WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(ref, '://') THEN ref END WHEN starts_with(ref, '//') THEN split_part(site, '//', 1) || ref
+  WHEN starts_with(ref, '?') THEN site || path || ref WHEN starts_with(ref, '/') THEN site || {plain('own')} || beyond ELSE site || {plain("(regexp_extract(path, '^.*/') || own)")} || beyond END AS target FROM b),
+e AS (SELECT DISTINCT {vertex('url')} AS a, {vertex('target')} AS b FROM n WHERE a <> b),
+ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM ends UNION SELECT reach.a, ends.b FROM reach JOIN ends ON ends.a = reach.b),
+said AS (SELECT a, CASE WHEN coalesce(bool_or(action = 'allow'), FALSE) THEN 'allow' WHEN bool_or(action = 'block') THEN 'block' ELSE 'allow' END AS verdict
+  FROM (SELECT a, {ruled(host('b'), path('b'))}.action AS action FROM reach) GROUP BY a),
+p AS (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce({path('url')}, '') AS path, {vertex('url')} AS v FROM pages),
+j AS (SELECT p.*, {ruled('p.host', 'p.path')} AS r FROM p)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, verdict, 'allow') AS verdict FROM j LEFT JOIN said ON said.a = j.v"""
+
+
+def op12(p: Audit = Audit()) -> str:
+    share = lambda n, total: f"(1 + ({p.scale}::HUGEINT * ({n} + {p.prior})) // ({total} + {p.prior} * v))"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {p.min_documents}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+t AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total FROM c),
+s AS (SELECT lang, source, term, n, {share("n", "total")} AS p, {share("lang_n", "lang_total")} AS q FROM t),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u QUALIFY part = 'pair' OR rank <= {p.top_terms}"""
+
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_distribution_divergence": op1(), "op6_minhash_near_dedup": op6(), "op7_mtree_top_k": OP7, "op8_weighted_fair_mix": op8(), "op9_preference_format": op9(),
+        "op11_redirect_equivalence": op11(), "op12_source_divergence": op12(), "op13_hard_negatives": OP13,
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.hard_negatives import mine_negatives
 from siltstone.llm.metric_search import top_k
 from siltstone.llm.mixing import fair_mix
 from siltstone.llm.near_dedup import NearDedup, near_duplicates
@@ -15,8 +16,10 @@ from siltstone.llm.preference import format_exchanged
 from siltstone.llm.pu_quality import classify
 from siltstone.llm.quality_rules import apply_rules
 from siltstone.llm.secret_scan import KINDS, joined, scan_secrets
+from siltstone.llm.source_audit import audit_sources
 from siltstone.llm.substring_dedup import remove_repeats
 from siltstone.llm.token_files import read_token_files, write_token_files
+from siltstone.llm.url_filters import judge_urls
 from siltstone.session import table
 
 
@@ -62,5 +65,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).drop("by_alias")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return mine_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
