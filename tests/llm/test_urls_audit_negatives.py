@@ -16,7 +16,7 @@ LINK, META = '<link rel="{}" href="{}">', "<meta http-equiv=Refresh content='0;
 PAGES = [
     (1, "https://a.example.org/x", LINK.format("canonical", "https://Blocked.NET/p#f")),  # to a url that is no page
     (2, "http://b.example.org/d/e?x=1", META.format("../x2")),
-    (3, "http://b.example.org/x2", LINK.format("alternate CANONICAL", "//a.example.org/x?")),
+    (3, "http://b.example.org/x2", LINK.format("alternate CANONICAL", "https://a.example.org/x") + LINK.format("canonical", "//a.example.org/x?")),
     (4, "http://b.example.org/x2#part", "<p>canonical</p>"),
     (5, "https://c.example.org/", "<!-- " + LINK.format("canonical", "https://blocked.net/") + " --><script>var t='" + LINK.format("canonical", "https://blocked.net/") + "'</script>"),
     (6, "https://q.example.org", LINK.format("nofollow", "https://blocked.net/") + LINK.format("canonical", "#top") + LINK.format("canonical", "mailto:x@blocked.net")),
@@ -210,7 +210,7 @@ def vectors(rng, n, size=4.0):
     for i in range(n):
         centre = [1.0 if j == i % 5 else 0.1 for j in range(6)]
         v = [size * (c + rng.gauss(0, 0.15)) for c in centre]
-        out.append((i, v if i % 9 else [round(x) for x in v][: 6 - i % 2], rng.randrange(3)))
+        out.append((i, v if i % 9 else [float(round(x)) for x in v][: 6 - i % 2], rng.randrange(3)))
     out += [(i, [size, 0.0, 0.0, 0.0, 0.0, 0.0], i % 2) for i in range(n, n + 60)]  # equal vectors
     out += [(10, [size] * 6, 1), (10, [size] * 6, 1), (20, [size] * 6, 2), (n + 100, None, 1), (n + 110, [None] * 6, 1), (n + 120, [float("nan")] * 6, 1), (n + 130, [float("inf")] * 6, 0), (n + 140, [], 0), (n + 150, [1.0] * 6, None), (None, [1.0] * 6, 1), (n + 160, [-1.0] * 6, 1), (n + 170, [1.0, 2.0], 1)]
     return out
