@@ -1,7 +1,7 @@
 """The engine over one warehouse: scan folders, extract their text, search, profile, relate, review.
 
-Every method builds on the operators; what they publish goes through :class:`siltstone.sources.warehouse.Warehouse`, so
-readers never see half a change.
+Every method builds on the operators; what it publishes goes through one transaction of
+:class:`siltstone.sources.warehouse.Warehouse`, the search index included, so readers never see half a change.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.functions.paths import filename
-from siltstone.operators import actions, graph, manifest, privacy, relations
+from siltstone.operators import actions, graph, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.schemas import SCHEMAS
 from siltstone.sources import content, listing
-from siltstone.sources.warehouse import Warehouse
+from siltstone.sources.warehouse import Snapshot, Transaction, Warehouse, empty
+
+EXTRACTED = f"{content.EXTRACTED}, scope_id long, node_id long, location_id long, modified_unix_ns long"
+#: Tables that hold what a purge takes away.
+PURGED = ("manifest", "edges", "file_relations", "extracted", *search_index.TABLES)
 
 
 def _id(*parts: str) -> F.Column:
@@ -41,9 +45,11 @@ class Engine:
         graph.check_roots(new, known.select(F.col("id").alias("root_id"), "path_key"))
         scope = known.count() + 1
         row = self.spark.createDataFrame([(scope, root, root, "linux", time.time_ns() // 10**6, 1)], "id long, path_key string, display_path string, platform string, created_at_unix_ms long, policy_revision long")
-        self.warehouse.append("authorized_scopes", row.withColumn("path_raw", F.encode("path_key", "utf-8")))
         grant = self.spark.createDataFrame([(scope, "linux", "active", 0)], "scope_id long, platform string, state string, updated_at_unix_ms long")
-        self.warehouse.append("scope_access_grants", grant.withColumn("opaque_grant", F.lit(None).cast("binary")))
+        with self.warehouse.transaction() as t:
+            t.read("authorized_scopes")  # of two new scopes at a time one fails
+            t.append("authorized_scopes", row.withColumn("path_raw", F.encode("path_key", "utf-8")))
+            t.append("scope_access_grants", grant.withColumn("opaque_grant", F.lit(None).cast("binary")))
         return scope
 
     def scan(self, scope_id: int) -> DataFrame:
@@ -56,50 +62,63 @@ class Engine:
         seen = entries.filter(F.col("issue_code").isNull() & ~F.col("skipped"))
         seen = seen.withColumns({"node_id": _id("identity_key"), "id": _id("scope_id", "path_key"), "parent": F.regexp_extract("path_key", "^(.*)/[^/]*$", 1)})
         values = ["id", "node_id", "display_path", "kind", "size_bytes", "modified_unix_ns", "link_count"]
-        current = self.warehouse.read("manifest") if self.warehouse.version("manifest") else None
-        mine = current.filter(F.col("scope_id") == scope_id) if current is not None else self.spark.createDataFrame([], seen.select("scope_id", "path_key", *values).schema.add("present", "boolean"))
-        out = manifest.publish(seen.select("scope_id", "path_key", *values), mine.select("scope_id", "path_key", *values, "present"), ["scope_id", "path_key"], values)
-        others = current.filter(F.col("scope_id") != scope_id) if current is not None else None
-        self.warehouse.replace("manifest", out if others is None else out.unionByName(others), check=False)
         parents = seen.select(F.col("path_key").alias("parent"), F.col("node_id").alias("target_node_id"))
         links = seen.join(parents, "parent").select("scope_id", F.col("node_id").alias("source_node_id"), "target_node_id", F.lit("located_in").alias("kind"), F.lit(True).alias("active"), F.lit(0).cast("long").alias("last_seen_scan_id")).distinct()
-        self.warehouse.replace("edges", self.warehouse.read("edges").filter(F.col("scope_id") != scope_id).unionByName(links))
         issues = entries.filter(F.col("issue_code").isNotNull()).select(F.col("scope_id").alias("scan_id"), F.col("issue_code").alias("code"), "path_key")
-        self.warehouse.append("scan_issues", issues)
+        with self.warehouse.transaction() as t:
+            current = t.read("manifest") if t.version("manifest") else None
+            mine = current.filter(F.col("scope_id") == scope_id) if current is not None else self.spark.createDataFrame([], seen.select("scope_id", "path_key", *values).schema.add("present", "boolean"))
+            out = manifest.publish(seen.select("scope_id", "path_key", *values), mine.select("scope_id", "path_key", *values, "present"), ["scope_id", "path_key"], values)
+            others = current.filter(F.col("scope_id") != scope_id) if current is not None else None
+            t.replace("manifest", out if others is None else out.unionByName(others), check=False)
+            t.replace("edges", t.read("edges").filter(F.col("scope_id") != scope_id).unionByName(links))
+            t.append("scan_issues", issues)
+            self._index(t)
         return self.manifest().filter(F.col("scope_id") == scope_id).groupBy("action").count()
 
-    def manifest(self) -> DataFrame:
+    def _index(self, t: Transaction) -> None:
+        """Brings the search index to what the transaction leaves."""
+        search_index.refresh(t, search_index.documents(self.present(t), self.chunks(t)))
+
+    def manifest(self, at: Snapshot | Transaction | None = None) -> DataFrame:
         """All locations with an active grant, tombstones included."""
-        return manifest.with_active_grant(self.warehouse.read("manifest"), self.warehouse.read("scope_access_grants"))
+        at = at or self.warehouse.snapshot()
+        return manifest.with_active_grant(at.read("manifest"), at.read("scope_access_grants"))
 
-    def present(self) -> DataFrame:
-        rows = self.manifest().filter("present").withColumn("location_id", F.col("id"))
-        return S.without_excluded(rows, self.warehouse.read("scope_exclusions").drop("identity_kind", "identity_key"))
+    def present(self, at: Snapshot | Transaction | None = None) -> DataFrame:
+        at = at or self.warehouse.snapshot()
+        rows = self.manifest(at).filter("present").withColumn("location_id", F.col("id"))
+        return S.without_excluded(rows, at.read("scope_exclusions").drop("identity_kind", "identity_key"))
 
     # ---- content
 
     def extract(self) -> DataFrame:
         """Extracts every present file; earlier chunks of the same files are replaced. Returns outcomes by status."""
-        files = self.present().filter("kind = 'file'")
-        roots = [r[0] for r in self.warehouse.read("authorized_scopes").select("path_key").collect()]  # 32 at most a set
-        data = None
-        for root in roots:
-            part = content.read_files(self.spark, root)
-            data = part if data is None else data.unionByName(part)
-        if data is None:
-            raise EngineError("search_scope_invalid")
-        local = data.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-        wanted = local.join(files.select(F.col("display_path").alias("path")), "path", "left_semi")
-        out = content.extract(wanted).join(files.select(F.col("display_path").alias("path"), "scope_id", "node_id", "location_id", "modified_unix_ns"), "path")
-        self.warehouse.replace("extracted", out, check=False)
+        with self.warehouse.transaction() as t:
+            files = self.present(t).filter("kind = 'file'")
+            roots = [r[0] for r in t.read("authorized_scopes").select("path_key").collect()]  # 32 at most a set
+            data = None
+            for root in roots:
+                part = content.read_files(self.spark, root)
+                data = part if data is None else data.unionByName(part)
+            if data is None:
+                raise EngineError("search_scope_invalid")
+            local = data.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+            wanted = local.join(files.select(F.col("display_path").alias("path")), "path", "left_semi")
+            out = content.extract(wanted).join(files.select(F.col("display_path").alias("path"), "scope_id", "node_id", "location_id", "modified_unix_ns"), "path")
+            # a node's chunks lie together: a search reads few row groups for its snippets
+            t.replace("extracted", out.repartitionByRange("node_id").sortWithinPartitions("node_id", "ordinal"), check=False)
+            self._index(t)
         return self.extracted().groupBy("status", "error_code").count()
 
-    def extracted(self) -> DataFrame:
-        return self.warehouse.read("extracted")
+    def extracted(self, at: Snapshot | Transaction | None = None) -> DataFrame:
+        at = at or self.warehouse.snapshot()
+        return at.read("extracted") if at.version("extracted") else empty(self.spark, EXTRACTED)
 
-    def chunks(self) -> DataFrame:
-        here = self.present().select("scope_id", "node_id", "location_id", "modified_unix_ns")
-        rows = self.extracted().filter(F.col("text").isNotNull()).join(here, ["scope_id", "node_id", "location_id", "modified_unix_ns"], "left_semi")
+    def chunks(self, at: Snapshot | Transaction | None = None) -> DataFrame:
+        at = at or self.warehouse.snapshot()
+        here = self.present(at).select("scope_id", "node_id", "location_id", "modified_unix_ns")
+        rows = self.extracted(at).filter(F.col("text").isNotNull()).join(here, ["scope_id", "node_id", "location_id", "modified_unix_ns"], "left_semi")
         return rows.withColumns({"chunk_id": F.col("ordinal"), "display_path": F.col("path")})
 
     # ---- questions
@@ -118,11 +137,13 @@ class Engine:
         return self.spark.createDataFrame(rows, found.schema)
 
     def _search(self, request: S.Request) -> DataFrame:
-        scope = None
+        at, scope = self.warehouse.snapshot(), None
+        present = self.present(at)
         if request.folder_node_id is not None:
-            places = self.present().select("id", "scope_id", "node_id", "kind", "path_key", "present", "location_id")
-            scope = graph.subtree(self.warehouse.read("edges"), places, request.scope_id, request.folder_node_id).select("node_id").distinct()
-        return S.search(request, self.present(), self.chunks(), scope)
+            places = present.select("id", "scope_id", "node_id", "kind", "path_key", "present", "location_id")
+            scope = graph.subtree(at.read("edges"), places, request.scope_id, request.folder_node_id).select("node_id", "location_id")
+        chunks = self.extracted(at).filter(F.col("text").isNotNull()).withColumn("chunk_id", F.col("ordinal"))
+        return search_index.search(request, at, present, chunks, scope)
 
     def folders(self, limit: int = 200) -> DataFrame:
         return S.folder_list(self.present().filter("kind = 'folder'"), limit).select("scope_id", "node_id", "display_path", "truncated")
@@ -154,38 +175,47 @@ class Engine:
         """Excludes a path of a scope: what lies below leaves the manifest, the edges and the extracted text, the scope's
         policy moves to its next revision, and receipts say how many rows of each table went. Returns the receipts."""
         scopes = self.warehouse.read("authorized_scopes")
-        raised = privacy.next_revision(scopes.withColumn("scope_id", F.col("id")), scope_id, expected_revision).drop("scope_id")
+        privacy.next_revision(scopes.withColumn("scope_id", F.col("id")), scope_id, expected_revision)
         row = scopes.filter(F.col("id") == scope_id).head()
         if path == row.path_key or not path.startswith(row.path_key.rstrip("/") + "/"):
             raise EngineError("scope_exclusion_invalid")
         excluded = self.spark.createDataFrame([(scope_id, "path", path, None, None)], SCHEMAS["scope_exclusions"])
-        self.warehouse.append("scope_exclusions", excluded)
-        return self._purge(raised, scope_id, privacy.excluded_locations(self.warehouse.read("manifest"), excluded), expected_revision + 1)
+        with self.warehouse.transaction() as t:
+            t.append("scope_exclusions", excluded)
+            receipts = self._purge(t, scope_id, privacy.excluded_locations(t.read("manifest"), excluded), expected_revision)
+        self.warehouse.forget(*PURGED)
+        return receipts
 
     def revoke(self, scope_id: int, expected_revision: int) -> DataFrame:
         """Revokes a scope's grant and purges all that was kept of it. Returns the receipts."""
-        scopes = self.warehouse.read("authorized_scopes")
-        raised = privacy.next_revision(scopes.withColumn("scope_id", F.col("id")), scope_id, expected_revision).drop("scope_id")
-        grants = self.warehouse.read("scope_access_grants").withColumn("state", F.when(F.col("scope_id") == scope_id, "revoked").otherwise(F.col("state")))
-        self.warehouse.replace("scope_access_grants", grants)
-        return self._purge(raised, scope_id, self.warehouse.read("manifest").filter(F.col("scope_id") == scope_id), expected_revision + 1)
-
-    def _purge(self, raised: DataFrame, scope_id: int, gone: DataFrame, revision: int) -> DataFrame:
-        """The new policy is published first, so that searches under way fail; then what it forbids goes."""
-        self.warehouse.replace("authorized_scopes", raised)
-        places = self.warehouse.read("manifest")
+        with self.warehouse.transaction() as t:
+            grants = t.read("scope_access_grants").withColumn("state", F.when(F.col("scope_id") == scope_id, "revoked").otherwise(F.col("state")))
+            t.replace("scope_access_grants", grants)
+            receipts = self._purge(t, scope_id, t.read("manifest").filter(F.col("scope_id") == scope_id), expected_revision)
+        self.warehouse.forget(*PURGED)
+        return receipts
+
+    def _purge(self, t: Transaction, scope_id: int, gone: DataFrame, expected_revision: int) -> DataFrame:
+        """The new policy and what it leaves, in one transaction; what went leaves the disk once that is published."""
+        scopes = t.read("authorized_scopes").withColumn("scope_id", F.col("id"))
+        raised = privacy.next_revision(scopes, scope_id, expected_revision).drop("scope_id")
+        places = t.read("manifest")
         nodes = privacy.closure(gone, places)
-        tables = {"edges": self.warehouse.read("edges"), "file_relations": self.warehouse.read("file_relations")}
+        tables = {"edges": t.read("edges"), "file_relations": t.read("file_relations")}
         counts = {"locations": gone.count(), **{r.table_name: r.purged_rows for r in privacy.impact(tables, nodes).collect()}}
-        if self.warehouse.version("extracted"):
-            text, here = self.extracted(), gone.select("scope_id", F.col("id").alias("location_id"))
+        t.replace("authorized_scopes", raised)
+        if t.version("extracted"):
+            text, here = self.extracted(t), gone.select("scope_id", F.col("id").alias("location_id"))
             counts["content_chunks"] = text.join(here, ["scope_id", "location_id"], "left_semi").count()
-            self.warehouse.replace("extracted", text.join(here, ["scope_id", "location_id"], "left_anti"), check=False)
+            t.replace("extracted", text.join(here, ["scope_id", "location_id"], "left_anti").repartitionByRange("node_id").sortWithinPartitions("node_id", "ordinal"), check=False)
         for name, kept in privacy.purge(tables, nodes).items():
-            self.warehouse.replace(name, kept)
-        self.warehouse.replace("manifest", places.join(gone.select("scope_id", "id"), ["scope_id", "id"], "left_anti"), check=False)
-        receipts = self.spark.createDataFrame([(scope_id, name, n, revision) for name, n in sorted(counts.items())], SCHEMAS["privacy_receipts"])
-        self.warehouse.append("privacy_receipts", receipts)
+            t.replace(name, kept)
+        t.replace("manifest", places.join(gone.select("scope_id", "id"), ["scope_id", "id"], "left_anti"), check=False)
+        receipts = self.spark.createDataFrame([(scope_id, name, n, expected_revision + 1) for name, n in sorted(counts.items())], SCHEMAS["privacy_receipts"])
+        t.append("privacy_receipts", receipts)
+        self._index(t)
+        if t.parts("search_postings"):
+            search_index.compact(t)  # no posting of what went stays behind a tombstone
         return receipts
 
     def relation_sources(self) -> DataFrame:

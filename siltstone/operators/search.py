@@ -137,13 +137,13 @@ def without_excluded(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 def search(request: Request, metadata: DataFrame, content: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Ranked results. ``metadata`` rows: scope, node, location, display_path, modified_unix_ns of present locations;
-    ``content`` rows: the same and chunk_id, text of active chunks. ``scope``, where given, holds the (node_id) that a
-    folder's subtree allows."""
+    ``content`` rows: the same and chunk_id, text of active chunks. ``scope``, where given, holds the (node_id, location_id)
+    that a folder's subtree allows, so that a node's location elsewhere is none of them, or (node_id) alone."""
     c = check(request)
     hits = []
     for source, corpus, text in (("metadata", metadata, "display_path"), ("content", content, "text")):
         if request.source in ("all", source):
-            hits.append(candidates(corpus if scope is None else corpus.join(scope, "node_id", "left_semi"), text, c, source))
+            hits.append(candidates(corpus if scope is None else corpus.join(scope, [k for k in ("node_id", "location_id") if k in scope.columns], "left_semi"), text, c, source))
     return fuse(hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1]), c.query, c.limit)
 
 

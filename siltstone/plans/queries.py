@@ -3,6 +3,8 @@ files and their text, the star schema for folders, events for hints, decisions a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.functions import text as X
-from siltstone.operators import actions, evaluation, graph, journal, manifest, privacy, relations
+from siltstone.operators import actions, evaluation, graph, journal, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.session import table
 from siltstone.sources import content, listing
+from siltstone.sources.warehouse import Warehouse
 from siltstone.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +146,57 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
 FILTER_SQL = "scope_id = 2 AND regexp_extract(regexp_extract(display_path, '[^/\\\\]*$'), '\\.([A-Za-z0-9]+)$', 1) = 'html' AND modified_unix_ns >= 36000000000000 AND modified_unix_ns < 720000000000000"
 
 
+def indexed(spark: SparkSession, name: str, states: list[tuple[DataFrame, DataFrame]]) -> Warehouse:
+    """A search index in the shared folder that has followed these states (locations, chunks), a commit each."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    w = Warehouse(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    for state in states:
+        with w.transaction() as t:
+            search_index.refresh(t, search_index.documents(*state), search_index.IndexOptions(max_segments=2))
+    return w
+
+
+def page_states(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """Three states of the pages: some missing, some named otherwise and with other text; all but some of other text; as they are."""
+    pages, chunks = page_locations(spark, d), page_chunks(spark, d)
+    earlier = lambda df, c, m: df.withColumn(c, F.when(F.col("node_id") % m == 1, F.concat(F.lit("the ther "), F.reverse(c))).otherwise(F.col(c)))
+    first = [earlier(df.filter("node_id % 5 != 2"), c, 3) for df, c in ((pages, "display_path"), (chunks, "text"))]
+    extra = pages.select("scope_id", (-1 - F.col("node_id")).alias("node_id"), (-1 - F.col("location_id")).alias("location_id"), "display_path", "path_key", "modified_unix_ns", "html")
+    return [(first[0].unionByName(extra), first[1]), (pages, earlier(chunks, "text", 7)), (pages, chunks)]
+
+
+@query("WITH" + PAGES_SQL + "," + bm25_sql("pages_", "display_path", "ther", 60, "by_path") + "," + bm25_sql("pages_", "html", "ther", 60, "by_text", shown=True) + "," + fuse_sql([("by_path", "metadata"), ("by_text", "content")], "ther", 30))
+def search_index_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The same answer as ``search_fused``, from an index that has followed insertions, updates and deletions."""
+    states = page_states(spark, d)
+    w = indexed(spark, "search-fused", states)
+    return result_columns(search_index.search(S.Request("Ther", limit=30), w.snapshot(), *states[-1]))
+
+
+@query("WITH" + PAGES_SQL + "," + bm25_sql("pages_", "html", "the", 100, "found", where=FILTER_SQL, shown=True) + "," + fuse_sql([("found", "content")], "the", 50))
+def search_index_filtered(spark: SparkSession, d: str) -> DataFrame:
+    states = page_states(spark, d)
+    w = indexed(spark, "search-filtered", states[1:])
+    r = S.Request("the", scope_id=2, source="content", extension=".HTML", modified_since_s=36_000, modified_before_s=720_000, limit=50)
+    return result_columns(search_index.search(r, w.snapshot(), *states[-1]))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lower(text) AS low FROM documents), t AS (SELECT doc_id, substr(low, CAST(i AS BIGINT), 3) AS t FROM (SELECT doc_id, low, unnest(range(1, length(low) - 1)) AS i FROM d))
+SELECT CAST((ord(t) * 4398046511104) + (ord(substr(t, 2)) * 2097152) + ord(substr(t, 3)) AS BIGINT) AS trigram, count(DISTINCT doc_id) AS documents, count(*) AS positions FROM t GROUP BY ALL"""
+)
+def index_postings(spark: SparkSession, d: str) -> DataFrame:
+    """What the index of all documents says of each trigram after texts have come, changed and gone."""
+    docs, none = document_chunks(spark, d), page_locations(spark, d).limit(0)
+    before = docs.filter("node_id % 4 != 3").withColumn("text", F.when(F.col("node_id") % 4 == 1, F.concat("text", F.lit(" xyzzy"))).otherwise(F.col("text")))
+    w = indexed(spark, "postings", [(none, before.unionByName(docs.withColumn("chunk_id", -1 - F.col("chunk_id")))), (none, before), (none, docs)])
+    at = w.snapshot()
+    kept = search_index.live(at.read("search_postings"), at.read("search_tombstones"))
+    return kept.groupBy("trigram").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions"))
+
+
+
+
 @query("WITH" + PAGES_SQL + "," + bm25_sql("pages_", "html", "the", 100, "found", where=FILTER_SQL, shown=True) + "," + fuse_sql([("found", "content")], "the", 50))
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     r = S.Request("the", scope_id=2, source="content", extension=".HTML", modified_since_s=36_000, modified_before_s=720_000, limit=50)
@@ -212,7 +266,7 @@ def chunk_ascii(spark: SparkSession, d: str) -> DataFrame:
 def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     """All documents by the byte-window function: windows start at 0, leave no gap, and end with the text."""
     docs = table(spark, d, "documents")
-    chunks = content.chunk_documents(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("byte_end").alias("covered_bytes"))
+    chunks = content.chunk_documents(docs).groupBy("doc_id").agg(F.count("ordinal").alias("n"), F.max("byte_end").alias("covered_bytes"))
     j = docs.select("doc_id").join(chunks, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("covered_bytes", F.lit(0)).cast("long").alias("covered_bytes"))
     return j.select("doc_id", F.when(F.col("n") <= 1, F.col("n").cast("int")).alias("single_chunk"), "covered_bytes")
 

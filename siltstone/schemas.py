@@ -31,6 +31,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "scan_queue": _schema("scan_id:L path_key:S state:S"),
     "scan_staged_observations": _schema("scan_id:L scope_id:L path_key:S display_path:S kind:S identity_kind:S identity_key:X size_bytes:l modified_unix_ns:l link_count:l"),
     "scan_issues": _schema("scan_id:L code:S path_key:s"),
+    "manifest": _schema("scope_id:L path_key:S id:L node_id:L display_path:S kind:S size_bytes:l modified_unix_ns:l link_count:l present:B action:S"),
     "nodes": _schema("id:L kind:S identity_kind:S identity_key:X created_at_unix_ms:L updated_at_unix_ms:L"),
     "files": _schema("node_id:L size_bytes:L modified_unix_ns:l link_count:l"),
     "folders": _schema("node_id:L"),

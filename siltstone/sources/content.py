@@ -10,6 +10,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
@@ -38,6 +39,7 @@ class Limits:
     chunks: int = 2048
     output_bytes: int = 8 * 1024 * 1024
     source_bytes: int = 4 * 1024 * 1024
+    unpacked_bytes: int = 8 * 1024 * 1024
 
 
 def chunk_bounds(data: bytes, size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -120,6 +122,7 @@ def chunk_ascii(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 # Bounds on archives.
 MAX_ENTRIES, MAX_RATIO, MAX_DEPTH, MAX_EVENTS, MAX_TEXT, MAX_SHARED = 4096, 200, 128, 1_000_000, 256 * 1024, 65_536
+MAX_PARTS, MAX_UNITS, MAX_UNPACKED = 1024, 100_000, 64 * 1024 * 1024
 WORD, DRAWING, SHEET = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
@@ -228,31 +231,69 @@ def _cells(data: bytes, shared: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def office_units(content: bytes, ext: str) -> Iterator[tuple[str, int, str | None, str]]:
+class _Archive:
+    """An office document's parts, read a piece at a time and counted over the whole archive, so that one that unpacks to more than it
+    claims stops in the middle of a part. Sizes that members claim are judged before anything is read."""
+
+    def __init__(self, content: bytes, limits: Limits) -> None:
+        self.limits, self.unpacked, self.units = limits, 0, 0
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile:
+            raise ExtractionError("extraction_malformed_document") from None
+        infos = self.zip.infolist()
+        self.names = {i.filename for i in infos}
+        if len(infos) > MAX_ENTRIES or len(self.names) != len(infos):
+            raise ExtractionError("extraction_archive_limit_exceeded")
+        for i in infos:
+            if i.flag_bits & 1 or i.file_size > MAX_RATIO * max(1, i.compress_size) or i.filename.startswith("/") or ".." in i.filename.split("/"):
+                raise ExtractionError("extraction_archive_refused")
+            if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                raise ExtractionError("extraction_ooxml_compression_unsupported")
+        if sum(i.file_size for i in infos) > min(4 * limits.unpacked_bytes, MAX_UNPACKED):
+            raise ExtractionError("extraction_decompression_limit_exceeded")
+        places = sorted((i.header_offset, i.header_offset + 30 + len(i.filename.encode()) + i.compress_size) for i in infos)
+        if any(end > start for (_, end), (start, _) in zip(places, places[1:])):
+            raise ExtractionError("extraction_archive_refused")  # members that share bytes
+
+    def read(self, name: str) -> bytes:
+        pieces = []
+        with self.zip.open(name) as part:
+            while piece := part.read(1 << 16):
+                self.unpacked += len(piece)
+                if self.unpacked > self.limits.unpacked_bytes:
+                    raise ExtractionError("extraction_decompression_limit_exceeded")
+                pieces.append(piece)
+        return b"".join(pieces)
+
+    def numbered(self, pattern: str) -> list[tuple[int, str]]:
+        """(number, name) of the parts whose names match, in order."""
+        found = sorted((int(m[1]), n) for n in self.names if (m := re.fullmatch(pattern, n)))
+        if len(found) > MAX_PARTS:
+            raise ExtractionError("extraction_archive_limit_exceeded")
+        return found
+
+    def counted(self, units: list) -> list:
+        self.units += len(units)
+        if self.units > MAX_UNITS:
+            raise ExtractionError("extraction_ooxml_structure_limit_exceeded")
+        return units
+
+
+def office_units(content: bytes, ext: str, limits: Limits = Limits()) -> Iterator[tuple[str, int, str | None, str]]:
     """(provenance kind, unit number, cell reference, text) in document order; parts in numeric order."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        raise ExtractionError("extraction_malformed_document") from None
-    infos = archive.infolist()
-    if len(infos) > MAX_ENTRIES or len({i.filename for i in infos}) != len(infos):
-        raise ExtractionError("extraction_archive_limit_exceeded")
-    for i in infos:
-        if i.flag_bits & 1 or i.file_size > MAX_RATIO * max(1, i.compress_size) or i.filename.startswith("/") or ".." in i.filename.split("/"):
-            raise ExtractionError("extraction_archive_refused")
-    numbered = lambda pattern: [(int(m[1]), i.filename) for i in infos if (m := re.fullmatch(pattern, i.filename))]
+    archive = _Archive(content, limits)
     if ext == "docx":
-        for n, text in enumerate(_blocks(archive.read("word/document.xml"), WORD, "p"), 1):
+        for n, text in enumerate(archive.counted(_blocks(archive.read("word/document.xml"), WORD, "p")), 1):
             yield "document_unit", n, None, text
     elif ext == "pptx":
-        for n, name in sorted(numbered(r"ppt/slides/slide(\d+)\.xml")):
-            if texts := _blocks(archive.read(name), DRAWING, "p"):
+        for n, name in archive.numbered(r"ppt/slides/slide(\d+)\.xml"):
+            if texts := archive.counted(_blocks(archive.read(name), DRAWING, "p")):
                 yield "slide", n, None, "\n".join(texts)
     else:
-        names = {i.filename for i in infos}
-        shared = _shared(archive.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
-        for n, name in sorted(numbered(r"xl/worksheets/sheet(\d+)\.xml")):
-            for ref, text in _cells(archive.read(name), shared):
+        shared = _shared(archive.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in archive.names else []
+        for n, name in archive.numbered(r"xl/worksheets/sheet(\d+)\.xml"):
+            for ref, text in archive.counted(_cells(archive.read(name), shared)):
                 yield "cell", n, ref, text
 
 
@@ -385,7 +426,7 @@ def _extract(path: str, media: str | None, content: bytes, limits: Limits) -> li
             return [row | {"ordinal": i, "text": t, "provenance_kind": "byte_range", "source_byte_start": a, "source_byte_end": b} for i, (t, a, b) in enumerate(utf8_chunks(content, limits))] or [row]
         if media == "office":
             out = []
-            for kind, unit, ref, text in office_units(content, ext):
+            for kind, unit, ref, text in office_units(content, ext, limits):
                 out += [row | {"ordinal": len(out) + i, "text": t, "provenance_kind": kind, "source_unit_number": unit, "source_cell_reference": ref, "source_fragment_index": i} for i, (t, _, _) in enumerate(split_text(text, limits))]
                 if len(out) > limits.chunks:
                     raise ExtractionError("extraction_chunk_limit_exceeded")
@@ -396,7 +437,7 @@ def _extract(path: str, media: str | None, content: bytes, limits: Limits) -> li
         raise ExtractionError("extraction_provider_unavailable" if media == "pdf" else "extraction_unsupported_media")
     except ExtractionError as e:
         return [{"path": path, "media": media, "status": "failed", "error_code": e.code}]
-    except (KeyError, zipfile.BadZipFile):
+    except (KeyError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):  # members that are damaged, cut off, encrypted or packed in an unknown way
         return [{"path": path, "media": media, "status": "failed", "error_code": "extraction_malformed_document"}]
 
 

@@ -103,6 +103,37 @@ def test_office_refusals(data, code):
     assert e.value.code == code
 
 
+def test_archives_are_counted_as_they_unpack(spark, tmp_path):
+    words = lambda n: f'<w:document xmlns:w="{C.WORD}">' + "".join(f"<w:p><w:r><w:t>{i:x}</w:t></w:r></w:p>" for i in range(n)) + "</w:document>"
+    small = C.Limits(unpacked_bytes=1000)
+    assert len(list(C.office_units(office({"word/document.xml": words(5)}), "docx", small))) == 5
+
+    def lying(data: bytes, claimed: int) -> bytes:  # the directory claims fewer bytes than the member unpacks to
+        at = data.index(b"PK\x01\x02")
+        return data[: at + 24] + struct.pack("<I", claimed) + data[at + 28 :]
+
+    big = office({"word/document.xml": words(3000)})
+    overlapping = office({"word/document.xml": words(5), "x": words(6)})
+    second = overlapping.rindex(b"PK\x01\x02")
+    overlapping = overlapping[: second + 42] + struct.pack("<I", 0) + overlapping[second + 46 :]
+    flipped = bytearray(big)
+    for i in range(120, 160):
+        flipped[i] ^= 0x55
+    cases = {
+        "claims": (big, small, "extraction_decompression_limit_exceeded"), "lies": (lying(big, 900), small, None), "overlap": (overlapping, C.Limits(), "extraction_archive_refused"),
+        "units": (office({"word/document.xml": words(100_001)}), C.Limits(), "extraction_ooxml_structure_limit_exceeded"), "flipped": (bytes(flipped), C.Limits(), "extraction_malformed_document"),
+        "cut": (big[: len(big) // 2], C.Limits(), "extraction_malformed_document"), "good": (office({"word/document.xml": words(3)}), C.Limits(), "completed"),
+        "parts": (office({f"ppt/slides/slide{n}.xml": SLIDE % (C.DRAWING, "x") for n in range(1025)}), C.Limits(), "extraction_archive_limit_exceeded"),
+    }
+    for name, (data, limits, code) in cases.items():
+        rows = C._extract(f"{name}.pptx" if name == "parts" else f"{name}.docx", "office", data, limits)
+        assert code in (None, rows[0].get("error_code"), rows[0]["status"]), (name, rows[0])
+        assert name != "lies" or rows[0]["status"] == "failed"
+        (tmp_path / f"{name}.docx").write_bytes(data)
+    got = {os.path.basename(r.path): r.status for r in C.extract(C.read_files(spark, str(tmp_path))).select("path", "status").distinct().collect()}
+    assert len(got) == len(cases) and got["flipped.docx"] == got["cut.docx"] == "failed" and got["good.docx"] == "completed"
+
+
 # ---- images
 
 PNG = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 1440, 900)
