@@ -239,7 +239,7 @@ def numbered(reps: DataFrame, scratch: Scratch) -> DataFrame:
     first = reps.groupBy("rep.doc_id").agg(F.min(F.struct("h0", "h1")).alias("first"))
     own = F.struct("h0", "h1") == F.col("first")
     node = F.when(own, F.col("doc_id")).otherwise(F.xxhash64(F.lit("node"), "doc_id", "h0", "h1"))
-    return scratch.write(reps.join(first, F.col("rep.doc_id") == F.col("doc_id")).select("h0", "h1", "rep", "n_rows", node.alias("node")), "numbered")
+    return scratch.write(reps.join(first, F.col("rep.doc_id") == F.col("doc_id")).select("h0", "h1", "rep", "n_rows", "bands", node.alias("node")), "numbered")
 
 
 def judge(docs: DataFrame, p: NearDedup) -> DataFrame:
@@ -248,11 +248,11 @@ def judge(docs: DataFrame, p: NearDedup) -> DataFrame:
     signed = scratch.write(signatures(docs, p), "signed")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     sets = signed.filter(~alone)
-    reps = sets.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n_rows"))
+    # equal sets have equal bands, so a set's row holds them, however many rows have the set
+    reps = sets.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n_rows"), F.first("bands").alias("bands"))
     reps = numbered(scratch.write(reps, "reps"), scratch)
     # one row a set and band; a bucket counts if it holds two representatives
-    own = sets.join(reps.select("h0", "h1", "rep.doc_id", "rep.text_hash", "node"), ["h0", "h1", "doc_id", "text_hash"])
-    rows = own.select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
+    rows = reps.select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
     rows = scratch.write(rows, "rows")
     stars = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("centre") < F.col("last")).drop("last")
     members = scratch.write(skewed_join(rows, scratch.write(stars, "stars"), ["key"], how="inner").drop("n"), "members")
@@ -261,7 +261,8 @@ def judge(docs: DataFrame, p: NearDedup) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = reps.join(wanted, "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select(F.col("node").alias("doc_id"), "text")
+    texts = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text"))  # once, however many rows
+    texts = texts.select(F.col("node").alias("doc_id"), "text")
     texts = scratch.write(texts, "texts")
     links = scratch.write(confirm(pairs, texts, p, scratch), "links-0")
     parts = connected_components(links, scratch, "parts-0")
@@ -289,7 +290,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """The documents of which one is kept for each group, with all their columns; of rows that share a doc_id and a text
-    one stays, and every row with a null doc_id.
+    one stays, the first by its further columns as JSON, and every row with a null doc_id.
 
     The verdict is joined on doc_id and the text's hash, so that rows that share an id are judged one by one."""
     scratch = Scratch(docs.sparkSession, "near-kept")
@@ -300,4 +301,8 @@ def without_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> Data
     n, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).head()
     if n == ids:
         return out
-    return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(out.filter(F.col("doc_id").isNull()))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    alike = out.filter(F.col("doc_id").isNotNull())
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.to_json(F.struct(*[F.col(c) for c in others]))) if others else F.lit(None)
+    alike = alike.groupBy("doc_id", "text").agg(first.alias(own_text))  # the same one in every run
+    return alike.select(*[F.col(own_text)[c].alias(c) if c in others else F.col(c) for c in docs.columns]).unionByName(out.filter(F.col("doc_id").isNull()))

@@ -14,8 +14,9 @@ the text itself. Here nothing doubles and no (position, rank) pairs are sorted:
   ranked. Unique cells drop out; cells whose whole span occurs again are repeated.
 * Rank 3: what is left is ranked start by start by the full ``length`` bytes.
 
-A rank is a class of equal 64-bit fingerprints of block and string, grouped by Spark at each level; two different strings
-share both with a probability of 2^-128. Groups are counted by partial aggregates and one member of a class stands for
+A rank is a class of equal 64-bit fingerprints of block and string, grouped by Spark at each level. Strings around an equal
+block agree in its fingerprint, so 64 bits tell them apart: of n different strings with one block about n^2 / 2^65 pairs are
+taken for equal, whatever the texts, as each run hashes by a seed of its own; nothing is compared byte by byte. Groups are counted by partial aggregates and one member of a class stands for
 all; joins on a block, span or string that very many rows have are dealt out over several tasks.
 
 Passages. A passage that documents share may be of many words and yet shorter than ``length`` bytes, so windows of
@@ -30,6 +31,7 @@ document where passages are concerned; an empty table gives an empty result; fur
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -61,21 +63,46 @@ class Passages:
 
 
 class Fingerprints:
-    """64-bit fingerprints of ranges of bytes, or of words' hashes, from running sums of powers modulo 2^64."""
-
-    def __init__(self, size: int) -> None:
-        self.values = mix(np.arange(256, dtype=U) + U(99)) | U(1)
-        self.powers = np.cumprod(np.concatenate([[U(1)], np.full(size, BASE, U)]), dtype=U)
-        self.inverse = np.cumprod(np.concatenate([[U(1)], np.full(size, pow(BASE, -1, 1 << 64), U)]), dtype=U)
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, U)
-        np.cumsum((self.values[data] if data.dtype == np.uint8 else data) * self.powers[: len(data)], dtype=U, out=out[1:])
+    """64-bit fingerprints of ranges of bytes, or of words' hashes, by doubling: a range of 2^k is hashed from its two
+    halves, any other from the two ranges of the largest power of two that fits, at its start and at its end.
+
+    Nothing in it is linear, so no pattern of characters cancels out as it can in sums of powers; and each run has a ``seed`` of
+    its own that no text can be made to fit. Two different ranges agree with a probability of about 2^-64."""
+
+    def __init__(self, seed: int = 0) -> None:
+        k = mix(np.arange(1, 7, dtype=U) * U(BASE) + U(seed & (1 << 64) - 1)) | U(1)
+        self.a, self.b, self.c, self.d, self.e, _ = k
+        self.values = mix(np.arange(256, dtype=U) * self.e + k[5])
+
+    def sums(self, data: np.ndarray) -> list[np.ndarray]:
+        """The hashes of all ranges of 1, of 2, of 4 and so on, the longer ones as they are asked for."""
+        return [self.values[data] if data.dtype == np.uint8 else data]
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = right >> U(31)
+        x ^= right
+        x *= self.b
+        x += left * self.a
+        x ^= x >> U(32)
+        x *= self.c
+        return x
+
+    def of(self, levels: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = end - start
+        out = np.empty(len(n), U)
+        if not len(n):
+            return out
+        k = np.frexp(n)[1] - 1  # the largest power of two that fits
+        for level in np.unique(k):
+            while len(levels) <= level:
+                half = 1 << (len(levels) - 1)
+                levels.append(self._join(levels[-1][:-half], levels[-1][half:]))
+            at = np.flatnonzero(k == level) if level != k[0] or (k != level).any() else slice(None)
+            h = levels[level]
+            x = self._join(h[start[at]], h[end[at] - (1 << int(level))])
+            out[at] = mix(x + n[at].astype(U) * self.d)
         return out
 
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.inverse[start] + mix((end - start).astype(U)))
-
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of x[i : i + w] for each i, from running minima within stretches of w."""
@@ -94,9 +121,9 @@ class Sampler:
     """Rows (document, anchor, lo, hi, fingerprint of the anchor's block, fingerprint of the span) of documents, each an
     array of bytes or of words' hashes."""
 
-    def __init__(self, p: SubstringDedup | Passages, size: int = 1 << 20) -> None:
+    def __init__(self, p: SubstringDedup | Passages, size: int = 1 << 17, seed: int = 0) -> None:
         self.p, self.size = p, size
-        self.prints = Fingerprints(size + 2 * p.length)
+        self.prints = Fingerprints(seed)
 
     def groups(self, texts: Iterable[np.ndarray]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
         """Runs of (document, offset, slice) of bounded total size; long documents come in overlapping slices."""
@@ -146,9 +173,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 ROWS = "id long, th long, a long, lo long, hi long, block long, span long"
 
 
-def sampled_rows(keyed: DataFrame, p: SubstringDedup) -> DataFrame:
+def sampled_rows(keyed: DataFrame, p: SubstringDedup, seed: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(p)
+        sampler = Sampler(p, seed=seed)
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
             for d, a, lo, hi, block, span in sampler.rows(np.frombuffer(t.as_py(), np.uint8) for t in b.column(2)):
@@ -172,12 +199,12 @@ def _slices(lo: np.ndarray, size: int) -> Iterator[np.ndarray]:
 CELLS = "id long, th long, block long, a long, undecided long, q long, lo long, hi long, core long, span long"
 
 
-def cells(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataFrame:
+def cells(texts: DataFrame, rows: DataFrame, p: SubstringDedup, seed: int) -> DataFrame:
     """The rows cut into cells of starts on a grid that counts from the anchor."""
-    size, width, length = 1 << 20, p.cell, p.length
+    size, width, length = 1 << 17, p.cell, p.length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(size + 4 * length)
+        prints = Fingerprints(seed)
         for b in batches:
             out: list = []
             for i in range(b.num_rows):
@@ -206,12 +233,12 @@ def cells(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataFrame:
 STARTS = "id long, th long, at long, undecided long, block long, string long"
 
 
-def single_starts(texts: DataFrame, rows: DataFrame, p: SubstringDedup) -> DataFrame:
+def single_starts(texts: DataFrame, rows: DataFrame, p: SubstringDedup, seed: int) -> DataFrame:
     """Every start of the rows, with the fingerprints of its anchor's block and of its full string."""
-    size, length = 1 << 20, p.length
+    size, length = 1 << 17, p.length
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(size + 4 * length)
+        prints = Fingerprints(seed)
         for b in batches:
             out: list = []
             for i in range(b.num_rows):
@@ -237,11 +264,11 @@ def texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return keyed.join(rows.select("id", "th").distinct(), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
 
 
-def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) -> DataFrame:
+def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch, seed: int) -> DataFrame:
     """(id, th, lo, hi): byte ranges [lo, hi) that repeated strings cover, not yet merged."""
     keyed, interval = _keyed(docs), lambda df: df.select("id", "th", "lo", (F.col("hi") + p.length).alias("hi"))
     # rank 1: blocks that occur more than once
-    rows = scratch.write(sampled_rows(keyed, p), "rows")
+    rows = scratch.write(sampled_rows(keyed, p, seed), "rows")
     blocks = scratch.write(rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "blocks")
     rows = scratch.write(skewed_join(rows, blocks, ["block"]), "live")
     scratch.drop("rows")
@@ -255,7 +282,7 @@ def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) ->
     scratch.drop("classes", "torn")
     texts = scratch.write(texts_of(keyed, open_rows), "texts")
     # rank 2: cells by the bytes that all their strings have in common
-    cut = scratch.write(cells(texts, open_rows, p), "cells")
+    cut = scratch.write(cells(texts, open_rows, p, seed), "cells")
     key = ["block", "q", "core"]
     kinds = cut.groupBy(*key, "span").agg(F.count("*").alias("n"), F.max("undecided").alias("undecided"), F.min(F.struct("id", "th", "lo", "hi")).alias("r"))
     kinds = scratch.write(kinds, "kinds")
@@ -266,7 +293,7 @@ def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) ->
     torn = kinds.groupBy(*key).agg(F.count("*").alias("n"), alone.alias("alone")).filter((F.col("n") > 1) & (F.col("alone") == 1)).drop("alone")
     open_cells = skewed_join(kinds, scratch.write(torn, "torn-cells"), key).select("r.*", ((F.col("n") == 1) & (F.col("undecided") == 1)).cast("long").alias("undecided"), "block")
     # rank 3: whole strings, one by one; a place counts once however many cells it came by
-    starts = single_starts(texts, scratch.write(open_cells, "open-cells"), p)
+    starts = single_starts(texts, scratch.write(open_cells, "open-cells"), p, seed)
     starts = scratch.write(starts.groupBy("block", "string", "id", "th", "at").agg(F.max("undecided").alias("undecided")), "starts")
     scratch.drop("kinds", "torn-cells", "texts")
     twice = scratch.write(starts.groupBy("block", "string").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "twice")
@@ -276,6 +303,7 @@ def repeated_intervals(docs: DataFrame, p: SubstringDedup, scratch: Scratch) ->
     return out
 
 
+LONG_WORD = 512  # longer words are hashed one by one
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True  # the white space between words
 
@@ -283,14 +311,17 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True  # the white space between words
 class WordHashes:
     """The hashes of a text's words, from slices of the text that end between words."""
 
-    def __init__(self, size: int = 1 << 20) -> None:
-        self.size, self.prints = size, Fingerprints(size)
+    def __init__(self, size: int = 1 << 17, seed: int = 0) -> None:
+        self.size, self.prints, self.key = size, Fingerprints(seed), (seed & (1 << 64) - 1).to_bytes(8, "little")
 
     def _of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(data) >= len(self.prints.powers):  # a longer word than any before
-            self.prints = Fingerprints(2 * len(data))
         edges = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[data], [True]]).view(np.int8)))
-        return edges[::2], self.prints.of(self.prints.sums(data), edges[::2], edges[1::2])
+        start, end = edges[::2], edges[1::2]
+        long = end - start >= LONG_WORD
+        hashes = self.prints.of(self.prints.sums(data), start, np.where(long, start + 1, end))
+        for i in np.flatnonzero(long):  # next to none
+            hashes[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return start, hashes
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         out, run, total = [], [], 0
@@ -326,9 +357,9 @@ WORD_ROWS = "id long, th long, lo long, hi long, block long, span long"
 WINDOWS = "id long, th long, weight long, apart boolean, block long, string long"
 
 
-def word_rows(keyed: DataFrame, p: Passages) -> DataFrame:
+def word_rows(keyed: DataFrame, p: Passages, seed: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sampler = WordHashes(), Sampler(p, 1 << 17)
+        hashes, sampler = WordHashes(seed=seed), Sampler(p, seed=seed)
         for b in batches:
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             for d, _, lo, hi, block, span in sampler.rows(hashes.many([t.as_py() for t in b.column(2)])):
@@ -337,11 +368,11 @@ def word_rows(keyed: DataFrame, p: Passages) -> DataFrame:
     return keyed.mapInArrow(run, WORD_ROWS)
 
 
-def single_windows(texts: DataFrame, rows: DataFrame, p: Passages) -> DataFrame:
+def single_windows(texts: DataFrame, rows: DataFrame, p: Passages, seed: int) -> DataFrame:
     """Every window of the rows, with its fingerprint and that of its anchor's block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, prints = WordHashes(), Fingerprints(1 << 17)
+        hashes, prints = WordHashes(seed=seed), Fingerprints(seed)
         for b in batches:
             for i in range(b.num_rows):
                 words = hashes.many([b.column(2)[i].as_py()])[0]
@@ -361,10 +392,10 @@ def single_windows(texts: DataFrame, rows: DataFrame, p: Passages) -> DataFrame:
     return joined.select("id", "th", "text", "lo", "hi", "weight", "block", "apart").mapInArrow(run, WINDOWS)
 
 
-def shared_windows(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
+def shared_windows(docs: DataFrame, p: Passages, scratch: Scratch, seed: int) -> DataFrame:
     """(id, th, n_shared): how many windows of a document's words some other document has, for documents that have any."""
     keyed, doc = _keyed(docs), F.xxhash64("id", "th")
-    rows = scratch.write(word_rows(keyed, p), "words")
+    rows = scratch.write(word_rows(keyed, p, seed), "words")
     blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).filter(F.col("a") < F.col("b"))
     rows = scratch.write(skewed_join(rows, scratch.write(blocks.select("block", "n"), "word-blocks"), ["block"]), "live-words")
     scratch.drop("words", "word-blocks")
@@ -377,7 +408,7 @@ def shared_windows(docs: DataFrame, p: Passages, scratch: Scratch) -> DataFrame:
     rows = skewed_join(classes, scratch.write(torn, "word-torn"), ["block"]).select("block", "r.*", F.when(F.col("apart"), 0).otherwise(F.col("n")).alias("weight"), "apart")
     rows = scratch.write(rows, "word-open")
     scratch.drop("live-words", "word-classes", "word-torn")
-    windows = scratch.write(single_windows(scratch.write(texts_of(keyed, rows), "word-texts"), rows, p), "windows")
+    windows = scratch.write(single_windows(scratch.write(texts_of(keyed, rows), "word-texts"), rows, p, seed), "windows")
     scratch.drop("word-open", "word-texts")
     twice = windows.groupBy("block", "string").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b"), F.bool_or("apart").alias("apart"))
     twice = scratch.write(twice.filter((F.col("n") > 1) & (F.col("apart") | (F.col("a") < F.col("b")))).select("block", "string", "n"), "word-twice")
@@ -406,8 +437,9 @@ def remove_repeats(docs: DataFrame, p: SubstringDedup = SubstringDedup(), passag
     words start in it that another document has, too, and shares_passage, whether there are any; and, unless ``with_text``
     is off, kept (binary: cut ranges may split characters)."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    per = _per_text(merged(repeated_intervals(docs, p, scratch)), "lo", "hi")
-    per = per.join(shared_windows(docs, passages, scratch), ["id", "th"], "full")
+    seed = secrets.randbits(64)
+    per = _per_text(merged(repeated_intervals(docs, p, scratch, seed)), "lo", "hi")
+    per = per.join(shared_windows(docs, passages, scratch, seed), ["id", "th"], "full")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -466,6 +466,26 @@ def test_texts_that_share_an_id_are_judged_one_by_one(spark):
     assert pairs(alone, "doc_id", "text") == Counter([(1, a), (None, c), (None, c)])
 
 
+def test_repeated_rows_are_confirmed_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    near = [(1, " ".join(words), "a"), (2, " ".join([*words[:-1], "x"]), "b")]
+    rows = [r for r in near for _ in range(40)] + [(1, near[0][1], "c")]
+    sizes = []
+    inner = near_dedup.confirm
+
+    def confirm(pairs, texts, p, scratch):
+        sizes.append((pairs.count(), texts.count()))
+        return inner(pairs, texts, p, scratch)
+
+    monkeypatch.setattr(near_dedup, "confirm", confirm)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = near_dedup.near_duplicates(docs, near_dedup.NearDedup(shingle_words=3, percent=85))
+    assert pairs(got, "doc_id", "component_id", "kept") == {(1, 1, True): 41, (2, 1, False): 40}
+    assert sizes == [(1, 2)]
+    kept = near_dedup.without_near_duplicates(docs, near_dedup.NearDedup(shingle_words=3, percent=85)).collect()
+    assert [tuple(r) for r in kept] == [(1, near[0][1], "a")]
+
+
 def test_densification_estimates_similarity():
     s = near_dedup.mix(np.arange(9, dtype=np.uint64) + np.uint64(5))
     signer = near_dedup.Signer(400, 1)
@@ -656,6 +676,25 @@ def test_periodic_and_self_overlapping_strings(spark):
     assert got == Counter(brute_removed(rows, 400))
 
 
+def test_patterns_that_cancel_out_in_sums_of_powers(spark):
+    rng = random.Random(2)
+    parity = lambda i: bin(i).count("1") & 1
+    tail = "".join(rng.choice("abcdefgh") for _ in range(144))
+    rows = []
+    for k, (x, y) in enumerate(["ab", "cd", "ef", "gh"]):
+        for flip in (0, 1):
+            rows.append((2 * k + flip, "".join(y if parity(i) ^ flip else x for i in range(256)) + tail))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False)
+    assert pairs(got, "n_removed") == {(0,): 8}
+    whole = substring_dedup.Fingerprints(3)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    for n in (1, 2, 3, 7, 100, 256, 400, 701):
+        at = np.arange(len(data) - n + 1)
+        prints = whole.of(whole.sums(data), at, at + n)
+        strings = [data[i : i + n].tobytes() for i in at]
+        assert len(set(zip(strings, prints.tolist()))) == len(set(strings)) == len(set(prints.tolist()))
+
+
 def test_slices_of_long_documents():
     p = substring_dedup.SubstringDedup(40, 10, 8)
     rng = random.Random(1)
