@@ -62,45 +62,80 @@ class Passages:
     block: int = 8
 
 
+class Hashes:
+    """Of an array: what all ranges of a power of two of its values hash to, longer ones as they are asked for; of bytes from
+    eight on, whose values stand in ``raw``."""
+
+    def __init__(self, least: int, first: np.ndarray, raw: np.ndarray | None = None) -> None:
+        self.least, self.levels, self.raw = least, [first], raw
+
+
 class Fingerprints:
     """64-bit fingerprints of ranges of bytes, or of words' hashes, by doubling: a range of 2^k is hashed from its two
-    halves, any other from the two ranges of the largest power of two that fits, at its start and at its end.
+    halves, any other from the two ranges of the largest power of two that fits, at its start and at its end; from 128 on
+    from the ranges of 64 that follow each other from its start, and the one at its end.
 
     Nothing in it is linear, so no pattern of characters cancels out as it can in sums of powers; and each run has a ``seed`` of
     its own that no text can be made to fit. Two different ranges agree with a probability of about 2^-64."""
 
     def __init__(self, seed: int = 0) -> None:
-        k = mix(np.arange(1, 7, dtype=U) * U(BASE) + U(seed & (1 << 64) - 1)) | U(1)
-        self.a, self.b, self.c, self.d, self.e, _ = k
-        self.values = mix(np.arange(256, dtype=U) * self.e + k[5])
-
-    def sums(self, data: np.ndarray) -> list[np.ndarray]:
-        """The hashes of all ranges of 1, of 2, of 4 and so on, the longer ones as they are asked for."""
-        return [self.values[data] if data.dtype == np.uint8 else data]
+        self.k = mix(np.arange(1, 7, dtype=U) * U(BASE) + U(seed & (1 << 64) - 1)) | U(1)
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(8)], U)
+
+    def sums(self, data: np.ndarray) -> Hashes:
+        if data.dtype != np.uint8:
+            return Hashes(0, data)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        raw = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).copy()  # the eight bytes from each place on
+        first = raw ^ self.k[3]
+        first *= self.k[4]
+        first ^= first >> U(32)
+        return Hashes(3, first, raw)
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         x = right >> U(31)
         x ^= right
-        x *= self.b
-        x += left * self.a
+        x *= self.k[0]
+        x += left * self.k[1]
         x ^= x >> U(32)
-        x *= self.c
+        x *= self.k[2]
         return x
 
-    def of(self, levels: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = end - start
-        out = np.empty(len(n), U)
-        if not len(n):
-            return out
-        k = np.frexp(n)[1] - 1  # the largest power of two that fits
+    def _ended(self, x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        x += (n.astype(U) if isinstance(n, np.ndarray) else U(n)) * self.k[5]
+        x ^= x >> U(32)
+        x *= self.k[3]
+        x ^= x >> U(29)
+        return x
+
+    def _level(self, h: Hashes, k: int) -> np.ndarray:
+        while len(h.levels) <= k - h.least:
+            half = 1 << (h.least + len(h.levels) - 1)
+            h.levels.append(self._join(h.levels[-1][:-half], h.levels[-1][half:]))
+        return h.levels[k - h.least]
+
+    def every(self, h: Hashes, n: int, count: int) -> np.ndarray:
+        """The fingerprints of the first ``count`` ranges of n, under 128 and no fewer than a hash takes."""
+        k = n.bit_length() - 1
+        level, last = self._level(h, k), n - (1 << k)
+        return self._ended(self._join(level[:count], level[last : last + count]), n)
+
+    def of(self, h: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n, out = end - start, np.empty(len(start), U)
+        k = np.minimum(np.frexp(n)[1] - 1, 6) if len(n) else n  # the largest power of two that fits
         for level in np.unique(k):
-            while len(levels) <= level:
-                half = 1 << (len(levels) - 1)
-                levels.append(self._join(levels[-1][:-half], levels[-1][half:]))
-            at = np.flatnonzero(k == level) if level != k[0] or (k != level).any() else slice(None)
-            h = levels[level]
-            x = self._join(h[start[at]], h[end[at] - (1 << int(level))])
-            out[at] = mix(x + n[at].astype(U) * self.d)
+            at = np.flatnonzero(k == level)
+            s, e, m = start[at], end[at], n[at]
+            if level < h.least:  # a few bytes: as they are
+                x = (h.raw[s] & self.masks[m]) * self.k[1]
+            else:
+                hashes, last = self._level(h, int(level)), e - (1 << int(level))
+                x = hashes[s]
+                for j in range(1, int(m.max()) >> 6):
+                    on = np.flatnonzero(m >> 6 > j)
+                    x[on] = self._join(x[on], hashes[s[on] + (j << 6)])
+                x = self._join(x, hashes[last])
+            out[at] = self._ended(x, m)
         return out
 
 
@@ -147,7 +182,8 @@ class Sampler:
             starts = np.cumsum(sizes) - sizes
             sums = self.prints.sums(data)
             at = np.arange(len(data) - block + 1)
-            blocks = self.prints.of(sums, at, at + block)
+            whole = block.bit_length() - 1 >= sums.least and block < 128
+            blocks = self.prints.every(sums, block, len(at)) if whole else self.prints.of(sums, at, at + block)
             anchor = (window_minimum((blocks & ~U(0xFFFFFF)) | at.astype(U), length - block + 1) & U(0xFFFFFF)).astype(np.int64)
             own = np.repeat(np.arange(len(run)), sizes)[: len(anchor)]
             valid = np.flatnonzero(np.arange(len(anchor)) + length <= (starts + sizes)[own])
