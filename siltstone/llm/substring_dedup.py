@@ -101,8 +101,8 @@ class Fingerprints:
         x *= self.k[2]
         return x
 
-    def _ended(self, x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        x += (n.astype(U) if isinstance(n, np.ndarray) else U(n)) * self.k[5]
+    def _ended(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        x += n.astype(U) * self.k[5]
         x ^= x >> U(32)
         x *= self.k[3]
         x ^= x >> U(29)
@@ -118,7 +118,7 @@ class Fingerprints:
         """The fingerprints of the first ``count`` ranges of n, under 128 and no fewer than a hash takes."""
         k = n.bit_length() - 1
         level, last = self._level(h, k), n - (1 << k)
-        return self._ended(self._join(level[:count], level[last : last + count]), n)
+        return self._ended(self._join(level[:count], level[last : last + count]), np.array([n]))
 
     def of(self, h: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n, out = end - start, np.empty(len(start), U)
