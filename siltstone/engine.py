@@ -19,6 +19,7 @@ from siltstone.operators import search as S
 from siltstone.schemas import SCHEMAS
 from siltstone.sources import content, listing
 from siltstone.sources.warehouse import Snapshot, Transaction, Warehouse, empty
+from siltstone.streaming import sinks, source, watch
 
 EXTRACTED = f"{content.EXTRACTED}, scope_id long, node_id long, location_id long, modified_unix_ns long"
 #: Tables that hold what a purge takes away.
@@ -73,6 +74,7 @@ class Engine:
             t.replace("manifest", out if others is None else out.unionByName(others), check=False)
             t.replace("edges", t.read("edges").filter(F.col("scope_id") != scope_id).unionByName(links))
             t.append("scan_issues", issues)
+            t.replace("scan_requests", t.read("scan_requests").filter(F.col("scope_id") != scope_id))
             self._index(t)
         return self.manifest().filter(F.col("scope_id") == scope_id).groupBy("action").count()
 
@@ -121,6 +123,46 @@ class Engine:
         rows = self.extracted(at).filter(F.col("text").isNotNull()).join(here, ["scope_id", "node_id", "location_id", "modified_unix_ns"], "left_semi")
         return rows.withColumns({"chunk_id": F.col("ordinal"), "display_path": F.col("path")})
 
+    # ---- watching
+
+    def apply_events(self, events: DataFrame, batch_id: int, sink: str = "watch") -> bool:
+        """A batch of coalesced events (scope_id, kind, path): the one file of a file_delta is looked at anew, and its location and its place in the
+        search index follow, if it is a known present file with one link; every other event becomes a request for a scan of its scope. All
+        of it, with the mark that the batch is done, is one commit, so a batch that comes again changes nothing."""
+
+        def effect(t: Transaction) -> None:
+            rows = events.select("scope_id", "kind", "path").distinct().collect()  # an event a scope, 32 at most a set
+            asked = {(r.scope_id, r.path) for r in rows if r.kind == "file_delta" and r.path}
+            places = t.read("manifest")
+            known = places.filter(F.col("present") & (F.col("kind") == "file") & (F.col("link_count") == 1) & F.col("path_key").isin(sorted(p for _, p in asked)))
+            known = {(r.scope_id, r.path_key): r.node_id for r in known.select("scope_id", "path_key", "node_id").collect()} if asked else {}
+            found, wide = [], {r.scope_id for r in rows if not (r.kind == "file_delta" and r.path)}
+            for scope, path in sorted(asked):
+                now = listing.look(path)
+                if now is None or (scope, path) not in known or now[2] != 1:
+                    wide.add(scope)
+                else:
+                    found.append((scope, path, now[0], now[1], now[3]))
+            if found:
+                looked = self.spark.createDataFrame(found, "scope_id long, path_key string, size_bytes long, modified_unix_ns long, identity_key binary").withColumn("node_id", _id("identity_key"))
+                strangers = {r.path_key for r in looked.collect() if known[r.scope_id, r.path_key] != r.node_id}  # another file under the same name
+                wide |= {s for s, p, *_ in found if p in strangers}
+                looked = looked.filter(~F.col("path_key").isin(sorted(strangers)) if strangers else F.lit(True))
+                t.replace("manifest", sinks.applied(places, looked, ["scope_id", "path_key"], ["size_bytes", "modified_unix_ns"]), check=False)
+                self._index(t)
+            if wide:
+                t.append("scan_requests", self.spark.createDataFrame([(s, sink, batch_id) for s in sorted(wide)], SCHEMAS["scan_requests"]))
+
+        return sinks.once(self.warehouse, sink, batch_id, effect)
+
+    def watch(self, spool: str, checkpoint: str, w: watch.Watch = watch.Watch(), sink: str = "watch", queue_bytes: int | None = None):
+        """Starts following a spool of hints; returns the running query. Stopped and started again with the same checkpoint it goes on where
+        it was, with the deadlines that were pending."""
+        scopes = self.warehouse.read("authorized_scopes").select(F.col("id").alias("scope_id"), "path_key")
+        hints = watch.actionable(source.scope_hints(source.read_hints(self.spark, spool, queue_bytes), scopes))
+        events = watch.coalesce_stream(hints, w, with_path=True)
+        return events.writeStream.foreachBatch(lambda batch, batch_id: self.apply_events(batch, batch_id, sink)).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+
     # ---- questions
 
     def _policy(self, scope_id: int | None) -> tuple:

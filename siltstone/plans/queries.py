@@ -17,7 +17,7 @@ from siltstone.operators import search as S
 from siltstone.session import table
 from siltstone.sources import content, listing
 from siltstone.sources.warehouse import Warehouse
-from siltstone.streaming import watch
+from siltstone.streaming import sinks, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1030,3 +1030,26 @@ def search_fixture(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Content search over documents, end to end."""
     return search_content(spark, d)
+
+
+# ---- micro-batches ------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH m AS (SELECT o_custkey % 3 + 1 AS scope_id, 'o' || CAST(o_orderkey AS VARCHAR) AS path_key, CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, o_orderkey % 5 <> 0 AS present FROM orders),
+e AS (SELECT 'o' || CAST(user_id * 7 + event_id % 3 AS VARCHAR) AS path_key, event_id % 3 AS batch, max(event_id) AS size_bytes FROM events GROUP BY ALL),
+l AS (SELECT path_key, arg_max(size_bytes, batch) AS size_bytes, arg_max(batch, batch) AS last FROM e GROUP BY ALL)
+SELECT m.scope_id, m.path_key, CASE WHEN m.present AND l.path_key IS NOT NULL THEN l.size_bytes ELSE m.size_bytes END AS size_bytes, m.present,
+  CASE WHEN m.present AND l.path_key IS NOT NULL THEN 'update' ELSE 'unchanged' END AS action FROM m LEFT JOIN l USING (path_key)"""
+)
+def delta_effect(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of single-file deltas on a warehouse's manifest, each delivered twice, and the first once more at the end."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    w = Warehouse(spark, f"{root.rstrip('/')}/deltas-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders")
+    w.replace("manifest", orders.select(long(F.col("o_custkey") % 3 + 1, "scope_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path_key"), long(F.floor("o_totalprice"), "size_bytes"), (F.col("o_orderkey") % 5 != 0).alias("present"), F.lit("unchanged").alias("action")), check=False)
+    events = table(spark, d, "events").select(F.concat(F.lit("o"), (F.col("user_id") * 7 + F.col("event_id") % 3).cast("string")).alias("path_key"), long(F.col("event_id") % 3, "batch"), "event_id")
+    for batch in (0, 0, 1, 1, 2, 2, 0):
+        found = events.filter(F.col("batch") == batch).groupBy("path_key").agg(F.max("event_id").alias("size_bytes"))
+        sinks.once(w, "deltas", batch, lambda t, found=found: t.replace("manifest", sinks.applied(t.read("manifest"), found, ["path_key"], ["size_bytes"]), check=False) and None)
+    return w.read("manifest").select("scope_id", "path_key", "size_bytes", "present", "action")

@@ -45,6 +45,8 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
     "image_metadata": _schema("id:L scope_id:L node_id:L job_id:L format:S pixel_width:I pixel_height:I active:B"),
     "watch_events": _schema("id:L scope_id:L path:S observed_kind:S size_bytes:l modified_unix_ns:l identity_key:x observed_at_unix_ms:L status:S reconciliation_kind:s"),
+    "applied_batches": _schema("sink:S batch_id:L"),
+    "scan_requests": _schema("scope_id:L sink:S batch_id:L"),
     "project_suggestions": _schema("id:L scope_id:L root_node_id:L confidence_basis_points:I observed_at_unix_ms:L"),
     "file_relations": _schema("id:L kind:S scope_id:L left_node_id:L right_node_id:L confidence_basis_points:I observed_at_unix_ms:L"),
     "feedback_events": _schema("entity_id:L sequence:L decision:S created_at_unix_ms:L"),

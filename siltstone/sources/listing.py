@@ -84,6 +84,15 @@ def walk(root: str, excluded_paths: frozenset[str] = frozenset(), excluded_ident
                 yield row(issue="unsupported_entry_type", skipped=True)
 
 
+def look(path: str) -> tuple[int, int, int, bytes] | None:
+    """(size, time in ns, links, identity) of one regular file; None for anything else."""
+    try:
+        st = os.lstat(path)
+    except OSError:
+        return None
+    return (st.st_size, st.st_mtime_ns, st.st_nlink, identity(st)) if stat.S_ISREG(st.st_mode) else None
+
+
 def listing(spark: SparkSession, root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> DataFrame:
     """One row for each entry met: what was observed, or why it was not."""
     return spark.createDataFrame(list(walk(root, excluded_paths, excluded_identities)), ENTRY)

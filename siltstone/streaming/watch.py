@@ -21,6 +21,8 @@ from siltstone.operators.folds import streamed_fold
 
 HINTS = "scope_id long, path string, observed_kind string, observed_at_unix_ms long"
 EVENTS = "scope_id long, first_at_unix_ms long, last_at_unix_ms long, due_at_unix_ms long, hints long, kind string, widened boolean"
+#: Of a scope's event, where asked for: the one file of a file_delta.
+EVENTS_WITH_PATH = EVENTS + ", path string"
 
 
 # Milliseconds until an event or scope is looked at again.
@@ -49,8 +51,10 @@ class Pending:
     def widened(self, w: Watch) -> bool:
         return self.last + w.window_ms > self.first + w.max_age_ms
 
-    def row(self, scope: int, w: Watch) -> tuple:
-        return scope, self.first, self.last, self.due(w), self.hints, "full_scope" if self.widened(w) else self.kind, self.widened(w)
+    def row(self, scope: int, w: Watch, with_path: bool = False) -> tuple:
+        kind = "full_scope" if self.widened(w) else self.kind
+        row = scope, self.first, self.last, self.due(w), self.hints, kind, self.widened(w)
+        return (*row, self.path if kind == "file_delta" else None) if with_path else row
 
 
 @dataclass
@@ -95,8 +99,9 @@ def coalesce_batch(hints: DataFrame, w: Watch = Watch()) -> DataFrame:
 class Coalescer(StatefulProcessor):
     """The same state per scope in a stream; a timer at the deadline emits the event."""
 
-    def __init__(self, w: Watch) -> None:
-        self.w = w
+    def __init__(self, w: Watch, with_path: bool = False) -> None:
+        self.w, self.with_path = w, with_path
+        self.columns = [x.split()[0] for x in (EVENTS_WITH_PATH if with_path else EVENTS).split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -112,37 +117,38 @@ class Coalescer(StatefulProcessor):
         for r in batch.itertuples(index=False):
             p, done = observe(p, int(r.observed_at_unix_ms), r.observed_kind, r.path, self.w)
             if done:
-                out.append(done.row(int(key[0]), self.w))
+                out.append(done.row(int(key[0]), self.w, self.with_path))
         self.state.update((p.first, p.last, p.hints, p.kind, p.path))
         if before is not None and before != p.due(self.w):
             self.handle.deleteTimer(before)
         if before != p.due(self.w):
             self.handle.registerTimer(p.due(self.w))
         if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")])
+            yield pd.DataFrame(out, columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         p = self._load()
         if p is not None and p.due(self.w) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-            yield pd.DataFrame([p.row(int(key[0]), self.w)], columns=[x.split()[0] for x in EVENTS.split(", ")])
+            yield pd.DataFrame([p.row(int(key[0]), self.w, self.with_path)], columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def coalesce_stream(hints: DataFrame, w: Watch = Watch(), delay: str | None = None) -> DataFrame:
+def coalesce_stream(hints: DataFrame, w: Watch = Watch(), delay: str | None = None, with_path: bool = False) -> DataFrame:
     """The streaming form. Deadlines are kept by the clock, as the hints of running watchers are stamped by it, so no hint
     is too late to coalesce with what is pending, whatever other scopes have seen meanwhile.
 
     With ``delay``, deadlines are kept by the event-time column ``observed_at`` instead, to replay recorded hints; Spark
     then drops hints that are older than the latest by more than the delay.
     """
+    schema = EVENTS_WITH_PATH if with_path else EVENTS
     columns = ["scope_id", F.coalesce("path", F.lit("")).alias("path"), "observed_kind", "observed_at_unix_ms"]
     if delay is None:
-        return hints.select(*columns).groupBy("scope_id").transformWithStateInPandas(Coalescer(w), EVENTS, "Append", "ProcessingTime")
+        return hints.select(*columns).groupBy("scope_id").transformWithStateInPandas(Coalescer(w, with_path), schema, "Append", "ProcessingTime")
     stream = hints.withWatermark("observed_at", delay).select(*columns, "observed_at")
-    return stream.groupBy("scope_id").transformWithStateInPandas(Coalescer(w), EVENTS, "Append", "EventTime")
+    return stream.groupBy("scope_id").transformWithStateInPandas(Coalescer(w, with_path), schema, "Append", "EventTime")
 
 
 def deltas(events: DataFrame, manifest: DataFrame) -> DataFrame:
