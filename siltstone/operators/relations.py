@@ -51,10 +51,16 @@ def version_code(same_node: Column, left: Column, right: Column) -> Column:
     )
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """(scope_id, base, ext, version, node_id) of the files whose names carry a version number."""
+    parsed = files.select("scope_id", "node_id", explicit_version(F.col("file_name")).alias("v")).filter(F.col("v").isNotNull())
+    return parsed.select("scope_id", "v.base", "v.ext", "v.version", "node_id").distinct()
+
+
 def version_members(files: DataFrame) -> DataFrame:
     """(scope_id, base, ext, version, class_node_id, node_id): every file with a version number, and the smallest node of
     the files that share it, which stands for them."""
-    parsed = files.select("scope_id", "node_id", explicit_version(F.col("file_name")).alias("v")).filter(F.col("v").isNotNull()).select("scope_id", "v.base", "v.ext", "v.version", "node_id").distinct()
+    parsed = _numbered(files)
     least = parsed.groupBy("scope_id", "base", "ext", "version").agg(F.min("node_id").alias("class_node_id"))
     return parsed.join(least, ["scope_id", "base", "ext", "version"]).select("scope_id", "base", "ext", "version", "class_node_id", "node_id")
 
@@ -65,17 +71,15 @@ def version_pairs(files: DataFrame) -> DataFrame:
 
     Of n files that share a number and m that share the next, the smallest node of either is paired with all of the
     other: n + m - 1 pairs, so no file is left without its relation and not all pairs are spelt out."""
-    members = version_members(files)
-    key = ["scope_id", "base", "ext"]
-    steps = members.filter(F.col("node_id") == F.col("class_node_id")).select(*key, "version", F.col("class_node_id").alias("older_node_id"))
-    w = Window.partitionBy("scope_id", "base", "ext").orderBy("version")
-    chained = steps.withColumns({"newer_node_id": F.lead("older_node_id").over(w), "newer_version": F.lead("version").over(w)}).filter(F.col("newer_node_id").isNotNull())
-    member = members.select(*key, F.col("version").alias("_version"), "node_id")
-    same = lambda c: [F.col(f"c.{k}") == F.col(f"m.{k}") for k in key] + [F.col(f"c.{c}") == F.col("m._version")]
-    columns = [F.col(f"c.{k}") for k in key], [F.col("c.version").alias("older_version"), F.col("c.newer_version")]
-    newer = chained.alias("c").join(member.alias("m"), same("newer_version")).select(*columns[0], F.col("c.older_node_id"), F.col("m.node_id").alias("newer_node_id"), *columns[1])
-    older = chained.alias("c").join(member.alias("m"), same("version")).select(*columns[0], F.col("m.node_id").alias("older_node_id"), F.col("c.newer_node_id"), *columns[1])
-    return newer.unionByName(older).distinct().select("scope_id", "base", "ext", "older_node_id", "newer_node_id", "older_version", "newer_version", F.lit(VERSION).alias("confidence_basis_points"))
+    members, key = _numbered(files), ["scope_id", "base", "ext"]
+    w = Window.partitionBy(*key).orderBy("version")
+    classes = members.groupBy(*key, "version").agg(F.min("node_id").alias("least"))
+    chain = {f"{c}_{side}": f(c).over(w) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("least", "version")}
+    placed = members.join(classes.withColumns(chain), [*key, "version"])
+    pair = lambda older, newer, older_version, newer_version: F.struct(F.col(older).alias("older_node_id"), F.col(newer).alias("newer_node_id"), F.col(older_version).alias("older_version"), F.col(newer_version).alias("newer_version"))
+    # the smallest node of a number has its pair with the next number's smallest node from there
+    pairs = F.array(F.when(F.col("least_before").isNotNull(), pair("least_before", "node_id", "version_before", "version")), F.when(F.col("least_after").isNotNull() & (F.col("node_id") != F.col("least")), pair("node_id", "least_after", "version", "version_after")))
+    return placed.select(*key, F.inline(F.array_compact(pairs))).select("*", F.lit(VERSION).alias("confidence_basis_points"))
 
 
 def eligible_images(images: DataFrame) -> DataFrame:

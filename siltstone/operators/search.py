@@ -177,6 +177,13 @@ def search_many(queries: DataFrame, corpus: DataFrame, index: DataFrame, key: st
     return rarest.join(wanted, "trigram").join(corpus.select(key, text), key).filter(F.contains(F.lower(text), F.lower("query"))).select("query_id", key)
 
 
+def search_few(queries: list[tuple[int, str]], corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key): all hits of a few phrases, by one scan that looks for each of them; more phrases than that go by an index."""
+    low = F.lower(F.col(text))
+    hits = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(q.lower())), F.lit(i).cast("long")) for i, q in queries]))
+    return corpus.select(key, low.alias("_low")).select(F.explode(hits).alias("query_id"), key)
+
+
 def folder_list(folders: DataFrame, limit: int = 200) -> DataFrame:
     """The first folders by path, and whether there are more."""
     if not 1 <= limit <= 500:

@@ -231,11 +231,7 @@ def agent_projection(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM q JOIN documents ON contains(lower(text), lower(query))"""
 )
 def search_many(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    queries = spark.createDataFrame([(1, "nation"), (2, "therhe"), (3, "ouè"), (4, "xyzzyx")], "query_id long, query string")
-    terms = queries.select(F.explode(X.trigrams(F.col("query"))).alias("trigram")).distinct()  # of four literal queries
-    index = S.trigram_index(docs, "doc_id", "text", terms)
-    return S.search_many(queries, docs, index, "doc_id", "text")
+    return S.search_few([(1, "nation"), (2, "therhe"), (3, "ouè"), (4, "xyzzyx")], table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(
@@ -271,10 +267,22 @@ def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", F.when(F.col("n") <= 1, F.col("n").cast("int")).alias("single_chunk"), "covered_bytes")
 
 
-@query()
+def _back_sql(i: str) -> str:
+    """The first byte of the character at offset ``i`` of the hexadecimal text h of n bytes; the end stays the end."""
+    inside = lambda at: f"substr(h, CAST(2 * ({at}) + 1 AS BIGINT), 1) IN ('8', '9', 'A', 'B')"
+    return f"CASE WHEN {i} >= n OR NOT {inside(i)} THEN {i} WHEN NOT {inside(f'{i} - 1')} THEN {i} - 1 WHEN NOT {inside(f'{i} - 2')} THEN {i} - 2 ELSE {i} - 3 END"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT doc_id, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0),
+w(doc_id, s, e) AS (SELECT doc_id, CAST(0 AS BIGINT), CASE WHEN n <= 4096 THEN n ELSE {_back_sql("4096")} END FROM b
+  UNION ALL SELECT doc_id, s, CASE WHEN s + 4096 >= n THEN n ELSE {_back_sql("(s + 4096)")} END FROM (SELECT w.doc_id, h, n, CASE WHEN {_back_sql("(e - 256)")} > s THEN {_back_sql("(e - 256)")} ELSE e END AS s FROM w JOIN b ON b.doc_id = w.doc_id WHERE e < n))
+SELECT doc_id, count(*) AS chunks, CAST(sum(e - s) AS BIGINT) AS output_bytes, max(e) AS source_bytes FROM w GROUP BY doc_id"""
+)
 def chunk_utf8_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Windows end and begin at whole characters; a text beyond the limits has none."""
     chunks = content.chunk_documents(table(spark, d, "documents"))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).cast("long").alias("output_bytes"), F.max("byte_end").alias("source_bytes"))
+    return chunks.groupBy("doc_id").agg(F.count("ordinal").alias("chunks"), F.sum(F.octet_length("text")).cast("long").alias("output_bytes"), F.max("byte_end").alias("source_bytes"))
 
 
 NAMES_SQL = "names AS (SELECT p_partkey, replace(p_name, ' ', '-') || CASE p_partkey % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.RS' WHEN 2 THEN '.csv' WHEN 3 THEN '.PNG' WHEN 4 THEN '.docx' WHEN 5 THEN '.bin' ELSE '' END AS name FROM part)"
