@@ -3,7 +3,7 @@
 Postings say at which characters of a document (a location's path, or a chunk of a file's text) a trigram stands. They lie in
 folders by a bucket of the trigram, sorted, so a search reads the few buckets of its phrase's trigrams, never a text: a
 phrase stands where its trigrams stand one after the other, which positions alone tell. Documents and characters are counted
-per scope when the index changes, so bm25 needs no pass over the corpus either.
+per scope when the index changes, and kept in the commit, so bm25 needs no pass over the corpus either.
 
 A refresh compares the documents that should be there with those that are, by the hash of their text: new and changed ones become
 a segment of postings of their own, gone and changed ones a tombstone that hides their postings in earlier segments. More than
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import snippet
@@ -28,7 +28,7 @@ from siltstone.sources.warehouse import Snapshot, Transaction, empty
 KEY = ("source", "scope_id", "node_id", "location_id", "chunk_id")
 DOCUMENT = "source string, scope_id long, node_id long, location_id long, chunk_id long"
 POSTING = f"{DOCUMENT}, length long, trigram long, positions array<int>"
-TABLES = ("search_documents", "search_postings", "search_tombstones", "search_statistics", "search_segments")
+TABLES = ("search_documents", "search_postings", "search_tombstones")
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,6 @@ def _read(at: Snapshot | Transaction, name: str, spark: SparkSession) -> DataFra
         return at.read(name)
     schemas = {
         "search_documents": f"{DOCUMENT}, length long, print long, segment long", "search_postings": f"{POSTING}, segment long, bucket int", "search_tombstones": f"{DOCUMENT}, before long",
-        "search_statistics": "source string, scope_id long, documents long, characters long", "search_segments": "segment long, buckets int",
     }
     return empty(spark, schemas[name])
 
@@ -94,8 +93,8 @@ def _read(at: Snapshot | Transaction, name: str, spark: SparkSession) -> DataFra
 def refresh(t: Transaction, wanted: DataFrame, options: IndexOptions = IndexOptions()) -> bool:
     """Brings the index to ``wanted`` (key, text); returns whether anything changed."""
     spark = wanted.sparkSession
-    state = _read(t, "search_segments", spark).agg(F.max("segment").alias("last"), F.max("buckets").alias("buckets")).head()
-    segment, buckets = (state.last or 0) + 1, state.buckets or options.buckets
+    state = t.notes.get("search", {"segment": 0, "buckets": options.buckets, "tombstones": 0})
+    segment, buckets = state["segment"] + 1, state["buckets"]
     old = _read(t, "search_documents", spark)
     low = F.lower("text")
     new = wanted.select(*KEY, F.greatest(F.char_length(low) - 2, F.lit(0)).cast("long").alias("length"), F.xxhash64("text").alias("print"))
@@ -104,14 +103,15 @@ def refresh(t: Transaction, wanted: DataFrame, options: IndexOptions = IndexOpti
     t.replace("search_documents", both.select(*KEY, "length", "print", F.when(same, F.col("_s")).otherwise(segment).cast("long").alias("segment")))
     now = t.read("search_documents")
     gone = old.join(now.select(*KEY, "segment"), [*KEY, "segment"], "left_anti").select(*KEY, F.lit(segment).cast("long").alias("before"))
-    added = now.filter(F.col("segment") == segment)
-    if added.isEmpty() and gone.isEmpty():
+    added, hidden = now.filter(F.col("segment") == segment), gone.count()
+    if not hidden and added.isEmpty():
         return False
-    t.append("search_tombstones", gone)
+    if hidden:
+        t.append("search_tombstones", gone)
     fresh = postings(wanted.join(added.select(*KEY), list(KEY), "left_semi")).withColumn("segment", F.lit(segment).cast("long"))
     _write(t, fresh, buckets, append=True)
-    t.append("search_segments", spark.createDataFrame([Row(segment=segment, buckets=buckets)], "segment long, buckets int"))
-    t.replace("search_statistics", now.groupBy("source", "scope_id").agg(F.count("*").alias("documents"), F.sum("length").alias("characters")))
+    counted = now.groupBy("source", "scope_id").agg(F.count("*"), F.sum("length")).collect()  # two rows a scope
+    t.note("search", {"segment": segment, "buckets": buckets, "tombstones": state["tombstones"] + hidden, "statistics": [list(r) for r in counted]})
     if t.parts("search_postings") > options.max_segments:
         compact(t)
     return True
@@ -136,8 +136,7 @@ def compact(t: Transaction) -> None:
     kept = live(t.read("search_postings"), t.read("search_tombstones"))
     _write(t, kept, 0, append=False)
     t.replace("search_tombstones", empty(kept.sparkSession, f"{DOCUMENT}, before long"))
-    last = t.read("search_segments").agg(F.max("segment").alias("segment"), F.max("buckets").alias("buckets"))
-    t.replace("search_segments", last)
+    t.note("search", {**t.notes["search"], "tombstones": 0})
 
 
 def phrase_hits(at: Snapshot | Transaction, phrase: str, sources: list[str], spark: SparkSession) -> DataFrame:
@@ -145,11 +144,12 @@ def phrase_hits(at: Snapshot | Transaction, phrase: str, sources: list[str], spa
     low = phrase.lower()
     all_codes, n = codes(low), len(low)
     offsets = sorted({*range(0, n - 2, 3), n - 3})  # these trigrams cover the phrase
-    buckets = _read(at, "search_segments", spark).agg(F.max("buckets")).head()[0]
-    if buckets is None:
+    state = at.notes.get("search")
+    if state is None:
         return empty(spark, f"{DOCUMENT}, segment long, length long, tf long")
     asked = sorted({all_codes[i] for i in offsets})
-    rows = _read(at, "search_postings", spark).filter(F.col("bucket").isin(sorted({c % buckets for c in asked})) & F.col("trigram").isin(asked) & F.col("source").isin(sources))
+    buckets = sorted({c % state["buckets"] for c in asked})
+    rows = at.warehouse.read_partitions("search_postings", at.tables.get("search_postings") or [], "bucket", buckets, f"{POSTING}, segment long").filter(F.col("trigram").isin(asked) & F.col("source").isin(sources))
     places = F.array(*[F.struct(F.lit(all_codes[i]).alias("code"), F.lit(i).alias("offset")) for i in offsets])
     begun = F.flatten(F.transform(F.filter(places, lambda p: p["code"] == F.col("trigram")), lambda p: F.array(F.transform("positions", lambda x: x - p["offset"]))))
     if len(offsets) == 1:
@@ -159,49 +159,57 @@ def phrase_hits(at: Snapshot | Transaction, phrase: str, sources: list[str], spa
         found = lists.select(*KEY, "segment", "length", F.array_sort(F.aggregate(F.slice("lists", 2, len(offsets)), F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))).alias("starts"))
     apart = F.aggregate("starts", F.struct(F.lit(-n).alias("last"), F.lit(0).alias("n")), lambda a, x: F.when(x >= a["last"] + n, F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a))
     hits = found.filter(F.size("starts") > 0).select(*KEY, "segment", "length", apart["n"].cast("long").alias("tf"))
-    return live(hits, _read(at, "search_tombstones", spark))
+    return live(hits, at.read("search_tombstones")) if state["tombstones"] else hits
 
 
-def candidates(at: Snapshot | Transaction, c: S.Checked, sources: list[str], locations: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(key, display_path, rank): each source's best candidates, ranked from 1 as :func:`siltstone.operators.search.candidates` ranks
-    them. ``locations`` are the present ones; ``scope`` the (node_id, location_id) that a folder allows."""
-    spark = locations.sparkSession
-    place = ["node_id", "location_id"]
+def candidates(at: Snapshot | Transaction, c: S.Checked, sources: list[str], locations: DataFrame, scope: DataFrame | None = None) -> list[Row]:
+    """(key, rank) of each source's best candidates, ranked from 1 as :func:`siltstone.operators.search.candidates` ranks them.
+    ``locations`` are the present ones; ``scope`` the (node_id, location_id) that a folder allows. Hits are found once, counted, and then cut."""
+    spark, place = locations.sparkSession, ["node_id", "location_id"]
     hits = phrase_hits(at, c.query, sources, spark)
-    if scope is None:
-        counted = _read(at, "search_statistics", spark).groupBy("source").agg(F.sum("documents").alias("_n"), F.sum("characters").alias("_c"))
-    else:
+    if scope is not None:
         hits = hits.join(scope.select(*place).distinct(), place, "left_semi")
-        counted = _read(at, "search_documents", spark).join(scope.select(*place).distinct(), place, "left_semi").groupBy("source").agg(F.count("*").alias("_n"), F.sum("length").alias("_c"))
-    stats = hits.groupBy("source").agg(F.count("*").alias("_hits")).join(counted, "source")  # a row for each source
-    idf: Column = F.greatest(F.ln((F.col("_n") - F.col("_hits") + 0.5) / (F.col("_hits") + 0.5)), F.lit(1e-6))
-    score = F.round(idf * (F.col("tf") * 2.2) / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / (F.col("_c") / F.col("_n")))), 6)
-    scored = hits.join(F.broadcast(stats), "source").withColumn("_score", score)
-    shown = locations.select("scope_id", "node_id", "location_id", "display_path", "modified_unix_ns")
-    filtered = any(x is not None for x in (c.request.scope_id, c.extension, c.since_ns, c.before_ns))
-    if filtered:
-        scored = scored.join(shown, ["scope_id", "node_id", "location_id"]).filter(S.filters(c))
-    w = Window.partitionBy("source").orderBy(F.desc("_score"), "node_id", "location_id", "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= c.per_source)  # cut in each task before they meet
-    if not filtered:
-        best = F.broadcast(best).join(shown, ["scope_id", "node_id", "location_id"])
-    return best.select(*KEY, "display_path", "rank")
+    hits = hits.persist()
+    try:
+        found = {r.source: r.n for r in hits.groupBy("source").agg(F.count("*").alias("n")).collect()}
+        if not found:
+            return []
+        if scope is None:
+            counted = [(r[0], r[2], r[3]) for r in at.notes["search"]["statistics"]]
+        else:
+            inside = at.read("search_documents").join(scope.select(*place).distinct(), place, "left_semi")
+            counted = [tuple(r) for r in inside.groupBy("source").agg(F.count("*"), F.sum("length")).collect()]
+        score = F.lit(None).cast("double")
+        for source, n_hits in found.items():
+            n, characters = (sum(r[i] for r in counted if r[0] == source) for i in (1, 2))
+            idf = F.greatest(F.ln((F.lit(n) - F.lit(n_hits) + 0.5) / (F.lit(n_hits) + 0.5)), F.lit(1e-6))
+            score = F.when(F.col("source") == source, F.round(idf * (F.col("tf") * 2.2) / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(characters / n if n else 1.0))), 6)).otherwise(score)
+        scored = hits.withColumn("_score", score)
+        if any(x is not None for x in (c.request.scope_id, c.extension, c.since_ns, c.before_ns)):
+            shown = locations.select("scope_id", *place, "display_path", "modified_unix_ns")
+            scored = scored.join(shown, ["scope_id", *place]).filter(S.filters(c))
+        w = Window.partitionBy("source").orderBy(F.desc("_score"), *place, "chunk_id")
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= c.per_source)  # cut in each task before they meet
+        return best.select(*KEY, "rank").collect()  # two hundred at most
+    finally:
+        hits.unpersist()
 
 
 def search(request: S.Request, at: Snapshot | Transaction, locations: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Ranked results as of :func:`siltstone.operators.search.search`, from the index. Only the texts of the best candidates, whose nodes are
-    named in the scan's filter, are read, for their snippets."""
+    """Ranked results as of :func:`siltstone.operators.search.search`, from the index. Of the locations and texts only those of the best
+    candidates, whose nodes are named in the scans' filters, are read, for their paths and snippets."""
     c = S.check(request)
-    sources = ["metadata", "content"] if request.source == "all" else [request.source]
-    schema = f"{DOCUMENT}, display_path string, rank int"
-    best = candidates(at, c, sources, locations, scope).collect()  # two hundred at most
-    spark = locations.sparkSession
-    hits = spark.createDataFrame(best, schema)
-    nodes = sorted({r.node_id for r in best if r.source == "content"})
-    if nodes:
-        texts = chunks.filter(F.col("node_id").isin(nodes)).select("scope_id", "node_id", "location_id", F.col("chunk_id").cast("long").alias("chunk_id"), snippet(F.col("text"), c.query).alias("snippet"))
-        texts = texts.withColumn("source", F.lit("content"))
-        hits = hits.join(texts.join(F.broadcast(hits.select(*KEY)), list(KEY), "left_semi"), list(KEY), "left")
+    spark, place = locations.sparkSession, ["scope_id", "node_id", "location_id"]
+    best = candidates(at, c, ["metadata", "content"] if request.source == "all" else [request.source], locations, scope)
+    hits = spark.createDataFrame(best, f"{DOCUMENT}, rank int")
+    among = lambda df, rows: df.filter(F.col("node_id").isin(sorted({r.node_id for r in rows})))
+    hits = F.broadcast(hits).join(among(locations, best).select(*place, "display_path"), place) if best else hits.withColumn("display_path", F.lit(None).cast("string"))
+    with_text = [r for r in best if r.source == "content"]
+    if with_text:
+        texts = among(chunks, with_text).withColumns({"source": F.lit("content"), "chunk_id": F.col("chunk_id").cast("long")}).select(*KEY, "text")
+        keys = spark.createDataFrame([tuple(r)[:5] for r in with_text], DOCUMENT)
+        shown = texts.join(F.broadcast(keys), list(KEY), "left_semi").select(*KEY, snippet(F.col("text"), c.query).alias("snippet"))
+        hits = hits.join(F.broadcast(shown), list(KEY), "left")  # a row for each of the hundred candidates at most
     else:
         hits = hits.withColumn("snippet", F.lit(None).cast("string"))
     return S.fuse(hits.select(*S.HIT, "source", "rank", "snippet"), c.query, c.limit)
