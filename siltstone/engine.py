@@ -171,11 +171,18 @@ class Engine:
     def search(self, request: S.Request) -> DataFrame:
         """Ranked results under the policy that held when the search began: they are read before the revisions are looked
         at again, and if any has changed meanwhile the search fails closed."""
-        bound = self._policy(request.scope_id)
-        found = self._search(request)
-        rows = found.collect()  # fifty at most
+        bound, missing = self._policy(request.scope_id), None
+        try:
+            found = self._search(request)
+            rows = found.collect()  # fifty at most
+        except EngineError:
+            raise
+        except Exception as error:  # a purge meanwhile takes what is being read from disk
+            missing = error
         if self._policy(request.scope_id) != bound:
             raise EngineError("scope_policy_changed")
+        if missing is not None:
+            raise missing
         return self.spark.createDataFrame(rows, found.schema)
 
     def _search(self, request: S.Request) -> DataFrame:
