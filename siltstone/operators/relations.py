@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.functions.paths import explicit_version
-from siltstone.operators.folds import streamed_fold
+from siltstone.operators.graph import _checkpoint
+from siltstone.operators.ranks import carried, ranked, reached
 
 MAX_DUPLICATE_BYTES = 64 * 1024 * 1024
 # Confidences in basis points.
@@ -87,25 +88,34 @@ def eligible_images(images: DataFrame) -> DataFrame:
     return images.filter(F.col("active") & F.col("format").isin("png", "jpeg", "webp") & (F.col("ocr_status") == "completed") & (F.col("ocr_chunk_count") >= 1) & F.col("modified_unix_ns").isNotNull())
 
 
-def review_groups(images: DataFrame, keys: list[str], window: int, at: str = "modified_unix_ns", max_members: int = 20, max_images: int | None = 2000) -> DataFrame:
+def review_groups(images: DataFrame, keys: list[str], window: int, at: str = "modified_unix_ns", max_members: int = 20, max_images: int | None = 2000, max_groups: int | None = 20) -> DataFrame:
     """Members of groups of 2 to max_members images of equal ``keys`` within ``window`` of their first member.
 
     The first image opens a group; one that lies beyond the window, or that would exceed the members, opens the next.
-    Rows: keys, group_start, group_node_id (its first image), group_size, node_id, confidence. More images of one key than max_images are an error.
+    Rows: keys, group_start, group_node_id (its first image), group_size, node_id, confidence. Images are in order of time, then node; null
+    keys are equal to each other. More images of one key than max_images, or more groups than max_groups, are an error.
+
+    Every image points to the first one that its group would leave out. A search by range gives the pointers: with the ends of all windows
+    sorted among the images, what stands before an end is counted by its rank. Where a pointer leads to the very next image, that one opens a
+    group whatever came before; from these the chains of pointers are followed in log rounds.
     """
     if max_images is not None and not images.groupBy(*keys).count().filter(F.col("count") > max_images).limit(1).isEmpty():
         raise EngineError("screenshot_image_limit_exceeded")
-    kinds = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
-
-    def step(state: tuple | None, key: tuple, row: dict) -> tuple[tuple, list[tuple]]:
-        node, t = int(row["node_id"]), int(row[at])
-        if state is None or t - state[1] > window or state[2] >= max_members:
-            state = (key, t, 0, node)
-        return (*state[:2], state[2] + 1, state[3]), [(*key, state[1], state[3], node)]
-
-    dealt = streamed_fold(images.select(*keys, "node_id", at), keys, [at, "node_id"], step, lambda state: [], f"{kinds}, group_start long, group_node_id long, node_id long")
-    sizes = dealt.groupBy(*keys, "group_node_id").agg(F.count("*").alias("group_size"))
-    return dealt.join(sizes.filter(F.col("group_size") > 1), [*keys, "group_node_id"]).select(*keys, "group_start", "group_node_id", F.col("group_size").cast("long").alias("group_size"), "node_id", F.lit(REVIEW_GROUP).alias("confidence_basis_points"))
+    rows = ranked(images.select(*keys, F.col("node_id").cast("long").alias("node_id"), F.col(at).cast("long").alias("_t")), [*keys, "_t", "node_id"])
+    ends = rows.select(*keys, (F.col("_t") + window).alias("_t"), F.lit(1).alias("_end"), "rank")
+    both = ranked(rows.select(*keys, "_t", F.lit(0).alias("_end"), "rank").unionByName(ends).withColumnRenamed("rank", "_image"), [*keys, "_t", "_end", "_image"])
+    # before the end of image i's window stand the ends of i images, and the images up to the first beyond it
+    beyond = both.filter("_end = 1").select(F.col("_image").alias("rank"), (F.col("rank") - F.col("_image")).alias("_beyond"))
+    pointers = _checkpoint(beyond.select("rank", "_beyond", F.least("_beyond", F.col("rank") + max_members).alias("next")))
+    sure = pointers.filter(F.col("_beyond") == F.col("rank") + 1).select(F.col("_beyond").alias("rank")).unionByName(pointers.filter("rank = 0").select("rank"))
+    links = pointers.select("rank", "next").join(sure.select(F.col("rank").alias("next")), "next", "left_anti")
+    first = reached(links, sure).join(pointers, "rank").select("rank", (F.col("next") - F.col("rank")).alias("group_size"))
+    opened = rows.join(first, "rank", "left")
+    group = F.when(F.col("group_size").isNotNull(), F.struct(F.col("_t").alias("group_start"), F.col("node_id").alias("group_node_id"), "group_size"))
+    dealt = carried(opened, group).select(*keys, "carried.group_start", "carried.group_node_id", "carried.group_size", "node_id").filter(F.col("group_size") > 1)
+    if max_groups is not None and first.filter("group_size > 1").limit(max_groups + 1).count() > max_groups:
+        raise EngineError("screenshot_group_limit_exceeded")
+    return dealt.withColumn("confidence_basis_points", F.lit(REVIEW_GROUP))
 
 
 def feedback_changes(events: DataFrame, entity: str = "entity_id") -> DataFrame:

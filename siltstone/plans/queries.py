@@ -475,7 +475,7 @@ SELECT CAST(user_id AS BIGINT) AS user_id, event_type, CAST(group_start AS BIGIN
 )
 def review_groups(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_type", long("event_id", "node_id"), event_ms().alias("modified_unix_ns"))
-    g = relations.review_groups(e, ["user_id", "event_type"], window=43_200_000, max_members=10**9, max_images=None)
+    g = relations.review_groups(e, ["user_id", "event_type"], window=43_200_000, max_members=10**9, max_images=None, max_groups=None)
     return g.select("user_id", "event_type", "group_start", "group_size", "node_id")
 
 

@@ -1,5 +1,7 @@
 """Search, graph, relations, journals, evaluation, manifest and privacy on small fixtures with known numbers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,24 @@ def test_review_groups_anchor_at_their_first(spark):
     same = spark.createDataFrame([(1, i, 7) for i in range(45)], "scope_id long, node_id long, modified_unix_ns long")
     assert sorted({(r.group_node_id, r.group_size) for r in relations.review_groups(same, ["scope_id"], 600).collect()}) == [(0, 20), (20, 20), (40, 5)]
     assert code(lambda: relations.review_groups(same, ["scope_id"], 600, max_images=44)) == "screenshot_image_limit_exceeded"
+    assert code(lambda: relations.review_groups(same, ["scope_id"], 600, max_groups=2)) == "screenshot_group_limit_exceeded"
+
+
+@pytest.mark.parametrize("most", [3, 20])
+def test_review_groups_equal_a_loop(spark, most):
+    """One key with most rows, ties, repeated rows, a null key and long chains without a gap."""
+    rng = random.Random(most)
+    data = [(1, n, rng.randrange(4000)) for n in range(900)] + [(2, n, n * 601) for n in range(40)] + [(None, n, rng.randrange(300)) for n in range(30)] + [(3, 5, 9)] * 4
+    df = spark.createDataFrame(data, "scope_id long, node_id long, modified_unix_ns long")
+    want, group, key = [], [], None
+    for k, n, t in [*sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1])), (None, None, None)]:
+        if group and (t is None or k != key or t - group[0][1] > 60 or len(group) == most):
+            want += [(key, group[0][1], group[0][0], len(group), m) for m, _ in group] if len(group) > 1 else []
+            group = []
+        group, key = [*group, (n, t)], k
+    got = [tuple(r)[:5] for r in relations.review_groups(df, ["scope_id"], 60, max_members=most, max_groups=None).collect()]
+    order = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
 
 
 def test_feedback(spark):
