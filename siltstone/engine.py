@@ -301,6 +301,14 @@ class Engine:
         self.warehouse.append("feedback_events", self.spark.createDataFrame(row, "entity_id long, sequence long, decision string, created_at_unix_ms long"))
         return True
 
+    def record_events(self, events: DataFrame) -> None:
+        """Appends action events (plan_id, sequence, event_kind, ...) and brings the plans' states along, in one commit."""
+        sinks.record(self.warehouse, events)
+
+    def plan_states(self) -> DataFrame:
+        """(plan_id, state, error, events, last_sequence), as they are kept: no event is read."""
+        return self.warehouse.read("action_plan_states")
+
     def inbox(self) -> DataFrame:
         r = self.warehouse.read("file_relations").withColumn("entity_id", F.col("id"))
         state = relations.feedback_state(r, self.warehouse.read("feedback_events"))

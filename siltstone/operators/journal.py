@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.graph import _checkpoint
+
 # Fixed values: (from, event, to).
 TRANSITIONS = (
     ("start", "preview_created", "previewed"),
@@ -45,8 +47,45 @@ def reduce_journal(events: DataFrame, plan: str = "plan_id", block: int = 512) -
     The first event has sequence 1 and is preview_created, sequences are contiguous, transitions are legal. The error of
     the smallest position wins; at one position the order of checks is that of ERRORS.
     """
+    return snapshot(events, plan, block).drop("last_sequence")
+
+
+def snapshot(events: DataFrame, plan: str = "plan_id", block: int = 512) -> DataFrame:
+    """:func:`reduce_journal` with ``last_sequence``, from which :func:`advance` goes on."""
+    e = _numbered(events, plan)
+    return _reduced(e, e.select("_plan").distinct().select("_plan", F.lit(0).alias("_from"), F.lit(0).cast("long").alias("_last"), F.lit(None).cast("string").alias("_error"), F.lit(0).cast("long").alias("_events")), plan, block)
+
+
+def advance(before: DataFrame, new: DataFrame, history: DataFrame, plan: str = "plan_id", block: int = 512) -> DataFrame:
+    """The snapshot of all events from that of the earlier ones and the new ones alone: their functions are composed onto the
+    kept states. Plans without new events stay as they are.
+
+    ``history`` (the earlier events) is read only for plans whose new events don't all come after their last sequence: these
+    are reduced from the start, so that the result is that of a full reduction for any split of the events, in any order.
+    """
+    e, columns = _numbered(new, plan), [plan, "state", "error", "events", "last_sequence"]
+    touched = e.groupBy("_plan").agg(F.min("seq").alias("_lo"))
+    kept = before.select(F.col(plan).alias("_plan"), *columns[1:])
+    number = F.coalesce(*[F.when(F.col("state") == name, i) for i, name in enumerate(STATES)], F.lit(0))
+    placed = _checkpoint(touched.join(kept, "_plan", "left").select("_plan", "_lo", number.alias("_from"), F.coalesce("last_sequence", F.lit(0)).cast("long").alias("_last"), F.col("error").alias("_error"), F.coalesce("events", F.lit(0)).cast("long").alias("_events")))
+    late = (F.col("_lo") <= F.col("_last")) & (F.col("_events") > 0)
+    again = placed.filter(late).select("_plan")
+    out = kept.join(touched, "_plan", "left_anti").withColumnRenamed("_plan", plan)
+    out = out.unionByName(_reduced(e.join(again, "_plan", "left_anti"), placed.filter(~late).drop("_lo"), plan, block))
+    if not again.isEmpty():
+        wanted = again.withColumnRenamed("_plan", plan)
+        both = history.select(plan, "sequence", "event_kind").unionByName(new.select(plan, "sequence", "event_kind"))
+        out = out.unionByName(snapshot(both.join(wanted, plan, "left_semi"), plan, block))
+    return out.select(*columns)
+
+
+def _numbered(events: DataFrame, plan: str) -> DataFrame:
+    return events.select(F.col(plan).alias("_plan"), F.col("sequence").cast("long").alias("seq"), F.col("event_kind").alias("kind"))
+
+
+def _reduced(e: DataFrame, starts: DataFrame, plan: str, block: int) -> DataFrame:
+    """The events (_plan, seq, kind) folded onto the states (_plan, _from, _last, _error, _events) that their plans are in."""
     n = len(STATES)
-    e = events.select(F.col(plan).alias("_plan"), F.col("sequence").cast("long").alias("seq"), F.col("event_kind").alias("kind"))
     # equal sequences stay together; block by number, so a block has at most `block` events unless numbers repeat
     e = e.withColumn("block", F.floor((F.col("seq") - 1) / block))
     # fold one block: for each start state the (state, position of the first illegal event or null, whether it was the initial state)
@@ -69,15 +108,19 @@ def reduce_journal(events: DataFrame, plan: str = "plan_id", block: int = 512) -
     gap = F.array_min(F.filter(F.transform(F.col("evs"), lambda x, i: F.when((i > 0) & (x["seq"] != F.get(F.col("evs"), i - 1)["seq"] + 1), x["seq"])), lambda x: x.isNotNull()))
     blocks = blocks.withColumn("_map", _table()).withColumn("folded", F.aggregate("evs", start, step)).withColumn("gap", gap)
     w = Window.partitionBy("_plan").orderBy("block")
-    # between blocks: the first block starts at 1, each other at its predecessor's end plus one
-    blocks = blocks.withColumn("gap", F.when(F.coalesce(F.lag("hi").over(w), F.lit(0)) + 1 != F.col("lo"), F.col("lo")).otherwise(F.col("gap")))
-    whole = blocks.groupBy("_plan").agg(F.array_sort(F.collect_list(F.struct("block", "folded"))).alias("bs"), F.min("gap").alias("gap"), F.sum("n").alias("events"))
-    first = F.struct(F.lit(0).alias("state"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("error"))
+    # between blocks: each starts at its predecessor's end plus one, the first at the plan's last sequence plus one
+    blocks = blocks.withColumn("before", F.lag("hi").over(w))
+    whole = blocks.groupBy("_plan").agg(
+        F.array_sort(F.collect_list(F.struct("block", "folded"))).alias("bs"), F.min(F.when(F.col("before").isNotNull() & (F.col("before") + 1 != F.col("lo")), F.col("lo")).otherwise(F.col("gap"))).alias("gap"),
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    ).join(starts, "_plan")
+    first = F.struct(F.col("_from").alias("state"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("error"))
     final = F.aggregate("bs", first, lambda acc, b: F.when(acc["error"].isNotNull(), acc).otherwise(F.get(b["folded"], acc["state"])))
-    out = whole.withColumn("r", final)
+    out = whole.withColumn("r", final).withColumn("gap", F.when(F.col("lo") != F.col("_last") + 1, F.col("lo")).otherwise(F.col("gap")))
     error = F.when(F.col("gap").isNotNull() & (F.col("r.at").isNull() | (F.col("gap") <= F.col("r.at"))), ERRORS[0]).otherwise(F.col("r.error"))
+    error = F.coalesce("_error", error)
     state = F.get(F.array(*[F.lit(s) for s in STATES]), F.col("r.state"))
-    return out.select(F.col("_plan").alias(plan), F.when(error.isNull(), state).alias("state"), error.alias("error"), F.col("events").cast("long").alias("events"))
+    return out.select(F.col("_plan").alias(plan), F.when(error.isNull(), state).alias("state"), error.alias("error"), (F.col("n") + F.col("_events")).cast("long").alias("events"), F.col("hi").alias("last_sequence"))
 
 
 def violations(events: DataFrame, plan: str = "plan_id") -> DataFrame:

@@ -35,14 +35,15 @@ def carried(df: DataFrame, value: Column) -> DataFrame:
 
 
 def reached(pointers: DataFrame, starts: DataFrame) -> DataFrame:
-    """The ranks that chains of ``pointers`` (rank, next) reach from ``starts`` (rank), these included. A chain ends at a rank without a pointer.
+    """The ranks that chains of ``pointers`` (rank, next) reach from ``starts`` (rank), these included. A chain ends at a rank without a pointer;
+    chains of different starts must not meet.
 
     Pointer jumping: each round follows all pointers at once and then doubles them, so chains of n steps take log2(n)
     rounds; pointers whose chain ends within the next jump leave the table."""
     jumps, found = _checkpoint(pointers.select("rank", "next")), starts.select("rank")
     while not jumps.isEmpty():
         met = found.join(jumps, "rank").select(F.col("next").alias("rank"))
-        found = _checkpoint(found.unionByName(met).distinct())
+        found = _checkpoint(found.unionByName(met))
         onward = jumps.select(F.col("rank").alias("next"), F.col("next").alias("_beyond"))
         jumps = _checkpoint(jumps.join(onward, "next").select("rank", F.col("_beyond").alias("next")))
     return found

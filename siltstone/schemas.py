@@ -52,6 +52,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "feedback_events": _schema("entity_id:L sequence:L decision:S created_at_unix_ms:L"),
     "screenshot_members": _schema("group_id:L node_id:L size_bytes:L modified_unix_ns:L"),
     "action_journal_events": _schema("plan_id:L sequence:L event_kind:S command_request_id:l created_at_unix_ms:L"),
+    "action_plan_states": _schema("plan_id:L state:s error:s events:L last_sequence:L"),
     "privacy_receipts": _schema("scope_id:L table_name:S purged_rows:L policy_revision:L"),
 }
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators import journal
 from siltstone.schemas import SCHEMAS
 from siltstone.sources.warehouse import Transaction, Warehouse
 
@@ -40,3 +41,13 @@ def applied(locations: DataFrame, found: DataFrame, keys: list[str], values: lis
         differs = differs | ~F.col(v).eqNullSafe(F.col(f"_f_{v}"))
     new = {v: F.when(hit, F.col(f"_f_{v}")).otherwise(F.col(v)) for v in values} | {"action": F.when(hit & differs, "update").otherwise(F.col("action"))}
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in locations.columns])
+
+
+def record(warehouse: Warehouse, events: DataFrame) -> None:
+    """Appends journal events (plan_id, sequence, event_kind; further columns null if absent) and brings the plans' kept states along,
+    in one commit: the new events are read, the earlier ones only of plans whose events come out of order."""
+    with warehouse.transaction() as t:
+        history, before = t.read("action_journal_events"), t.read("action_plan_states")
+        new = events.select(*[(F.col(f.name) if f.name in events.columns else F.lit(0 if not f.nullable else None)).cast(f.dataType).alias(f.name) for f in SCHEMAS["action_journal_events"].fields])
+        t.replace("action_plan_states", journal.advance(before, new, history))
+        t.append("action_journal_events", new)

@@ -200,6 +200,24 @@ def test_inbox_and_targets(spark):
 FULL = ["preview_created", "execute_requested", "direct_rename_intent", "execution_completed", "undo_requested", "undo_rename_intent", "undo_completed"]
 
 
+def test_journal_advances_by_any_split(spark):
+    """Random journals with gaps, repeats and illegal kinds, dealt over batches in order and out of order."""
+    rng, kinds = random.Random(5), [k for _, k, _ in journal.TRANSITIONS]
+    data = []
+    for plan in range(40):
+        log = [*(FULL * 2)[: rng.randrange(1, 9)], *rng.choices(kinds, k=rng.choice([0, 0, 3]))]
+        steps = [i + 1 + (rng.random() < 0.05) for i in range(len(log))]
+        data += [(plan, n, k, rng.randrange(3) if plan % 3 == 0 else 0 if n < 4 else 1 + (n > 6)) for n, k in zip(steps, log, strict=True)]
+    df = spark.createDataFrame(data, "plan_id long, sequence long, event_kind string, batch int")
+    kept = spark.createDataFrame([], schemas.SCHEMAS["action_plan_states"])
+    for n in range(3):
+        kept = spark.createDataFrame(journal.advance(kept, df.filter(F.col("batch") == n), df.filter(F.col("batch") < n), block=3).collect(), schemas.SCHEMAS["action_plan_states"])
+    columns = ("plan_id", "state", "error", "events", "last_sequence")
+    assert {tuple(r) for r in kept.select(*columns).collect()} == {tuple(r) for r in journal.snapshot(df, block=3).select(*columns).collect()}
+    ordered = journal.advance(kept.filter("plan_id < 0"), df, spark.createDataFrame([], df.schema).select(F.raise_error(F.lit("read")).alias("plan_id"), "sequence", "event_kind"))
+    assert ordered.count() == 40  # in order, no history is read
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_journal_states(spark, block):
     logs = {
