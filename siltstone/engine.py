@@ -53,13 +53,47 @@ class Engine:
             t.append("scope_access_grants", grant.withColumn("opaque_grant", F.lit(None).cast("binary")))
         return scope
 
-    def scan(self, scope_id: int) -> DataFrame:
-        """Lists a scope and publishes its manifest. Returns the counts of each action."""
+    def scan(self, scope_id: int, rounds: int | None = None) -> DataFrame:
+        """Lists a scope and publishes its manifest. Returns the counts of each action; an empty table if the scan stopped after the
+        given number of rounds.
+
+        A round lists what the round before found, and its entries are one commit. A scan that ended after any round, by that
+        number or because its job died, is taken up there by the next call: no folder is listed twice."""
         root = self.warehouse.read("authorized_scopes").filter(F.col("id") == scope_id).select("path_key").head()
         if root is None:
             raise EngineError("search_scope_invalid")
         denied = self.warehouse.read("scope_exclusions").filter((F.col("scope_id") == scope_id) & (F.col("kind") == "path")).select("path_key").collect()  # 64 at most
-        entries = listing.listing(self.spark, root[0], frozenset(r[0] for r in denied)).withColumn("scope_id", F.lit(scope_id).cast("long"))
+        denied, name, n = frozenset(r[0] for r in denied), f"scan_entries_{scope_id}", 0
+        while (at := self.warehouse.snapshot().notes.get(name) or listing.UNSTARTED)["open"]:
+            if n == rounds:
+                return self.spark.createDataFrame([], "action string, count long")
+            with self.warehouse.transaction() as t:
+                if at["round"]:
+                    folders = t.read(name).filter((F.col("round") == at["round"] - 1) & (F.col("kind") == "folder"))
+                    found = listing.listed(folders, root[0], denied)
+                else:
+                    found = listing.top(self.spark, root[0], denied)
+                t.append(name, found.withColumn("round", F.lit(at["round"])))
+                last = t.read(name).filter((F.col("round") == at["round"]) & (F.col("kind") == "folder")).isEmpty()
+                t.note(name, {"round": at["round"] + 1, "open": not last})
+            n += 1
+        return self._publish_scan(scope_id, name, denied)
+
+    def scan_queue(self, scope_id: int) -> DataFrame:
+        """(scan_id, path_key, state) of the folders that a scan under way has met: done, or pending for its next round."""
+        state, name = self.warehouse.snapshot(), f"scan_entries_{scope_id}"
+        if not state.version(name):
+            return empty(self.spark, "scan_id long, path_key string, state string")
+        done = F.col("round") < state.notes[name]["round"] - 1
+        return state.read(name).filter("kind = 'folder'").select(F.lit(scope_id).cast("long").alias("scan_id"), "path_key", F.when(done, "done").otherwise("pending").alias("state"))
+
+    def _publish_scan(self, scope_id: int, name: str, denied: frozenset[str]) -> DataFrame:
+        """The manifest after a scan that has met its last folder; its entries go."""
+        entries = self.warehouse.read(name).drop("raw", "round").withColumn("scope_id", F.lit(scope_id).cast("long"))
+        gone = F.lit(False)
+        for path in denied:  # what was excluded while the scan was under way; 64 at most
+            gone = gone | (F.col("path_key") == path) | F.startswith("path_key", F.lit(path + "/"))
+        entries = entries.filter(~gone)
         seen = entries.filter(F.col("issue_code").isNull() & ~F.col("skipped"))
         seen = seen.withColumns({"node_id": _id("identity_key"), "id": _id("scope_id", "path_key"), "parent": F.regexp_extract("path_key", "^(.*)/[^/]*$", 1)})
         values = ["id", "node_id", "display_path", "kind", "size_bytes", "modified_unix_ns", "link_count"]
@@ -75,7 +109,10 @@ class Engine:
             t.replace("edges", t.read("edges").filter(F.col("scope_id") != scope_id).unionByName(links))
             t.append("scan_issues", issues)
             t.replace("scan_requests", t.read("scan_requests").filter(F.col("scope_id") != scope_id))
+            t.drop(name)
+            t.note(name, listing.UNSTARTED)
             self._index(t)
+        self.warehouse.vacuum(name, keep=0)
         return self.manifest().filter(F.col("scope_id") == scope_id).groupBy("action").count()
 
     def _index(self, t: Transaction) -> None:
@@ -232,7 +269,7 @@ class Engine:
         with self.warehouse.transaction() as t:
             t.append("scope_exclusions", excluded)
             receipts = self._purge(t, scope_id, privacy.excluded_locations(t.read("manifest"), excluded), expected_revision)
-        self.warehouse.forget(*PURGED)
+        self.warehouse.forget(*PURGED, f"scan_entries_{scope_id}")
         return receipts
 
     def revoke(self, scope_id: int, expected_revision: int) -> DataFrame:
@@ -241,7 +278,7 @@ class Engine:
             grants = t.read("scope_access_grants").withColumn("state", F.when(F.col("scope_id") == scope_id, "revoked").otherwise(F.col("state")))
             t.replace("scope_access_grants", grants)
             receipts = self._purge(t, scope_id, t.read("manifest").filter(F.col("scope_id") == scope_id), expected_revision)
-        self.warehouse.forget(*PURGED)
+        self.warehouse.forget(*PURGED, f"scan_entries_{scope_id}")
         return receipts
 
     def _purge(self, t: Transaction, scope_id: int, gone: DataFrame, expected_revision: int) -> DataFrame:
@@ -262,6 +299,9 @@ class Engine:
         t.replace("manifest", places.join(gone.select("scope_id", "id"), ["scope_id", "id"], "left_anti"), check=False)
         receipts = self.spark.createDataFrame([(scope_id, name, n, expected_revision + 1) for name, n in sorted(counts.items())], SCHEMAS["privacy_receipts"])
         t.append("privacy_receipts", receipts)
+        if t.version(f"scan_entries_{scope_id}"):  # a scan under way starts anew
+            t.drop(f"scan_entries_{scope_id}")
+            t.note(f"scan_entries_{scope_id}", listing.UNSTARTED)
         self._index(t)
         if t.parts("search_postings"):
             search_index.compact(t)  # no posting of what went stays behind a tombstone

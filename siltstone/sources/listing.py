@@ -1,8 +1,8 @@
-"""Filesystem listing: a driver walk of authorized roots into staged observations and issues.
+"""Filesystem listing: authorized roots are traversed in rounds by the executors into observations and issues.
 
-A walk is the one thing that Spark's readers can't do here: they drop hidden files silently and give no identities. The
-rules are ordered and the first match wins. For trees too large to walk on one machine, :func:`listing_by_spark` lists
-path, size and time by the distributed ``binaryFile`` reader instead.
+Spark's readers drop hidden files silently and give no identities, so each round lists the folders that the round before
+found and looks at their entries in tasks. The rules are ordered and the first match wins. On stores without identities,
+:func:`listing_by_spark` lists path, size and time by the distributed ``binaryFile`` reader instead.
 """
 
 from __future__ import annotations
@@ -11,18 +11,24 @@ import os
 import stat
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
+from siltstone.operators.graph import _checkpoint
 
 # Roots that are never authorized, and trees below which nothing is.
 PROTECTED_ROOTS = ("/", "/home", "/Users", "/root", "/opt", "/usr", "/var", "/tmp")
 PROTECTED_TREES = ("/bin", "/boot", "/dev", "/etc", "/lib", "/lib64", "/proc", "/run", "/sbin", "/sys", "/System", "/Library")
 ENTRY = "path_key string, display_path string, name string, kind string, identity_key binary, size_bytes long, modified_unix_ns long, link_count long, issue_code string, skipped boolean"
+#: Where a scan stands: the next round, and whether there is any.
+UNSTARTED = {"round": 0, "open": True}
 
 
 def under(child: str, root: str) -> bool:
@@ -39,49 +45,112 @@ def identity(st: os.stat_result) -> bytes:
     return struct.pack("<BQQ", 1, st.st_dev & (2**64 - 1), st.st_ino & (2**64 - 1))
 
 
-def walk(root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> Iterator[tuple]:
-    """Entries of a tree in path order, folders before their content; symbolic links are reported and not followed."""
-    base = os.path.realpath(root)
-    queue = [root]
-    while queue:
-        path = queue.pop()
-        key, name = unicodedata.normalize("NFC", path), os.path.basename(path)
-        row = lambda kind=None, st=None, issue=None, skipped=False: (key, path, name, kind, identity(st) if st else None, st.st_size if st and kind == "file" else None, st.st_mtime_ns if st else None, st.st_nlink if st else None, issue, skipped)  # noqa: E731, B023
-        if any(under(key, x) for x in excluded_paths):
-            yield row(skipped=True)
-            continue
-        if name.lower().endswith((".part", ".crdownload", ".download")):
-            yield row(issue="temporary_download_excluded", skipped=True)
-            continue
-        try:
-            st = os.lstat(path)
-        except OSError:
-            yield row(issue="metadata_unavailable", skipped=True)
-            continue
-        if name.startswith(".") and path != root:
-            yield row(issue="hidden_entry_excluded", skipped=True)
-        elif stat.S_ISLNK(st.st_mode):
-            yield row(issue="symlink_not_followed", skipped=True)
-        else:
+def entry(raw: bytes, root: str, base: str, excluded_paths: frozenset[str], excluded_identities: frozenset[bytes]) -> tuple:
+    """The row of one path below a root whose real path is ``base``; symbolic links are reported and not followed."""
+    path = os.fsdecode(raw)
+    shown = path.encode("utf-8", "replace").decode()
+    key, name = unicodedata.normalize("NFC", shown), os.path.basename(shown)
+
+    def row(kind: str | None = None, st: os.stat_result | None = None, issue: str | None = None, skipped: bool = False) -> tuple:
+        facts = (identity(st), st.st_size if kind == "file" else None, st.st_mtime_ns, st.st_nlink) if st else (None,) * 4
+        return (key, shown, name, kind, *facts, issue, skipped)
+
+    if any(under(key, x) for x in excluded_paths):
+        return row(skipped=True)
+    if name.lower().endswith((".part", ".crdownload", ".download")):
+        return row(issue="temporary_download_excluded", skipped=True)
+    try:
+        st = os.lstat(path)
+    except OSError:
+        return row(issue="metadata_unavailable", skipped=True)
+    if name.startswith(".") and path != root:
+        return row(issue="hidden_entry_excluded", skipped=True)
+    if stat.S_ISLNK(st.st_mode):
+        return row(issue="symlink_not_followed", skipped=True)
+    try:
+        real = os.path.realpath(path, strict=True)
+    except OSError:
+        return row(issue="canonicalization_failed", skipped=True)
+    if not under(real, base):
+        return row(issue="scope_escape_denied", skipped=True)
+    if any(under(unicodedata.normalize("NFC", real), x) for x in excluded_paths) or identity(st) in excluded_identities:
+        return row(skipped=True)
+    if stat.S_ISDIR(st.st_mode):
+        return row("folder", st)
+    return row("file", st) if stat.S_ISREG(st.st_mode) else row(issue="unsupported_entry_type", skipped=True)
+
+
+def names(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(path, None) of a folder's entries; (the folder's path, code) where it can't be read, or not to its end."""
+    try:
+        found = os.scandir(raw)
+    except OSError:
+        yield raw, "directory_read_denied"
+        return
+    with found:
+        while True:
             try:
-                real = os.path.realpath(path, strict=True)
+                e = next(found, None)
             except OSError:
-                yield row(issue="canonicalization_failed", skipped=True)
-                continue
-            if not under(real, base):
-                yield row(issue="scope_escape_denied", skipped=True)
-            elif any(under(unicodedata.normalize("NFC", real), x) for x in excluded_paths) or identity(st) in excluded_identities:
-                yield row(skipped=True)
-            elif stat.S_ISDIR(st.st_mode):
-                yield row("folder", st)
-                try:
-                    queue += sorted((e.path for e in os.scandir(path)), key=lambda p: unicodedata.normalize("NFC", p), reverse=True)
-                except OSError:
-                    yield row(issue="directory_read_denied", skipped=True)
-            elif stat.S_ISREG(st.st_mode):
-                yield row("file", st)
-            else:
-                yield row(issue="unsupported_entry_type", skipped=True)
+                yield raw, "directory_entry_unavailable"
+                return
+            if e is None:
+                return
+            yield e.path, None
+
+
+def listed(folders: DataFrame, root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> DataFrame:
+    """One round of a traversal: the entries (ENTRY and raw) of the ``folders`` (raw), listed and looked at by the executors.
+
+    Names come first and are dealt over the tasks before each is looked at, so a folder with most of all entries does not
+    occupy one task longer than its names take to read. The tree must be reachable from every executor."""
+    base, places = os.path.realpath(root), pa.schema([("raw", pa.binary()), ("issue", pa.string())])
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                found = names(raw)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), places, strict=True)], schema=places)
+
+    dealt = folders.select("raw").repartition("raw").mapInArrow(read, "raw binary, issue string").repartition("raw")
+    return looked_at(dealt, root, base, excluded_paths, excluded_identities)
+
+
+def looked_at(paths: DataFrame, root: str, base: str, excluded_paths: frozenset[str], excluded_identities: frozenset[bytes]) -> DataFrame:
+    """The entries of paths (raw, issue); a path with an issue is only reported."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in f"{ENTRY}, raw binary".split(", "))])
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, issue in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if issue is None:
+                    rows.append((*entry(raw, root, base, excluded_paths, excluded_identities), raw))
+                else:
+                    shown = os.fsdecode(raw).encode("utf-8", "replace").decode()
+                    rows.append((unicodedata.normalize("NFC", shown), shown, os.path.basename(shown), None, None, None, None, None, issue, True, raw))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return paths.select("raw", "issue").mapInArrow(look, f"{ENTRY}, raw binary")
+
+
+def top(spark: SparkSession, root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> DataFrame:
+    """The root's own entry, from which the rounds of :func:`listed` start."""
+    paths = spark.createDataFrame([(bytearray(os.fsencode(root)), None)], "raw binary, issue string")
+    return looked_at(paths, root, os.path.realpath(root), excluded_paths, excluded_identities)
+
+
+def listing(spark: SparkSession, root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> DataFrame:
+    """One row for each entry met, in path order: what was observed, or why it was not. A round for each level; what a round
+    found is checkpointed and nothing of the tree passes through the driver."""
+    found = _checkpoint(top(spark, root, excluded_paths, excluded_identities))
+    rounds = [found]
+    while not (folders := found.filter("kind = 'folder'")).isEmpty():
+        found = _checkpoint(listed(folders, root, excluded_paths, excluded_identities))
+        rounds.append(found)
+    return reduce(DataFrame.unionByName, rounds).drop("raw").orderBy("path_key")
 
 
 def look(path: str) -> tuple[int, int, int, bytes] | None:
@@ -93,11 +162,6 @@ def look(path: str) -> tuple[int, int, int, bytes] | None:
     return (st.st_size, st.st_mtime_ns, st.st_nlink, identity(st)) if stat.S_ISREG(st.st_mode) else None
 
 
-def listing(spark: SparkSession, root: str, excluded_paths: frozenset[str] = frozenset(), excluded_identities: frozenset[bytes] = frozenset()) -> DataFrame:
-    """One row for each entry met: what was observed, or why it was not."""
-    return spark.createDataFrame(list(walk(root, excluded_paths, excluded_identities)), ENTRY)
-
-
 def listing_by_spark(spark: SparkSession, root: str) -> DataFrame:
     """path, size and time (ms) of the files below a root, listed by executors; the content column is pruned away."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -9,7 +9,7 @@ from siltstone.engine import Engine
 from siltstone.errors import EngineError
 from siltstone.operators import actions
 from siltstone.operators.search import Request
-from siltstone.sources import recognition
+from siltstone.sources import listing, recognition
 from siltstone.sources.warehouse import Warehouse
 from siltstone.streaming import watch
 
@@ -47,6 +47,62 @@ def test_demo(demo):
     assert {(r.status, r.error_code) for r in e.extracted().collect()} == {("completed", None), ("failed", "extraction_invalid_utf8")}
 
 
+def test_scan_resumes_after_any_round(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name in ("a/b/c/deep.txt", "a/one.txt", "z/two.txt", "three.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    paths = lambda e: {os.path.relpath(r.path_key, root) for r in e.present().filter("kind = 'file'").collect()}
+    want = {"a/b/c/deep.txt", "a/one.txt", "z/two.txt", "three.txt"}
+    for stop in (1, 3, 4):
+        e = Engine(spark, f"file://{tmp_path}/w{stop}")
+        scope = e.add_scope(str(root))
+        assert e.scan(scope, rounds=stop).isEmpty() and paths(e) == set()
+        states = {os.path.relpath(r.path_key, root): r.state for r in e.scan_queue(scope).collect()}
+        assert [states[p] for p in (".", "a", "a/b", "a/b/c")[:stop]] == ["done"] * (stop - 1) + ["pending"] and "a/b/c/d" not in states
+        late = root / f"late-{stop}.txt"
+        late.write_text("x")  # the root is not listed again unless its round is still to come
+        assert {r.action: r["count"] for r in e.scan(scope).collect()} == {"insert": 10 if stop == 1 else 9}
+        assert paths(e) == want | ({late.name} if stop == 1 else set()) and e.scan_queue(scope).isEmpty()
+        e.scan(scope)
+        assert paths(e) == want | {late.name}
+        assert not os.path.exists(tmp_path / f"w{stop}" / f"scan_entries_{scope}") or not os.listdir(tmp_path / f"w{stop}" / f"scan_entries_{scope}")
+        late.unlink()
+    # a job that dies within a round leaves the rounds before it
+    e = Engine(spark, f"file://{tmp_path}/w9")
+    scope = e.add_scope(str(root))
+    e.scan(scope, rounds=2)
+    with pytest.raises(RuntimeError), e.warehouse.transaction() as t:
+        t.append(f"scan_entries_{scope}", t.read(f"scan_entries_{scope}"))
+        raise RuntimeError
+    e.scan(scope)
+    assert paths(e) == want
+
+
+def test_listing_reports_what_it_cannot_read(monkeypatch, tmp_path):
+    class Broken:
+        def __init__(self, found):
+            self.found = found
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+        def __next__(self):
+            if not self.found:
+                raise OSError
+            return self.found.pop()
+
+    (tmp_path / "x").write_text("x")
+    raw = os.fsencode(tmp_path)
+    assert list(listing.names(raw + b"/none")) == [(raw + b"/none", "directory_read_denied")]
+    first = next(os.scandir(raw))
+    monkeypatch.setattr(listing.os, "scandir", lambda path: Broken([first]))
+    assert list(listing.names(raw)) == [(raw + b"/x", None), (raw, "directory_entry_unavailable")]
+
+
 def test_folder_scope(demo):
     e, scope, root = demo
     notes = e.folders().filter(F.endswith("display_path", F.lit("/notes"))).head()
