@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.functions.paths import filename
-from siltstone.operators import actions, graph, manifest, privacy, relations, search_index
+from siltstone.operators import actions, equality, graph, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.schemas import SCHEMAS
 from siltstone.sources import content, listing
@@ -246,17 +246,6 @@ class Engine:
         children = edges.join(self._nodes(), F.col("source_node_id") == F.col("node_id")).select(F.col("target_node_id").alias("folder_node_id"), "name")
         return graph.project_confidence(graph.markers(children))
 
-    def _contents(self) -> DataFrame:
-        """(scope_id, node_id, content) of files that share their size with another: others are no duplicates."""
-        files = self.present().filter("kind = 'file'")
-        sizes = files.groupBy("scope_id", "size_bytes").agg(F.count_distinct("node_id").alias("n")).filter("n > 1 and size_bytes between 1 and 67108864")
-        wanted = files.join(sizes, ["scope_id", "size_bytes"], "left_semi").select("scope_id", "node_id", F.col("display_path").alias("path"))
-        data = None
-        for r in self.warehouse.read("authorized_scopes").select("path_key").collect():
-            part = content.read_files(self.spark, r[0])
-            data = part if data is None else data.unionByName(part)
-        return data.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(wanted, "path").select("scope_id", "node_id", "content")
-
     def exclude(self, scope_id: int, path: str, expected_revision: int) -> DataFrame:
         """Excludes a path of a scope: what lies below leaves the manifest, the edges and the extracted text, the scope's
         policy moves to its next revision, and receipts say how many rows of each table went. Returns the receipts."""
@@ -312,8 +301,13 @@ class Engine:
         files = self.present().filter("kind = 'file'").select("scope_id", "node_id", "size_bytes").distinct()
         return files.withColumn("code", relations.source_code(F.col("size_bytes")))
 
+    def duplicate_verdicts(self) -> DataFrame:
+        """Every present file, and the stage of the comparison at which it left, or why it could not be compared."""
+        files = self.present().filter("kind = 'file'").select("scope_id", "node_id", F.col("display_path").alias("path"), "size_bytes")
+        return equality.verdicts(files, equality.by_path(), relations.MAX_DUPLICATE_BYTES)
+
     def duplicates(self) -> DataFrame:
-        return relations.exact_duplicates(self._contents())
+        return equality.duplicates(self.duplicate_verdicts())
 
     def versions(self) -> DataFrame:
         return relations.version_pairs(self.present().filter("kind = 'file'").select("scope_id", "node_id", filename(F.col("path_key")).alias("file_name")))

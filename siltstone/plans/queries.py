@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.functions import text as X
-from siltstone.operators import actions, evaluation, graph, journal, manifest, privacy, relations, search_index
+from siltstone.operators import actions, equality, evaluation, graph, journal, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.session import table
 from siltstone.sources import content, listing
@@ -423,6 +423,18 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return relations.exact_duplicates(docs)
 
 
+@query(
+    """WITH d AS (SELECT doc_id, text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS same_size, count(*) OVER (PARTITION BY size_bytes, substr(h, 1, 8192), right(h, 8192)) AS same_ends, count(*) OVER (PARTITION BY h) AS same, min(doc_id) OVER (PARTITION BY h) AS least FROM d)
+SELECT doc_id AS node_id, size_bytes, CASE WHEN size_bytes = 0 THEN NULL WHEN same_size = 1 THEN 'size' WHEN same_ends = 1 THEN 'ends' WHEN same = 1 THEN 'content' ELSE 'duplicate' END AS stage,
+  CASE WHEN size_bytes > 0 AND same > 1 THEN least END AS left_node_id, CASE WHEN size_bytes > 0 AND same > 1 THEN same END AS members, CASE WHEN size_bytes = 0 THEN 'file_relation_source_empty' END AS issue FROM c"""
+)
+def duplicate_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document leaves the comparison of bytes in stages, or whose copy it is."""
+    docs = table(spark, d, "documents").select(F.lit(1).cast("long").alias("scope_id"), long("doc_id", "node_id"), F.octet_length("text").alias("size_bytes"), F.col("text").alias("content"))
+    return equality.verdicts(docs, equality.by_content()).drop("scope_id")
+
+
 @query(
     """WITH n AS (SELECT s_suppkey, s_nationkey % 3 AS scope_id, 'report-' || CAST(s_nationkey AS VARCHAR) AS base, CAST(s_suppkey * 7 % 23 AS INTEGER) AS v FROM supplier WHERE s_suppkey * 7 % 23 > 0),
 s AS (SELECT scope_id, base, v, min(s_suppkey) AS node FROM n GROUP BY ALL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.errors import EngineError
-from siltstone.operators import evaluation, graph, journal, manifest, privacy, relations
+from siltstone.operators import equality, evaluation, graph, journal, manifest, privacy, relations
 from siltstone.operators import search as S
 
 
@@ -139,6 +139,31 @@ def test_duplicates_form_stars(spark):
     assert rows(relations.exact_duplicates(f), "left_node_id", "right_node_id", "members") == [(3, 5, 3), (3, 9, 3)]
 
 
+def test_equality_in_stages_of_files(spark, tmp_path):
+    """Files that differ in size, ends, middle, not at all; one that has gone, one that has grown, one beyond the bound."""
+    big = bytes(range(256)) * 800
+    middle = big[:100_000] + b"x" + big[100_001:]
+    texts = {1: b"a", 2: b"bb", 3: b"cc", 4: big, 5: middle, 6: big, 7: big, 8: b"", 9: b"dd", 10: b"grown", 11: b"other", 12: b"y" * 300_000, 13: None, 14: b"bb"}
+    data = []
+    for n, text in texts.items():
+        (tmp_path / str(n)).write_bytes(text if text is not None else b"")
+        data.append((1, n, str(tmp_path / str(n)), 2 if text is None else len(text)))
+    (tmp_path / "13").unlink()
+    (tmp_path / "10").write_bytes(b"grown more")
+    df = spark.createDataFrame([*data, data[0]], "scope_id long, node_id long, path string, size_bytes long")
+    got = {r.node_id: (r.stage or r.issue.rpartition("_")[2], r.left_node_id, r.members) for r in equality.verdicts(df, equality.by_path(), most=250_000).collect()}
+    alone = lambda x: (x, None, None)
+    assert got == {
+        1: alone("size"), 2: ("duplicate", 2, 2), 3: alone("ends"), 4: ("duplicate", 4, 3), 5: alone("content"), 6: ("duplicate", 4, 3), 7: ("duplicate", 4, 3), 8: alone("empty"), 9: alone("ends"),
+        10: alone("changed"), 11: alone("ends"), 12: alone("large"), 13: alone("unavailable"), 14: ("duplicate", 2, 2),
+    }
+    same = spark.createDataFrame([(1, n, 2, t) for n, t in enumerate(("aa", "bb", "aa", "cc", "bb"))], "scope_id long, node_id long, size_bytes long, content string")
+    weak = equality.by_content() | {s: lambda d: d.withColumns({"mark": F.lit("same"), "issue": F.lit(None).cast("string")}) for s in ("ends", "content")}
+    got = {r.node_id: (r.stage, r.left_node_id) for r in equality.verdicts(same, weak).collect()}  # digests that all agree: bytes decide
+    assert got == {0: ("duplicate", 0), 2: ("duplicate", 0), 1: ("duplicate", 1), 4: ("duplicate", 1), 3: ("bytes", None)}
+    assert equality.verdicts(same.limit(0), equality.by_content()).count() == 0
+
+
 def test_duplicate_codes_in_order(spark):
     d = spark.createDataFrame([(True, 0, 0, True), (False, 0, 0, True), (False, 2**27, 1, False), (False, 2, 3, False), (False, 2, 2, False), (False, 2, 2, True)], "same boolean, l long, r long, bytes boolean")
     got = [r.c for r in d.select(relations.duplicate_code(F.col("same"), F.col("l"), F.col("r"), F.col("bytes")).alias("c")).collect()]
