@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.functions.paths import filename
-from siltstone.operators import actions, equality, graph, manifest, privacy, relations, search_index
+from siltstone.operators import actions, closure, equality, graph, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.schemas import SCHEMAS
 from siltstone.sources import content, listing
@@ -23,7 +23,7 @@ from siltstone.streaming import sinks, source, watch
 
 EXTRACTED = f"{content.EXTRACTED}, scope_id long, node_id long, location_id long, modified_unix_ns long"
 #: Tables that hold what a purge takes away.
-PURGED = ("manifest", "edges", "file_relations", "extracted", *search_index.TABLES)
+PURGED = ("manifest", "edges", "edge_closure", "file_relations", "extracted", *search_index.TABLES)
 
 
 def _id(*parts: str) -> F.Column:
@@ -106,7 +106,9 @@ class Engine:
             out = manifest.publish(seen.select("scope_id", "path_key", *values), mine.select("scope_id", "path_key", *values, "present"), ["scope_id", "path_key"], values)
             others = current.filter(F.col("scope_id") != scope_id) if current is not None else None
             t.replace("manifest", out if others is None else out.unionByName(others), check=False)
-            t.replace("edges", t.read("edges").filter(F.col("scope_id") != scope_id).unionByName(links))
+            edges = t.read("edges")
+            t.replace("edges", edges.filter(F.col("scope_id") != scope_id).unionByName(links))
+            t.replace("edge_closure", closure.moved(t.read("edge_closure"), edges, t.read("edges")))
             t.append("scan_issues", issues)
             t.replace("scan_requests", t.read("scan_requests").filter(F.col("scope_id") != scope_id))
             t.drop(name)
@@ -238,7 +240,8 @@ class Engine:
         return self.present().select("node_id", "kind", filename(F.col("path_key")).alias("name"), "size_bytes", "modified_unix_ns").dropDuplicates(["node_id"])
 
     def folder_profile(self, node_id: int) -> DataFrame:
-        return graph.folder_profile(self.warehouse.read("edges"), self._nodes(), node_id)
+        at = self.warehouse.snapshot()
+        return graph.folder_profile(at.read("edges"), self._nodes(), node_id, closure=at.read("edge_closure"))
 
     def projects(self) -> DataFrame:
         """Project suggestions of all folders, by the markers among their direct children."""
@@ -276,7 +279,8 @@ class Engine:
         raised = privacy.next_revision(scopes, scope_id, expected_revision).drop("scope_id")
         places = t.read("manifest")
         nodes = privacy.closure(gone, places)
-        tables = {"edges": t.read("edges"), "file_relations": t.read("file_relations")}
+        edges = t.read("edges")
+        tables = {"edges": edges, "file_relations": t.read("file_relations")}
         counts = {"locations": gone.count(), **{r.table_name: r.purged_rows for r in privacy.impact(tables, nodes).collect()}}
         t.replace("authorized_scopes", raised)
         if t.version("extracted"):
@@ -285,6 +289,7 @@ class Engine:
             t.replace("extracted", text.join(here, ["scope_id", "location_id"], "left_anti").repartitionByRange("node_id").sortWithinPartitions("node_id", "ordinal"), check=False)
         for name, kept in privacy.purge(tables, nodes).items():
             t.replace(name, kept)
+        t.replace("edge_closure", closure.moved(t.read("edge_closure"), edges, t.read("edges")))
         t.replace("manifest", places.join(gone.select("scope_id", "id"), ["scope_id", "id"], "left_anti"), check=False)
         receipts = self.spark.createDataFrame([(scope_id, name, n, expected_revision + 1) for name, n in sorted(counts.items())], SCHEMAS["privacy_receipts"])
         t.append("privacy_receipts", receipts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
@@ -25,13 +25,20 @@ MARKERS = (
 )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the session names, or in a temporary one where a local session names none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for cut lineages, or a temporary one where a local session names none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         context.setCheckpointDir(f"{tempfile.gettempdir()}/siltstone-{uuid.uuid4().hex}")
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -68,14 +75,18 @@ def direct_children(edges: DataFrame, folder_node_id: int) -> DataFrame:
     return edges.filter(F.col("active") & (F.col("target_node_id") == folder_node_id)).select(F.col("source_node_id").alias("node_id")).distinct()
 
 
-def folder_profile(edges: DataFrame, nodes: DataFrame, folder_node_id: int, bound: int = MAX_PROFILE_ENTRIES) -> DataFrame:
-    """One row: direct and descendant counts (the folder itself excluded), bytes, newest time, files per category.
+def folder_profile(edges: DataFrame, nodes: DataFrame, folder_node_id: int, bound: int = MAX_PROFILE_ENTRIES, closure: DataFrame | None = None) -> DataFrame:
+    """One row: direct and descendant counts (the folder itself excluded), bytes, newest time, files per category. With the
+    kept closure of the edges what lies below is a filter, else a loop over levels.
 
     ``nodes``: node_id, kind, name, size_bytes, modified_unix_ns. More entries than the bound are an error, never a
     partial answer.
     """
-    root = nodes.sparkSession.createDataFrame([(folder_node_id,)], "node_id long")
-    below = descendants(edges, root).filter((F.col("depth") > 0) & (F.col("node_id") != folder_node_id)).select("node_id")
+    if closure is None:
+        below = descendants(edges, nodes.sparkSession.createDataFrame([(folder_node_id,)], "node_id long")).filter("depth > 0")
+    else:
+        below = closure.filter(F.col("ancestor_node_id") == folder_node_id)
+    below = below.filter(F.col("node_id") != folder_node_id).select("node_id").distinct()
     if below.limit(bound + 1).count() > bound:
         raise EngineError("folder_profile_entry_limit_exceeded")
     direct = direct_children(edges, folder_node_id).withColumn("direct", F.lit(True))

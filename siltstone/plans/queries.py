@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone import schemas
 from siltstone.functions import paths as P
 from siltstone.functions import text as X
-from siltstone.operators import actions, equality, evaluation, graph, journal, manifest, privacy, relations, search_index
+from siltstone.operators import actions, closure, equality, evaluation, graph, journal, manifest, privacy, relations, search_index
 from siltstone.operators import search as S
 from siltstone.session import table
 from siltstone.sources import content, listing
@@ -348,6 +349,26 @@ def subtree_cycle(spark: SparkSession, d: str) -> DataFrame:
     return graph.descendants(edges, spark.createDataFrame([(0,)], "node_id long")).select("node_id")
 
 
+@query(
+    "WITH RECURSIVE" + TREE_SQL + """, moved AS (SELECT child, CASE WHEN child < 1000000000 AND child >= 1000 AND child % 50 = 3 THEN (parent - 99) % 25 + 100 ELSE parent END AS parent FROM edges WHERE NOT (child >= 1000 AND child % 97 = 5)
+  UNION ALL SELECT n_regionkey, n_nationkey + 100 FROM nation WHERE n_nationkey % 12 = 0),
+c(a, n) AS (SELECT parent, child FROM moved UNION SELECT a, child FROM c JOIN moved ON parent = n)
+SELECT CAST(a AS BIGINT) AS ancestor_node_id, count(*) AS descendants, CAST(min(n) AS BIGINT) AS first_node_id, CAST(max(n) AS BIGINT) AS last_node_id FROM c GROUP BY a"""
+)
+def subtree_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The closure of the tree, kept while some customers move to another nation, some folders and files go, and regions are linked
+    into nations, which closes cycles."""
+    before = tree(spark, d)[0]
+    child, parent = F.col("source_node_id"), F.col("target_node_id")
+    customer = (child >= 1000) & (child < 1_000_000_000) & (child % 50 == 3)
+    after = before.filter(~((child >= 1000) & (child % 97 == 5))).withColumn("target_node_id", F.when(customer, (parent - 99) % 25 + 100).otherwise(parent))
+    n = table(spark, d, "nation").filter("n_nationkey % 12 = 0")
+    after = after.unionByName(n.select(long("n_regionkey", "source_node_id"), long(F.col("n_nationkey") + 100, "target_node_id"), F.lit("located_in").alias("kind"), F.lit(True).alias("active"), F.lit(1).cast("long").alias("scope_id")))
+    first = closure.added(spark.createDataFrame([], schemas.SCHEMAS["edge_closure"]), closure.links(before))
+    kept = closure.moved(first, before, after)
+    return kept.groupBy("ancestor_node_id").agg(F.count("*").alias("descendants"), F.min("node_id").alias("first_node_id"), F.max("node_id").alias("last_node_id"))
+
+
 @query(
     "WITH RECURSIVE" + TREE_SQL + """, sub(node_id) AS (SELECT CAST(103 AS BIGINT) UNION SELECT child FROM edges JOIN sub ON parent = node_id), below AS (SELECT node_id FROM sub WHERE node_id <> 103),
 f AS (SELECT * FROM orders JOIN below ON node_id = o_orderkey + 1000000000)

@@ -37,6 +37,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "folders": _schema("node_id:L"),
     "locations": _schema("id:L scope_id:L node_id:L path_raw:x path_key:S display_path:S present:B last_seen_scan_id:L"),
     "edges": _schema("scope_id:L source_node_id:L target_node_id:L kind:S active:B last_seen_scan_id:L"),
+    "edge_closure": _schema("scope_id:L ancestor_node_id:L node_id:L"),
     "extraction_jobs": _schema("id:L scope_id:L node_id:L location_id:L operation:S status:S provider_id:s provider_version:s source_size_bytes:L source_modified_unix_ns:l output_bytes:L chunk_count:L created_at_unix_ms:L finished_at_unix_ms:l"),
     "content_chunks": _schema(
         "id:L scope_id:L node_id:L location_id:L extraction_job_id:L ordinal:L text:S provenance_kind:S source_byte_start:l source_byte_end:l source_page_number:l "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.errors import EngineError
-from siltstone.operators import equality, evaluation, graph, journal, manifest, privacy, relations
+from siltstone.operators import closure, equality, evaluation, graph, journal, manifest, privacy, relations
 from siltstone.operators import search as S
 
 
@@ -220,6 +220,28 @@ def test_inbox_and_targets(spark):
     assert not any(r.action_authorized for r in out.collect())
 
 
+def test_closure_follows_random_edits(spark):
+    """Edges come and go at random, cycles and several parents among them; each time it is what a search from every node finds."""
+    rng, now = random.Random(7), set()
+    frame = lambda e: spark.createDataFrame([(1, c, p, "located_in", True) for p, c in sorted(e)], "scope_id long, source_node_id long, target_node_id long, kind string, active boolean")
+    kept = spark.createDataFrame([], schemas.SCHEMAS["edge_closure"])
+    for step in range(4):
+        new = {e for e in now if rng.random() < 0.7} | {(rng.randrange(14), rng.randrange(14)) for _ in range(9 if step else 16)}
+        kept = spark.createDataFrame(closure.moved(kept, frame(now), frame(new)).collect(), schemas.SCHEMAS["edge_closure"])
+        now, want = new, set()
+        for a in range(14):
+            stack, seen = [a], set()
+            while stack:
+                x = stack.pop()
+                for p, c in now:
+                    if p == x and c not in seen:
+                        seen.add(c)
+                        stack.append(c)
+            want |= {(1, a, n) for n in seen}
+        got = [tuple(r) for r in kept.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---- journals
 
 FULL = ["preview_created", "execute_requested", "direct_rename_intent", "execution_completed", "undo_requested", "undo_rename_intent", "undo_completed"]
