@@ -305,6 +305,16 @@ def test_rates_and_slices(spark):
     assert code(lambda: evaluation.check_cases(corpus, run.unionByName(run))) == "run_case_duplicate"
 
 
+def test_many_cases_beyond_the_former_cells(spark):
+    """Each case is within its bound; 60 of them have more cells than all cases were allowed together."""
+    corpus = spark.range(60).selectExpr("id AS case_id", "repeat('a', 1500) AS expected_text", "array('english') AS tags")
+    run = spark.range(60).selectExpr("id AS case_id", "'completed' AS status", "concat(repeat('a', 1499), 'b') AS recognized_text")
+    t = evaluation.totals(evaluation.score_cases(corpus, run)).head()
+    assert (t.cases, t.chars, t.char_edits, t.token_edits) == (60, 90_000, 60, 60)
+    long_ = corpus.limit(1).selectExpr("case_id", "repeat('a', 16385) AS expected_text", "tags")
+    assert code(lambda: evaluation.score_cases(long_, run)) == "evaluation_work_limit_exceeded"
+
+
 @pytest.mark.parametrize("n,p,want", [(1, 50, 1), (2, 50, 1), (5, 50, 3), (20, 95, 19), (101, 95, 96), (0, 50, 0)])
 def test_nearest_rank(spark, n, p, want):
     assert spark.range(1, n + 1).agg(evaluation.nearest_rank("id", p).alias("v")).head().v == want
