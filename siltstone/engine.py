@@ -241,7 +241,7 @@ class Engine:
 
     def folder_profile(self, node_id: int) -> DataFrame:
         at = self.warehouse.snapshot()
-        return graph.folder_profile(at.read("edges"), self._nodes(), node_id, closure=at.read("edge_closure"))
+        return graph.folder_profile(at.read("edges"), self._nodes(), node_id, graph.MAX_PROFILE_ENTRIES, at.read("edge_closure"))
 
     def projects(self) -> DataFrame:
         """Project suggestions of all folders, by the markers among their direct children."""

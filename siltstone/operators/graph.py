@@ -75,19 +75,19 @@ def direct_children(edges: DataFrame, folder_node_id: int) -> DataFrame:
     return edges.filter(F.col("active") & (F.col("target_node_id") == folder_node_id)).select(F.col("source_node_id").alias("node_id")).distinct()
 
 
-def folder_profile(edges: DataFrame, nodes: DataFrame, folder_node_id: int, bound: int = MAX_PROFILE_ENTRIES, closure: DataFrame | None = None) -> DataFrame:
+def folder_profile(edges: DataFrame, nodes: DataFrame, folder_node_id: int, bound: int | None = None, closure: DataFrame | None = None) -> DataFrame:
     """One row: direct and descendant counts (the folder itself excluded), bytes, newest time, files per category. With the
     kept closure of the edges what lies below is a filter, else a loop over levels.
 
-    ``nodes``: node_id, kind, name, size_bytes, modified_unix_ns. More entries than the bound are an error, never a
-    partial answer.
+    ``nodes``: node_id, kind, name, size_bytes, modified_unix_ns. More entries than a bound, where one is given, are an error,
+    never a partial answer; without one a folder of any size is profiled, as tasks share its entries.
     """
     if closure is None:
         below = descendants(edges, nodes.sparkSession.createDataFrame([(folder_node_id,)], "node_id long")).filter("depth > 0")
     else:
         below = closure.filter(F.col("ancestor_node_id") == folder_node_id)
     below = below.filter(F.col("node_id") != folder_node_id).select("node_id").distinct()
-    if below.limit(bound + 1).count() > bound:
+    if bound is not None and below.limit(bound + 1).count() > bound:
         raise EngineError("folder_profile_entry_limit_exceeded")
     direct = direct_children(edges, folder_node_id).withColumn("direct", F.lit(True))
     rows = nodes.join(below, "node_id", "left_semi").join(direct, "node_id", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))

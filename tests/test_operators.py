@@ -91,6 +91,14 @@ def test_folder_profile(project):
     assert code(lambda: graph.folder_profile(*project, 1, bound=1)) == "folder_profile_entry_limit_exceeded"
 
 
+def test_folder_profile_beyond_the_former_bound(spark):
+    n = 100_001
+    edges = spark.range(2, n + 2).selectExpr("1L AS scope_id", "id AS source_node_id", "1L AS target_node_id", "'located_in' AS kind", "true AS active")
+    nodes = spark.range(1, n + 2).selectExpr("id AS node_id", "if(id = 1, 'folder', 'file') AS kind", "'a.rs' AS name", "2L AS size_bytes", "id AS modified_unix_ns")
+    p = graph.folder_profile(edges, nodes, 1).head()
+    assert (p.direct_files, p.descendant_files, p.code_files, p.total_bytes) == (n, n, n, 2 * n)
+
+
 def test_suggestions(spark, project):
     edges, nodes = project
     children = edges.join(nodes, edges.source_node_id == nodes.node_id).select(F.col("target_node_id").alias("folder_node_id"), "name")
