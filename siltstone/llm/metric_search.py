@@ -12,8 +12,9 @@ where no sum can pass 2^53, in 64-bit integers where none can pass 2^63, and in
 margin for the rounding of distances. Components beyond 64 bits count as the nearest 64-bit integer; scores beyond 64
 bits are ranked exactly and given as the nearest 64-bit integer.
 
-Queries meet shards in blocks: a task takes one block of queries and one shard, both rows of bounded size. The per-shard
-results, k rows a query, are merged by rank.
+Queries meet shards in blocks, both rows of bounded size: each task takes a few shard files and a few block files and searches
+every pair of them. Pairs are formed where they are searched, by a cross product of the two written tables, so neither a
+shuffle nor the driver ever holds them. The per-shard results, k rows a query, are merged by rank.
 
 Defined edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
 null id; vectors are compared with those of as many components, a shard having one tree for each number; of rows that
@@ -42,7 +43,7 @@ class MetricSearch:
     k: int = 5
     page: int = 256
     shard_rows: int = 8192
-    query_block: int = 256
+    query_block: int = 2048
 
 
 @dataclass
@@ -178,6 +179,27 @@ def build_index(rows: DataFrame, scratch: Scratch, p: MetricSearch) -> DataFrame
     return scratch.write(rows.select("row", "id", "v").repartition(shards).mapInArrow(build, "shard int, trees binary"), "index")
 
 
+def query_blocks(queries: DataFrame, scratch: Scratch, p: MetricSearch) -> DataFrame:
+    """(queries): blocks of about query_block queries, each by number of components as (rows, ids, vectors)."""
+    n_blocks = max(1, -(-queries.count() // p.query_block))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, ids, vectors = [], [], []
+        for b in batches:
+            numbers.append(b.column(0).to_numpy())
+            ids.append(b.column(1).to_numpy())
+            vectors += _lists(b.column(2))
+        block, widths = {}, np.array([len(v) for v in vectors], int)
+        for width in np.unique(widths):
+            at = np.flatnonzero(widths == width)
+            v = np.stack([vectors[i] for i in at])
+            kind = np.min_scalar_type(-largest(v) - 1) if largest(v) < 1 << 63 else v.dtype
+            block[int(width)] = np.concatenate(numbers)[at], np.concatenate(ids)[at], v.astype(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, protocol=5)], pa.binary())], names=["queries"])
+
+    return scratch.write(queries.select("row", "id", "v").repartition(n_blocks).mapInArrow(pack, "queries binary"), "blocks")
+
+
 #: A score is high * 2^63 + low, low not negative.
 RESULT = "row long, query_id long, high long, low long, vec_id long"
 
@@ -188,26 +210,21 @@ def top_k(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector:
     scratch = Scratch(table.sparkSession, "mtree")
     rows = scratch.write(whole_vectors(table, is_query, id_column, vector), "rows")
     index = build_index(rows, scratch, p)
-    queries = rows.filter("is_query")
-    n_blocks = max(1, -(-queries.count() // p.query_block))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "v")).alias("q"))  # about query_block each
-    blocks = scratch.write(blocks.select(F.col("q.row").alias("rows"), F.col("q.id").alias("ids"), F.transform("q.v", F.size).alias("widths"), F.flatten("q.v").alias("v")), "blocks")
-    n_shards = index.count()  # every shard has its row, and they are numbered from 0
+    blocks = query_blocks(rows.filter("is_query"), scratch, p)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = lambda s: max(-(1 << 63), min(s, (1 << 63) - 1))
         for b in batches:
             for i in range(b.num_rows):
-                trees, (numbers, ids, widths, flat) = pickle.loads(b.column(0)[i].as_py()), (b.column(k)[i].values.to_numpy() for k in range(1, 5))
-                out = []
-                for own, q_id, q in zip(numbers, ids, np.split(flat, np.cumsum(widths)[:-1]), strict=True):
-                    pages, scale = trees.get(len(q), ([], 0))
-                    out += [(int(own), int(q_id), fit(s >> 63), s & ((1 << 63) - 1), -x) for s, x in search_tree(pages, q, int(own), p.k, scale)[0]]
+                trees, block, out = pickle.loads(b.column(0)[i].as_py()), pickle.loads(b.column(1)[i].as_py()), []
+                for width, (numbers, ids, vectors) in block.items():
+                    pages, scale = trees.get(width, ([], 0))
+                    for own, q_id, q in zip(numbers, ids, vectors.astype(np.int64), strict=True):
+                        out += [(int(own), int(q_id), fit(s >> 63), s & ((1 << 63) - 1), -x) for s, x in search_tree(pages, q, int(own), p.k, scale)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 5)], names=["row", "query_id", "high", "low", "vec_id"])
 
-    # every block of queries meets every shard: few large rows, spread over as many tasks as there are pairs
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_shards - 1))))).join(index, "shard").select("trees", "rows", "ids", "widths", "v")
-    found = pairs.repartition(max(1, min(n_shards * n_blocks, 10_000))).mapInArrow(search, RESULT)
+    # every block of queries meets every shard: read from their files by each task, as a broadcast of either, or of their pairs, would grow with the table
+    found = index.select("trees").join(blocks.hint("shuffle_replicate_nl")).mapInArrow(search, RESULT)
     w = Window.partitionBy("row").orderBy(F.desc("high"), F.desc("low"), "vec_id")
     score = F.expr("CASE high WHEN 0 THEN low WHEN -1 THEN low + (-9223372036854775807L - 1) ELSE IF(high > 0, 9223372036854775807L, -9223372036854775807L - 1) END").alias("score")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", score)

@@ -520,6 +520,15 @@ def test_exact_top_k(spark, shard, page, size):
     assert pairs(got, "query_id", "rank", "vec_id", "score") == brute_top_k(data)
 
 
+def test_top_k_broadcasts_no_pairs(spark):
+    """Blocks of queries meet shards in the tasks: their pairs grow with the square of the table, so none goes through the driver."""
+    df = spark.range(400).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(hash(id, i) % 100 AS double)) AS embedding")
+    got = metric_search.top_k(df, F.col("vec_id") % 2 == 0, p=metric_search.MetricSearch(shard_rows=50, query_block=20))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert pairs(got, "query_id", "rank", "vec_id", "score") == brute_top_k([(r.vec_id, r.embedding) for r in df.collect()], every=2)
+
+
 def test_scores_beyond_64_bits(spark):
     data = [(0, [1e15, 1e15]), (1, [2e15, 1e15]), (2, [-1e15, -1e15]), (3, [1.0, 0.0]), (4, [0.0, 0.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
