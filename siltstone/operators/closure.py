@@ -29,10 +29,11 @@ def links(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("active") & (F.col("kind") == "located_in")).select("scope_id", F.col("target_node_id").alias("ancestor_node_id"), F.col("source_node_id").alias("node_id")).distinct()
 
 
-def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(removed, added) pairs between two states of the edges."""
-    old, new = links(before), links(after)
-    return old.join(new, PAIR, "left_anti"), new.join(old, PAIR, "left_anti")
+def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(removed, added, kept) pairs between two states of the edges, all from one join of them."""
+    old, new = links(before).withColumn("_old", F.lit(True)), links(after).withColumn("_new", F.lit(True))
+    both = _written(old.join(new, PAIR, "full"))
+    return tuple(both.filter(c).select(*PAIR) for c in ("_new IS NULL", "_old IS NULL", "_old AND _new"))
 
 
 def _through(closure: DataFrame, edges: DataFrame) -> DataFrame:
@@ -46,16 +47,21 @@ def _through(closure: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def added(closure: DataFrame, edges: DataFrame) -> DataFrame:
-    """The closure with further edges (pairs): paths through one of them, then through those that are now known, until no pair is new.
-    A path through n new edges takes log2(n) rounds; from an empty closure this builds it."""
+    """The closure with further edges (pairs): paths through one of them, then paths of these. From an empty closure this builds it.
+
+    A pair that takes n of the new edges on its shortest path is found after log2(n) rounds: the paths that the last round found
+    are met by all found so far, and what is new is written beside what there is, which no round writes again."""
     edges, out = _written(edges.select(*PAIR)), closure.select(*PAIR)
     if edges.isEmpty():
         return out
-    while True:
-        new = _written(_through(out, edges).join(out, PAIR, "left_anti"))
-        if new.isEmpty():
-            return out
-        out = _written(out.unionByName(new))
+    new = found = _written(_through(out, edges).join(out, PAIR, "left_anti"))
+    while not new.isEmpty():
+        out = out.unionByName(new)
+        upper = new.select("scope_id", "ancestor_node_id", F.col("node_id").alias("_between"))
+        lower = found.select("scope_id", F.col("ancestor_node_id").alias("_between"), "node_id")
+        new = _written(upper.join(lower, ["scope_id", "_between"]).select(*PAIR).distinct().join(out, PAIR, "left_anti"))
+        found = found.unionByName(new)
+    return out
 
 
 def removed(closure: DataFrame, edges: DataFrame, left: DataFrame) -> DataFrame:
@@ -85,6 +91,5 @@ def removed(closure: DataFrame, edges: DataFrame, left: DataFrame) -> DataFrame:
 
 def moved(closure: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """The closure of ``after`` (edges) from that of ``before``."""
-    gone, new = changes(before, after)
-    kept = links(before).join(gone, PAIR, "left_anti")
+    gone, new, kept = changes(before, after)
     return added(_written(removed(closure, gone, kept)), new)

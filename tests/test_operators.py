@@ -250,6 +250,16 @@ def test_closure_follows_random_edits(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_closure_writes_no_pair_again(spark, monkeypatch):
+    """Each round writes what it finds, not the closure that stands already."""
+    written, write = [], closure._written
+    monkeypatch.setattr(closure, "_written", lambda df: written.append(out := write(df)) or out)
+    chain = spark.range(24).selectExpr("1L AS scope_id", "id AS ancestor_node_id", "id + 1 AS node_id")
+    out = closure.added(spark.createDataFrame([], schemas.SCHEMAS["edge_closure"]), chain)
+    assert {tuple(r)[1:] for r in out.collect()} == {(a, b) for b in range(25) for a in range(b)}
+    assert sum(df.count() for df in written) == 24 + 300 and len(written) <= 8
+
+
 # ---- journals
 
 FULL = ["preview_created", "execute_requested", "direct_rename_intent", "execution_completed", "undo_requested", "undo_rename_intent", "undo_completed"]
