@@ -109,18 +109,20 @@ def refresh(t: Transaction, wanted: DataFrame, options: IndexOptions = IndexOpti
     if hidden:
         t.append("search_tombstones", gone)
     fresh = postings(wanted.join(added.select(*KEY), list(KEY), "left_semi")).withColumn("segment", F.lit(segment).cast("long"))
-    _write(t, fresh, buckets, append=True)
     counted = now.groupBy("source", "scope_id").agg(F.count("*"), F.sum("length")).collect()  # two rows a scope
+    _write(t, fresh, buckets, sum(r[3] for r in counted), append=True)
     t.note("search", {"segment": segment, "buckets": buckets, "tombstones": state["tombstones"] + hidden, "statistics": [list(r) for r in counted]})
     if t.parts("search_postings") > options.max_segments:
         compact(t)
     return True
 
 
-def _write(t: Transaction, rows: DataFrame, buckets: int, append: bool) -> None:
+def _write(t: Transaction, rows: DataFrame, buckets: int, characters: int, append: bool) -> None:
     dealt = rows.withColumn("bucket", F.pmod("trigram", F.lit(buckets)).cast("int")) if "bucket" not in rows.columns else rows
-    # ranges of (bucket, trigram, node): a trigram that nearly all texts hold is dealt over several tasks and files
-    dealt = dealt.repartitionByRange("bucket", "trigram", "node_id").sortWithinPartitions("bucket", "trigram", "node_id")
+    # a bucket goes to several tasks and files by node, about four million characters each, so a trigram that nearly all texts hold
+    # is dealt out; dealing by ranges would compute the postings twice, once to find the ranges
+    part = F.pmod(F.xxhash64("node_id"), F.lit(1 + characters // (buckets << 22)))
+    dealt = dealt.repartition("bucket", part).sortWithinPartitions("bucket", "trigram", "node_id")
     (t.append if append else t.replace)("search_postings", dealt, check=False, partition_by=("bucket",))
 
 
@@ -134,9 +136,10 @@ def live(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 def compact(t: Transaction) -> None:
     """All segments as one, without what tombstones hide."""
     kept = live(t.read("search_postings"), t.read("search_tombstones"))
-    _write(t, kept, 0, append=False)
+    state = t.notes["search"]
+    _write(t, kept, state["buckets"], sum(r[3] for r in state["statistics"]), append=False)
     t.replace("search_tombstones", empty(kept.sparkSession, f"{DOCUMENT}, before long"))
-    t.note("search", {**t.notes["search"], "tombstones": 0})
+    t.note("search", {**state, "tombstones": 0})
 
 
 def phrase_hits(at: Snapshot | Transaction, phrase: str, sources: list[str], spark: SparkSession) -> DataFrame:

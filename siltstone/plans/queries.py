@@ -192,10 +192,9 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
     before = docs.filter("node_id % 4 != 3").withColumn("text", F.when(F.col("node_id") % 4 == 1, F.concat("text", F.lit(" xyzzy"))).otherwise(F.col("text")))
     w = indexed(spark, "postings", [(none, before.unionByName(docs.withColumn("chunk_id", -1 - F.col("chunk_id")))), (none, before), (none, docs)])
     at = w.snapshot()
-    kept = search_index.live(at.read("search_postings"), at.read("search_tombstones"))
-    return kept.groupBy("trigram").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("positions"))
-
-
+    counted = at.read("search_postings").select(*search_index.KEY, "segment", "trigram", F.size("positions").alias("n"))  # the lists stay where they are
+    kept = search_index.live(counted, at.read("search_tombstones"))
+    return kept.groupBy("trigram").agg(F.count("*").alias("documents"), F.sum("n").alias("positions"))
 
 
 @query("WITH" + PAGES_SQL + "," + bm25_sql("pages_", "html", "the", 100, "found", where=FILTER_SQL, shown=True) + "," + fuse_sql([("found", "content")], "the", 50))

@@ -177,3 +177,26 @@ def test_a_folder_search_does_not_follow_hard_links_out_of_it(spark, tmp_path):
     found = e.search(Request("plan", scope_id=scope, folder_node_id=alpha.node_id)).collect()
     assert found and all("/alpha/" in r.display_path for r in found)
     assert {os.path.dirname(r.display_path)[-5:] for r in e.search(Request("plan", scope_id=scope)).collect()} == {"alpha", "/beta"}
+
+
+def test_postings_are_computed_once(spark, tmp_path, monkeypatch):
+    """Finding ranges to deal them by would run the texts through Python a second time."""
+    runs, postings = spark.sparkContext.accumulator(0), search_index.postings
+
+    def counted(docs):
+        def run(batches):
+            for b in batches:
+                runs.add(b.num_rows)
+                yield b
+
+        out = postings(docs)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(search_index, "postings", counted)
+    w = Warehouse(spark, f"file://{tmp_path}/once")
+    text = "the quick brown fox " * 3
+    docs = spark.range(40).selectExpr("'content' AS source", "1L AS scope_id", "id AS node_id", "id AS location_id", "0L AS chunk_id", f"'{text}' AS text")
+    with w.transaction() as t:
+        search_index.refresh(t, docs)
+    n = w.read_parts("search_postings", w.snapshot().tables["search_postings"]).count()
+    assert n == 40 * 20 and runs.value == n
