@@ -68,6 +68,37 @@ def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n"
     return dealt.join(right.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)
 
 
+#: Bits in a value of bitmap_construct_agg.
+_BLOCK = 32_768
+
+
+def maybe_in(df: DataFrame, own: list[str], keys: DataFrame, scratch: Scratch, flag: str, bits: int = 32, most: int = 1 << 28) -> DataFrame:
+    """``df`` with a boolean ``flag``: whether its columns ``own`` may be a row of ``keys``, a written table of as many columns of the same types.
+
+    False is certain. True is wrong for about one row in ``bits``, and for more once the keys have no ``most // bits`` bits
+    each; so all tasks know a bitmap of 32 MB at most, whatever the keys, and only rows that pass it need to meet them in a shuffle.
+    """
+    blocks = max(1, min(most, bits * keys.count()) // _BLOCK)
+    place, block, marks = fresh(df, "_place", "_block", "_marks")
+    at = lambda names: F.pmod(F.xxhash64(*names), F.lit(blocks * _BLOCK))
+    bitmap = keys.select(at(keys.columns).alias(place)).groupBy(F.floor(F.col(place) / _BLOCK).alias(block)).agg(F.bitmap_construct_agg(F.col(place) % _BLOCK).alias(marks))
+    df = df.withColumn(place, at(own)).withColumn(block, F.floor(F.col(place) / _BLOCK))
+    df = df.join(F.broadcast(scratch.write(bitmap, f"bitmap-{flag}")), block, "left")
+    byte = F.conv(F.hex(F.substring(marks, F.floor(F.col(place) % _BLOCK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn(flag, F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))).drop(place, block, marks)
+
+
+def without(docs: DataFrame, own: list[Column], gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` whose values of ``own`` are no row of ``gone``, a written table of as many columns of the same types; nulls
+    are equal to nulls. Only rows that may go are shuffled, with all their columns; the others stay where they are."""
+    flag, *names = fresh(docs, "_maybe", *[f"_{side}_{i}" for side in ("own", "gone") for i in range(len(own))])
+    mine, theirs = names[: len(own)], names[len(own) :]
+    marked = maybe_in(docs.withColumns(dict(zip(mine, own, strict=True))), mine, gone, scratch, flag)
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(mine, theirs, strict=True)]
+    left = marked.filter(F.col(flag)).join(gone.toDF(*theirs), same, "left_anti")
+    return marked.filter(~F.col(flag)).unionByName(left).select(*docs.columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

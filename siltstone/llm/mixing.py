@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, fresh, n_words
+from siltstone.llm.common import WORD, Scratch, fresh, n_words
 
 
 @dataclass(frozen=True)
@@ -69,12 +69,8 @@ def place(mix: Mix) -> Column:
     return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string"), F.md5("text")))
 
 
-def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, place and taken (size times copies).
-
-    Equal rows are interchangeable: what is taken of them is dealt out evenly.
-    """
-    scratch = Scratch(docs.sparkSession, "mix")
+def _queues(docs: DataFrame, mix: Mix, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The documents queued, and a row (doc_id, source, round, place, size) for each copy that the mix takes."""
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(mix).alias("place"))
     sizes = scratch.write(sizes, "sizes")
     n = sizes.count()
@@ -97,11 +93,20 @@ def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     totals = _running(totals, [], "coarse", ["finish_bucket"], "s", "upto")
     cut = totals.filter(F.col("upto") > budget).orderBy("finish_bucket").select("finish_bucket", (F.col("upto") - F.col("s")).alias("before")).head()
     whole = copies.filter(F.col("finish_bucket") < (cut[0] if cut else buckets * 4 + 1))
-    taken = whole.select("doc_id", "source", "place", "size")
+    taken = whole.select("doc_id", "source", "round", "place", "size")
     if cut:
         w = Window.orderBy("finish", F.col("source").isNull(), "source", "round", "place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         edge = copies.filter(F.col("finish_bucket") == cut[0]).withColumn("total", F.sum("size").over(w) + cut[1])
-        taken = taken.unionByName(edge.filter(F.col("total") <= budget).select("doc_id", "source", "place", "size"))
+        taken = taken.unionByName(edge.filter(F.col("total") <= budget).select("doc_id", "source", "round", "place", "size"))
+    return queued, taken
+
+
+def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies, place and taken (size times copies).
+
+    Equal rows are interchangeable: what is taken of them is dealt out evenly.
+    """
+    queued, taken = _queues(docs, mix, Scratch(docs.sparkSession, "mix"))
     # equal rows share a key; what was taken of them is dealt out evenly
     key = ["doc_id", "source", "place"]
     counts = taken.groupBy(*key).agg(F.count("*").alias("n_taken"))
@@ -115,14 +120,22 @@ def fair_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def with_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as often as the mix takes them (0 to max_repeats times each), with all their columns.
 
-    Counts are joined on the place of a row in its queue, which equal rows share; what the mix takes of equal rows is
-    spread evenly, rounded up.
+    In each round a source's copies finish in the order of their places, so the mix takes those up to a last place and none
+    beyond: that place, for each source and round, tells of every row whether it is taken, and no text is shuffled. What the mix
+    takes of equal rows, which share a place, is spread evenly, rounded up.
     """
-    scratch = Scratch(docs.sparkSession, "copies")
-    of, at, copies, rows, own, here, i = fresh(docs, "_source", "_place", "_copies", "_rows", "_own", "_at", "_i")
-    taken = fair_mix(docs, mix).groupBy(F.col("source").alias(of), F.col("place").alias(at)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
-    taken = scratch.write(taken.filter(F.col(copies) > 0), "taken")
-    keyed = docs.withColumns({own: F.col("source"), here: place(mix)})
-    out = keyed.join(taken, (F.col(here) == F.col(at)) & F.col(own).eqNullSafe(F.col(of)))
-    n = F.ceil(F.col(copies) / F.col(rows)).cast("int")
-    return out.withColumn(i, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mix")
+    queued, taken = _queues(docs, mix, scratch)
+    last = taken.groupBy("source", "round", "place").agg(F.count("*").alias("n")).groupBy("source", "round").agg(F.max(F.struct("place", "n")).alias("end"))
+    last = scratch.write(last.select(F.col("source").alias("_source"), F.col("end.place").alias("_place"), "end.n"), "last")
+    at_end = F.col("source").eqNullSafe(F.col("_source")) & (F.col("place") == F.col("_place"))
+    rows = queued.join(last.select("_source", "_place").distinct(), at_end, "left_semi").groupBy("source", "place").agg(F.count("*").alias("rows"))
+    own, here, i, of, ends, same = fresh(docs, "_own", "_here", "_i", "_of", "_ends", "_same")
+    ended = last.join(rows, at_end).groupBy(F.col("source").alias(of)).agg(F.collect_list(F.struct("place", "n", "rows")).alias(ends))  # an entry for each round
+    ended = scratch.write(ended, "ends")
+    worded = docs.filter(F.col("text").rlike(WORD[:-1])).withColumns({own: F.col("source"), here: place(mix)})
+    out = worded.join(ended, F.col(own).eqNullSafe(F.col(of)))
+    out = out.withColumn(same, F.aggregate(ends, F.lit(1).cast("long"), lambda n, e: F.when(F.col(here) == e["place"], e["rows"]).otherwise(n)))
+    part = lambda e: F.when(F.col(here) < e["place"], F.col(same)).when(F.col(here) == e["place"], e["n"]).otherwise(0)
+    n = F.ceil(F.aggregate(ends, F.lit(0).cast("long"), lambda total, e: total + part(e)) / F.col(same)).cast("int")
+    return out.withColumn(i, F.explode(F.slice(F.sequence(F.lit(1), F.lit(mix.max_repeats)), F.lit(1), n))).select(*docs.columns)

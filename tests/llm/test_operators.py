@@ -33,6 +33,19 @@ def test_joins_of_hot_keys(spark):
         assert Counter(r.id for r in out.collect()) == want and out.columns[:3] == ["k", "id", "_salt"]
 
 
+def test_rows_without_keys(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("doc_id"), (F.col("id") % 7).alias("v"), F.lit("x").alias("_maybe"), F.lit(1).alias("_own_0"))
+    scratch = common.Scratch(spark, "without")
+    for which in ("v = 3", "v < 6", "false", "true"):
+        gone = scratch.write(docs.filter(which).select("doc_id", "v").distinct(), "gone")
+        out = common.without(docs, [F.col("doc_id"), F.col("v")], gone, scratch)
+        assert out.columns == docs.columns and Counter(out.collect()) == Counter(docs.filter(f"NOT ({which})").collect())
+    gone = scratch.write(docs.filter("v = 3").select("doc_id", "v"), "few")
+    for most, least, share in ((1 << 28, 571, 0.2), (1, 571, 1)):  # with too few bits more rows pass, never fewer
+        got = common.maybe_in(docs, ["doc_id", "v"], gone, scratch, "hit", most=most)
+        assert got.columns == [*docs.columns, "hit"] and got.filter("v = 3 AND NOT hit").isEmpty() and least <= got.filter("hit").count() <= share * 4000
+
+
 # ---- quality rules
 
 

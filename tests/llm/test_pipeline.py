@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import uuid
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -170,3 +172,33 @@ def test_run(spark, stages):
 def test_empty_pipeline(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def shuffled(spark, run):
+    """Bytes that a function's jobs write to shuffles."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "shuffled")
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sc.setJobGroup("", "")
+    tracker = sc.statusTracker()
+    ids = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    done = [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in ids]
+    return sum(s.shuffleWriteBytes() for s in done if s.status().toString() == "COMPLETE")
+
+
+def test_texts_are_not_shuffled_for_a_verdict(spark, tmp_path):
+    """Joins by broadcast would hide it on a small table, so they are off but where a stage asks for one or, for the mix, a table is tiny."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"{rng.getrandbits(32):08x}" for _ in range(n))
+    rows = [(i, text(10 if i % 10 == 0 else 1500), "en", f"src{i % 3}", 0) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "src0", 0) for i in range(1, 20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, size, before = spark.read.parquet(str(tmp_path / "docs")), sum(len(r[1]) for r in rows), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for k, threshold, most in ((0, "-1", 0.05), (1, "-1", 1), (3, "8k", 0.05)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = shuffled(spark, lambda: corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out-{k}")))  # noqa: B023
+            assert got < most * size, (corpus_pipeline.STAGES[k][0], got / size)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
