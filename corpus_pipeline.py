@@ -19,6 +19,13 @@ from siltstone.llm.quality_rules import without_rejected
 from siltstone.llm.secret_scan import redact_secrets
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get the texts in Arrow batches of 4 MB at most (Spark's default is 64), or what the session has, if less:
+    executor and worker each hold a batch for every task, on top of a heap that earlier stages have filled."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    spark.conf.set(name, min(most, int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. Null and empty texts fail the base rules and go; a null or rare language is
     judged by the base rules alone; repeated rows share one fate; further columns, whatever their names, stay as they are."""
@@ -29,12 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more. Texts without words and
     rows with a null doc_id stay; of rows that share doc_id and text one stays; rows that share a doc_id alone are judged
     each by its own text; further columns stay as they are."""
+    bounded_batches(spark)
     return without_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text, and n_chars follows it. Null and empty texts stay as they are; no row goes; repeated rows
     give equal rows; further columns stay as they are."""
+    bounded_batches(spark)
     return redact_secrets(docs)
 
 
@@ -48,6 +57,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed sequences of 2048 tokens, a row for each piece. Null and empty texts hold the end id alone; a null doc_id is
     carried as it is; repeated rows are packed one by one; further columns are ignored."""
+    bounded_batches(spark)
     return pack_documents(docs)
 
 

@@ -74,7 +74,8 @@ class PieceTable:
 
     def __init__(self, max_entries: int) -> None:
         self.max_entries, self.n, self.n_ids = max_entries, 0, 0
-        self.bits = max(10, (3 * max_entries // 2).bit_length())  # never more than two thirds full
+        self.most_bits = max(10, (3 * max_entries // 2).bit_length())  # never more than two thirds full
+        self.bits = min(14, self.most_bits)  # doubled as pieces come
         self.slots = np.zeros((1 << self.bits, 3), U)  # fingerprint, fingerprint, place << 16 | number of ids (0: free)
         self.ids = np.empty(4 * max_entries + 1024, np.uint32)
 
@@ -101,6 +102,7 @@ class PieceTable:
             self._halve()
         if len(a) > self.max_entries // 2 or len(ids) > len(self.ids) // 3:
             return  # more than the table is made for: found again by the library
+        self._widen(self.n + len(a))
         place = self.n_ids + np.cumsum(counts) - counts
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.n, self.n_ids = self.n + len(a), self.n_ids + len(ids)
@@ -114,6 +116,14 @@ class PieceTable:
             out = (self.slots[slot] != rows).any(axis=1)
             rows, slot = rows[out], (slot[out] + 1) & ((1 << self.bits) - 1)
 
+    def _widen(self, n: int) -> None:
+        """Makes room for so many pieces."""
+        bits = min(self.most_bits, max(self.bits, (3 * n // 2).bit_length()))
+        if bits > self.bits:
+            rows = self.slots[self.slots[:, 2] != 0]
+            self.bits, self.slots = bits, np.zeros((1 << bits, 3), U)
+            self._insert(rows)
+
     def _halve(self) -> None:
         rows = self.slots[self.slots[:, 2] != 0]
         rows = rows[np.argsort(rows[:, 2])][: len(rows) // 2]

@@ -174,6 +174,21 @@ def test_empty_pipeline(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_small_memory_of_workers(spark, docs, tmp_path):
+    """Batches are bounded by bytes; a table of few pieces takes little and finds the same as it grows."""
+    corpus_pipeline.packing(spark, docs, str(tmp_path))
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == 4 << 20
+    table, rng = tokens.PieceTable(1_200_000), np.random.default_rng(1)
+    assert table.slots.nbytes < 1 << 20
+    a, b = rng.integers(0, 1 << 64, (2, 100_000), dtype=np.uint64)
+    for lo in range(0, 100_000, 5_000):
+        at = slice(lo, lo + 5_000)
+        table.add(a[at], b[at], np.ones(5_000, np.int64), np.arange(lo, lo + 5_000, dtype=np.uint32))
+    found = table.find(a, b)
+    assert (found & np.uint64(0xFFFF) == 1).all() and (table.ids[(found >> np.uint64(16)).astype(np.int64)] == np.arange(100_000)).all()
+    assert table.n == 100_000 <= 2 * len(table.slots) // 3 and not table.find(b, a).any()
+
+
 def shuffled(spark, run):
     """Bytes that a function's jobs write to shuffles."""
     sc, group = spark.sparkContext, uuid.uuid4().hex
