@@ -1,10 +1,13 @@
 """A persisted inverted index of paths and chunks, kept in step with the manifest by additions and tombstones.
 
 Postings say at which characters of a document (a location's path, or a chunk of a file's text) a trigram stands. They lie in
-folders by a bucket of the trigram, sorted, so a search reads the few buckets of its phrase's trigrams, never a text: a
+folders by a bucket of the trigram, so a search reads the few buckets of its phrase's trigrams, never a text: a
 phrase stands where its trigrams stand one after the other, which positions alone tell. Documents and characters are counted
 per scope when the index changes, and kept in the commit, so bm25 needs no pass over the corpus either.
 
+A task writes the postings of its texts into all buckets at once, document by document: neither texts nor postings are shuffled or
+sorted, and a document's key is stored as a difference of nothing in all its rows of a bucket but the first.
+
 A refresh compares the documents that should be there with those that are, by the hash of their text: new and changed ones become
 a segment of postings of their own, gone and changed ones a tombstone that hides their postings in earlier segments. More than
 ``max_segments`` segments are merged into one, without what is hidden. All tables change in the caller's transaction, so the
@@ -28,6 +31,7 @@ from siltstone.sources.warehouse import Snapshot, Transaction, empty
 KEY = ("source", "scope_id", "node_id", "location_id", "chunk_id")
 DOCUMENT = "source string, scope_id long, node_id long, location_id long, chunk_id long"
 POSTING = f"{DOCUMENT}, length long, trigram long, positions array<int>"
+TOMBSTONE = f"{DOCUMENT}, segment long, before long"
 TABLES = ("search_documents", "search_postings", "search_tombstones")
 
 
@@ -85,7 +89,7 @@ def _read(at: Snapshot | Transaction, name: str, spark: SparkSession) -> DataFra
     if at.version(name):
         return at.read(name)
     schemas = {
-        "search_documents": f"{DOCUMENT}, length long, print long, segment long", "search_postings": f"{POSTING}, segment long, bucket int", "search_tombstones": f"{DOCUMENT}, before long",
+        "search_documents": f"{DOCUMENT}, length long, print long, segment long", "search_postings": f"{POSTING}, segment long, bucket int", "search_tombstones": TOMBSTONE,
     }
     return empty(spark, schemas[name])
 
@@ -102,28 +106,72 @@ def refresh(t: Transaction, wanted: DataFrame, options: IndexOptions = IndexOpti
     same = (F.col("length") == F.col("_l")) & (F.col("print") == F.col("_p"))
     t.replace("search_documents", both.select(*KEY, "length", "print", F.when(same, F.col("_s")).otherwise(segment).cast("long").alias("segment")))
     now = t.read("search_documents")
-    gone = old.join(now.select(*KEY, "segment"), [*KEY, "segment"], "left_anti").select(*KEY, F.lit(segment).cast("long").alias("before"))
+    gone = old.join(now.select(*KEY, "segment"), [*KEY, "segment"], "left_anti").select(*KEY, "segment", F.lit(segment).cast("long").alias("before"))
     added, hidden = now.filter(F.col("segment") == segment), gone.count()
-    if not hidden and added.isEmpty():
+    n_added, characters = added.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    if not hidden and not n_added:
         return False
     if hidden:
         t.append("search_tombstones", gone)
-    fresh = postings(wanted.join(added.select(*KEY), list(KEY), "left_semi")).withColumn("segment", F.lit(segment).cast("long"))
     counted = now.groupBy("source", "scope_id").agg(F.count("*"), F.sum("length")).collect()  # two rows a scope
-    _write(t, fresh, buckets, sum(r[3] for r in counted), append=True)
+    if n_added:
+        texts = without(wanted.dropna(subset=list(KEY)), list(KEY), now.filter(F.col("segment") < segment), added)
+        fresh = postings(_dealt(texts, characters, "node_id")).withColumn("segment", F.lit(segment).cast("long"))
+        _write(t, fresh, buckets, append=True)
     t.note("search", {"segment": segment, "buckets": buckets, "tombstones": state["tombstones"] + hidden, "statistics": [list(r) for r in counted]})
     if t.parts("search_postings") > options.max_segments:
         compact(t)
     return True
 
 
-def _write(t: Transaction, rows: DataFrame, buckets: int, characters: int, append: bool) -> None:
+def _dealt(rows: DataFrame, characters: int, by: str) -> DataFrame:
+    """In as many tasks as that many characters are worth, as each writes a file into every bucket. Rows stay where they are, unless they are few."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = min(1 + (characters >> 20), max(cores, 1 + (characters >> 25)))
+    return rows.repartition(tasks, by) if tasks < cores else rows.coalesce(tasks)
+
+
+def _write(t: Transaction, rows: DataFrame, buckets: int, append: bool) -> None:
     dealt = rows.withColumn("bucket", F.pmod("trigram", F.lit(buckets)).cast("int")) if "bucket" not in rows.columns else rows
-    # a bucket goes to several tasks and files by node, about four million characters each, so a trigram that nearly all texts hold
-    # is dealt out; dealing by ranges would compute the postings twice, once to find the ranges
-    part = F.pmod(F.xxhash64("node_id"), F.lit(1 + characters // (buckets << 22)))
-    dealt = dealt.repartition("bucket", part).sortWithinPartitions("bucket", "trigram", "node_id")
-    (t.append if append else t.replace)("search_postings", dealt, check=False, partition_by=("bucket",))
+    # differences of neighbours for what repeats or ascends; row groups so small that all buckets' together fit a task's memory
+    options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": str(max(1 << 20, (1 << 28) // buckets))}
+    options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("scope_id", "node_id", "location_id", "chunk_id", "segment", "positions.list.element")}
+    conf, writers = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers, "0")
+    conf.set(writers, str(buckets))  # all buckets' files are open at once; else each task would sort its postings, and spill them
+    try:
+        (t.append if append else t.replace)("search_postings", dealt, check=False, partition_by=("bucket",), options=options)
+    finally:
+        conf.set(writers, before)
+
+
+def without(rows: DataFrame, keys: list[str], gone: DataFrame, kept: DataFrame, bits: int = 32, most: int = 1 << 27, listed: int = 1_000_000) -> DataFrame:
+    """The rows that ``gone`` doesn't name by ``keys``, where either ``gone`` or ``kept`` names every row; exact, and no row is shuffled.
+
+    All tasks know a bitmap of the gone ones, of 16 MB at most, and a list of those kept ones that it takes for gone: with 32 bits for each
+    that is one in some thousands. Only if more than ``listed`` would be on that list do the rows meet the kept ones in a join."""
+    n = gone.count()
+    if not n:
+        return rows
+    size, flag, there = 1 << 15, "_gone", "_kept"  # bits of a value of bitmap_construct_agg
+    blocks = max(1, min(most, bits * n) // size)
+    block = F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("_block")
+    places = [F.shiftrightunsigned(F.xxhash64(F.lit(1), *keys), 15 * i).bitwiseAND(size - 1).cast("int") for i in range(4)]
+    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda w: F.when(w < 1 << 31, w).otherwise(w - (1 << 32)).cast("int")
+    bitmap = gone.select(block, F.explode(F.array(*places)).alias("_place")).groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    bitmap = F.broadcast(bitmap.select("_block", F.transform(F.sequence(F.lit(0), F.lit(size // 32 - 1)), lambda i: signed(word(i))).alias("_words")))
+    marked = lambda p: F.getbit(F.get("_words", F.shiftright(p, 5)), 24 - F.shiftright(p, 3).bitwiseAND(3) * 8 + p.bitwiseAND(7)) == 1
+
+    def flagged(df: DataFrame) -> DataFrame:
+        met = df.withColumn("_block", block).join(bitmap, "_block", "left")
+        return met.withColumn(flag, F.coalesce(marked(places[0]) & marked(places[1]) & marked(places[2]) & marked(places[3]), F.lit(False))).select(*df.columns, flag)
+
+    wrong = flagged(kept.select(*keys)).filter(flag).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    if wrong.count() > listed:
+        return rows.join(kept.select(*keys), keys, "left_semi")
+    same = [(F.when(F.col(flag), F.col(k)) if k == keys[0] else F.col(k)) == F.col(f"_{k}") for k in keys]  # only what is flagged is looked up
+    return flagged(rows).join(F.broadcast(wrong.withColumn(there, F.lit(True))), same, "left").filter(~F.col(flag) | F.col(there).isNotNull()).select(*rows.columns)
 
 
 def live(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -133,12 +181,22 @@ def live(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     return rows.join(hidden, [*same, rows["segment"] < hidden["before"]], "left_anti")
 
 
+def standing(at: Snapshot | Transaction, rows: DataFrame) -> DataFrame:
+    """Those of the index's postings, as rows of (key, segment, ...), that no tombstone hides; they are not shuffled for it."""
+    if not at.notes["search"]["tombstones"]:
+        return rows
+    hidden = at.read("search_tombstones")
+    if "segment" not in hidden.columns or not hidden.filter(F.col("segment").isNull()).isEmpty():  # of an index that kept no segments with its tombstones
+        return live(rows, hidden)
+    return without(rows, [*KEY, "segment"], hidden, at.read("search_documents"))
+
+
 def compact(t: Transaction) -> None:
     """All segments as one, without what tombstones hide."""
-    kept = live(t.read("search_postings"), t.read("search_tombstones"))
-    state = t.notes["search"]
-    _write(t, kept, state["buckets"], sum(r[3] for r in state["statistics"]), append=False)
-    t.replace("search_tombstones", empty(kept.sparkSession, f"{DOCUMENT}, before long"))
+    state, rows = t.notes["search"], t.read("search_postings")
+    characters = sum(r[3] for r in state["statistics"])
+    _write(t, _dealt(standing(t, rows), characters, "bucket"), state["buckets"], append=False)
+    t.replace("search_tombstones", empty(rows.sparkSession, TOMBSTONE))
     t.note("search", {**state, "tombstones": 0})
 
 

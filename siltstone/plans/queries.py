@@ -193,7 +193,7 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
     w = indexed(spark, "postings", [(none, before.unionByName(docs.withColumn("chunk_id", -1 - F.col("chunk_id")))), (none, before), (none, docs)])
     at = w.snapshot()
     counted = at.read("search_postings").select(*search_index.KEY, "segment", "trigram", F.size("positions").alias("n"))  # the lists stay where they are
-    kept = search_index.live(counted, at.read("search_tombstones"))
+    kept = search_index.standing(at, counted)
     return kept.groupBy("trigram").agg(F.count("*").alias("documents"), F.sum("n").alias("positions"))
 
 

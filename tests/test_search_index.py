@@ -200,3 +200,48 @@ def test_postings_are_computed_once(spark, tmp_path, monkeypatch):
         search_index.refresh(t, docs)
     n = w.read_parts("search_postings", w.snapshot().tables["search_postings"]).count()
     assert n == 40 * 20 and runs.value == n
+
+
+def test_postings_are_neither_shuffled_nor_sorted_on_their_way_to_the_files(spark, tmp_path, monkeypatch):
+    plans, write = {}, Warehouse.write_part
+
+    def seen(self, name, df, *rest):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(self, name, df, *rest)
+
+    monkeypatch.setattr(Warehouse, "write_part", seen)
+    w, rng = Warehouse(spark, f"file://{tmp_path}/plain"), random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randrange(2, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([("content", 1, i, i, 0, " ".join(rng.choices(words, k=400))) for i in range(60)], "source string, scope_id long, node_id long, location_id long, chunk_id long, text string")
+    with w.transaction() as t:
+        search_index.refresh(t, docs, OPTIONS)
+    above = plans["search_postings"].split("MapInArrow")[0]
+    assert "Exchange" not in above and "Sort" not in above
+    on_disk = sum(f.stat().st_size for f in (tmp_path / "plain" / "search_postings").rglob("*.parquet"))
+    assert on_disk < 3.5 * docs.selectExpr("sum(length(text))").head()[0]  # 4 bytes a position and a document's key for each trigram take more
+
+
+def test_kept_rows_are_told_from_gone_ones_without_a_shuffle(spark):
+    gone = spark.range(3000).selectExpr("if(id % 2 = 0, 'a', 'b') AS source", "id AS n")
+    kept = spark.range(3000, 6000).selectExpr("if(id % 2 = 0, 'a', 'b') AS source", "id AS n")
+    rows_ = gone.unionByName(kept).selectExpr("source", "n", "explode(array(1, 2)) AS x")
+    for options in ({}, {"bits": 1, "most": 1}, {"bits": 1, "most": 1, "listed": 0}):  # the second bitmap has no room for so many keys
+        left = search_index.without(rows_, ["source", "n"], gone, kept, **options)
+        assert left.columns == ["source", "n", "x"] and left.exceptAll(rows_.filter("n >= 3000")).isEmpty() and left.count() == 6000
+    plan = search_index.without(rows_, ["source", "n"], gone, kept)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" not in plan and "SortMergeJoin" not in plan
+    assert search_index.without(rows_, ["source", "n"], gone.limit(0), kept).count() == 12000  # nothing gone, nothing asked
+
+
+def test_tombstones_of_an_earlier_form_still_hide(spark, tmp_path):
+    w = Warehouse(spark, f"file://{tmp_path}/old")
+    docs = spark.createDataFrame([("content", 1, i, i, 0, f"needle {i % 3}") for i in range(20)], "source string, scope_id long, node_id long, location_id long, chunk_id long, text string")
+    for some in (docs, docs.filter("node_id > 4")):
+        with w.transaction() as t:
+            search_index.refresh(t, some, OPTIONS)
+    with w.transaction() as t:  # as they were written without their segment
+        t.replace("search_tombstones", t.read("search_tombstones").drop("segment").localCheckpoint(), check=False)
+    with w.transaction() as t:
+        search_index.refresh(t, docs.filter("node_id > 9"), OPTIONS)
+    at = w.snapshot()
+    assert {r.node_id for r in search_index.standing(at, at.read("search_postings")).collect()} == set(range(10, 20))
