@@ -114,13 +114,15 @@ def refresh(t: Transaction, wanted: DataFrame, options: IndexOptions = IndexOpti
     if hidden:
         t.append("search_tombstones", gone)
     counted = now.groupBy("source", "scope_id").agg(F.count("*"), F.sum("length")).collect()  # two rows a scope
+    fresh = None
     if n_added:
         texts = without(wanted.dropna(subset=list(KEY)), list(KEY), now.filter(F.col("segment") < segment), added)
         fresh = postings(_dealt(texts, characters, "node_id")).withColumn("segment", F.lit(segment).cast("long"))
-        _write(t, fresh, buckets, append=True)
     t.note("search", {"segment": segment, "buckets": buckets, "tombstones": state["tombstones"] + hidden, "statistics": [list(r) for r in counted]})
-    if t.parts("search_postings") > options.max_segments:
-        compact(t)
+    if 0 < t.parts("search_postings") > options.max_segments - bool(n_added):
+        compact(t, fresh)
+    elif n_added:
+        _write(t, fresh, buckets, append=True)
     return True
 
 
@@ -191,11 +193,14 @@ def standing(at: Snapshot | Transaction, rows: DataFrame) -> DataFrame:
     return without(rows, [*KEY, "segment"], hidden, at.read("search_documents"))
 
 
-def compact(t: Transaction) -> None:
-    """All segments as one, without what tombstones hide."""
+def compact(t: Transaction, fresh: DataFrame | None = None) -> None:
+    """All segments as one, without what tombstones hide; ``fresh`` are postings that go into it without being a segment before."""
     state, rows = t.notes["search"], t.read("search_postings")
     characters = sum(r[3] for r in state["statistics"])
-    _write(t, _dealt(standing(t, rows), characters, "bucket"), state["buckets"], append=False)
+    kept = _dealt(standing(t, rows), characters, "bucket")
+    if fresh is not None:
+        kept = kept.unionByName(fresh.withColumn("bucket", F.pmod("trigram", F.lit(state["buckets"])).cast("int")))
+    _write(t, kept, state["buckets"], append=False)
     t.replace("search_tombstones", empty(rows.sparkSession, TOMBSTONE))
     t.note("search", {**state, "tombstones": 0})
 

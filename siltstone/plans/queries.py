@@ -154,6 +154,7 @@ def indexed(spark: SparkSession, name: str, states: list[tuple[DataFrame, DataFr
     for state in states:
         with w.transaction() as t:
             search_index.refresh(t, search_index.documents(*state), search_index.IndexOptions(max_segments=2))
+        w.forget(*search_index.TABLES)  # nobody reads the states before
     return w
 
 

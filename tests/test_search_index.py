@@ -245,3 +245,15 @@ def test_tombstones_of_an_earlier_form_still_hide(spark, tmp_path):
         search_index.refresh(t, docs.filter("node_id > 9"), OPTIONS)
     at = w.snapshot()
     assert {r.node_id for r in search_index.standing(at, at.read("search_postings")).collect()} == set(range(10, 20))
+
+
+def test_a_segment_that_is_merged_at_once_is_written_once(spark, tmp_path, monkeypatch):
+    names, write = [], Warehouse.write_part
+    monkeypatch.setattr(Warehouse, "write_part", lambda self, name, *rest: names.append(name) or write(self, name, *rest))
+    w = Warehouse(spark, f"file://{tmp_path}/merged")
+    docs = spark.createDataFrame([("content", 1, i, i, 0, f"needle {i}") for i in range(6)], "source string, scope_id long, node_id long, location_id long, chunk_id long, text string")
+    for n in (2, 4, 6):
+        with w.transaction() as t:
+            search_index.refresh(t, docs.filter(F.col("node_id") < n), search_index.IndexOptions(buckets=3, max_segments=2))
+    assert names.count("search_postings") == 3 and len(w.snapshot().tables["search_postings"]) == 1
+    assert live_postings(w) == rows(search_index.postings(docs).select(*search_index.KEY, "length", "trigram", "positions"))
