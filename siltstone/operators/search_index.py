@@ -140,7 +140,7 @@ def _write(t: Transaction, rows: DataFrame, buckets: int, append: bool) -> None:
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("scope_id", "node_id", "location_id", "chunk_id", "segment", "positions.list.element")}
     conf, writers = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
     before = conf.get(writers, "0")
-    conf.set(writers, str(buckets))  # all buckets' files are open at once; else each task would sort its postings, and spill them
+    conf.set(writers, str(buckets + 1))  # all buckets' files are open at once, below the bound at which a task sorts the rest of its postings and spills it
     try:
         (t.append if append else t.replace)("search_postings", dealt, check=False, partition_by=("bucket",), options=options)
     finally:
